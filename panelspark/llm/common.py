@@ -63,3 +63,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if(small: DataFrame, rows: int, most: int) -> DataFrame:
     """A broadcast hint only where the counted rows are within the bound; else any join will do."""
     return F.broadcast(small) if rows <= most else small
+
+
+#: Rows of text in one Arrow batch. Texts can be long, so batches stay short.
+TEXT_ROWS = 256
+
+
+def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInPandas with batches of at most ``TEXT_ROWS`` rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df.mapInPandas(function, schema)
+
+
+def is_empty(df: DataFrame) -> bool:
+    return not df.take(1)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelspark.llm import license_scan, mixing, secret_scan
+from panelspark.llm import bpe, license_scan, mixing, secret_scan, simhash
 from panelspark.llm.common import read
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents")).drop("detections")
@@ -20,5 +24,15 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scans, op6_mixing_sources, op7_secret_scans)}
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    both = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_license_scans, op5_simhash_near_dedup, op6_mixing_sources, op7_secret_scans, op8_byte_bpe)}
 ORACLE_SQL = {"op6_mixing_sources": mixing.ORACLE.format(docs="documents")}
