@@ -69,11 +69,16 @@ def broadcast_if(small: DataFrame, rows: int, most: int) -> DataFrame:
 TEXT_ROWS = 256
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds: at most ``TEXT_ROWS`` rows at a time from here on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInPandas with batches of at most ``TEXT_ROWS`` rows."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    """mapInPandas in short batches."""
+    short_batches(df.sparkSession)
     return df.mapInPandas(function, schema)
 
 

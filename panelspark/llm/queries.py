@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, license_scan, mixing, secret_scan, simhash
+from panelspark.llm import bpe, license_scan, mil_quality, mixing, quality_rules, secret_scan, simhash
 from panelspark.llm.common import read
 
-RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +30,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
-    both = bpe.decode(encoded, RANKS, public_tokenizers.PATTERN)
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scans, op5_simhash_near_dedup, op6_mixing_sources, op7_secret_scans, op8_byte_bpe)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_license_scans, op5_simhash_near_dedup, op6_mixing_sources, op7_secret_scans, op8_byte_bpe, op9_quality_rules)}
 ORACLE_SQL = {"op6_mixing_sources": mixing.ORACLE.format(docs="documents")}
