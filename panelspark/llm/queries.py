@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, license_scan, mil_quality, mixing, quality_rules, secret_scan, simhash
+from panelspark.llm import bpe, html_extract, lbl, license_scan, mil_quality, mixing, quality_rules, secret_scan, simhash
 from panelspark.llm.common import read
 
 
@@ -25,6 +25,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(read(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -41,5 +45,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_license_scans, op5_simhash_near_dedup, op6_mixing_sources, op7_secret_scans, op8_byte_bpe, op9_quality_rules)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_license_scans, op4_lm_scoring, op5_simhash_near_dedup, op6_mixing_sources, op7_secret_scans, op8_byte_bpe, op9_quality_rules, op10_html_extraction)}
 ORACLE_SQL = {"op6_mixing_sources": mixing.ORACLE.format(docs="documents")}
