@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, html_extract, lbl, license_scan, mil_quality, mixing, quality_rules, secret_scan, simhash
+from panelspark.llm import ann, bpe, html_extract, lbl, license_scan, mil_quality, mixing, quality_rules, secret_scan, simhash
 from panelspark.llm.common import read
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -49,5 +53,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_license_scans, op4_lm_scoring, op5_simhash_near_dedup, op6_mixing_sources, op7_secret_scans, op8_byte_bpe, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_quality_classifier, op3_license_scans, op4_lm_scoring, op5_simhash_near_dedup, op6_mixing_sources, op7_secret_scans, op8_byte_bpe, op9_quality_rules, op10_html_extraction)}
 ORACLE_SQL = {"op6_mixing_sources": mixing.ORACLE.format(docs="documents")}
