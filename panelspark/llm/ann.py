@@ -146,6 +146,11 @@ def _hits(found: list[list[tuple[float, int]]]) -> dict[str, list]:
     return {"found": [[i for _, i in f] for f in found], "scores": [[s for s, _ in f] for f in found]}
 
 
+def _frame(columns: dict) -> pd.DataFrame:
+    """Columns of objects, so that empty ones convert to arrays as well."""
+    return pd.DataFrame({k: pd.Series(list(v), dtype=object) for k, v in columns.items()})
+
+
 HITS = "found array<bigint>, scores array<double>"
 
 
@@ -181,7 +186,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 5, vector: str = "embedd
                 own[0].add(i)
                 if len(own[0]) > keep:
                     own[0].remove(max(own[0]))
-            yield pd.DataFrame({"key": [key_of(r) for r in held], "v": list(held), "ids": [sorted(o[0]) for o in held.values()], "asked": [o[1] for o in held.values()]})
+            yield _frame({"key": [key_of(r) for r in held], "v": list(held), "ids": [sorted(o[0]) for o in held.values()], "asked": [o[1] for o in held.values()]})
 
     partial = rows.mapInPandas(distinct, "key binary, v binary, ids array<long>, asked boolean")
     smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
@@ -194,7 +199,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 5, vector: str = "embedd
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"p": list(_unit(_matrix(pdf["v"], dim)) @ g)})
+            yield _frame({"p": _unit(_matrix(pdf["v"], dim)) @ g})
 
     some = reps.filter(F.crc32("key") % 1_000_000 < share).mapInPandas(project, "p array<double>").toPandas()
     tree = build(np.array(some["p"].tolist(), dtype=float).reshape(-1, m), n)
@@ -213,14 +218,14 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 5, vector: str = "embedd
         found = [_search(x, p, ids, x[i], p[i], keep, math.inf, limit) for i in own]
         bound = [2 - 2 * f[-1][0] if len(f) == keep else math.inf for f in found]
         part = pdf.iloc[own]
-        return pd.DataFrame({"key": part["key"], "v": part["v"], "p": part["p"], "cell": part["cell"], "bound": bound, **_hits(found)})
+        return _frame({"key": part["key"], "v": part["v"], "p": part["p"], "cell": part["cell"], "bound": bound, **_hits(found)})
 
     first = saved(points.groupBy("cell").applyInPandas(at_home, f"key binary, v binary, p binary, cell long, bound double, {HITS}"), "ann-first")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             cells = [[c for c in tree.cells_within(p, limit * (max(0.0, b) + 1e-9)) if c != own] for p, b, own in zip(_matrix(pdf["p"], m), pdf["bound"], pdf["cell"], strict=True)]
-            yield pdf[["key", "v", "p", "bound"]].assign(cells=cells)
+            yield pdf[["key", "v", "p", "bound"]].assign(cells=pd.Series(cells, dtype=object, index=pdf.index))
 
     visits = first.mapInPandas(spread, "key binary, v binary, p binary, bound double, cells array<long>")
     visits = visits.withColumn("cell", F.explode("cells")).drop("cells").withColumn("salt", (F.crc32("key") % salts).cast("int"))
@@ -228,11 +233,11 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 5, vector: str = "embedd
 
     def elsewhere(queries: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(pdf):
-            return pd.DataFrame({"key": [], "found": [], "scores": []})
+            return _frame({"key": [], "found": [], "scores": []})
         x, p, ids = _matrix(pdf["v"], dim), _matrix(pdf["p"], m), list(pdf["ids"])
         qv, qp = _matrix(queries["v"], dim), _matrix(queries["p"], m)
         found = [_search(x, p, ids, qv[i], qp[i], keep, b, limit) for i, b in enumerate(queries["bound"])]
-        return pd.DataFrame({"key": queries["key"], **_hits(found)})
+        return _frame({"key": queries["key"], **_hits(found)})
 
     more = visits.groupBy("cell", "salt").cogroup(targets.groupBy("cell", "salt")).applyInPandas(elsewhere, f"key binary, {HITS}")
     by_score = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["vec_id"] < b["vec_id"], -1).when(a["vec_id"] > b["vec_id"], 1).otherwise(0)
