@@ -149,3 +149,22 @@ SELECT doc_id, size, source_size, target,
   CAST((whole + CASE WHEN q IS NOT NULL AND cum - rest <= rest - (cum - size) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM summed
 """
+
+
+def repeat(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """docs, with the same columns, each row as often as :func:`mix` takes it: 0, 1 or 2 times by default.
+
+    Rows are told apart by id, source and a hash of the text. Where rows agree
+    in all of these, they share out the copies of them all.
+    """
+    own = docs.withColumn("_row_hash", F.xxhash64(text_of()))
+    keyed = own.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "_row_hash")
+    taken = mix(keyed.select(F.struct("doc_id", "_row_hash").alias("doc_id"), "text", "source"), weights, share, cap, seed)
+    times = saved(
+        taken.filter("copies > 0").groupBy(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._row_hash").alias("_hash"), F.col("source").alias("_source")).agg(F.sum("copies").cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows")),
+        "mix-times",
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    if docs.groupBy("doc_id", "source", F.xxhash64(text_of())).count().filter("count > 1").take(1):
+        own = own.dropDuplicates(["doc_id", "source", "_row_hash"])
+    return own.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
