@@ -307,11 +307,11 @@ def _labelled_page(rng: random.Random, words: list[str]) -> str:
     pick = lambda kind: rng.choice(CUES[kind].split())
     junk = {
         "menu": lambda: tag(rng.choice(("nav", "div", "ul")), 0, f"<ul>{links(rng.randint(3, 9))}</ul>", pick("menu")) if rng.random() < 0.7 else tag("nav", 0, f"<ul>{links(rng.randint(3, 8))}</ul>"),
-        "header": lambda: tag(rng.choice(("header", "div")), 0, f"<a href='/'>{some(1, 3)}</a><p>{some(2, 10)}</p>", pick("header")),
+        "header": lambda: tag("header", 0, rng.choice((f"<a href='/'>{some(1, 3)}</a><p>{some(2, 10)}</p>", f"<h1>{some(1, 3)}</h1>", f"<a href='/'>{some(1, 3)}</a>")), rng.choice(("", pick("header")))),
         "footer": lambda: tag("footer", 0, f"&copy; {some(3, 16)}") if rng.random() < 0.5 else tag("div", 0, f"<p>&copy; {some(3, 20)}</p>", pick("footer")),
         "side": lambda: tag(rng.choice(("aside", "div", "section")), 0, f"<h3>{some(1, 4)}</h3><ul>{links(rng.randint(2, 6))}</ul><p>{some(4, 30)}</p>", pick("side")),
         "notice": lambda: tag(rng.choice(("div", "section", "dialog")), 0, f"<p>{some(6, 30)}</p><button>{some(1, 2)}</button>", pick("notice")),
-        "advert": lambda: tag(rng.choice(("div", "aside", "section")), 0, rng.choice((some(3, 25), f"<p>{some(3, 25)}</p>", f"<a href='#'>{some(3, 20)}</a>")), pick("advert")),
+        "advert": lambda: tag(rng.choice(("div", "aside", "section")), 0, rng.choice((some(1, 25), f"<p>{some(1, 25)}</p>", f"<a href='#'>{some(1, 20)}</a>")), pick("advert")),
         "form": lambda: tag("form", 0, f"<label>{some(1, 5)}</label><input name='q'><button>{some(1, 2)}</button>", rng.choice(("", pick("form")))) if rng.random() < 0.6 else tag("div", 0, f"<span>{some(1, 4)}</span><a href='#'>{some(1, 2)}</a>", pick("form")),
         "comment": lambda: tag(rng.choice(("section", "div", "ol")), 0, "".join(tag("div", 0, f"<p>{some(3, 60)}</p>", rng.choice(("", pick("comment")))) for _ in range(rng.randint(1, 4))), pick("comment")),
     }
@@ -337,7 +337,7 @@ def _labelled_page(rng: random.Random, words: list[str]) -> str:
                 out.append(f"<pre>{some(3, 30)}</pre>")
             else:
                 out.append(f"<div>{some(5, 60)}</div>")
-            if rng.random() < 0.15:
+            if rng.random() < 0.35:
                 out.append(junk[rng.choice(("advert", "advert", "form", "side", "notice", "comment", "menu"))]())
         return "".join(out)
 
@@ -368,7 +368,7 @@ def labelled(page: str) -> tuple[list[Node], np.ndarray]:
     return nodes, y
 
 
-def fit(pages: list[str], rounds: int = 400, rate: float = 0.5, l2: float = 1e-4, coupling: float = 1.0) -> Model:
+def fit(pages: list[str], rounds: int = 1_000, rate: float = 0.5, l2: float = 1e-4, coupling: float = 1.0) -> Model:
     """Potentials from labelled pages.
 
     Node potentials are a logistic model of a node's own label. Edge potentials
