@@ -68,7 +68,8 @@ def snapshots(ledger: DataFrame, closes: DataFrame, initial: float) -> DataFrame
     every = Window.partitionBy("symbol").orderBy("session_idx")
     held = held.join(F.broadcast(index), "date").crossJoin(F.broadcast(index.agg(F.max("session_idx").alias("_end"))))
     until = F.coalesce(F.lead("session_idx").over(every) - 1, F.col("_end"))
-    held = held.withColumn("session_idx", F.explode(F.sequence("session_idx", until))).drop("date", "_end").join(F.broadcast(index), "session_idx")
+    held = held.withColumn("_until", until)
+    held = held.withColumn("session_idx", F.explode(F.sequence("session_idx", "_until"))).drop("date", "_end", "_until").join(F.broadcast(index), "session_idx")
     values = held.groupBy("date").agg(F.sum(F.col("shares") * F.col("close")).alias("holdings"), F.sum(F.col("shares") * (F.col("close") - F.col("cost_basis"))).alias("unrealised"), F.sum((F.abs("shares") > 1e-9).cast("int")).alias("n_positions"))
     flow = F.when(F.col("side") == "BUY", -F.col("shares_filled") * F.col("price")).otherwise(F.col("shares_filled") * F.col("price"))
     cash = ledger.groupBy("date").agg(F.sum(flow - F.col("total_cost")).alias("_f"), F.sum(F.coalesce("realised", F.lit(0.0))).alias("_r"), F.sum("total_cost").alias("_c"))
