@@ -13,21 +13,25 @@ MAX_ROUNDS = 60
 def components(links: DataFrame) -> DataFrame:
     """(node, label): for each node of links (a, b), the smallest node it can reach.
 
-    Each round takes the smallest label among the neighbours and then jumps to
-    the label of that label, so chains shorten by half. Links are never
-    rewritten: no node gains more neighbours than it came with, and the joins
-    on labels are plain inner joins that Spark may split where one label is
-    common. Every round is written to the shared folder.
+    Trees of parents that merge and flatten (the FastSV scheme): a round takes
+    the smallest grandparent among a node's neighbours and offers it to the
+    node and to the node's parent, then lets every node point to its own
+    grandparent. So even a chain ends after about the logarithm of its length.
+    Links are never rewritten, offers to a common parent are reduced before
+    they are shuffled, and the join on parents is a plain inner join that Spark
+    may split. Every round is written to the shared folder.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = saved(both, "cc-links")
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "cc-0")
+    state = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("f")), "cc-0")
     for step in range(1, MAX_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        best = saved(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), f"cc-{step}a")
-        target = best.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        jumped = saved(best.join(target, "label").select("node", "old", F.least("label", "jump").alias("label")), f"cc-{step}b")
-        labels = jumped.select("node", "label")
-        if jumped.filter("label <> old").limit(1).count() == 0:
-            return labels
+        parents = state.select(F.col("node").alias("f"), F.col("f").alias("gf"))
+        known = saved(state.join(parents, "f").select("node", "f", "gf"), f"cc-{step}a")
+        near = both.join(known.select(F.col("node").alias("b"), "gf"), "b").groupBy(F.col("a").alias("node")).agg(F.min("gf").alias("m"))
+        offers = near.join(known.select("node", "f"), "node").select(F.explode(F.array("node", "f")).alias("node"), "m", F.lit(None).cast("long").alias("old"))
+        own = known.select("node", F.least("f", "gf").alias("m"), F.col("f").alias("old"))
+        state = saved(own.unionByName(offers).groupBy("node").agg(F.min("m").alias("f"), F.max("old").alias("old")), f"cc-{step}b")
+        if state.filter("f <> old").limit(1).count() == 0:
+            return state.select("node", F.col("f").alias("label"))
+        state = state.select("node", "f")
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
