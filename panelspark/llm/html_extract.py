@@ -395,9 +395,14 @@ def fit(pages: list[str], rounds: int = 1_000, rate: float = 0.5, l2: float = 1e
 
 
 def train(pages: DataFrame, most: int = MAX_TRAINING, seed: int = SEED) -> Model:
-    """A model fitted on labelled pages made from words of at most ``most`` pages of the table."""
-    first = F.expr("slice(regexp_extract_all(regexp_replace(coalesce(html, ''), '<[^>]*>', ' '), '[^ \\t\\n\\r<>&]+', 0), 1, 400)")
-    rows = pages.select("page_id", "html").orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id").limit(most).select(first.alias("w")).collect()
+    """A model fitted on labelled pages made from words of at most ``most`` pages of the table.
+
+    Those with the smallest hashes of their ids are taken; ids are picked
+    first, so that no page travels that isn't used.
+    """
+    words = F.expr("slice(regexp_extract_all(regexp_replace(coalesce(html, ''), '<[^>]*>', ' '), '[^ \\t\\n\\r<>&]+', 0), 1, 400)")
+    few = pages.select("page_id").dropna().distinct().orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id").limit(most)
+    rows = pages.select("page_id", words.alias("w")).join(F.broadcast(few), "page_id").groupBy("page_id").agg(F.min("w").alias("w")).orderBy("page_id").collect()
     rng = random.Random(seed)
     texts = [list(r["w"]) or ["text"] for r in rows] or [["some", "words", "of", "text"]]
     return fit([_labelled_page(rng, texts[i % len(texts)]) for i in range(800)])
