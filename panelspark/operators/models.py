@@ -183,7 +183,7 @@ def forecast_symbols(features: DataFrame, columns: list[str], least: int = 500,
         known = pdf.dropna(subset=[*columns, "target"])
         last = pdf.dropna(subset=columns).tail(1)
         if len(known) < least or not len(last):
-            return pd.DataFrame({k.split()[0]: [] for k in FORECAST.split(", ")})
+            return pd.DataFrame({k.split()[0]: pd.Series([], dtype=object) for k in FORECAST.split(", ")})
         x, r = known[columns].to_numpy(dtype=float), known["target"].to_numpy(dtype=float)
         y = (r > 0).astype(float)
 
