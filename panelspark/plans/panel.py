@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.windows import by_symbol
-from panelspark.operators import actions, calendar, decisions, features, folds, labels, metrics, monitoring, portfolio, quality, records
+from panelspark.operators import actions, calendar, decisions, features, folds, labels, metrics, models, monitoring, portfolio, quality, records
 from panelspark.plans import sql
 from panelspark.sources import tables
 from panelspark.streaming import candles as streaming
@@ -454,6 +454,53 @@ def l5(spark, d):
     return portfolio.reconcile(daily, 1e6).select("date", "difference")
 
 
+@register("l4_snapshots", sql.query("SELECT date, round(1e6 + sum(f) OVER (ORDER BY date), 2) AS cash, round(sum(k) OVER (ORDER BY date), 2) AS costs FROM (SELECT date, sum(CASE WHEN no % 40 = 0 THEN -100 * open_split WHEN no % 20 = 0 THEN 100 * open_split ELSE 0 END - CASE WHEN no % 20 = 0 THEN 100 * open_split * 0.0013::DOUBLE ELSE 0 END) AS f, sum(CASE WHEN no % 20 = 0 THEN 100 * open_split * 0.0013::DOUBLE ELSE 0 END) AS k FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS no FROM bars) GROUP BY date)", "bars"))
+def l4(spark, d):
+    closes = tables.bars_calm(spark, d).select("symbol", "date", F.col("close_split").alias("close"))
+    return rounded(portfolio.snapshots(portfolio.position_ledger(held_fills(spark, d)), closes, 1e6), ["cash", "costs"], ("date",), 2)
+
+
+@register("l12_strategy_and_benchmark")
+def l12(spark, d):
+    bench = portfolio.equal_weight_rebalanced(scores(spark, d).withColumn("ret", F.col("return_1d"))).withColumn("name", F.lit("equal weight"))
+    return portfolio.performance_metrics(curve(spark, d).unionByName(bench))
+
+
+# --- models ---------------------------------------------------------------------------------------------------------
+
+MODEL_FEATURES = ["return_1d", "return_5d", "volatility_20"]
+
+
+def out_of_fold(spark, d, fit, label):
+    df = simple_panel(spark, d).select("symbol", "date", *MODEL_FEATURES, F.col(label).alias("label"))
+    index = calendar.session_index(df)
+    bounds = folds.fold_bounds(spark, index.count(), n_folds=3, test=63, min_train=126)
+    return models.generate_oof(folds.assign_folds(df, bounds, index).cache(), fit, MODEL_FEATURES, "label")
+
+
+@register("j6_logistic_out_of_fold")
+def j6(spark, d):
+    return out_of_fold(spark, d, models.fit_logistic(), "tradeable_direction_1d")
+
+
+@register("j2_ridge_out_of_fold_metrics")
+def j2(spark, d):
+    return metrics.regression_metrics(out_of_fold(spark, d, models.fit_ridge(), "tradeable_return_1d"), "y_true", "y_pred", ["fold"])
+
+
+@register("j11_calibrated_out_of_fold")
+def j11(spark, d):
+    oof = out_of_fold(spark, d, models.fit_logistic(), "tradeable_direction_1d").cache()
+    return models.calibrate_out_of_fold(oof, folds.date_blocks(oof, 4), min_rows=100)
+
+
+@register("j17_next_session_forecasts")
+def j17(spark, d):
+    b = tables.bars_calm(spark, d).select("symbol", "date", *[F.col(f"{c}_split").alias(c) for c in ("open", "high", "low", "close")])
+    names = ["return_1", "return_5", "return_20", "session_return", "range", "gap", "volatility", "close_position"]
+    return models.forecast_symbols(features.session_features(b), names)
+
+
 # --- monitoring -----------------------------------------------------------------------------------------------------
 
 _PART = "SELECT unnest(['return_1d', 'return_5d', 'volatility_20']) AS feature, unnest([return_1d, return_5d, volatility_20]) AS value, CASE WHEN date_diff('day', DATE '1970-01-01', date) <= floor((SELECT quantile_cont(date_diff('day', DATE '1970-01-01', date), 0.75) FROM scores)) THEN 'reference' ELSE 'current' END AS part FROM scores"
