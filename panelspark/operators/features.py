@@ -96,8 +96,11 @@ def regime_block() -> dict[str, Column]:
     }
 
 
-def symbol_features(bars: DataFrame) -> DataFrame:
-    """The 41 features of enriched bars. All windows share one sort by (symbol, date); no row sees a later one."""
+def window_features(bars: DataFrame) -> DataFrame:
+    """The features of enriched bars that windows express, and _tr. All share one sort by (symbol, date); no row sees a later one.
+
+    Features that a query doesn't select are pruned from its plan.
+    """
     df = add_adjusted_open(bars)
     h, lo = F.col("high_split") * F.col("adj_factor"), F.col("low_split") * F.col("adj_factor")
     before = F.lag("adj_close").over(by_symbol())
@@ -105,8 +108,12 @@ def symbol_features(bars: DataFrame) -> DataFrame:
     df = df.withColumn("_tr", F.greatest(F.col("_h") - F.col("_l"), F.abs(F.col("_h") - before), F.abs(F.col("_l") - before)))
     df = df.withColumns(returns_block() | technical_block() | volatility_block() | volume_block())
     df = df.withColumn("vol_ratio_10_60", F.try_divide("volatility_10", "volatility_60"))
-    df = df.withColumns(regime_block())
-    return with_momentum(df.drop("_h", "_l", "_no", "_r"))
+    return df.withColumns(regime_block()).drop("_h", "_l", "_no", "_r")
+
+
+def symbol_features(bars: DataFrame) -> DataFrame:
+    """All 41 features of enriched bars: those of windows, then those of the recursive kernels."""
+    return with_momentum(window_features(bars))
 
 
 def trim_warmup(df: DataFrame, sessions: int = WARMUP) -> DataFrame:

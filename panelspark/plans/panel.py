@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.functions import kernels
 from panelspark.functions.windows import by_symbol
 from panelspark.operators import actions, calendar, decisions, features, folds, labels, metrics, models, monitoring, portfolio, quality, records
 from panelspark.plans import sql
@@ -36,8 +37,13 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
     return actions.apply_corporate_actions(tables.bars_calm(spark, d))
 
 
-def featured(spark: SparkSession, d: str) -> DataFrame:
-    return features.symbol_features(enriched(spark, d))
+def recursive(spark: SparkSession, d: str) -> DataFrame:
+    """The kernels' columns alone: only what they read goes through them."""
+    return kernels.with_momentum(windowed(spark, d).select("symbol", "date", "adj_close", "_tr", "volatility_20"))
+
+
+def windowed(spark: SparkSession, d: str) -> DataFrame:
+    return features.window_features(enriched(spark, d))
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +176,7 @@ def g9(spark, d):
 def _block(name: str, columns: list[str], source: str) -> None:
     @register(name, sql.query(f"SELECT symbol, date, {sql.rounded(columns)} FROM {source}", source))
     def block(spark, d):
-        return rounded(featured(spark, d), columns)
+        return rounded(windowed(spark, d), columns)
 
 
 _block("e1_returns", list(sql.RETURNS), "early")
@@ -183,12 +189,12 @@ _kernel = ", ".join(f"round({x}, 6) + 0.0 AS {c}" for c, x in sql.KERNEL.items()
 
 @register("e7_momentum_kernels", sql.query(f"SELECT symbol, date, {_kernel} FROM signals9", "signals9"))
 def e7(spark, d):
-    return rounded(featured(spark, d), list(sql.KERNEL))
+    return rounded(recursive(spark, d), list(sql.KERNEL))
 
 
 @register("e24_expanding_percentile", sql.query("SELECT a.symbol, a.date, round((count(*) FILTER (b.volatility_20 <= a.volatility_20) - 1) / (count(*) - 1), 6) AS vol_percentile_expanding FROM v a JOIN v b ON a.symbol = b.symbol AND b.date <= a.date GROUP BY a.symbol, a.date, a.volatility_20 HAVING count(*) >= 252", "early", v="SELECT symbol, date, volatility_20 FROM early WHERE volatility_20 IS NOT NULL"))
 def e24(spark, d):
-    return rounded(featured(spark, d).filter("vol_percentile_expanding is not null"), ["vol_percentile_expanding"])
+    return rounded(recursive(spark, d).filter("vol_percentile_expanding is not null"), ["vol_percentile_expanding"])
 
 
 @register("f1_labels", sql.query(f"SELECT symbol, date, tradeable_direction_1d, {sql.rounded(['tradeable_return_1d', 'research_return_1d'])} FROM trimmed", "trimmed"))
@@ -201,7 +207,8 @@ _RANK = "CASE WHEN count(*) OVER (PARTITION BY date) > 1 AND {c} IS NOT NULL THE
 
 @register("e29_cross_section", sql.query("SELECT symbol, date, " + ", ".join(f"round({_RANK.format(c=c)}, 6) AS xs_rank_{c}" for c in features.RANKED) + " FROM trimmed", "trimmed"))
 def e29(spark, d):
-    return rounded(panel(spark, d), [f"xs_rank_{c}" for c in features.RANKED])
+    df = features.add_cross_sectional(features.trim_warmup(windowed(spark, d)))
+    return rounded(df, [f"xs_rank_{c}" for c in features.RANKED])
 
 
 _ALL = [*sql.RETURNS, *sql.TECHNICAL, *sql.VOLATILITY, *sql.VOLUME, *sql.LATER]
@@ -209,7 +216,7 @@ _ALL = [*sql.RETURNS, *sql.TECHNICAL, *sql.VOLATILITY, *sql.VOLUME, *sql.LATER]
 
 @register("e31_coverage", sql.query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate FROM later" for c in _ALL), "later"))
 def e31(spark, d):
-    return rounded(features.coverage_report(featured(spark, d), _ALL), ["missing_rate"], ("feature",))
+    return rounded(features.coverage_report(windowed(spark, d), _ALL), ["missing_rate"], ("feature",))
 
 
 @register("e30_latest_panel")
