@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,7 +41,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SCOPES = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table",)), "th": frozenset(("table",)), "option": frozenset(("select", "datalist"))}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][-\w:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\s(hidden)\b""")
 _CUE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -67,6 +68,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """
     nodes, pieces = [Node("#root", -1)], []
     stack = [0]  # open blocks
+    opened: Counter[str] = Counter()
     in_link = 0
     at, n = 0, len(page)
 
@@ -83,6 +85,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def pop_to(depth: int) -> None:
         nonlocal in_link
         if len(stack) > depth:
+            opened.subtract(nodes[i].tag for i in stack[depth:])
             del stack[depth:]
             in_link = 0
             pieces.append((stack[-1], None))
@@ -102,13 +105,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if name == "a" and in_link:
                     in_link -= 1
                 continue
-            if name == "br" or name == "p" and not any(nodes[i].tag == "p" for i in stack):
+            if name == "br" or name == "p" and not opened["p"]:
                 pieces.append((stack[-1], None))
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == name:
-                    pop_to(k)
-                    break
+            if opened[name]:
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == name))
             continue
         if not start:
             if m.group().startswith("<![CDATA["):
@@ -124,16 +125,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             elif name == "hr":
                 pieces.append((stack[-1], None))
             continue
-        if name == "body" and any(nodes[i].tag == "body" for i in stack):
+        if name == "body" and opened["body"]:
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == "p":
                     pop_to(k)
                     break
                 if nodes[stack[k]].tag in ("td", "th", "button", "table"):
                     break
-        elif name in CLOSES:
+        elif name in CLOSES and any(opened[t] for t in CLOSES[name]):
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag in SCOPES[name]:
                     break
@@ -158,6 +159,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if not (m.group().endswith("/>") and name in RAW):
             stack.append(me)
+            opened[name] += 1
             in_link = 0
     return nodes, pieces
 
