@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,3 +156,24 @@ def session_features(bars: DataFrame) -> DataFrame:
     out = {f"return_{n}": F.try_divide(c, F.lag(c, n).over(w)) - 1 for n in (5, 20)}
     out |= {"session_return": F.try_divide(c, o) - 1, "range": F.try_divide(h - lo, c), "gap": F.try_divide(o, F.lag(c).over(w)) - 1, "volatility": roll(F.stddev_samp, F.col("return_1"), 20), "close_position": F.try_divide(c - lo, h - lo)}
     return df.withColumns(out).withColumn("target", F.try_divide(F.lead(c).over(w), F.lead(o).over(w)) - 1)
+
+
+def causality_violations(bars: DataFrame, build: Callable[[DataFrame], DataFrame], columns: list[str], cut, scale: float = 1.7, tolerance: float = 1e-9) -> DataFrame:
+    """(feature, n) of values before the cut that change when later bars do; empty where all features are causal.
+
+    build gives features per symbol and date from enriched bars. Prices from the
+    cut on are scaled by a factor that differs from day to day.
+    """
+    late = F.col("date") >= F.lit(cut)
+    factor = F.when(late, scale + (F.pmod(F.hash("date"), F.lit(7)) / 10.0)).otherwise(1.0)
+    moved = bars.withColumns({c: F.col(c) * factor for c in ("open_split", "high_split", "low_split", "close_split", "adj_close")}).withColumn("volume", F.when(late, F.col("volume") + 7).otherwise(F.col("volume")))
+    early = lambda df, name: build(df).filter(~late).select("symbol", "date", F.struct(*columns).alias(name))
+    both = early(bars, "_a").join(early(moved, "_b"), ["symbol", "date"])
+
+    def changed(c: str) -> Column:
+        a, b = F.col(f"_a.{c}").cast("double"), F.col(f"_b.{c}").cast("double")
+        return (~(a.isNull().eqNullSafe(b.isNull()))) | F.coalesce(F.abs(a - b) > tolerance * F.greatest(F.abs(a), F.lit(1.0)), F.lit(False))
+
+    counts = both.agg(*[F.sum(changed(c).cast("long")).alias(c) for c in columns])
+    stacked = counts.selectExpr(f"stack({len(columns)}, {', '.join(f"'{c}', {c}" for c in columns)}) as (feature, n)")
+    return stacked.filter("n > 0")

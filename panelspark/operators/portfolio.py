@@ -142,3 +142,9 @@ def performance_metrics(curve: DataFrame) -> DataFrame:
         (F.sum("turnover") * PER_SIDE).alias("total_costs"),
     )
     return out.join(drawdowns(curve), "name")
+
+
+def cost_totals(daily: DataFrame) -> DataFrame:
+    """(component, total) of strategy_returns' costs."""
+    long = daily.selectExpr(f"stack({len(COSTS_BPS)}, {', '.join(f"'{c}', {c}" for c in COSTS_BPS)}) as (component, cost)")
+    return long.groupBy("component").agg(F.sum("cost").alias("total"))

@@ -6,6 +6,8 @@ those. Writing replaces the symbols written (dynamic partition overwrite).
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,3 +142,26 @@ def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
 def append_forecasts(existing: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("symbol", "forecast_session")) -> DataFrame:
     """Rows of new to append: those whose key is not there yet, the first made of each key."""
     return latest(new.join(existing, list(keys), "left_anti"), list(keys), [F.asc("created_at")])
+
+
+def valid_prices(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose price is a finite number above 0."""
+    x = F.col(column)
+    return df.filter(x.isNotNull() & ~F.isnan(x) & (x > 0) & (x < float("inf")))
+
+
+def slice_day(panel: DataFrame, as_of) -> DataFrame:
+    return panel.filter(F.col("date") == F.lit(as_of))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut by a checkpoint under spark.checkpoint.dir.
+
+    Where that is unset, a local session takes a temporary folder and any other
+    one its warehouse, which executors share.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        own = tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return df.checkpoint()
