@@ -26,7 +26,17 @@ HEX = rf"[0-9a-f]{{{HEX_LENGTH},}}"
 
 # Weak patterns.
 IDENTIFIER = r"""(?i)(?<![a-z0-9_])(?:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
+KEY_LENGTH = 40
+_RUN = "A-Za-z0-9+/_-"
+_MIXED = "".join(f"(?=[{_RUN}]*[{c}])" for c in ("0-9", "A-Z", "a-z"))
+_WORD = "(?:(?:[A-Z]?[a-z]{2,}+)++[0-9]*+|[A-Z]++[0-9]*+|[A-Za-z]|[0-9]++)"
+#: What looks like a bare key: a whole run of 40 mixed characters of base64, or one of 20 and more that may be
+#: URL-safe too, padding included; a "=" may stand before. Of the second kind, paths after a host, embedded data
+#: and runs of plain words and numbers (slugs, paths) are none.
+SECRET = (
+    rf"(?<![{_RUN}]){_MIXED}(?:[A-Za-z0-9+/]{{{KEY_LENGTH}}}(?![{_RUN}])"
+    rf"|(?<!base64,)(?!(?<=\.)[a-z]{{2,}}/)(?!(?<=:)//)(?![/_-]*+{_WORD}(?:[/_-]++{_WORD})++[/_-]*+(?![{_RUN}]))[{_RUN}]{{20,}}+)={{0,2}}+(?![={_RUN}])"
+)
 ENDPOINT = r"""(?i)(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp|jdbc:[a-z0-9]+)://[^\s"'<>]+|(?<![a-z0-9_])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}"""
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 STRONG = KINDS[:3]
@@ -61,8 +71,17 @@ def spans_of(text: Column, kind: str, pattern: str, gate: Column, group: int = 0
     return F.when(gate, F.aggregate(lengths, start, step, lambda s: s["out"])).otherwise(_none())
 
 
-def near(x: Column, others: Column, scope: int) -> Column:
-    return F.exists(others, lambda o: (o["start"] <= x["end"] + scope) & (o["end"] >= x["start"] - scope))
+def near(x: Column, others: Column, scope: int, also=lambda o: F.lit(True)) -> Column:
+    return F.exists(others, lambda o: (o["start"] <= x["end"] + scope) & (o["end"] >= x["start"] - scope) & also(o))
+
+
+def apart(part: Column, secret: Column, text: Column) -> Column:
+    """Whether they are two parts: the value of an identifier or a piece of an address does not complete it.
+
+    Keys of 40 characters, strong secrets and passwords before a host count wherever they stand.
+    """
+    inside = (part["start"] <= secret["start"]) & (part["end"] >= secret["end"])
+    return ~inside | (secret["kind_no"] != KINDS.index("secret")) | (secret["end"] - secret["start"] == KEY_LENGTH) | (F.substring(text, (secret["end"] + 1).cast("int"), F.lit(1)) == "@")
 
 
 def digest(spans: Column) -> Column:
@@ -89,9 +108,9 @@ def with_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     secrets = F.concat(col["assign"], col["hex"], col["secret"])
     ids = F.concat(col["access"], col["identifier"])
     # The complement of a weak secret is an identifier or an endpoint; of these two, a secret.
-    df = df.withColumn("_weak_secret", F.filter(col["secret"], lambda x: near(x, F.concat(ids, col["endpoint"]), scope)))
-    df = df.withColumn("_weak_identifier", F.filter(col["identifier"], lambda x: near(x, secrets, scope)))
-    df = df.withColumn("_weak_endpoint", F.filter(col["endpoint"], lambda x: near(x, secrets, scope) & near(x, ids, scope)))
+    df = df.withColumn("_weak_secret", F.filter(col["secret"], lambda x: near(x, F.concat(ids, col["endpoint"]), scope, lambda o: apart(o, x, text))))
+    df = df.withColumn("_weak_identifier", F.filter(col["identifier"], lambda x: near(x, secrets, scope, lambda o: apart(x, o, text))))
+    df = df.withColumn("_weak_endpoint", F.filter(col["endpoint"], lambda x: near(x, secrets, scope, lambda o: apart(x, o, text)) & near(x, ids, scope)))
     everything = F.array_sort(F.concat(*[col[k] for k in STRONG], F.col("_weak_identifier"), F.col("_weak_secret"), F.col("_weak_endpoint")))
     return df.withColumn("_spans", everything).drop(*[f"_{k}" for k in KINDS], "_weak_secret", "_weak_identifier", "_weak_endpoint")
 
