@@ -153,7 +153,9 @@ ANCHORS = sorted({r.anchor for r in RULES})
 #: The prefilter: no rule and no base phrase matches a text without one of these words.
 GATE = r"(?i)(?<![a-z0-9])(?:" + "|".join([*ANCHORS, "licence"]) + r")(?![a-z0-9])"
 #: The anchors "all", "free" and "under" are common words; they need one of these besides.
-TOPIC = r"(?i)licen[sc]e|copyright|spdx|rights reserved|redistribut|permission|unencumbered|under (?:the )?(?:mit|isc|bsd|apache|a?l?gpl|mpl|epl|cc)"
+#: Words of a phrase may have anything between them that is no word: line breaks, several spaces, punctuation.
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+TOPIC = rf"(?i)licen[sc]e|copyright|spdx|rights{_GAP}reserved|redistribut|permission|unencumbered|under{_GAP}(?:the{_GAP})?(?:mit|isc|bsd|apache|a?l?gpl|mpl|epl|cc)"
 HIT = "struct<start:int,end:int,rule:int,label:string,confidence:double>"
 
 
