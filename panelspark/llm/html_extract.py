@@ -57,12 +57,31 @@ class Node:
     own: int = 0
     links: int = 0
     children: int = 0
+    #: In a line of the block around it.
+    inline: bool = False
+
+
+def _attributes(name: str, raw: str) -> tuple[list[str], bool]:
+    """The tag and the words of the names that an element goes by, and whether it is hidden."""
+    cues, hidden = [name], False
+    for key, value, bare in _ATTRIBUTE.findall(raw):
+        key, value = key.lower(), value.strip("\"'")
+        if key in ("class", "id", "role", "itemprop", "data-component", "data-testid", "aria-label"):
+            cues += [w.lower() for w in _CUE.findall(value)]
+        hidden |= bool(bare) or key == "aria-hidden" and value == "true" or key == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or key == "hidden"
+    return cues, hidden
+
+
+def _own_node(cues: list[str], hidden: bool) -> bool:
+    """Whether an inline element is a node of its own: hidden, or named as something that is no content."""
+    return hidden or any(_KIND.get(c) in _JUNK for c in cues[1:])
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes, pieces): elements in page order, each after its parent, and pieces of text by node.
 
-    Inline elements are part of the block around them. A piece of None ends a
+    Inline elements are part of the block around them, but those that are hidden
+    or named as junk are nodes of their own in its lines. A piece of None ends a
     line of text. Nothing in the page is an error: unknown, unclosed and
     misplaced tags are read as browsers would, roughly.
     """
@@ -70,6 +89,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack = [0]  # open blocks
     opened: Counter[str] = Counter()
     in_link = 0
+    #: Open inline elements by name, each with its depth, the block there and whether it is a node.
+    inline: dict[str, list[tuple[int, int, bool]]] = {}
     at, n = 0, len(page)
 
     def say(raw: str) -> None:
@@ -86,9 +107,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal in_link
         if len(stack) > depth:
             opened.subtract(nodes[i].tag for i in stack[depth:])
+            ends = any(not nodes[i].inline for i in stack[depth:])
             del stack[depth:]
-            in_link = 0
-            pieces.append((stack[-1], None))
+            if ends:
+                in_link = 0
+                pieces.append((stack[-1], None))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -104,6 +127,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if name in INLINE:
                 if name == "a" and in_link:
                     in_link -= 1
+                own = inline.get(name, [])
+                while own:
+                    depth, block, is_node = own.pop()
+                    if depth <= len(stack) and stack[depth - 1] == block:
+                        if is_node:
+                            pop_to(depth)
+                        break
                 continue
             if name == "br" or name == "p" and not opened["p"]:
                 pieces.append((stack[-1], None))
@@ -118,6 +148,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         name = start.lower()
         if name in INLINE:
             in_link += name == "a" and "href" in m.group(3).lower()
+            if name == "wbr":
+                continue
+            cues, hidden = _attributes(name, m.group(3)) if m.group(3) else ([name], False)
+            is_node = _own_node(cues, hidden)
+            inline.setdefault(name, []).append((len(stack), stack[-1], is_node))
+            if is_node:
+                nodes.append(Node(name, stack[-1], cues, hidden, inline=True))
+                stack.append(len(nodes) - 1)
+                opened[name] += 1
             continue
         if name in VOID:
             if name == "br":
@@ -143,12 +182,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
         if name in ("body", "main", "article", "nav", "div", "header", "footer") and nodes[stack[-1]].tag == "head":
             pop_to(len(stack) - 1)
-        cues, hidden = [name], False
-        for key, value, bare in _ATTRIBUTE.findall(m.group(3)):
-            key, value = key.lower(), value.strip("\"'")
-            if key in ("class", "id", "role", "itemprop", "data-component", "data-testid", "aria-label"):
-                cues += [w.lower() for w in _CUE.findall(value)[:12]]
-            hidden |= bool(bare) or key == "aria-hidden" and value == "true" or key == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or key == "hidden"
+        cues, hidden = _attributes(name, m.group(3))
         me = len(nodes)
         nodes[stack[-1]].children += 1
         nodes.append(Node(name, stack[-1], cues, hidden))
@@ -274,13 +308,17 @@ def extract(page: str, model: Model) -> str:
     dead = [v.tag in RAW or v.hidden for v in nodes]
     for i in range(1, len(nodes)):
         dead[i] |= dead[nodes[i].parent]
+    block = list(range(len(nodes)))
+    for i, v in enumerate(nodes):
+        if v.inline:
+            block[i] = block[v.parent]
     blocks, line, owner = [], [], -1
     for node, piece in pieces:
-        if node != owner or piece is None:
+        if block[node] != owner or piece is None:
             if line:
                 blocks.append("".join(line))
                 line = []
-            owner = node
+            owner = block[node]
         if piece is not None and keep[node] and not dead[node]:
             line.append(piece)
     if line:
@@ -291,6 +329,7 @@ def extract(page: str, model: Model) -> str:
 # --- labelled pages -------------------------------------------------------------------------------------------------
 
 _MARK = "data-label"
+_UTILITY = "mx-auto px-4 py-2 flex items-center justify-between w-full max-w-3xl rounded-lg shadow"
 
 
 def _labelled_page(rng: random.Random, words: list[str]) -> str:
@@ -300,6 +339,8 @@ def _labelled_page(rng: random.Random, words: list[str]) -> str:
         return html.escape(" ".join((words * 2)[i : i + n]) or "text")
 
     def tag(name: str, label: int, inside: str, cues: str = "") -> str:
+        if cues and rng.random() < 0.2:
+            cues = f"{_UTILITY} {cues}"
         named = f' {rng.choice(("class", "class", "id"))}="{cues}"' if cues else ""
         return f'<{name}{named} {_MARK}="{label}">{inside}</{name}>'
 
@@ -323,8 +364,10 @@ def _labelled_page(rng: random.Random, words: list[str]) -> str:
         out = [f"<header>{title}</header>" if rng.random() < 0.25 else title]
         for _ in range(rng.randint(1, 12)):
             k = rng.random()
-            if k < 0.68:
+            if k < 0.62:
                 out.append(f"<p>{some(1, 120)}</p>")
+            elif k < 0.68:
+                out.append(f"<p>{some(3, 60)} {tag(rng.choice(('span', 'a', 'small')), 0, some(1, 12), pick(rng.choice(('advert', 'form', 'notice', 'side'))))} {some(3, 60)}</p>")
             elif k < 0.74:
                 out.append(f"<p><b>{some(2, 40)}<br><p>{some(3, 60)}</p>")
             elif k < 0.80:
@@ -359,7 +402,8 @@ def labelled(page: str) -> tuple[list[Node], np.ndarray]:
     """Nodes of a page made by :func:`_labelled_page` and their labels, the nearest marked element's."""
     marks: list[int | None] = []
     for m in _TOKEN.finditer(page):
-        if m.group(2) and m.group(2).lower() not in INLINE | VOID:
+        name = (m.group(2) or "").lower()
+        if name and name not in VOID and (name not in INLINE or _own_node(*_attributes(name, m.group(3)))):
             found = _LABEL.search(m.group(3))
             marks.append(int(found[1]) if found else None)
     nodes, _ = parse(_LABEL.sub("", page))
