@@ -33,9 +33,14 @@ SEED = 11
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea select title canvas audio video head".split())
+RAW = frozenset("script style template iframe textarea select title head".split())
 NO_MARKUP = frozenset("script style textarea title iframe noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas, drawings and embedded media: what they say is text of the block around them.
+FOREIGN = frozenset(
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mspace mpadded mphantom munder mover munderover mtable mtr mtd mlabeledtr merror menclose mmultiscripts mprescripts semantics annotation annotation-xml "
+    "svg g text tspan textpath defs desc symbol use path rect circle line polyline polygon ellipse lineargradient radialgradient stop clippath mask filter foreignobject object canvas audio video".split()
+)
+INLINE = FOREIGN | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A block's start tag ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -148,7 +153,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         name = start.lower()
         if name in INLINE:
             in_link += name == "a" and "href" in m.group(3).lower()
-            if name == "wbr":
+            if name == "wbr" or name in FOREIGN and m.group().endswith("/>"):
                 continue
             cues, hidden = _attributes(name, m.group(3)) if m.group(3) else ([name], False)
             is_node = _own_node(cues, hidden)
@@ -221,7 +226,7 @@ N_FEATURES = _STATS + 14
 #: Edges fall into groups by the parent: the page's frame, plain boxes, and the rest.
 _GROUP = {"#root": 0, "html": 0, "body": 0, "div": 1, "section": 1, "td": 1}
 _JUNK = tuple(k for k in CUES if k not in ("content", "meta"))
-_NEVER = RAW | frozenset(("button", "nav", "form", "dialog", "menu", "aside", "footer"))
+_NEVER = RAW | frozenset(("noscript", "button", "nav", "form", "dialog", "menu", "aside", "footer"))
 
 
 def features(nodes: list[Node]) -> np.ndarray:
