@@ -43,9 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage for documents: doc_id, n_tokens and a digest of the ids."""
+    """The rows of the last stage for documents: doc_id, n_tokens and digests of the ids and of the bytes decoded from them."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    import public_tokenizers
+
+    encoded = STAGES[-1][1](spark, docs, sf_dir)
+    out = bpe.decode(encoded, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
