@@ -41,13 +41,48 @@ def run(spark, rows, **more):
 
 
 def test_recall_over_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CELL", 100)
+    monkeypatch.setattr(ann, "QUERIES", 16)
+    monkeypatch.setattr(ann, "MAX_SAMPLE", 400)
     rows = clusters(3000)
-    got, want = run(spark, rows), brute(rows, 5)
+    # The sample allows fewer cells than asked for, so each is split, and visitors come in several chunks.
+    got, want = run(spark, rows, cell=40), brute(rows, 5)
     assert got.keys() == want.keys()
     assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
 
 
+def test_recall_and_verified_share_on_the_given_vectors(spark):
+    """The vectors given are nearly orthogonal, the hardest case, and few; the share falls as they grow more."""
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = t.select("vec_id", "embedding").toPandas()
+    ids, v = x["vec_id"].to_numpy(), np.array(x["embedding"].tolist(), dtype=float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    told = {}
+    got = {}
+    for r in ann.nearest(t, F.col("vec_id") % 50 == 0, cell=512, told=told).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = v @ v[q]
+        s[q] = -2
+        hits.append(len(got[int(ids[q])] & set(ids[np.argsort(-s)[:5]].tolist())) / 5)
+    assert np.mean(hits) >= 0.9
+    assert told["verified"] < 0.55 * told["points"] * told["queries"]
+
+
+def test_huge_and_tiny_components(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1e308, 1e308]), (1, [1e-310, 1e-310]), (2, [3.0, 3.0]), (3, [1e308, -1e308]), (50, [1.0, 0.0]), (4, [5e-324, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0).collect()
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in got}
+    assert [found[0, i] for i in range(1, 4)] == [(1, 1.0), (2, 1.0), (4, 0.707106781)]
+    assert found[50, 1] == (4, 1.0) and found[50, 5] == (3, 0.707106781)
+
+
+def test_lengths_search_one_another_only(spark):
+    rows = [(0, [1, 0]), (1, [0, 1]), (50, [1, 0, 0]), (51, [1, 1, 0]), (52, [0, 1, 0]), (100, [1])]
+    assert run(spark, rows) == {0: [1], 50: [51, 52]}
+
+
 def test_equal_vectors_and_rows_that_take_no_part(spark):
     hot = [1.0, 2.0, 3.0, 4.0]
     rows = [(i, hot) for i in range(0, 120)] + [(200 + i, [1.0, 0.1 * i, 0, 0]) for i in range(10)]
