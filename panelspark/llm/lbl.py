@@ -1,11 +1,20 @@
-"""LM scoring: a log-bilinear model trained in numpy with noise-contrastive estimation.
-
-Words fall into ``TYPES`` types: the commonest words are types of their own,
-the others share classes by ending and length. The log-bilinear model predicts
-a type from the two before it; a class's word comes from the counts of the
-corpus. All counts cover all training documents: words and type trigrams are
-summed in the tasks, then by a shuffle. What the driver gets is bounded by
-parameters (the commonest words, the trigrams of types), never by the corpus.
+"""LM scoring: a log-bilinear model of words trained in numpy with noise-contrastive estimation.
+
+The commonest words are types of their own, with a context and a target vector
+each; rarer words, and those never seen, share hashed classes by their first
+and last bytes, which have vectors too. The model predicts a type from the two
+before it. Counts are discounted (Ney's absolute discount): what is taken from
+the words of a class is the chance of an unknown word in it, so the
+probabilities of all training words and of one unknown word for each class sum
+to one after every context.
+
+Training begins on the driver, on a bounded sample of texts, and goes on in the
+tasks: each continues from there over all of its training texts and passes on
+its vectors, which are averaged by how often a task met a type. So the work of
+training, and the evidence in the vectors, grow with the corpus. Token
+probabilities are normalised by batched matrix products on two levels: groups
+of types with alike target vectors, then the types of the group. A group's mass
+is the second-order expansion of the sum over its types.
 
 Counts of common words travel with the scoring tasks; the rest of a document's
 words meet their counts in a join, so any vocabulary will do.
@@ -13,12 +22,14 @@ words meet their counts in a join, so any vocabulary will do.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -27,28 +38,30 @@ from panelspark.llm.common import map_texts, remainder, saved, text_of
 
 FOLDS = 5
 PAD, END = 0, 1
-FREQUENT = 62
-CLASSES = 32
-TYPES = 2 + FREQUENT + CLASSES
-FIRST_CLASS = 2 + FREQUENT
+#: Words with vectors of their own, at most; how often such a word occurs, at least; classes of all others.
+FREQUENT, LEAST, CLASSES = 20_000, 3, 1_024
 #: Words whose counts travel with the scoring tasks, at most.
 COMMON = 1 << 18
 #: Distinct words that a counting task holds before it passes its sums on.
 HELD = 400_000
-WIDTH, NOISE, STEPS, BATCH, RATE, SEED = 24, 24, 1_500, 4_096, 0.01, 3
-
-_ENDING = np.full(256, 4, dtype=np.int64)
-for _no, _chars in enumerate((b".", b",;:!?)\"'", b"0123456789#*$%&|<>=", b"aeo")):
-    _ENDING[np.frombuffer(_chars, dtype=np.uint8)] = _no
-_ENDING[np.frombuffer(b"snt", dtype=np.uint8)] = 5
-_ENDING[np.frombuffer(b"rdhl", dtype=np.uint8)] = 6
-_ENDING[128:] = 7
+#: Training tokens that the driver begins on, about.
+SAMPLE = 2_000_000
+WIDTH, BATCH, RATE, SEED = 24, 2_048, 0.1, 3
+#: Noise types in a step of the driver and of a task.
+NOISE, FEW_NOISE = 128, 32
+#: The driver goes over a sample of n tokens about sqrt(PASSES / n) times.
+PASSES = 12_000_000
+#: The rate of the tasks, as a part of the driver's.
+LATER = 0.5
+#: Types in a group of the normalisation, at most; tokens normalised at a time; types in a row of vectors.
+GROUP, AT_ONCE, ROW = 192, 32_768, 512
+#: Code points of a text that are split into words at a time, about.
+PIECE = 1 << 20
 
 
 def word_class(word: bytes) -> int:
-    """A class in 0..31 from the last byte and the length."""
-    n = len(word)
-    return int(_ENDING[word[-1]]) * 4 + (0 if n < 4 else 1 if n < 7 else 2 if n < 11 else 3)
+    """A class from the first byte and the last three."""
+    return xxh64_intdigest(word[:1] + b"|" + word[-3:], 7) % CLASSES
 
 
 def word_hash(word: bytes) -> int:
@@ -57,9 +70,15 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def tokens(text: str) -> list[bytes]:
-    """The words, A-Z in lower case."""
-    return text.encode().lower().split()
+def tokens(text: str) -> Iterator[list[bytes]]:
+    """The words, A-Z in lower case, of one piece of the text after another."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end] not in " \t\n\v\f\r":
+            end += 1
+        yield text[at:end].encode().lower().split()
+        at = end
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -75,9 +94,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for pdf in batches:
             for text in pdf["text"]:
-                held.update(tokens(text))
-                if len(held) > HELD:
-                    yield out()
+                for words in tokens(text):
+                    held.update(words)
+                    if len(held) > HELD:
+                        yield out()
         if held:
             yield out()
 
@@ -87,105 +107,50 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(distinct words, the code of every word, words of each text)."""
     codes: dict[bytes, int] = {}
-    sizes, parts = [], []
+    sizes, parts = [], [np.zeros(0, dtype=np.int64)]
     for t in texts:
-        words = tokens(t)
-        sizes.append(len(words))
-        parts += [codes.setdefault(w, len(codes)) for w in words]
-    return list(codes), np.array(parts, dtype=np.int64), np.array(sizes, dtype=np.int64)
+        own = [np.fromiter([codes.setdefault(w, len(codes)) for w in words], np.int64, len(words)) for words in tokens(t)]
+        sizes.append(sum(map(len, own)))
+        parts += own
+    return list(codes), np.concatenate(parts), np.array(sizes, dtype=np.int64)
 
 
 def type_sequence(kinds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(trigram cell of every token, text of every token), an end after each text; before a text stand two pads."""
-    n = len(sizes)
+    """(types, text of each): every text stands between two pads and an end."""
+    owner = np.repeat(np.arange(len(sizes)), sizes + 3)
     starts = np.cumsum(sizes + 3) - (sizes + 3)
-    seq = np.full(int((sizes + 3).sum()), PAD, dtype=np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    seq[np.arange(len(kinds)) + 3 * owner + 2] = kinds
+    seq = np.full(len(owner), PAD, dtype=np.int32)
+    seq[np.arange(len(kinds)) + 3 * np.repeat(np.arange(len(sizes)), sizes) + 2] = kinds
     seq[starts + sizes + 2] = END
-    at = np.flatnonzero(seq != PAD)
-    return (seq[at - 2] * TYPES + seq[at - 1]) * TYPES + seq[at], np.repeat(np.arange(n), sizes + 1)
-
-
-@dataclass
-class Model:
-    """Parameters of the log-bilinear model: context and target vectors, one matrix for each context place, biases."""
-
-    r: np.ndarray
-    q: np.ndarray
-    c1: np.ndarray
-    c2: np.ndarray
-    b: np.ndarray
-
-    def log10_table(self) -> np.ndarray:
-        """log10 P(type | two types before) for every cell, normalised: one matrix product for each second-last type."""
-        near = self.r @ self.c1
-        out = np.empty((TYPES, TYPES, TYPES), dtype=np.float32)
-        for t in range(TYPES):
-            s = (near + self.r[t] @ self.c2) @ self.q.T + self.b
-            s[:, PAD] = -np.inf
-            top = s.max(axis=1, keepdims=True)
-            out[t] = (s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))) / np.log(10)
-        return out.ravel()
-
-
-def fit(cells: np.ndarray, n: np.ndarray, steps: int = STEPS) -> Model:
-    """Noise-contrastive estimation on trigram counts; the noise is the unigram of types. Adam, a shared set of noise types a step."""
-    rng = np.random.default_rng(SEED)
-    unigram = np.bincount(cells % TYPES, weights=n, minlength=TYPES) + 1.0 if len(cells) else np.ones(TYPES)
-    unigram[PAD] = 0
-    unigram /= unigram.sum()
-    with np.errstate(divide="ignore"):
-        log_noise = np.log(unigram)
-    p = {"r": rng.normal(0, 0.1, (TYPES, WIDTH)), "q": rng.normal(0, 0.1, (TYPES, WIDTH)), "c1": np.eye(WIDTH), "c2": 0.3 * np.eye(WIDTH), "b": np.where(unigram > 0, np.maximum(log_noise, -30), 0.0)}
-    if len(cells):
-        m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-        edges = np.cumsum(n) / n.sum()
-        for step in range(1, steps + 1):
-            cell = cells[np.minimum(np.searchsorted(edges, rng.random(BATCH)), len(cells) - 1)]
-            w, t1, t2 = cell % TYPES, cell // TYPES % TYPES, cell // TYPES**2
-            noise = rng.choice(TYPES, NOISE, p=unigram)
-            r1, r2 = p["r"][t1], p["r"][t2]
-            h = r1 @ p["c1"] + r2 @ p["c2"]
-            own = (h * p["q"][w]).sum(axis=1) + p["b"][w] - log_noise[w] - np.log(NOISE)
-            other = h @ p["q"][noise].T + p["b"][noise] - log_noise[noise] - np.log(NOISE)
-            d_own = (1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1) / BATCH
-            d_other = 1 / (1 + np.exp(-np.clip(other, -30, 30))) / BATCH
-            dh = d_own[:, None] * p["q"][w] + d_other @ p["q"][noise]
-            g = {k: np.zeros_like(x) for k, x in p.items()}
-            np.add.at(g["q"], w, d_own[:, None] * h)
-            np.add.at(g["q"], noise, d_other.T @ h)
-            np.add.at(g["b"], w, d_own)
-            np.add.at(g["b"], noise, d_other.sum(axis=0))
-            np.add.at(g["r"], t1, dh @ p["c1"].T)
-            np.add.at(g["r"], t2, dh @ p["c2"].T)
-            g["c1"], g["c2"] = r1.T @ dh, r2.T @ dh
-            rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(**p)
+    return seq, owner
 
 
 @dataclass
 class Lexicon:
-    """Counts that every scoring task has: those of common words by hash, and the totals of classes."""
+    """Counts that every task has: those of common words by hash, and the totals of classes."""
 
     hashes: np.ndarray
     counts: np.ndarray
     #: The type of a common word: its own, or its class.
     kinds: np.ndarray
-    class_n: np.ndarray
-    class_v: np.ndarray
+    #: By type: discounted count; the class of an own word; the chance that a training token counts as its class.
+    mass: np.ndarray
+    class_of: np.ndarray
+    shared: np.ndarray
+    first_class: int
+    discount: float
+    #: By class: log10 of its mass and of its unknown word's chance.
+    class_log10: np.ndarray
+    unknown_log10: np.ndarray
     total: int
     distinct: int
     ends: int
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, count or -1 where it isn't common, type) of each word."""
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, count or -1 where it isn't common, type, class) of each word."""
         h = np.fromiter(map(word_hash, words), np.int64, len(words))
-        kinds = np.fromiter(map(word_class, words), np.int64, len(words)) + FIRST_CLASS
+        cls = np.fromiter(map(word_class, words), np.int64, len(words))
+        kinds = cls + self.first_class
         at = np.searchsorted(self.hashes, h)
         found = np.zeros(len(h), dtype=bool)
         inside = at < len(self.hashes)
@@ -193,90 +158,301 @@ class Lexicon:
         counts = np.full(len(h), -1, dtype=np.int64)
         counts[found] = self.counts[at[found]]
         kinds[found] = self.kinds[at[found]]
-        return h, counts, kinds
+        return h, counts, kinds, cls
 
     def base_log(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def class_log(self, c: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """log10 P(word | its class); each class keeps room for one unknown word."""
-        return np.log10((c + 0.5) / (self.class_n[cls] + 0.5 * (self.class_v[cls] + 1)))
-
 
 def lexicon(counts: DataFrame, ends: int, common: int = COMMON) -> Lexicon:
     """The counts of the commonest words, at most ``common``, and totals over all of them."""
-    totals = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
-    class_n, class_v = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
+    totals = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")).toPandas()
+    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     class_n[totals["cls"]], class_v[totals["cls"]] = totals["n"], totals["v"]
+    once, twice = int(totals["once"].sum()), int(totals["twice"].sum())
+    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
     total, distinct = int(class_n.sum()) + ends, int(class_v.sum()) + (ends > 0)
     steps = counts.groupBy(F.floor(F.log2("n") * 16).alias("k")).agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("n")).orderBy(F.desc("k")).toPandas()
     fits = steps[steps["v"].cumsum() <= common]
     top = counts.filter(F.col("n") >= int(fits["n"].min())).toPandas() if len(fits) else counts.limit(0).toPandas()
-    order = top.sort_values(["n", "h"], ascending=[False, True]).index[:FREQUENT]
-    kinds = (top["cls"] + FIRST_CLASS).astype(np.int64)
-    for no, i in enumerate(order):
-        class_n[top.at[i, "cls"]] -= top.at[i, "n"]
-        class_v[top.at[i, "cls"]] -= 1
-        kinds[i] = 2 + no
-    by_hash = np.argsort(top["h"].to_numpy(dtype=np.int64))
-    pick = lambda x: x.to_numpy(dtype=np.int64)[by_hash]
-    return Lexicon(pick(top["h"]), pick(top["n"]), pick(kinds), class_n, class_v, total, distinct, ends)
+    top = top.astype({"h": np.int64, "cls": np.int64, "n": np.int64}).sort_values(["n", "h"], ascending=[False, True]).reset_index(drop=True)
+    n_own = min(FREQUENT, int((top["n"] >= LEAST).sum()))
+    own, first_class = top[:n_own], 2 + n_own
+    class_n -= np.bincount(own["cls"], own["n"], CLASSES)
+    class_mass = class_n + discount * np.bincount(own["cls"], minlength=CLASSES) + 0.5
+    kinds = np.where(np.arange(len(top)) < n_own, 2 + np.arange(len(top)), first_class + top["cls"])
+    by_hash = np.argsort(top["h"].to_numpy())
+    pad = lambda x, y: np.concatenate([[0, 0], x, np.full(CLASSES, y)])
+    mass = np.concatenate([[0.0, max(ends, 0.5)], own["n"] - discount, class_mass])
+    return Lexicon(
+        *(np.asarray(x)[by_hash] for x in (top["h"], top["n"], kinds)),
+        mass, pad(first_class + own["cls"], 0).astype(np.int32), pad(discount / own["n"], 0.0), first_class, discount,
+        np.log10(class_mass), np.log10((discount * class_v + 0.5) / class_mass), total, distinct, ends,
+    )
+
+
+def _sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct indexes, the sum of their rows)."""
+    order = np.argsort(index.astype(np.uint16) if index.max(initial=0) < 1 << 16 else index, kind="stable")
+    at = index[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[first], np.add.reduceat(values[order], first, axis=0)
 
 
-def trigrams(texts: DataFrame, words) -> DataFrame:
-    """(cell, n): type trigrams of all texts; a cell is one of ``TYPES`` cubed."""
+@dataclass
+class Model:
+    """Context and target vectors, a diagonal for each of the two context places, biases above the log unigram.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(TYPES**3, dtype=np.int64)
+    After them the state of training: sums of squared gradients, and how often
+    each type was met since the model was sent out.
+    """
+
+    r: np.ndarray
+    q: np.ndarray
+    c: np.ndarray
+    b: np.ndarray
+    log_unigram: np.ndarray
+    r_seen: np.ndarray
+    q_seen: np.ndarray
+    c_seen: np.ndarray
+    met: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    @classmethod
+    def new(cls, mass: np.ndarray, seed: int = SEED) -> Model:
+        rng, n = np.random.default_rng(seed), len(mass)
+        part = mass / mass.sum()
+        return cls(*(rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32) for _ in range(2)), np.repeat(np.array([[1.0], [0.5]], dtype=np.float32), WIDTH, axis=1), np.zeros(n, np.float32), np.log(np.maximum(part, 1e-12)).astype(np.float32), *(np.full(n, 1e-6, np.float32) for _ in range(2)), np.full((2, WIDTH), 1.0, np.float32))
+
+    def copy(self) -> Model:
+        return replace(self, **{k: getattr(self, k).copy() for k in ("r", "q", "c", "b", "r_seen", "q_seen", "c_seen")}, met=np.zeros(len(self.b)))
+
+    def contexts(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return self.r.take(last, axis=0) * self.c[0] + self.r.take(before, axis=0) * self.c[1]
+
+    def step(self, seq: np.ndarray, words: Lexicon, cdf: np.ndarray, rng: np.random.Generator, rate: float, n_noise: int = NOISE) -> None:
+        """One step of noise-contrastive estimation on the targets seq[2:]; one set of noise types, drawn from the unigram, for all."""
+        target = seq[2:]
+        valid = (target != PAD).astype(np.float32)
+        target = np.where(rng.random(len(target), dtype=np.float32) < words.shared[target], words.class_of[target], target)
+        noise = np.minimum(np.searchsorted(cdf, rng.random(n_noise)), len(cdf) - 1)
+        near = self.r.take(seq, axis=0)
+        h = near[1:-1] * self.c[0] + near[:-2] * self.c[1]
+        q, q_noise = self.q.take(target, axis=0), self.q.take(noise, axis=0)
+        # The log unigram is part of the score and of the noise, so it cancels.
+        own = np.einsum("ij,ij->i", h, q) + self.b[target] - math.log(n_noise)
+        other = h @ q_noise.T + (self.b[noise] - math.log(n_noise))
+        d_own = -valid / (1 + np.exp(np.clip(own, -30, 30)))
+        d_other = valid[:, None] / (1 + np.exp(-np.clip(other, -30, 30)))
+        dh = d_own[:, None] * q + d_other @ q_noise
+        index = np.concatenate([target, noise])
+        at, g = _sums(index, np.concatenate([d_own[:, None] * h, d_other.T @ h]))
+        self.q_seen[at] += np.einsum("ij,ij->i", g, g) / WIDTH
+        self.q[at] -= rate * g / np.sqrt(self.q_seen[at])[:, None]
+        bias = np.bincount(index, np.concatenate([d_own, d_other.sum(axis=0)]), len(self.b))[at]
+        self.b[at] -= 0.5 * rate * bias / np.sqrt(1 + words.mass[at])
+        back = np.zeros_like(near)
+        back[1:-1] = dh * self.c[0]
+        back[:-2] += dh * self.c[1]
+        at, g = _sums(seq, back)
+        self.r_seen[at] += np.einsum("ij,ij->i", g, g) / WIDTH
+        self.r[at] -= rate * g / np.sqrt(self.r_seen[at])[:, None]
+        g = np.stack([(near[1:-1] * dh).sum(axis=0), (near[:-2] * dh).sum(axis=0)])
+        self.c_seen += g**2
+        self.c -= 0.2 * rate * g / np.sqrt(self.c_seen)
+        if len(self.met):
+            self.met += np.bincount(index, minlength=len(self.b))
+
+    def average(self, blocks: pd.DataFrame) -> Model:
+        """This model with the vectors that ``blocks`` (block, sums; see :func:`tasks_vectors`) averages to."""
+        out = self.copy()
+        for block, raw in zip(blocks["block"], blocks["sums"], strict=True):
+            x = np.frombuffer(raw, dtype=np.float64).reshape(-1, 2 * WIDTH + 2)
+            if block < 0:
+                if x[0, 0]:
+                    out.c = (x[:, 1 : 1 + WIDTH] / x[:, :1]).astype(np.float32)
+                continue
+            at = block * ROW + np.flatnonzero(x[:, 0] > 0)
+            mean = (x[x[:, 0] > 0] / x[x[:, 0] > 0][:, :1]).astype(np.float32)
+            out.r[at], out.q[at], out.b[at] = mean[:, 1 : 1 + WIDTH], mean[:, 1 + WIDTH : -1], mean[:, -1]
+        return out
+
+
+def fit(seq: np.ndarray, words: Lexicon, model: Model, passes: float) -> Model:
+    """The model trained ``passes`` times on a type sequence, its pieces in another order each time; the rate falls to a tenth."""
+    rng = np.random.default_rng(SEED)
+    cdf = np.cumsum(words.mass / words.mass.sum())
+    starts = np.arange(0, len(seq) - 2, BATCH)
+    steps = math.ceil(passes * len(starts))
+    order = np.concatenate([rng.permutation(starts) for _ in range(math.ceil(passes))])[:steps] if steps else []
+    for no, a in enumerate(order):
+        model.step(seq[a : a + BATCH + 2], words, cdf, rng, RATE * (1 - 0.9 * no / steps))
+    return model
+
+
+def groups(q: np.ndarray, most: int = GROUP) -> list[np.ndarray]:
+    """The types (without the pad) in groups of at most ``most`` with alike vectors: halves along the main axis, again and again."""
+    done, open_ = [], [np.arange(1, len(q))]
+    while open_:
+        own = open_.pop()
+        if len(own) <= most:
+            done.append(own)
+            continue
+        x = q[own].astype(np.float64)
+        x -= x.mean(axis=0)
+        axis = np.linalg.eigh(x.T @ x)[1][:, -1]
+        order = np.argsort(x @ axis, kind="stable")
+        open_ += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+    return done
+
+
+class Normaliser:
+    """log10 P(type | two types before), summing to one over the types after every context."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.members = model, groups(model.q)
+        self.group = np.zeros(len(model.b), dtype=np.int32)
+        bias = (model.b + model.log_unigram).astype(np.float32)
+        self.weights, self.biases, first, second, mass = [], [], [], [], []
+        for no, own in enumerate(self.members):
+            self.group[own] = no
+            q, b = model.q[own], bias[own].astype(np.float64)
+            part = np.exp(b - b.max())
+            mass.append(math.log(part.sum()) + b.max())
+            part /= part.sum()
+            first.append(part @ q)
+            second.append(part @ (q - first[-1]) ** 2)
+            self.weights.append(np.ascontiguousarray(q.T))
+            self.biases.append(bias[own])
+        self.place = np.zeros(len(model.b), dtype=np.int32)
+        for own in self.members:
+            self.place[own] = np.arange(len(own))
+        self.over = np.ascontiguousarray(np.concatenate([np.array(first), np.array(second) / 2], axis=1).T.astype(np.float32))
+        self.over_bias = np.array(mass, dtype=np.float32)
+
+    @staticmethod
+    def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+        own = scores[np.arange(len(at)), at]
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+        np.exp(scores, out=scores)
+        return own - top - np.log(scores.sum(axis=1))
+
+    def log10(self, before: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
+        out = np.empty(len(target))
+        for a in range(0, len(target), AT_ONCE):
+            t = target[a : a + AT_ONCE]
+            h = self.model.contexts(before[a : a + AT_ONCE], last[a : a + AT_ONCE])
+            g = self.group[t]
+            order = np.argsort(g, kind="stable")
+            h, t, g = h[order], t[order], g[order]
+            cuts = np.searchsorted(g, np.arange(len(self.members) + 1))
+            log = np.empty(len(t))
+            for z in range(0, len(t), 2_048):
+                x = h[z : z + 2_048]
+                log[z : z + 2_048] = self._log_softmax_at(np.concatenate([x, x * x], axis=1) @ self.over + self.over_bias, g[z : z + 2_048])
+            for no in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                own = slice(cuts[no], cuts[no + 1])
+                log[own] += self._log_softmax_at(h[own] @ self.weights[no] + self.biases[no], self.place[t[own]])
+            out[a + order] = log / math.log(10)
+        return out
+
+
+def sequences(texts: DataFrame, sent) -> DataFrame:
+    """(types): the type sequence of each batch of texts, as little-endian 32-bit numbers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            distinct, codes, sizes = coded(list(pdf["text"]))
+            yield pd.DataFrame({"types": [type_sequence(sent.value.look_up(distinct)[2][codes], sizes)[0].tobytes()]})
+
+    return map_texts(texts, run, "types binary")
+
+
+def tasks_vectors(texts: DataFrame, sent, start) -> DataFrame:
+    """(block, sums): what training from ``start`` in every task gives, summed by how often the task met a type.
+
+    A row of a block, for ``ROW`` types, has the times met, then that many
+    times the context vector, the target vector and the bias; block -1 has the
+    tokens of the tasks and that many times the diagonals.
+    """
+    schema = "block int, sums binary"
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, model = sent.value, start.value.copy()
+        rng = np.random.default_rng([SEED, TaskContext.get().partitionId()])
+        cdf = np.cumsum(words.mass / words.mass.sum())
+        trained = 0
         for pdf in batches:
             distinct, codes, sizes = coded(list(pdf["text"]))
-            kinds = words.value.look_up(distinct)[2]
-            cells, _ = type_sequence(kinds[codes], sizes)
-            found, n = np.unique(cells, return_counts=True)
-            sums[found] += n
-        at = np.flatnonzero(sums)
-        yield pd.DataFrame({"cell": at.astype(np.int64), "n": sums[at]})
+            seq = type_sequence(words.look_up(distinct)[2][codes], sizes)[0]
+            for a in range(0, len(seq) - 2, BATCH):
+                model.step(seq[a : a + BATCH + 2], words, cdf, rng, LATER * RATE, FEW_NOISE)
+            trained += len(seq)
+        if trained:
+            every = np.concatenate([model.met[:, None], model.met[:, None] * np.concatenate([model.r, model.q, model.b[:, None]], axis=1)], axis=1)
+            both = np.zeros((2, every.shape[1]))
+            both[:, 0], both[:, 1 : 1 + WIDTH] = trained, trained * model.c
+            yield pd.DataFrame({"block": [*range(math.ceil(len(every) / ROW)), -1], "sums": [*(every[a : a + ROW].tobytes() for a in range(0, len(every), ROW)), both.tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for block, raw in zip(pdf["block"], pdf["sums"], strict=True):
+                x = np.frombuffer(raw, dtype=np.float64)
+                held[block] = held[block] + x if block in held else x
+        yield pd.DataFrame({"block": list(held), "sums": [x.tobytes() for x in held.values()]})
 
-    return map_texts(texts, count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    parts = map_texts(texts, train, schema)
+    return parts.repartition(8, "block").mapInPandas(add, schema)
 
 
 PARTIAL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<int>, cls array<int>"
 
 
-def score(docs: DataFrame, common: int = COMMON, steps: int = STEPS) -> DataFrame:
+def score(docs: DataFrame, common: int = COMMON, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs, repeated ones too.
 
     docs has doc_id and text; other columns are ignored. Learns from the rows
     that are not held out (crc32 of the id modulo ``FOLDS`` is not 1; a null id
     counts as the empty text). A null text counts as empty: one token, the end.
     Without training rows N and V are 0, so base_score is 0 throughout. An
-    empty table gives an empty result.
+    empty table gives an empty result. Vectors depend on how texts lie in
+    partitions, within what averaging leaves; counts and base_score don't.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", FOLDS) == 1).alias("held_out"), text_of().alias("text"))
-    train = rows.filter("not held_out").select("text")
-    counts = saved(word_counts(train), "lm-words")
-    words = lexicon(counts, docs.filter(remainder("doc_id", FOLDS) != 1).count(), common)
+    train = rows.filter("not held_out").select("doc_id", "text")
+    counts = saved(word_counts(train.select("text")), "lm-words")
+    words = lexicon(counts, train.count(), common)
     sent = spark.sparkContext.broadcast(words)
-    cells = trigrams(train, sent).toPandas().sort_values("cell")
-    model = fit(cells["cell"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=np.float64), steps)
+    model = Model.new(words.mass)
+    if words.total:
+        share = min(1_000_000, math.ceil(1_000_000 * sample / words.total))
+        some = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share).select("text")
+        seq = np.concatenate([np.frombuffer(r["types"], dtype=np.int32) for r in sequences(some, sent).toLocalIterator()] or [np.zeros(0, np.int32)])
+        model = fit(seq, words, model, max(1.0, math.sqrt(PASSES / max(1, len(seq)))))
+        start = spark.sparkContext.broadcast(model)
+        model = model.average(saved(tasks_vectors(train.select("text"), sent, start), "lm-vectors").toPandas())
+    final = spark.sparkContext.broadcast(model)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, own = model.log10_table(), sent.value
-        rng = np.random.default_rng()
+        own, normal, at = sent.value, Normaliser(final.value), TaskContext.get().partitionId() << 40
         for pdf in batches:
             distinct, codes, sizes = coded(list(pdf["text"]))
-            h, c, kinds = own.look_up(distinct)
-            cells, owner = type_sequence(kinds[codes], sizes)
-            cls = np.maximum(kinds - FIRST_CLASS, 0)
+            h, c, kinds, cls = own.look_up(distinct)
+            seq, owner = type_sequence(kinds[codes], sizes)
+            place = np.flatnonzero(seq != PAD)
+            log = normal.log10(seq[place - 2], seq[place - 1], seq[place])
             base = np.where(c >= 0, own.base_log(np.maximum(c, 0)), 0.0)
-            extra = np.where((c >= 0) & (kinds >= FIRST_CLASS), own.class_log(np.maximum(c, 0), cls), 0.0)
+            in_class = (c >= 0) & (kinds >= own.first_class)
+            extra = np.where(in_class, np.log10(np.maximum(c - own.discount, 0.01)) - own.class_log10[cls], 0.0)
             n = len(pdf)
             of = np.repeat(np.arange(n), sizes)
-            out = {"doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "row": rng.integers(-(2**63), 2**63 - 1, n), "n_tokens": sizes + 1}
+            out = {"doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "row": at + np.arange(n), "n_tokens": sizes + 1}
+            at += n
             out["n_known"] = np.bincount(of, c[codes] >= 0, n).astype(np.int64) + (own.ends > 0)
             out["base_score"] = np.bincount(of, base[codes], n) + own.base_log(np.array([own.ends]))[0]
-            out["score"] = np.bincount(owner, table[cells], n) + np.bincount(of, extra[codes], n)
+            out["score"] = np.bincount(owner[place], log, n) + np.bincount(of, extra[codes], n)
             rare = np.flatnonzero(c[codes] < 0)
             pairs, times = np.unique(of[rare] * len(distinct) + codes[rare], return_counts=True) if len(rare) else (np.zeros(0, dtype=np.int64),) * 2
             cuts = np.searchsorted(pairs // max(1, len(distinct)), np.arange(1, n))
@@ -286,14 +462,15 @@ def score(docs: DataFrame, common: int = COMMON, steps: int = STEPS) -> DataFram
             yield pd.DataFrame({k: list(x) if k in ("rest", "times", "cls") else x for k, x in out.items()})
 
     part = saved(map_texts(rows, partial, PARTIAL), "lm-partial")
-    one = part.select("doc_id", "row", F.explode(F.arrays_zip("rest", "times", "cls")).alias("x")).select("doc_id", "row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"), F.col("x.cls").alias("cls"))
-    rare = one.join(counts.select("h", "n"), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    room = F.element_at(F.array(*[F.lit(float(a + 0.5 * (b + 1))) for a, b in zip(words.class_n, words.class_v, strict=True)]), F.col("cls") + 1)
-    added = rare.groupBy("doc_id", "row").agg(
+    one = part.select("row", F.explode(F.arrays_zip("rest", "times", "cls")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"), F.col("x.cls").alias("cls"))
+    by_class = spark.createDataFrame(pd.DataFrame({"cls": np.arange(CLASSES, dtype=np.int32), "mass": words.class_log10, "unknown": words.unknown_log10}))
+    rare = one.join(counts.select("h", "n"), "h", "left").withColumn("n", F.coalesce("n", F.lit(0))).join(F.broadcast(by_class), "cls")
+    in_class = F.when(F.col("n") > 0, F.log10(F.col("n") - words.discount) - F.col("mass")).otherwise(F.col("unknown"))
+    added = rare.groupBy(F.col("row").alias("_row")).agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"),
         F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / (words.total + 0.5 * (words.distinct + 1)))).alias("b"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / room)).alias("s"),
+        F.sum(F.col("times") * in_class).alias("s"),
     )
-    both = part.drop("rest", "times", "cls").join(added.withColumnsRenamed({"doc_id": "_id", "row": "_row"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    both = part.drop("rest", "times", "cls").join(added, F.col("row") == F.col("_row"), "left")
     more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return both.select("doc_id", "held_out", "n_tokens", more("n_known", "k").alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), more("base_score", "b").alias("base_score"), more("score", "s").alias("score"))
