@@ -69,9 +69,9 @@ def decide(inputs: DataFrame, cap: int = 10, buy: float = BUY, sell: float = SEL
 
 
 def size_positions(decisions: DataFrame, method: str = "fixed", max_weight: float = MAX_WEIGHT, reference: float = 0.25, buy: float = BUY) -> DataFrame:
-    """target_weight of BUY rows by method: fixed, volatility_target or confidence. Other rows stay."""
+    """target_weight of BUY rows by method: fixed, volatility_target or confidence (half the weight at the threshold). Other rows stay."""
     v, p = F.col("volatility"), F.col("calibrated_probability")
-    raw = {"fixed": F.lit(max_weight), "volatility_target": F.when(finite(v) & (v > 0), max_weight * reference / v).otherwise(max_weight / 2), "confidence": max_weight * (p - buy) / (1 - buy)}[method]
+    raw = {"fixed": F.lit(max_weight), "volatility_target": F.when(finite(v) & (v > 0), max_weight * reference / v).otherwise(max_weight / 2), "confidence": max_weight * (0.5 + 0.5 * F.least(F.greatest((F.coalesce(p, F.lit(0.0)) - buy) / max(1e-9, 1 - buy), F.lit(0.0)), F.lit(1.0)))}[method]
     clipped = F.least(F.greatest(raw, F.lit(0.0)), F.lit(max_weight))
     return decisions.withColumn("target_weight", F.when(F.col("signal") == "BUY", clipped).otherwise(F.col("target_weight")))
 

@@ -115,18 +115,36 @@ def monitor_calibration(resolved: DataFrame, as_of, baseline_ece: float, windows
     return m.withColumn("reportable", F.col("n") >= MIN_CALIBRATION).withColumn("drifted", F.col("reportable") & (F.col("ece") > baseline_ece + 0.05))
 
 
-def retraining_verdict(signals: DataFrame) -> DataFrame:
-    """signals (one row a run: dq_errors, drifted_features, degraded, calibration_drift, n_resolved) plus verdict and diagnosis."""
-    sick = F.col("degraded") | F.col("calibration_drift")
-    verdict = F.when(F.col("dq_errors") > 0, "BLOCKED").when(~sick, "HOLD").when(F.col("n_resolved") < 500, "WAIT").otherwise("RETRAIN")
-    diagnosis = F.when(F.col("dq_errors") > 0, "DATA_QUALITY").when(~sick & (F.col("drifted_features") > 0), "DRIFT_ONLY").when(~sick, "HEALTHY").when(F.col("degraded") & F.col("calibration_drift"), "BOTH").when(F.col("degraded"), "DISCRIMINATION").otherwise("CALIBRATION")
-    return signals.withColumn("verdict", verdict).withColumn("diagnosis", diagnosis)
+def calibration_verdict(calibration: DataFrame, baseline_ece: float, tolerance: float = 0.05) -> DataFrame:
+    """One row (days, ece, drifted): the reportable window with most rows, and whether its ECE is above the baseline by more than the tolerance.
+
+    Without a reportable window or a finite ECE nothing has drifted.
+    """
+    w = F.max_by(F.struct("days", "ece"), F.struct("n", -F.col("days"))).alias("w")
+    longest = calibration.filter("reportable").agg(w)
+    ece = F.col("w.ece")
+    return longest.select(F.col("w.days").alias("days"), ece.alias("ece"), F.coalesce((ece > baseline_ece + tolerance) & ~F.isnan(ece) & (ece < float("inf")), F.lit(False)).alias("drifted"))
+
+
+def retraining_verdict(signals: DataFrame, min_new: int = 500, drift_warning: float = 0.20) -> DataFrame:
+    """signals (one row a run: dq_errors, drifted_features, n_features, degraded, calibration_drift, n_resolved) plus state, diagnosis and should_retrain.
+
+    Data-quality errors block everything. Drift alone never retrains: it warns
+    where the share of drifting features reaches ``drift_warning``. A problem
+    of performance or calibration retrains once there are ``min_new`` rows.
+    """
+    blocked, sick, drift = F.col("dq_errors") > 0, F.col("degraded") | F.col("calibration_drift"), F.col("drifted_features") > 0
+    share = F.coalesce(F.try_divide("drifted_features", "n_features"), F.lit(0.0))
+    few = F.col("n_resolved") < min_new
+    state = F.when(blocked, "BLOCKED").when(~sick, F.when(drift & (share >= drift_warning), "WARNING").otherwise("HEALTHY")).when(few, "DEGRADED").otherwise("RETRAIN_REQUIRED")
+    diagnosis = F.when(blocked, "DATA_QUALITY_SUSPECTED").when(~sick, F.when(drift, "DRIFT_ONLY_MODEL_COPING").otherwise("NONE")).when(drift, "LIKELY_REGIME_CHANGE").otherwise("LIKELY_RELATIONSHIP_CHANGE")
+    return signals.withColumn("state", state).withColumn("diagnosis", diagnosis).withColumn("should_retrain", F.col("state") == "RETRAIN_REQUIRED")
 
 
 def validate_candidates(pairs: DataFrame, max_ece: float = 0.02) -> DataFrame:
     """pairs (candidate_* and incumbent_* of auc, ece, sharpness, n) plus failed_checks and passed."""
     c, i = (lambda k: F.col(f"candidate_{k}")), (lambda k: F.col(f"incumbent_{k}"))
-    tests = {"AUC": ~(c("auc") > i("auc")), "ECE": c("ece") > i("ece") + max_ece, "SHARPNESS": c("sharpness") <= 0.001, "OBSERVATIONS": c("n") < 500}
+    tests = {"AUC": c("auc") < i("auc"), "ECE": c("ece") > i("ece") + max_ece, "SHARPNESS": c("sharpness") <= 0.001, "OBSERVATIONS": c("n") < 500}
     failed = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(True)), F.lit(k)) for k, t in tests.items()]))
     return pairs.withColumn("failed_checks", failed).withColumn("passed", F.size("failed_checks") == 0)
 
@@ -134,19 +152,21 @@ def validate_candidates(pairs: DataFrame, max_ece: float = 0.02) -> DataFrame:
 def emitted_alerts(alerts: DataFrame, days: int = 3) -> DataFrame:
     """(code, day) of alerts that pass a cooldown of so many days since the code's last emitted one.
 
-    Each code's distinct days are folded in order; there is at most one a day.
+    An alert is held back less than ``days`` after the last emitted one. Each
+    code's distinct days are folded in order; there is at most one a day.
     """
+
     def step(kept: Column, d: Column) -> Column:
-        return F.when((F.size(kept) == 0) | (F.datediff(d, F.element_at(kept, -1)) > days), F.concat(kept, F.array(d))).otherwise(kept)
+        return F.when((F.size(kept) == 0) | (F.datediff(d, F.element_at(kept, -1)) >= days), F.concat(kept, F.array(d))).otherwise(kept)
 
     folded = alerts.groupBy("code").agg(F.array_sort(F.collect_set("day")).alias("d")).select("code", F.aggregate("d", F.array().cast("array<date>"), step).alias("k"))
     return folded.select("code", F.explode("k").alias("day"))
 
 
-def health_row(drift: DataFrame, performance: DataFrame, calibration: DataFrame, baseline_auc: float, dq_errors: int = 0) -> DataFrame:
+def health_row(drift: DataFrame, performance: DataFrame, calibration: DataFrame, baseline_auc: float, baseline_ece: float, dq_errors: int = 0) -> DataFrame:
     """All signals of a run in one row, with the verdict."""
-    d = summarise_drift(drift).select(F.col("n_significant").alias("drifted_features"), "max_psi", "fdr_alarms")
+    d = summarise_drift(drift).select(F.col("n_significant").alias("drifted_features"), "n_features", "max_psi", "fdr_alarms")
     p = degradation(performance, baseline_auc).select("degraded", F.col("drop").alias("auc_drop"))
-    c = calibration.agg(F.coalesce(F.max("drifted"), F.lit(False)).alias("calibration_drift"))
+    c = calibration_verdict(calibration, baseline_ece).select(F.col("drifted").alias("calibration_drift"))
     n = performance.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_resolved"))
     return retraining_verdict(d.crossJoin(p).crossJoin(c).crossJoin(n).withColumn("dq_errors", F.lit(dq_errors)))

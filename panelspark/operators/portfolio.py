@@ -80,10 +80,15 @@ def snapshots(ledger: DataFrame, closes: DataFrame, initial: float) -> DataFrame
     return day.withColumn("equity", F.col("cash") + F.col("holdings")).drop("_f", "_r", "_c")
 
 
+def equity_both_ways(daily: DataFrame, initial: float) -> DataFrame:
+    """daily plus from_profits, initial + realised + unrealised - costs, and the difference of equity from it."""
+    other = F.lit(initial) + F.col("realised") + F.col("unrealised") - F.col("costs")
+    return daily.withColumn("from_profits", other).withColumn("difference", F.col("equity") - other)
+
+
 def reconcile(daily: DataFrame, initial: float, tolerance: float = 0.01) -> DataFrame:
     """Dates on which cash + holdings differ from initial + realised + unrealised - costs."""
-    other = F.lit(initial) + F.col("realised") + F.col("unrealised") - F.col("costs")
-    return daily.withColumn("difference", F.col("equity") - other).filter(F.abs("difference") > tolerance)
+    return equity_both_ways(daily, initial).filter(F.abs("difference") > tolerance)
 
 
 def same_session_executions(fills: DataFrame) -> DataFrame:
@@ -121,20 +126,25 @@ def drawdowns(curve: DataFrame) -> DataFrame:
 
 
 def performance_metrics(curve: DataFrame) -> DataFrame:
-    """One row for each name of (name, date, equity, exposure, turnover)."""
+    """One row for each name of (name, date, equity, exposure, turnover).
+
+    Sharpe and Sortino are 0 where there are fewer than two returns (losses, for
+    the second) or they don't vary.
+    """
     w = Window.partitionBy("name").orderBy("date")
     r = F.try_divide("equity", F.lag("equity").over(w)) - 1
     df = curve.withColumn("_r", r)
     down = F.when(F.col("_r") < 0, F.col("_r"))
     n = F.count("_r")
+    ratio = lambda x: F.coalesce(F.when(F.stddev_samp(x) > 0, F.avg("_r") / F.stddev_samp(x)), F.lit(0.0)) * root
     root = float(YEAR) ** 0.5
     out = df.groupBy("name").agg(
         F.count(F.lit(1)).alias("sessions"),
         (F.max_by("equity", "date") / F.min_by("equity", "date") - 1).alias("total_return"),
         (F.pow(F.max_by("equity", "date") / F.min_by("equity", "date"), F.lit(float(YEAR)) / n) - 1).alias("cagr"),
         (F.stddev_samp("_r") * root).alias("volatility"),
-        (F.try_divide(F.avg("_r"), F.stddev_samp("_r")) * root).alias("sharpe"),
-        (F.try_divide(F.avg("_r"), F.stddev_samp(down)) * root).alias("sortino"),
+        ratio("_r").alias("sharpe"),
+        ratio(down).alias("sortino"),
         F.sqrt(F.lit(float(YEAR)) / n).alias("sharpe_stderr"),
         F.avg((F.col("_r") > 0).cast("double")).alias("win_rate"),
         F.avg("exposure").alias("exposure"),

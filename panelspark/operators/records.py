@@ -10,8 +10,21 @@ from panelspark.functions.kernels import inverse_normal
 NATURAL_KEY = ["symbol", "prediction_date", "model_version", "feature_version", "decision_version", "threshold_version"]
 SIGNALS = ("BUY", "SELL", "HOLD")
 STDERR = 0.024
-#: Stages an entry may move to; the first one has no stage before it.
-TRANSITIONS = [(None, "CANDIDATE"), ("CANDIDATE", "STAGING"), ("CANDIDATE", "REJECTED"), ("STAGING", "PRODUCTION"), ("STAGING", "REJECTED"), ("PRODUCTION", "ARCHIVED")]
+#: Stages an entry may move to; the first one has no stage before it, and nothing leaves FAILED or ARCHIVED.
+TRANSITIONS = [
+    (None, "CANDIDATE"),
+    ("CANDIDATE", "VALIDATING"),
+    ("CANDIDATE", "FAILED"),
+    ("VALIDATING", "VALIDATED"),
+    ("VALIDATING", "FAILED"),
+    ("VALIDATED", "STAGING"),
+    ("VALIDATED", "FAILED"),
+    ("VALIDATED", "ARCHIVED"),
+    ("STAGING", "PRODUCTION"),
+    ("STAGING", "FAILED"),
+    ("STAGING", "ARCHIVED"),
+    ("PRODUCTION", "ARCHIVED"),
+]
 
 
 def natural_id(df: DataFrame, keys: list[str] = NATURAL_KEY) -> DataFrame:
@@ -158,6 +171,19 @@ def illegal_transitions(spark: SparkSession, moves: DataFrame) -> DataFrame:
     return df.join(F.broadcast(allowed), F.col("before").eqNullSafe(F.col("a")) & (F.col("to_stage") == F.col("b")), "left_anti")
 
 
+def shared_production(moves: DataFrame, task: str = "task") -> DataFrame:
+    """Moves to PRODUCTION that leave more than one model of a task there, with n_live: how many are.
+
+    The model that goes out must be archived no later than the new one comes
+    in. Models of a task are counted by a running sum over their moves.
+    """
+    own = Window.partitionBy("model_version").orderBy("occurred_at")
+    live = F.col("to_stage") == "PRODUCTION"
+    change = live.cast("int") - F.coalesce(F.lag(live.cast("int")).over(own), F.lit(0))
+    together = Window.partitionBy(task).orderBy("occurred_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return moves.withColumn("_d", change).withColumn("n_live", F.sum("_d").over(together)).filter(live & (F.col("_d") == 1) & (F.col("n_live") > 1)).drop("_d")
+
+
 def current_stages(moves: DataFrame) -> DataFrame:
     return moves.groupBy("model_version").agg(F.max_by("to_stage", "occurred_at").alias("stage"), F.count(F.lit(1)).alias("n_moves"))
 
@@ -177,10 +203,16 @@ def key_differences(frames: dict[str, DataFrame], keys: tuple[str, ...] = ("date
 
 
 def meta_features(frames: dict[str, DataFrame], context: DataFrame | None = None) -> DataFrame:
-    """(date, symbol, y_true, one column for each frame's y_pred), rows that all frames have, plus context columns."""
+    """(date, symbol, y_true, one column for each frame's y_pred), rows that all frames have, plus context columns.
+
+    A frame that has a (date, symbol) twice stops the job: out of fold, each row
+    is predicted once.
+    """
     out = None
     for name, df in frames.items():
-        own = df.select("date", "symbol", *(["y_true"] if out is None else []), F.col("y_pred").alias(name))
+        once = lambda c, name=name: F.when(F.col("_n") == 1, F.col(c)).otherwise(F.raise_error(F.lit(f"{name} has a date and symbol twice")))
+        own = df.groupBy("date", "symbol").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("y_true", "y_pred") if c in df.columns])
+        own = own.select("date", "symbol", *(["y_true"] if out is None else []), once("y_pred").alias(name))
         out = own if out is None else out.join(own, ["date", "symbol"])
     return out if context is None else out.join(context, ["date", "symbol"], "left")
 
@@ -189,4 +221,4 @@ def attach_expected_returns(signals: DataFrame, returns: DataFrame) -> DataFrame
     """signals plus expected_return; a signal without a finite one stops the job."""
     joined = signals.join(returns.select("date", "symbol", F.col("y_pred").alias("expected_return")), ["date", "symbol"], "left")
     e = F.col("expected_return")
-    return joined.withColumn("expected_return", F.when(e.isNotNull() & ~F.isnan(e), e).otherwise(F.raise_error(F.lit("a signal has no expected return")).cast("double")))
+    return joined.withColumn("expected_return", F.when(e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")), e).otherwise(F.raise_error(F.lit("a signal has no expected return")).cast("double")))

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from panelspark.functions.windows import by_symbol
 from panelspark.operators import actions, calendar, ensemble, features, folds, metrics, models, monitoring, portfolio, records
 from panelspark.plans import panel, sql
 from panelspark.plans.panel import ORACLE_SQL, QUERIES, register, rounded  # noqa: F401
@@ -40,10 +41,16 @@ def d5(spark, d):
     return rounded(actions.adjust_for_split(held), ["cost_basis"], ("symbol", "date", "shares"))
 
 
-@register("e33_causality", sql.query("SELECT symbol AS feature, CAST(0 AS BIGINT) AS n FROM bars WHERE false", "bars"))
+#: For each symbol, the last bars before the cut whose next close lies behind it.
+@register("e33_causality", sql.query("SELECT 'planted_next_close' AS feature, count(*) AS n FROM (SELECT date, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS later FROM bars) WHERE date < DATE '1997-01-01' AND later >= DATE '1997-01-01'", "bars"))
 def e33(spark, d):
-    names = [*sql.RETURNS, *sql.TECHNICAL, *sql.VOLATILITY, *sql.VOLUME, *sql.LATER]
-    return features.causality_violations(panel.enriched(spark, d), features.window_features, names, date(1997, 1, 1))
+    """All window features, and one that looks ahead on purpose: the only one to be reported."""
+    names = [*sql.RETURNS, *sql.TECHNICAL, *sql.VOLATILITY, *sql.VOLUME, *sql.LATER, "planted_next_close"]
+
+    def build(bars):
+        return features.window_features(bars).withColumn("planted_next_close", F.lead("adj_close").over(by_symbol()))
+
+    return features.causality_violations(panel.enriched(spark, d), build, names, date(1997, 1, 1))
 
 
 @register("g2_key_differences", sql.query("SELECT 'b' AS name, count(*) FILTER (day(date) = 4) AS missing, count(*) FILTER (day(date) = 5) AS extra FROM scores", "scores"))
@@ -137,24 +144,26 @@ def m9(spark, d):
     return rounded(monitoring.monitor_calibration(panel.resolved(spark, d), AS_OF, 0.03), ["mean_predicted", "base_rate"], ("days", "n", "reportable"))
 
 
-_RUNS = "SELECT event_type, CAST(ts AS DATE) AS day, count(*) FILTER (value > 40) AS dq_errors, count(*) FILTER (value > 30) AS drifted_features, avg(value) > 10 AS degraded, max(value) > 45 AS calibration_drift, 25 * count(*) AS n_resolved FROM events GROUP BY ALL"
+_RUNS = "SELECT event_type, CAST(ts AS DATE) AS day, count(*) FILTER (value > 45) AS dq_errors, count(*) FILTER (value > 30) AS drifted_features, count(*) AS n_features, avg(value) > 10 AS degraded, max(value) > 42 AS calibration_drift, 25 * count(*) AS n_resolved FROM events GROUP BY ALL"
 
 
 @register(
     "m10_retraining_verdicts",
-    f"SELECT event_type, day, CASE WHEN dq_errors > 0 THEN 'BLOCKED' WHEN NOT degraded AND NOT calibration_drift THEN 'HOLD' WHEN n_resolved < 500 THEN 'WAIT' ELSE 'RETRAIN' END AS verdict, CASE WHEN dq_errors > 0 THEN 'DATA_QUALITY' WHEN NOT degraded AND NOT calibration_drift AND drifted_features > 0 THEN 'DRIFT_ONLY' WHEN NOT degraded AND NOT calibration_drift THEN 'HEALTHY' WHEN degraded AND calibration_drift THEN 'BOTH' WHEN degraded THEN 'DISCRIMINATION' ELSE 'CALIBRATION' END AS diagnosis FROM ({_RUNS})",
+    f"""SELECT event_type, day, CASE WHEN dq_errors > 0 THEN 'BLOCKED' WHEN sick AND n_resolved >= 500 THEN 'RETRAIN_REQUIRED' WHEN sick THEN 'DEGRADED' WHEN drifted_features >= 0.2::DOUBLE * n_features THEN 'WARNING' ELSE 'HEALTHY' END AS state,
+CASE WHEN dq_errors > 0 THEN 'DATA_QUALITY_SUSPECTED' ELSE CASE WHEN sick THEN CASE WHEN drifted_features > 0 THEN 'LIKELY_REGIME_CHANGE' ELSE 'LIKELY_RELATIONSHIP_CHANGE' END WHEN drifted_features > 0 THEN 'DRIFT_ONLY_MODEL_COPING' ELSE 'NONE' END END AS diagnosis,
+dq_errors = 0 AND sick AND n_resolved >= 500 AS should_retrain FROM (SELECT *, degraded OR calibration_drift AS sick FROM ({_RUNS}))""",
 )
 def m10(spark, d):
     over = lambda x: F.count(F.when(F.col("value") > x, 1))
     runs = tables.read_table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day"))
-    runs = runs.agg(over(40).alias("dq_errors"), over(30).alias("drifted_features"), (F.avg("value") > 10).alias("degraded"), (F.max("value") > 45).alias("calibration_drift"), (25 * F.count(F.lit(1))).alias("n_resolved"))
-    return monitoring.retraining_verdict(runs).select("event_type", "day", "verdict", "diagnosis")
+    runs = runs.agg(over(45).alias("dq_errors"), over(30).alias("drifted_features"), F.count(F.lit(1)).alias("n_features"), (F.avg("value") > 10).alias("degraded"), (F.max("value") > 42).alias("calibration_drift"), (25 * F.count(F.lit(1))).alias("n_resolved"))
+    return monitoring.retraining_verdict(runs).select("event_type", "day", "state", "diagnosis", "should_retrain")
 
 
 _PAIRS = "SELECT o_custkey AS k, max(o_totalprice) / 1e6 AS a1, avg(o_totalprice) / 1e6 AS a2, min(o_totalprice) / 1e6 AS e1, 0.02::DOUBLE AS e2, coalesce(stddev_samp(o_totalprice), 0) / 1e8 AS s1, 50 * count(*) AS n1 FROM orders GROUP BY o_custkey"
 
 
-@register("m11_candidates", f"SELECT k, concat_ws(',', CASE WHEN NOT a1 > a2 THEN 'AUC' END, CASE WHEN e1 > e2 + 0.02 THEN 'ECE' END, CASE WHEN s1 <= 0.001 THEN 'SHARPNESS' END, CASE WHEN n1 < 500 THEN 'OBSERVATIONS' END) AS failed, a1 > a2 AND e1 <= e2 + 0.02 AND s1 > 0.001 AND n1 >= 500 AS passed FROM ({_PAIRS})")
+@register("m11_candidates", f"SELECT k, concat_ws(',', CASE WHEN a1 < a2 THEN 'AUC' END, CASE WHEN e1 > e2 + 0.02 THEN 'ECE' END, CASE WHEN s1 <= 0.001 THEN 'SHARPNESS' END, CASE WHEN n1 < 500 THEN 'OBSERVATIONS' END) AS failed, a1 >= a2 AND e1 <= e2 + 0.02 AND s1 > 0.001 AND n1 >= 500 AS passed FROM ({_PAIRS})")
 def m11(spark, d):
     x = "o_totalprice"
     pairs = tables.read_table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
@@ -164,7 +173,7 @@ def m11(spark, d):
     return monitoring.validate_candidates(pairs).select("k", F.concat_ws(",", "failed_checks").alias("failed"), "passed")
 
 
-@register("m12_emitted_alerts", "WITH RECURSIVE days AS (SELECT DISTINCT event_type AS code, CAST(ts AS DATE) AS day FROM events WHERE value > 30), kept AS (SELECT code, min(day) AS day FROM days GROUP BY code UNION ALL SELECT kept.code, min(days.day) FROM kept JOIN days ON days.code = kept.code AND days.day > kept.day + 3 GROUP BY kept.code) SELECT code, day FROM kept")
+@register("m12_emitted_alerts", "WITH RECURSIVE days AS (SELECT DISTINCT event_type AS code, CAST(ts AS DATE) AS day FROM events WHERE value > 30), kept AS (SELECT code, min(day) AS day FROM days GROUP BY code UNION ALL SELECT kept.code, min(days.day) FROM kept JOIN days ON days.code = kept.code AND days.day >= kept.day + 3 GROUP BY kept.code) SELECT code, day FROM kept")
 def m12(spark, d):
     return panel.m12(spark, d)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import kernels
@@ -117,7 +118,7 @@ _BAR_TESTS = [("ERROR", f"INVALID_PRICE:{c}", f"{c} IS NULL OR {c} <= 0") for c
 _MOVES = f"SELECT symbol, date, split_ratio <> 1 AS s, abs(close_split / {sql.lag('close_split')} - 1) AS m, coalesce({sql.lead('split_ratio')} <> 1, false) AS n FROM dirty"
 _STALE = f"""SELECT symbol, max(k) + 1 AS n FROM (SELECT symbol, run, count(*) AS k FROM (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER ({sql.W} ROWS UNBOUNDED PRECEDING) AS run
   FROM (SELECT symbol, date, coalesce(abs(close_split - {sql.lag("close_split")}) <= 1e-8 + 1e-5 * abs({sql.lag("close_split")}), false) AS same FROM dirty)) WHERE same GROUP BY symbol, run) GROUP BY symbol HAVING max(k) + 1 > 4"""
-_DIRTY = "SELECT symbol, date, open_split, CASE WHEN day(date) = 13 THEN low_split * 0.9 ELSE high_split END AS high_split, low_split, CASE WHEN month(date) = 2 THEN 100.0 WHEN day(date) = 9 THEN -1.0 ELSE close_split END AS close_split, CASE WHEN day(date) = 20 THEN 0 ELSE volume END AS volume, dividend, split_ratio FROM wild"
+_DIRTY = "SELECT symbol, date, open_split, CASE WHEN day(date) = 13 THEN low_split * 0.9 ELSE high_split END AS high_split, low_split, CASE WHEN month(date) = 2 THEN 100.0 WHEN day(date) = 9 THEN -1.0 ELSE close_split END AS close_split, CASE day(date) WHEN 20 THEN 0 WHEN 23 THEN -5 ELSE volume END AS volume, CASE day(date) WHEN 25 THEN 0.3::DOUBLE * close_split WHEN 26 THEN -1.0::DOUBLE ELSE dividend END AS dividend, CASE WHEN day(date) = 24 THEN 0.0::DOUBLE ELSE split_ratio END AS split_ratio FROM wild"
 _ISSUES = " UNION ALL ".join(
     [f"SELECT '{s}' AS severity, '{c}' AS code, symbol, min(date) AS issue_date, count(*) AS n FROM dirty WHERE {t} GROUP BY symbol" for s, c, t in _BAR_TESTS]
     + ["SELECT CASE WHEN m > 0.5 THEN 'ERROR' ELSE 'WARNING' END, 'ABNORMAL_JUMP', symbol, date, 1 FROM moves WHERE m > 0.2 AND NOT s AND NOT n", "SELECT CASE WHEN m > 0.2 THEN 'ERROR' ELSE 'INFO' END, CASE WHEN m > 0.2 THEN 'SPLIT_RECONCILIATION' ELSE 'SPLIT_APPLIED' END, symbol, date, 1 FROM moves WHERE s AND m IS NOT NULL", f"SELECT 'WARNING', 'STALE_PRICES', symbol, NULL, n FROM ({_STALE})"]
@@ -129,7 +130,9 @@ def dirty_bars(spark, d):
     day = F.dayofmonth("date")
     b = tables.bars_wild(spark, d)
     close = F.when(F.month("date") == 2, 100.0).when(day == 9, -1.0).otherwise(F.col("close_split"))
-    return b.withColumns({"high_split": F.when(day == 13, F.col("low_split") * 0.9).otherwise(F.col("high_split")), "close_split": close, "volume": F.when(day == 20, 0).otherwise(F.col("volume"))})
+    return b.withColumns({
+        "high_split": F.when(day == 13, F.col("low_split") * 0.9).otherwise(F.col("high_split")), "close_split": close,
+        "volume": F.when(day == 20, 0).when(day == 23, -5).otherwise(F.col("volume")), "dividend": F.when(day == 25, 0.3 * F.col("close_split")).when(day == 26, -1.0).otherwise(F.col("dividend")), "split_ratio": F.when(day == 24, 0.0).otherwise(F.col("split_ratio"))})
 
 
 @register("c_validate_bars", sql.query(f"SELECT severity, code, symbol, issue_date, CAST(n AS BIGINT) AS n FROM ({_ISSUES})", "wild", dirty=_DIRTY, moves=_MOVES))
@@ -137,6 +140,27 @@ def c_validate(spark, d):
     return quality.validate_bars(dirty_bars(spark, d))
 
 
+#: Bars of a provider with days repeated, arrivals out of order and a symbol without any.
+_ARRIVED = "SELECT symbol, date, 2 * date_diff('day', DATE '1970-01-01', date) + CASE WHEN day(date) = 17 THEN 7 ELSE 0 END AS seq FROM wild UNION ALL SELECT symbol, date, 2 * date_diff('day', DATE '1970-01-01', date) + 1 FROM wild WHERE day(date) = 5"
+
+
+@register(
+    "c_arrivals",
+    sql.query(
+        """SELECT 'ERROR' AS severity, 'DUPLICATE_DATES' AS code, symbol, NULL::DATE AS issue_date, count(*) AS n FROM (SELECT symbol, date FROM arrived GROUP BY ALL HAVING count(*) > 1) GROUP BY symbol
+UNION ALL SELECT 'ERROR', 'NOT_SORTED', symbol, NULL, count(*) FROM (SELECT symbol, date, lag(date) OVER (PARTITION BY symbol ORDER BY seq) AS before FROM arrived) WHERE before > date GROUP BY symbol
+UNION ALL SELECT 'ERROR', 'NO_DATA', 'ZZ', NULL, 1""",
+        "wild",
+        arrived=_ARRIVED,
+    ),
+)
+def c_arrivals(spark, d):
+    seq, b = 2 * F.unix_date("date"), tables.bars_wild(spark, d).select("symbol", "date")
+    arrived = b.withColumn("seq", seq + F.when(F.dayofmonth("date") == 17, 7).otherwise(0)).unionByName(b.filter(F.dayofmonth("date") == 5).withColumn("seq", seq + 1))
+    universe = b.select("symbol").distinct().union(spark.createDataFrame([("ZZ",)], "symbol string"))
+    return quality.duplicate_dates(arrived).unionByName(quality.not_sorted(arrived, "seq")).unionByName(quality.no_data(arrived, universe))
+
+
 @register("c16_severity_rollup", sql.query("SELECT symbol, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'INFO') AS infos, count(*) FILTER (severity = 'ERROR') = 0 AS ok FROM issues GROUP BY symbol", "wild", dirty=_DIRTY, moves=_MOVES, issues=_ISSUES))
 def c16(spark, d):
     return quality.severity_rollup(quality.validate_bars(dirty_bars(spark, d)))
@@ -360,6 +384,12 @@ def k8(spark, d):
     return rounded(sized.filter("signal = 'BUY'"), ["target_weight"], ("symbol", "decision_date"))
 
 
+@register("k8_sizes_by_confidence", sql.query("SELECT symbol, decision_date, round(0.1::DOUBLE * (0.5 + 0.5 * least(greatest((p - 0.55) / 0.45, 0), 1)), 6) AS target_weight FROM decided WHERE signal = 'BUY'", "scores", **_DECIDE))
+def k8c(spark, d):
+    sized = decisions.size_positions(decisions.decide(decision_inputs(spark, d), cap=2), "confidence")
+    return rounded(sized.filter("signal = 'BUY'"), ["target_weight"], ("symbol", "decision_date"))
+
+
 @register("h17_decision_evaluation", sql.query("SELECT count(*) AS n_decisions, count(*) FILTER (signal = 'BUY') AS n_buy, count(*) FILTER (signal = 'SELL') AS n_sell, count(*) FILTER (reject_reason IS NOT NULL) AS n_rejected, round(avg(realised) FILTER (signal = 'BUY'), 6) AS gross_per_trade, round(avg(CAST(realised > 0.0026 AS INT)) FILTER (signal = 'BUY'), 6) AS hit_rate FROM decided JOIN scores s ON s.symbol = decided.symbol AND s.date = decided.decision_date", "scores", **_DECIDE))
 def h17(spark, d):
     out = scores(spark, d).select("symbol", "date", F.col("realised").alias("outcome"))
@@ -430,9 +460,9 @@ def l9(spark, d):
     return rounded(portfolio.drawdowns(curve(spark, d)), ["max_drawdown"], ("name", "longest_underwater"))
 
 
-@register("l11_performance", sql.query("SELECT count(*) AS sessions, round(avg(x) / stddev_samp(x) * sqrt(252), 5) AS sharpe, round(avg(x) / (stddev_samp(x) FILTER (x < 0)) * sqrt(252), 5) AS sortino, round(stddev_samp(x) * sqrt(252), 5) AS volatility, round(avg(exposure), 5) AS exposure, round(sum(turnover), 5) AS turnover FROM (SELECT *, equity / lag(equity) OVER (ORDER BY date) - 1 AS x FROM curve)", "scores", weights=_WEIGHTS, daily=_DAILY, curve=_CURVE))
+@register("l11_performance", sql.query("SELECT count(*) AS sessions, round(avg(x) / stddev_samp(x) * sqrt(252), 5) AS sharpe, round(avg(x) / (stddev_samp(x) FILTER (x < 0)) * sqrt(252), 5) AS sortino, round(stddev_samp(x) * sqrt(252), 5) AS volatility, round(avg(exposure), 5) AS exposure, round(sum(turnover), 5) AS turnover, round(sum(turnover) * 0.0013::DOUBLE, 5) AS total_costs, round(arg_max(equity, date) / arg_min(equity, date) - 1, 5) + 0.0 AS total_return, round(pow(arg_max(equity, date) / arg_min(equity, date), 252.0::DOUBLE / count(x)) - 1, 5) + 0.0 AS cagr, round(avg(CAST(x > 0 AS DOUBLE)), 5) AS win_rate, round(sqrt(252.0::DOUBLE / count(x)), 5) AS sharpe_stderr FROM (SELECT *, equity / lag(equity) OVER (ORDER BY date) - 1 AS x FROM curve)", "scores", weights=_WEIGHTS, daily=_DAILY, curve=_CURVE))
 def l11(spark, d):
-    return rounded(portfolio.performance_metrics(curve(spark, d)), ["sharpe", "sortino", "volatility", "exposure", "turnover"], ("sessions",), 5)
+    return rounded(portfolio.performance_metrics(curve(spark, d)), ["sharpe", "sortino", "volatility", "exposure", "turnover", "total_costs", "total_return", "cagr", "win_rate", "sharpe_stderr"], ("sessions",), 5)
 
 
 @register("l8_equal_weight")
@@ -454,17 +484,29 @@ def l3(spark, d):
     return rounded(led, ["shares", "realised"], ("symbol", "date", "side"), 4)
 
 
-@register("l5_reconciliation", sql.query("SELECT date, 0.0::DOUBLE AS difference FROM bars WHERE false", "bars"))
-def l5(spark, d):
+_NUMBERED = "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS no FROM bars"
+_FLOWS = "SELECT date, sum(CASE WHEN no % 40 = 0 THEN -100 * open_split WHEN no % 20 = 0 THEN 100 * open_split ELSE 0 END - CASE WHEN no % 20 = 0 THEN 100 * open_split * 0.0013::DOUBLE ELSE 0 END) AS f, sum(CASE WHEN no % 20 = 0 THEN 100 * open_split * 0.0013::DOUBLE ELSE 0 END) AS k, sum(CASE WHEN no % 40 = 20 THEN 100 * (open_split - bought) ELSE 0 END) AS r FROM (SELECT *, lag(open_split, 20) OVER (PARTITION BY symbol ORDER BY date) AS bought FROM numbered) GROUP BY date"
+#: A symbol is held from its bar 40 k to the one before 40 k + 20, at the open of the first; its last close counts on days without a bar.
+_HELD = "SELECT d.date, n.symbol, n.close_split AS c, CASE WHEN n.no % 40 < 20 THEN first_open END AS basis FROM (SELECT DISTINCT date FROM bars) d ASOF JOIN (SELECT *, arg_min(open_split, no) OVER (PARTITION BY symbol, no // 20) AS first_open FROM numbered WHERE symbol = '{}') n ON d.date >= n.date"
+_VALUES = "SELECT date, sum(CASE WHEN basis IS NULL THEN 0 ELSE 100 * c END) AS holdings, sum(CASE WHEN basis IS NULL THEN 0 ELSE 100 * (c - basis) END) AS unrealised, count(basis) AS n_positions FROM held GROUP BY date"
+_SNAPSHOT = "SELECT f.date, 1e6 + sum(f) OVER (ORDER BY f.date) AS cash, sum(k) OVER (ORDER BY f.date) AS costs, sum(r) OVER (ORDER BY f.date) AS realised, holdings, unrealised, n_positions FROM flows f JOIN held_values v ON v.date = f.date"
+_SNAPSHOTS = {"numbered": _NUMBERED, "flows": _FLOWS, "held": " UNION ALL ".join(_HELD.format(x) for x in ("AF", "NF", "NO", "RF", "AO", "RO")), "held_values": _VALUES, "snapshot": _SNAPSHOT}
+
+
+def snapshots(spark, d):
     closes = tables.bars_calm(spark, d).select("symbol", "date", F.col("close_split").alias("close"))
-    daily = portfolio.snapshots(portfolio.position_ledger(held_fills(spark, d)), closes, 1e6)
-    return portfolio.reconcile(daily, 1e6).select("date", "difference")
+    return portfolio.snapshots(portfolio.position_ledger(held_fills(spark, d)), closes, 1e6)
+
+
+@register("l5_reconciliation", sql.query("SELECT date, round(cash + holdings, 2) AS equity, round(1e6 + realised + unrealised - costs, 2) AS from_profits, abs(cash + holdings - (1e6 + realised + unrealised - costs)) <= 0.01 AS agrees FROM snapshot", "bars", **_SNAPSHOTS))
+def l5(spark, d):
+    both = portfolio.equity_both_ways(snapshots(spark, d), 1e6).withColumn("agrees", F.abs("difference") <= 0.01)
+    return rounded(both, ["equity", "from_profits"], ("date", "agrees"), 2)
 
 
-@register("l4_snapshots", sql.query("SELECT date, round(1e6 + sum(f) OVER (ORDER BY date), 2) AS cash, round(sum(k) OVER (ORDER BY date), 2) AS costs FROM (SELECT date, sum(CASE WHEN no % 40 = 0 THEN -100 * open_split WHEN no % 20 = 0 THEN 100 * open_split ELSE 0 END - CASE WHEN no % 20 = 0 THEN 100 * open_split * 0.0013::DOUBLE ELSE 0 END) AS f, sum(CASE WHEN no % 20 = 0 THEN 100 * open_split * 0.0013::DOUBLE ELSE 0 END) AS k FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS no FROM bars) GROUP BY date)", "bars"))
+@register("l4_snapshots", sql.query("SELECT date, round(cash, 2) AS cash, round(costs, 2) AS costs, round(holdings, 2) AS holdings, round(cash + holdings, 2) AS equity, round(realised, 2) + 0.0 AS realised, round(unrealised, 2) + 0.0 AS unrealised, n_positions FROM snapshot", "bars", **_SNAPSHOTS))
 def l4(spark, d):
-    closes = tables.bars_calm(spark, d).select("symbol", "date", F.col("close_split").alias("close"))
-    return rounded(portfolio.snapshots(portfolio.position_ledger(held_fills(spark, d)), closes, 1e6), ["cash", "costs"], ("date",), 2)
+    return rounded(snapshots(spark, d), ["cash", "costs", "holdings", "equity", "realised", "unrealised"], ("date", "n_positions"), 2)
 
 
 @register("l12_strategy_and_benchmark")
@@ -523,9 +565,15 @@ def drift(spark, d):
     return monitoring.compute_drift(monitoring.split_reference_current(scores(spark, d)), DRIFTING)
 
 
-@register("m4_drift", sql.query("SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks FROM psi JOIN ks USING (feature)", "scores", long=_PART, edge=_PSI_EDGE, bins=_PSI_BIN, every_bin=_PSI_ALL, psi=_PSI, ks=_KS))
+_DRIFT_BASE = "SELECT feature, count(value) FILTER (part = 'reference') AS n_reference, count(value) FILTER (part = 'current') AS n_current, avg(value) FILTER (part = 'reference') AS reference_mean, avg(value) FILTER (part = 'current') AS current_mean, avg(CAST(value IS NULL AS DOUBLE)) FILTER (part = 'reference') AS reference_missing, avg(CAST(value IS NULL AS DOUBLE)) FILTER (part = 'current') AS current_missing FROM long GROUP BY feature"
+_KS_P = "SELECT *, CASE WHEN x < 0.2 THEN 1.0::DOUBLE ELSE least(greatest(list_sum([CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * x * x) FOR k IN range(1, 101)]), 0.0::DOUBLE), 1.0::DOUBLE) END AS ks_p FROM (SELECT *, ks * sqrt(n_reference::DOUBLE * n_current / (n_reference + n_current)) AS x FROM psi JOIN ks USING (feature) JOIN drift_base USING (feature))"
+_DRIFT_ALL = "SELECT *, i <= coalesce(max(CASE WHEN ks_p <= 0.05 * i / m THEN i END) OVER (), 0) AS discovered FROM (SELECT *, row_number() OVER (ORDER BY ks_p, feature) AS i, count(*) OVER () AS m FROM ks_ps)"
+_DRIFT = {"long": _PART, "edge": _PSI_EDGE, "bins": _PSI_BIN, "every_bin": _PSI_ALL, "psi": _PSI, "ks": _KS, "drift_base": _DRIFT_BASE, "ks_ps": _KS_P, "drifted": _DRIFT_ALL}
+
+
+@register("m4_drift", sql.query(f"SELECT feature, n_reference, n_current, {sql.rounded(['psi', 'ks', 'ks_p', 'reference_mean', 'current_mean', 'reference_missing', 'current_missing'])}, CASE WHEN psi >= 0.25 THEN 'SIGNIFICANT' WHEN psi >= 0.1 THEN 'MODERATE' ELSE 'STABLE' END AS severity, discovered FROM drifted", "scores", **_DRIFT))
 def m4(spark, d):
-    return rounded(drift(spark, d), ["psi", "ks"], ("feature",))
+    return rounded(drift(spark, d), ["psi", "ks", "ks_p", "reference_mean", "current_mean", "reference_missing", "current_missing"], ("feature", "n_reference", "n_current", "severity", "discovered"))
 
 
 def resolved(spark, d):
@@ -543,7 +591,7 @@ def m7(spark, d):
 @register("m13_health_row")
 def m13(spark, d):
     r = resolved(spark, d)
-    return monitoring.health_row(drift(spark, d), monitoring.rolling_performance(r, AS_OF), monitoring.monitor_calibration(r, AS_OF, 0.03), 0.55)
+    return monitoring.health_row(drift(spark, d), monitoring.rolling_performance(r, AS_OF), monitoring.monitor_calibration(r, AS_OF, 0.03), 0.55, 0.03)
 
 
 @register("m12_alert_cooldown")
@@ -642,20 +690,29 @@ def n12(spark, d):
     return records.duplicate_runs(o, ["o_custkey", "o_orderpriority"]).groupBy("n").agg(F.count(F.lit(1)).alias("groups"))
 
 
-_MOVES_N = "SELECT o_custkey AS m, o_orderkey AS ord, CASE o_orderstatus WHEN 'O' THEN 'CANDIDATE' WHEN 'F' THEN 'STAGING' ELSE 'PRODUCTION' END AS s FROM orders"
+_STAGES = ("CANDIDATE", "VALIDATING", "VALIDATED", "STAGING", "PRODUCTION", "ARCHIVED", "FAILED")
+#: Every third customer's entries follow the stages in order; those of the others follow their order keys.
+_MOVES_N = f"SELECT o_custkey AS m, o_custkey % 11 AS task, o_orderkey AS ord, ({list(_STAGES)})[CASE WHEN o_custkey % 3 = 0 THEN (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 7 ELSE o_orderkey % 7 END + 1] AS s FROM orders"
+_LEGAL = ", ".join(f"({'NULL' if a is None else repr(a)}, '{b}')" for a, b in records.TRANSITIONS)
 
 
 def moves(spark, d):
     o = tables.read_table(spark, d, "orders")
-    stage = F.when(F.col("o_orderstatus") == "O", "CANDIDATE").when(F.col("o_orderstatus") == "F", "STAGING").otherwise("PRODUCTION")
-    return o.select(F.col("o_custkey").alias("model_version"), stage.alias("to_stage"), F.col("o_orderkey").alias("occurred_at"))
+    no = F.when(F.col("o_custkey") % 3 == 0, (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1) % 7).otherwise(F.col("o_orderkey") % 7)
+    stage = F.element_at(F.array(*[F.lit(x) for x in _STAGES]), (no + 1).cast("int"))
+    return o.select(F.col("o_custkey").alias("model_version"), (F.col("o_custkey") % 11).alias("task"), stage.alias("to_stage"), F.col("o_orderkey").alias("occurred_at"))
 
 
-@register("n13_illegal_transitions", f"SELECT m AS model_version, ord AS occurred_at, s AS to_stage, b AS before FROM (SELECT *, lag(s) OVER (PARTITION BY m ORDER BY ord) AS b FROM ({_MOVES_N})) WHERE NOT coalesce((b IS NULL AND s = 'CANDIDATE') OR (b = 'CANDIDATE' AND s = 'STAGING') OR (b = 'STAGING' AND s = 'PRODUCTION'), false)")
+@register("n13_illegal_transitions", f"SELECT m AS model_version, ord AS occurred_at, s AS to_stage, b AS before FROM (SELECT *, lag(s) OVER (PARTITION BY m ORDER BY ord) AS b FROM ({_MOVES_N})) t WHERE NOT EXISTS (SELECT 1 FROM (VALUES {_LEGAL}) l(x, y) WHERE x IS NOT DISTINCT FROM t.b AND y = t.s)")
 def n13(spark, d):
     return records.illegal_transitions(spark, moves(spark, d)).select("model_version", "occurred_at", "to_stage", "before")
 
 
+@register("n13_shared_production", f"SELECT m AS model_version, task, ord AS occurred_at, n_live FROM (SELECT *, CAST(sum(dd) OVER (PARTITION BY task ORDER BY ord) AS BIGINT) AS n_live FROM (SELECT *, CAST(s = 'PRODUCTION' AS INT) - coalesce(CAST(lag(s) OVER (PARTITION BY m ORDER BY ord) = 'PRODUCTION' AS INT), 0) AS dd FROM ({_MOVES_N}))) WHERE s = 'PRODUCTION' AND dd = 1 AND n_live > 1")
+def n13p(spark, d):
+    return records.shared_production(moves(spark, d)).select("model_version", "task", "occurred_at", "n_live")
+
+
 @register("n13_current_stages", f"SELECT m AS model_version, arg_max(s, ord) AS stage, count(*) AS n_moves FROM ({_MOVES_N}) GROUP BY m")
 def n13c(spark, d):
     return records.current_stages(moves(spark, d))
@@ -678,6 +735,16 @@ def p1(spark, d):
     return streaming.candles(tables.ticks(spark, d), "1h")
 
 
+@register("p3_upserted_candles", sql.query("SELECT timestamp, symbol, '1h' AS interval, open, high, low, close, volume FROM candles", "candles"))
+def p3(spark, d):
+    """The ticks as a stream, their candles upserted batch by batch, then read back."""
+    stream = spark.readStream.schema(tables.read_table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    ticks = stream.select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
+    own = f"{tables.work_folder(spark)}/candles-{uuid.uuid4().hex}"
+    streaming.keep_upserting(streaming.candles(ticks, "1h", "1 day"), f"{own}/table", f"{own}/checkpoint").awaitTermination()
+    return streaming.read_upserted(spark, f"{own}/table").select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "symbol", "interval", "open", "high", "low", "close", "volume")
+
+
 @register("b7_completed_candles", sql.query("SELECT timestamp, symbol, close, volume FROM candles WHERE least(open, high, low, close) > 0 AND isodow(timestamp) < 6 AND hour(timestamp) BETWEEN 10 AND 15 AND timestamp < TIMESTAMP '2024-01-20 00:00:00'", "candles"))
 def b7(spark, d):
     return streaming.completed(streaming.candles(tables.ticks(spark, d), "1h"), 60, "2024-01-20 00:00:00").select("timestamp", "symbol", "close", "volume")

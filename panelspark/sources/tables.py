@@ -154,14 +154,21 @@ def slice_day(panel: DataFrame, as_of) -> DataFrame:
     return panel.filter(F.col("date") == F.lit(as_of))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by a checkpoint under spark.checkpoint.dir.
+def work_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder for a session whose only process is the driver, else the warehouse, which executors share."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told
+    master = spark.sparkContext.master
+    alone = master.startswith("local") and not master.startswith("local-cluster")
+    told = "file://" + tempfile.mkdtemp(prefix="spark-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    spark.conf.set("spark.checkpoint.dir", told)
+    return told
+
 
-    Where that is unset, a local session takes a temporary folder and any other
-    one its warehouse, which executors share.
-    """
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut by a checkpoint in the :func:`work_folder`."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+        spark.sparkContext.setCheckpointDir(work_folder(spark))
     return df.checkpoint()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.sources.tables import upsert_candles
+from panelspark.sources.tables import latest
 
 INTERVALS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour"}
 OPEN, CLOSE = 9 * 60 + 15, 15 * 60 + 30
@@ -40,19 +40,25 @@ def candle_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol", F.to_date("timestamp").alias("date")).agg(F.max_by("close", "timestamp").alias("last_close"), F.min("close").alias("low_close"), F.max("close").alias("high_close"))
 
 
-def keep_upserting(stream: DataFrame, path: str, checkpoint: str):
-    """Starts a query that merges each batch of candles into the table at path, newest fetch first.
+def keep_upserting(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
+    """Starts a query that adds each batch of candles to the table at path; :func:`read_upserted` reads it.
 
-    Each batch writes a new version beside the last one and then names it in
-    the pointer folder, so a reader never sees half of a table.
+    A batch writes its own folder, named by the checkpoint's query and the
+    batch's number, and reads nothing: so a batch that is replayed replaces
+    what it wrote before and nothing else, the disk follows the rows that
+    arrive, and a query with a new checkpoint adds to what others wrote.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("fetched_at", F.current_timestamp())
-        versions = [r["version"] for r in spark.read.parquet(f"{path}/_versions").orderBy(F.desc("version")).limit(1).collect()] if number else []
-        out = upsert_candles(spark.read.parquet(f"{path}/v{versions[0]}"), new) if versions else new
-        out.write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.createDataFrame([(number,)], "version long").write.mode("append").parquet(f"{path}/_versions")
+    def add(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id").alias("id")).first()["id"]
+        out = batch.withColumn("fetched_at", F.current_timestamp()).withColumn("day", F.to_date("timestamp"))
+        out.write.mode("overwrite").partitionBy("day").parquet(f"{path}/query={query}/batch={number}")
 
-    return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
+
+
+def read_upserted(spark: SparkSession, path: str, days: Column | None = None) -> DataFrame:
+    """Candles at path, the newest fetch of each; ``days`` is a condition on the column day, which prunes folders."""
+    rows = spark.read.parquet(path)
+    rows = rows if days is None else rows.filter(days)
+    return latest(rows, ["symbol", "interval", "timestamp"], [F.desc("fetched_at"), F.desc("batch"), F.desc("query")]).drop("query", "batch", "day")

@@ -93,7 +93,8 @@ def test_quality_codes(spark):
     assert {("ABNORMAL_JUMP", "WARNING", "A"), ("STALE_PRICES", "WARNING", "A"), ("SPLIT_RECONCILIATION", "ERROR", "A"), ("DUPLICATE_DATES", "ERROR", "A"), ("NO_DATA", "ERROR", "Z"), ("INVALID_PRICE:close_split", "ERROR", "A"), ("UNEXPECTED_SESSIONS", "WARNING", "A")} <= codes
     assert quality.quarantine(df, issues).count() == 0
     late = df.withColumn("seq", F.when(F.dayofmonth("date") == 4, 99).otherwise(F.dayofmonth("date")))
-    assert [r["code"] for r in quality.not_sorted(late, "seq").collect()] == ["NOT_SORTED"] or quality.not_sorted(late, "seq").count() == 0
+    assert [(r["code"], r["n"]) for r in quality.not_sorted(late, "seq").collect()] == [("NOT_SORTED", 1)]
+    assert quality.not_sorted(df.withColumn("seq", F.dayofmonth("date")), "seq").count() == 0
 
 
 def test_folds_are_clean_and_purged(spark, bars):
@@ -181,7 +182,7 @@ def test_false_discovery_and_cooldown(spark):
     assert [r["feature"] for r in monitoring.benjamini_hochberg(df, "p", ["g"]).filter("discovered").orderBy("feature").collect()] == ["a", "b"]
     days = [("X", date(2023, 1, d)) for d in (1, 2, 4, 5, 6, 9, 10)]
     got = monitoring.emitted_alerts(spark.createDataFrame(days, "code string, day date"))
-    assert sorted(r["day"].day for r in got.collect()) == [1, 5, 9]
+    assert sorted(r["day"].day for r in got.collect()) == [1, 4, 9]  # held back less than three days after the last one sent
 
 
 def test_drift_is_found_where_it_is(spark):
@@ -192,10 +193,69 @@ def test_drift_is_found_where_it_is(spark):
 
 
 def test_candidates_and_verdicts(spark):
-    p = spark.createDataFrame([(0.60, 0.03, 0.1, 600, 0.55, 0.03, 0.1, 600), (0.50, 0.09, 0.0, 10, 0.55, 0.03, 0.1, 600)], "candidate_auc double, candidate_ece double, candidate_sharpness double, candidate_n int, incumbent_auc double, incumbent_ece double, incumbent_sharpness double, incumbent_n int")
-    assert [len(r["failed_checks"]) for r in monitoring.validate_candidates(p).collect()] == [0, 4]
-    s = spark.createDataFrame([(1, 0, True, False, 900), (0, 3, False, False, 900), (0, 0, True, False, 10), (0, 0, True, True, 900)], "dq_errors int, drifted_features int, degraded boolean, calibration_drift boolean, n_resolved int")
-    assert [r["verdict"] for r in monitoring.retraining_verdict(s).collect()] == ["BLOCKED", "HOLD", "WAIT", "RETRAIN"]
+    p = spark.createDataFrame([(0.60, 0.03, 0.1, 600, 0.55, 0.03, 0.1, 600), (0.50, 0.09, 0.0, 10, 0.55, 0.03, 0.1, 600), (0.55, 0.05, 0.1, 600, 0.55, 0.03, 0.1, 600)], "candidate_auc double, candidate_ece double, candidate_sharpness double, candidate_n int, incumbent_auc double, incumbent_ece double, incumbent_sharpness double, incumbent_n int")
+    assert [len(r["failed_checks"]) for r in monitoring.validate_candidates(p).collect()] == [0, 4, 0]  # equal AUC is not worse
+    rows = [
+        ((1, 9, 45, True, True, 900), ("BLOCKED", "DATA_QUALITY_SUSPECTED", False)),
+        ((0, 8, 45, False, False, 900), ("HEALTHY", "DRIFT_ONLY_MODEL_COPING", False)),
+        ((0, 9, 45, False, False, 900), ("WARNING", "DRIFT_ONLY_MODEL_COPING", False)),
+        ((0, 0, 45, False, False, 10), ("HEALTHY", "NONE", False)),
+        ((0, 0, 0, False, False, 10), ("HEALTHY", "NONE", False)),
+        ((0, 0, 45, True, False, 499), ("DEGRADED", "LIKELY_RELATIONSHIP_CHANGE", False)),
+        ((0, 0, 45, False, True, 500), ("RETRAIN_REQUIRED", "LIKELY_RELATIONSHIP_CHANGE", True)),
+        ((0, 3, 45, True, True, 900), ("RETRAIN_REQUIRED", "LIKELY_REGIME_CHANGE", True)),
+        ((0, 3, 45, True, False, 9), ("DEGRADED", "LIKELY_REGIME_CHANGE", False)),
+    ]
+    s = spark.createDataFrame([(i, *r[0]) for i, r in enumerate(rows)], "i int, dq_errors int, drifted_features int, n_features int, degraded boolean, calibration_drift boolean, n_resolved int")
+    got = monitoring.retraining_verdict(s).orderBy("i").collect()
+    assert [(r["state"], r["diagnosis"], r["should_retrain"]) for r in got] == [r[1] for r in rows]
+
+
+def test_calibration_is_judged_on_the_longest_reportable_window(spark):
+    df = spark.createDataFrame([(7, 400, 0.2, True), (30, 900, 0.04, True), (60, 900, 0.2, True), (90, 2000, 0.3, False)], "days int, n long, ece double, reportable boolean")
+    assert monitoring.calibration_verdict(df, 0.03).first()[:] == (30, 0.04, False)
+    assert monitoring.calibration_verdict(df.filter("days <> 30"), 0.03).first()["drifted"]
+    assert not monitoring.calibration_verdict(df.filter("days <> 30"), 0.15).first()["drifted"]
+    assert monitoring.calibration_verdict(df.filter("not reportable"), 0.03).first()[:] == (None, None, False)
+
+
+def test_stages(spark):
+    path = ["CANDIDATE", "VALIDATING", "VALIDATED", "STAGING", "PRODUCTION", "ARCHIVED"]
+    moves = [("ok", s, i) for i, s in enumerate(path)]
+    moves += [("early", s, i) for i, s in enumerate(["CANDIDATE", "VALIDATING", "VALIDATED", "ARCHIVED"])] + [("staged", s, i) for i, s in enumerate(["CANDIDATE", "VALIDATING", "VALIDATED", "STAGING", "ARCHIVED"])]
+    moves += [("jump", "CANDIDATE", 0), ("jump", "PRODUCTION", 1), ("undead", "CANDIDATE", 0), ("undead", "FAILED", 1), ("undead", "VALIDATING", 2), ("born late", "STAGING", 0)]
+    df = spark.createDataFrame(moves, "model_version string, to_stage string, occurred_at int")
+    assert sorted((r["model_version"], r["to_stage"]) for r in records.illegal_transitions(spark, df).collect()) == [("born late", "STAGING"), ("jump", "PRODUCTION"), ("undead", "VALIDATING")]
+    live = [("t", "a", "PRODUCTION", 1), ("t", "b", "PRODUCTION", 2), ("t", "a", "ARCHIVED", 3), ("t", "c", "STAGING", 4), ("t", "b", "ARCHIVED", 5), ("t", "c", "PRODUCTION", 5), ("u", "d", "PRODUCTION", 2)]
+    got = records.shared_production(spark.createDataFrame(live, "task string, model_version string, to_stage string, occurred_at int")).collect()
+    assert [(r["model_version"], r["n_live"]) for r in got] == [("b", 2)]
+
+
+def test_confidence_sizes_start_at_half(spark):
+    df = spark.createDataFrame([("BUY", 0.55, 0.2, None), ("BUY", 0.775, 0.2, None), ("BUY", 1.0, 0.2, None), ("SELL", 0.1, 0.2, 0.0), ("HOLD", 0.5, 0.2, None)], "signal string, calibrated_probability double, volatility double, target_weight double")
+    assert [r["target_weight"] and round(r["target_weight"], 9) for r in decisions.size_positions(df, "confidence").collect()] == [0.05, 0.075, 0.1, 0.0, None]
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf"), float("-inf")])
+def test_expected_returns_must_be_finite(spark, bad):
+    signals = spark.createDataFrame([(date(2023, 1, 2), "A")], "date date, symbol string")
+    returns = spark.createDataFrame([(date(2023, 1, 2), "A", bad)], "date date, symbol string, y_pred double")
+    with pytest.raises(Exception, match="expected return"):
+        records.attach_expected_returns(signals, returns).collect()
+
+
+def test_meta_features_refuse_repeated_keys(spark):
+    one = spark.createDataFrame([(date(2023, 1, 2), "A", 1.0, 0.5), (date(2023, 1, 3), "A", 0.0, 0.4)], "date date, symbol string, y_true double, y_pred double")
+    assert records.meta_features({"a": one, "b": one}).count() == 2
+    with pytest.raises(Exception, match="b has a date and symbol twice"):
+        records.meta_features({"a": one, "b": one.unionByName(one.limit(1))}).collect()
+
+
+def test_ratios_are_zero_where_returns_do_not_vary(spark):
+    curve = spark.createDataFrame([(n, date(2023, 1, 1 + i), e, 0.0, 0.0) for n, es in (("flat", [1.0] * 4), ("short", [1.0, 1.1]), ("one loss", [1.0, 0.9, 1.2])) for i, e in enumerate(es)], "name string, date date, equity double, exposure double, turnover double")
+    got = {r["name"]: (round(r["sharpe"], 6), round(r["sortino"], 6)) for r in portfolio.performance_metrics(curve).collect()}
+    r = np.array([-0.1, 1.2 / 0.9 - 1])
+    assert got == {"flat": (0.0, 0.0), "short": (0.0, 0.0), "one loss": (round(float(r.mean() / r.std(ddof=1) * np.sqrt(252)), 6), 0.0)}
 
 
 def test_records(spark):
@@ -254,10 +314,21 @@ def test_stream_of_candles_equals_batch(spark, tmp_path):
 
 
 def test_stream_upserts(spark, tmp_path):
-    make_ticks(spark).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("event_id long, symbol string, ts timestamp, price double").parquet(f"{tmp_path}/in")
-    candles.keep_upserting(candles.candles(stream, "15m", "1 minute"), f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/t/_versions").count() >= 1
+    ticks = make_ticks(spark)
+    ticks.filter("event_id < 400").write.parquet(f"{tmp_path}/in")
+    run = lambda checkpoint: candles.keep_upserting(candles.candles(spark.readStream.schema(ticks.schema).parquet(f"{tmp_path}/in"), "15m", "1 hour"), f"{tmp_path}/t", f"{tmp_path}/{checkpoint}").awaitTermination(120)
+    run("c")
+    first = {p.name for p in (tmp_path / "t").glob("query=*/batch=*")}
+    ticks.filter("event_id >= 400").write.mode("append").parquet(f"{tmp_path}/in")
+    run("c")
+    want = candles.candles(ticks, "15m")
+    got = candles.read_upserted(spark, f"{tmp_path}/t").select(*want.columns)
+    assert first and got.count() == want.count() and want.exceptAll(got).count() == 0
+    # A query that begins anew adds its batches to the history instead of replacing it.
+    run("other")
+    assert len(list((tmp_path / "t").glob("query=*"))) == 2
+    got = candles.read_upserted(spark, f"{tmp_path}/t").select(*want.columns)
+    assert got.count() == want.count() and want.exceptAll(got).count() == 0
 
 
 def test_models_out_of_fold(spark):
