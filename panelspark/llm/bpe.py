@@ -29,6 +29,8 @@ from panelspark.llm.common import map_texts, text_of
 
 CHUNK = 32_768
 OVERLAP = 1_024
+#: Chunks of a text that leave the cutting task together.
+AT_ONCE = 128
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
@@ -102,7 +104,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
 
     A row for each row of docs, repeated ones too; docs has doc_id and text,
     other columns are ignored. Null and empty texts have no ids; a null doc_id
-    stays null. ``path`` is a rank file that every executor can open.
+    stays null; an empty table gives an empty result. ``path`` is a rank file that every executor can open.
     """
     if not 0 < 2 * overlap <= chunk:
         raise ValueError("chunks must be at least twice as long as the overlap")
@@ -119,28 +121,35 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(found, columns=["cuts", "ids", "n_head"])], axis=1)
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        copies = int((pdf["no"] == 0).sum())
-        pdf = pdf.drop_duplicates("no").sort_values("no")
+        pdf = pdf.sort_values("no")
         ids = stitch(pdf[["cuts", "ids", "n_head"]].to_dict("records"))
         if ids is None:
             ids = _raw(_encoding(path, pattern).encode_ordinary("".join(t[:chunk] for t in pdf["part"])))
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * copies, "n_tokens": len(ids) // 4, "ids": [ids] * copies})
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n_tokens": len(ids) // 4, "ids": [ids]})
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, text in zip(pdf["key"], pdf["text"], strict=True):
+                parts = -(-len(text) // chunk)
+                for a in range(0, parts, AT_ONCE):
+                    own = range(a, min(a + AT_ONCE, parts))
+                    yield pd.DataFrame({"key": key, "no": pd.Series(own, dtype="int32"), "parts": parts, "part": [text[n * chunk : (n + 1) * chunk + overlap] for n in own]})
 
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     is_long = F.length("text") > chunk
     few = map_texts(df.filter(~is_long), short, ENCODED)
-    parts = F.ceil(F.length("text") / chunk).cast("int")
-    rows = df.filter(is_long).withColumn("parts", parts).withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2("text", 256)))
-    rows = rows.withColumn("no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("doc_id", "key", "no", "parts", F.expr(f"substring(text, no * {chunk} + 1, {chunk + overlap})").alias("part"))
-    fields = "doc_id long, key string, no int, parts int, part string, cuts array<long>, ids array<binary>, n_head int"
+    # Each distinct long text is encoded once, so its copies never meet in a group; the join gives them their ids.
+    keyed = df.filter(is_long).withColumn("key", F.sha2("text", 256))
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    fields = "key string, no int, parts int, part string"
     # Dealt out by chunk, not by document, so that a long document is encoded by many tasks.
-    many = map_texts(rows.repartition("key", "no"), chunked, fields).groupBy("key").applyInPandas(joined, ENCODED)
-    return few.unionByName(many)
+    chunks = map_texts(map_texts(texts, cut, fields).repartition("key", "no"), chunked, f"{fields}, cuts array<long>, ids array<binary>, n_head int")
+    many = chunks.groupBy("key").applyInPandas(joined, "key string, n_tokens long, ids binary")
+    return few.unionByName(keyed.select("doc_id", "key").join(many, "key").drop("key"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encoded plus ``decoded``: the raw bytes of its ids, joined. Null ids count as none."""
+    """encoded plus ``decoded``: the raw bytes of its ids, joined. Null ids count as none; other columns, null ones too, stay; no rows give none."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -65,15 +65,15 @@ def broadcast_if(small: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(small) if rows <= most else small
 
 
-#: Rows of text in one Arrow batch. Texts can be long, so batches stay short.
-TEXT_ROWS = 256
+#: Rows and bytes of text in one Arrow batch. Texts can be long, so batches stay short.
+TEXT_ROWS, TEXT_BYTES = 256, 64 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds: at most ``TEXT_ROWS`` rows at a time from here on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+    """Bounds what a Python worker holds: about ``TEXT_ROWS`` rows or ``TEXT_BYTES`` at a time from here on, or one row."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_texts(df: DataFrame, function, schema: str) -> DataFrame:

@@ -39,7 +39,7 @@ from panelspark.llm.common import map_texts, remainder, saved, text_of
 FOLDS = 5
 PAD, END = 0, 1
 #: Words with vectors of their own, at most; how often such a word occurs, at least; classes of all others.
-FREQUENT, LEAST, CLASSES = 20_000, 3, 1_024
+FREQUENT, LEAST, CLASSES = 16_384, 3, 1_024
 #: Words whose counts travel with the scoring tasks, at most.
 COMMON = 1 << 18
 #: Distinct words that a counting task holds before it passes its sums on.
@@ -48,7 +48,7 @@ HELD = 400_000
 SAMPLE = 2_000_000
 WIDTH, BATCH, RATE, SEED = 24, 2_048, 0.1, 3
 #: Noise types in a step of the driver and of a task.
-NOISE, FEW_NOISE = 128, 32
+NOISE, FEW_NOISE = 128, 24
 #: The driver goes over a sample of n tokens about sqrt(PASSES / n) times.
 PASSES = 12_000_000
 #: The rate of the tasks, as a part of the driver's.
@@ -332,10 +332,13 @@ class Normaliser:
     @staticmethod
     def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
         own = scores[np.arange(len(at)), at]
-        top = scores.max(axis=1)
-        scores -= top[:, None]
-        np.exp(scores, out=scores)
-        return own - top - np.log(scores.sum(axis=1))
+        with np.errstate(over="ignore"):
+            sums = np.exp(scores).sum(axis=1)
+        if not (np.isfinite(sums).all() and sums.all()):
+            # Out of the range of single precision: the largest score goes first.
+            top = scores.max(axis=1)
+            return own - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+        return own - np.log(sums)
 
     def log10(self, before: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
@@ -389,8 +392,9 @@ def tasks_vectors(texts: DataFrame, sent, start) -> DataFrame:
                 model.step(seq[a : a + BATCH + 2], words, cdf, rng, LATER * RATE, FEW_NOISE)
             trained += len(seq)
         if trained:
-            every = np.concatenate([model.met[:, None], model.met[:, None] * np.concatenate([model.r, model.q, model.b[:, None]], axis=1)], axis=1)
-            both = np.zeros((2, every.shape[1]))
+            met = model.met[:, None].astype(np.float32)
+            every = np.concatenate([met, met * np.concatenate([model.r, model.q, model.b[:, None]], axis=1)], axis=1)
+            both = np.zeros((2, every.shape[1]), dtype=np.float32)
             both[:, 0], both[:, 1 : 1 + WIDTH] = trained, trained * model.c
             yield pd.DataFrame({"block": [*range(math.ceil(len(every) / ROW)), -1], "sums": [*(every[a : a + ROW].tobytes() for a in range(0, len(every), ROW)), both.tobytes()]})
 
@@ -398,12 +402,12 @@ def tasks_vectors(texts: DataFrame, sent, start) -> DataFrame:
         held: dict[int, np.ndarray] = {}
         for pdf in batches:
             for block, raw in zip(pdf["block"], pdf["sums"], strict=True):
-                x = np.frombuffer(raw, dtype=np.float64)
-                held[block] = held[block] + x if block in held else x
+                x = np.frombuffer(raw, dtype=np.float32)
+                held[block] = held[block] + x if block in held else x.astype(np.float64)
         yield pd.DataFrame({"block": list(held), "sums": [x.tobytes() for x in held.values()]})
 
     parts = map_texts(texts, train, schema)
-    return parts.repartition(8, "block").mapInPandas(add, schema)
+    return parts.repartition("block").mapInPandas(add, schema)
 
 
 PARTIAL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<int>, cls array<int>"

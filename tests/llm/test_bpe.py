@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -42,6 +43,24 @@ def test_round_trip_of_a_table(spark, sizes):
     assert bpe.encode(docs(spark, []), *V).collect() == []
 
 
+def test_many_copies_of_one_long_text_under_null_and_other_ids(spark):
+    text = "so many copies of one text " * 60
+    table = [(None, text)] * 40 + [(7, text)] * 40 + [(8, text + "!")]
+    got = bpe.encode(docs(spark, table), *V, 400, 50).collect()
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == Counter((i, plain(t)) for i, t in table)
+
+
+def test_a_very_long_text_takes_time_in_proportion(spark):
+    """20 million characters in 610 chunks; a scan of the text for each chunk would take minutes."""
+    base = " ".join(f"w{i % 977}é" for i in range(20_000))
+    text = base * (20_000_000 // len(base))
+    began = time.time()
+    r = bpe.encode(docs(spark, [(1, text)]), *V).first()
+    assert r["n_tokens"] > 5_000_000 and time.time() - began < 90
+    head = plain(text[:100_000])
+    assert bytes(r["ids"])[: len(head) - 400] == head[:-400]
+
+
 def test_bad_sizes():
     with pytest.raises(ValueError):
         bpe.encode(None, *V, 10, 8)
