@@ -4,8 +4,9 @@ Strong patterns are reported wherever they stand. Weak ones (something that
 looks like a bare key, a user name, an address of a service) mean little
 alone; they are reported only where the parts complete each other within a
 scope: an identifier or an endpoint near a secret. The linking is an interval
-join inside the row: spans of one document against its other spans, so no text
-is shuffled and the work of a task follows the length of its texts.
+join inside the row: spans of one document against an index of its other spans
+by place, so no text is shuffled and the work of a task follows the length of
+its texts.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.arrays import any_near, captured, spans_within, with_index, with_running
 from panelspark.llm.common import text_of
 
 # The strong patterns and the least lengths of what they must match.
@@ -42,37 +44,37 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 STRONG = KINDS[:3]
 #: Parts complete each other if at most so many code points lie between them.
 SCOPE = 200
+#: Code points of a text that are masked together.
+PIECE = 4_096
 
 SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
 
 
-def _none() -> Column:
-    return F.array().cast(SPAN)
-
-
-def spans_of(text: Column, kind: str, pattern: str, gate: Column, group: int = 0, least: int = 0) -> Column:
-    """Places of the leftmost non-overlapping matches, in code points, end exclusive.
+def with_places(df: DataFrame, text: Column, patterns: dict[str, tuple[str, int, int]], gates: dict[str, Column]) -> DataFrame:
+    """df plus ``_kind`` for each kind: places of the leftmost non-overlapping matches, in code points, end exclusive.
 
     Spark has no function for the places of all matches, but the pieces between
     them (split) and the matches themselves give every place by adding lengths.
-    Matches whose group is shorter than ``least`` are dropped afterwards.
+    patterns: kind to (pattern, group, least); matches whose group is shorter
+    than ``least`` are dropped afterwards.
     """
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    lengths = F.transform(F.arrays_zip(pieces.alias("p"), found.alias("f"), parts.alias("g")), lambda x: F.struct(F.length(x["p"]).cast("long").alias("p"), F.length(x["f"]).cast("long").alias("f"), F.length(x["g"]).alias("g")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out"))
-    step = lambda s, x: F.struct(
-        (s["at"] + x["p"] + F.coalesce(x["f"], F.lit(0).cast("long"))).alias("at"),
-        F.when(
-            x["g"] >= least,
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["p"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), (s["at"] + x["p"] + x["f"]).alias("end"), F.lit(kind).alias("kind"))).cast(SPAN)),
-        ).otherwise(s["out"]).alias("out"),
-    )
-    return F.when(gate, F.aggregate(lengths, start, step, lambda s: s["out"])).otherwise(_none())
 
+    def cut(kind: str) -> Column:
+        pattern, group, least = patterns[kind]
+        enough = (lambda f: F.length(F.regexp_extract(f, pattern, group)) >= least) if least else (lambda f: f.isNotNull())
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        lengths = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("p"), found.alias("f")), lambda x: F.struct(F.length(x["p"]).cast("long").alias("p"), F.length(x["f"]).cast("long").alias("f"), enough(x["f"]).alias("ok")))
+        return F.when(gates[kind], lengths).otherwise(F.array().cast("array<struct<p:bigint,f:bigint,ok:boolean>>"))
 
-def near(x: Column, others: Column, scope: int, also=lambda o: F.lit(True)) -> Column:
-    return F.exists(others, lambda o: (o["start"] <= x["end"] + scope) & (o["end"] >= x["start"] - scope) & also(o))
+    def places(kind: str) -> Column:
+        place = lambda x, at: F.struct((at + x["p"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), (at + x["p"] + x["f"]).alias("end"), F.lit(kind).alias("kind"), x["ok"].alias("ok"))
+        good = F.filter(F.zip_with(f"_cut_{kind}", f"_from_{kind}", place), lambda x: F.coalesce(x["ok"], F.lit(False)) & x["end"].isNotNull())
+        return F.transform(good, lambda x: x.dropFields("ok")).cast(SPAN)
+
+    df = df.withColumns({f"_cut_{k}": cut(k) for k in patterns})
+    df = df.withColumns({f"_step_{k}": F.transform(f"_cut_{k}", lambda x: x["p"] + F.coalesce(x["f"], F.lit(0))) for k in patterns})
+    df = with_running(df, {f"_step_{k}": f"_from_{k}" for k in patterns}, lambda a, b: a + b)
+    return df.withColumns({f"_{k}": places(k) for k in patterns}).drop(*[f"_{x}_{k}" for k in patterns for x in ("cut", "step", "from")])
 
 
 def apart(part: Column, secret: Column, text: Column) -> Column:
@@ -101,25 +103,29 @@ def with_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         "endpoint": text.rlike(ENDPOINT),
     }
     patterns = {"assign": (ASSIGN, 2, ASSIGN_LENGTH), "access": (ACCESS, 0, 0), "hex": (HEX, 0, 0), "identifier": (IDENTIFIER, 0, 0), "secret": (SECRET, 0, 0), "endpoint": (ENDPOINT, 0, 0)}
-    for kind in KINDS:
-        pattern, group, least = patterns[kind]
-        df = df.withColumn(f"_{kind}", spans_of(text, kind, pattern, gates[kind], group, least))
+    df = with_places(df, text, patterns, gates)
     col = {k: F.col(f"_{k}") for k in KINDS}
-    secrets = F.concat(col["assign"], col["hex"], col["secret"])
-    ids = F.concat(col["access"], col["identifier"])
+    groups = {"_secrets": ("assign", "hex", "secret"), "_ids": ("access", "identifier"), "_parts": ("access", "identifier", "endpoint")}
+    df = df.withColumns({name: F.array_sort(F.concat(*[col[k] for k in kinds])) for name, kinds in groups.items()})
+    df = with_index(df, {name: f"{name}_by_place" for name in groups}).drop(*groups)
+    secrets, ids, parts = (F.col(f"{g}_by_place") for g in groups)
+    near = lambda x, index, also=None: any_near(index, x["start"], x["end"], scope, also)
     # The complement of a weak secret is an identifier or an endpoint; of these two, a secret.
-    df = df.withColumn("_weak_secret", F.filter(col["secret"], lambda x: near(x, F.concat(ids, col["endpoint"]), scope, lambda o: apart(o, x, text))))
-    df = df.withColumn("_weak_identifier", F.filter(col["identifier"], lambda x: near(x, secrets, scope, lambda o: apart(x, o, text))))
-    df = df.withColumn("_weak_endpoint", F.filter(col["endpoint"], lambda x: near(x, secrets, scope, lambda o: apart(x, o, text)) & near(x, ids, scope)))
+    weak = {
+        "_weak_secret": captured(parts, F.filter(col["secret"], lambda x: near(x, parts, lambda o: apart(o, x, text)))),
+        "_weak_identifier": captured(secrets, F.filter(col["identifier"], lambda x: near(x, secrets, lambda o: apart(x, o, text)))),
+        "_weak_endpoint": captured(secrets, captured(ids, F.filter(col["endpoint"], lambda x: near(x, secrets, lambda o: apart(x, o, text)) & near(x, ids)))),
+    }
+    df = df.withColumns(weak)
     everything = F.array_sort(F.concat(*[col[k] for k in STRONG], F.col("_weak_identifier"), F.col("_weak_secret"), F.col("_weak_endpoint")))
-    return df.withColumn("_spans", everything).drop(*[f"_{k}" for k in KINDS], "_weak_secret", "_weak_identifier", "_weak_endpoint")
+    return df.withColumn("_spans", everything).drop(*[f"_{k}" for k in KINDS], *[f"{g}_by_place" for g in groups], "_weak_secret", "_weak_identifier", "_weak_endpoint")
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, spans): spans is an array of (start, kind_no, end, kind).
 
-    One row for each row of docs, repeated ones too. A null or empty text has
-    an empty array; a null doc_id stays null. Only doc_id and text are read.
+    One row for each row of docs, repeated ones too; none of an empty table. A
+    null or empty text has an empty array; a null doc_id stays null. Only doc_id and text are read.
     Where spans start together, they stand in the order of ``KINDS``.
     """
     return with_spans(docs.select("doc_id", "text"), scope).select("doc_id", F.col("_spans").alias("spans"))
@@ -137,19 +143,28 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataF
     """docs, with the same columns, where each stretch of reported spans became ``mask``.
 
     n_chars, if there, follows the text. Texts without findings, null ones
-    included, stay as they are.
+    included, stay as they are; an empty table gives an empty one. A text is
+    masked in pieces of ``PIECE`` code points, each with the stretches in it.
     """
-    text = text_of()
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.struct(
-        F.greatest(s["at"], x["end"]).alias("at"),
-        F.when((x["start"] >= s["at"]) | (s["at"] == 0), F.concat(s["out"], F.substring(F.col("_text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask))).otherwise(s["out"]).alias("out"),
-    )
-    df = with_spans(docs, scope).withColumn("_text", text)
-    clean = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("_text"), (s["at"] + 1).cast("int"), F.length("_text"))))
-    df = df.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")))
+    df = with_spans(docs, scope).withColumn("_ends", F.transform("_spans", lambda x: x["end"]))
+    df = with_running(df, {"_ends": "_before"}, F.greatest)
+    first = F.filter(F.zip_with("_spans", "_before", lambda x, at: F.struct(x["start"].alias("start"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+    df = df.withColumn("_first", first)
+    # A stretch ends where all spans up to the next stretch have.
+    after = F.concat(F.transform(F.slice("_first", 2, F.greatest(F.size("_first"), F.lit(1))), lambda x: x["at"]), F.array(F.array_max("_ends")))
+    df = df.withColumn("_stretches", F.zip_with("_first", after, lambda x, end: F.struct(x["start"].alias("start"), end.alias("end"))))
+    df = with_index(df, {"_stretches": "_index"})
+    dirty, index = F.size("_spans") > 0, F.col("_index")
+    df = df.withColumn("_pieces", F.when(dirty, F.regexp_extract_all(text_of(), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+
+    def masked(piece: Column, no: Column) -> Column:
+        low = no.cast("long") * PIECE
+        part = lambda a, b: F.substring(piece, (a - low + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+        start = F.struct(low.alias("at"), F.lit("").alias("out"))
+        step = lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], part(s["at"], x["start"]), F.when(x["start"] >= low, F.lit(mask)).otherwise("")).alias("out"))
+        return F.aggregate(spans_within(index, low, low + PIECE), start, step, lambda s: F.concat(s["out"], part(s["at"], low + PIECE)))
+
+    df = df.withColumn("text", F.when(dirty, F.array_join(captured(index, F.transform("_pieces", masked)), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        df = df.withColumn("n_chars", F.when(dirty, F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)
-
-
