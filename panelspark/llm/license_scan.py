@@ -5,7 +5,7 @@ keyword that every match contains; only at places of its anchor is a rule
 tried, on the words before and after. Of the rules that match at one place the
 first in order wins; then a detection that lies within another one of higher
 priority is suppressed. Places are at most ``WINDOW`` words wide on each side,
-so neighbours in the row settle every containment: no text is shuffled.
+as wide as the widest rule, so neighbours in the row settle every containment: no text is shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from panelspark.llm.common import lower_ascii, text_of
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-WINDOW = 12
-
 # License identifiers and the phrases that name them, as words.
 # "{l}" is the word license in either spelling.
 NAMES = {
@@ -80,40 +78,120 @@ NAMES = {
     "CC-BY-SA-3.0": ["creative commons attribution sharealike 3 0 {l}", "cc by sa 3 0 {l}"],
     "CC-BY-SA-4.0": ["creative commons attribution sharealike 4 0 {l}", "creative commons attribution sharealike 4 0 international {l}", "cc by sa 4 0 {l}"],
     "CC-BY-SA": ["creative commons attribution sharealike {l}", "cc by sa {l}"],
-    "CC-BY-NC-4.0": ["creative commons attribution noncommercial 4 0 {l}", "cc by nc 4 0 {l}"],
+    "CC-BY-NC-4.0": ["creative commons attribution noncommercial 4 0 {l}", "creative commons attribution noncommercial 4 0 international {l}", "cc by nc 4 0 {l}"],
     "CC-BY-NC": ["creative commons attribution noncommercial {l}", "cc by nc {l}"],
     "CC-BY-ND-4.0": ["creative commons attribution noderivatives 4 0 {l}", "cc by nd 4 0 {l}"],
-    "CC-BY-NC-SA-4.0": ["creative commons attribution noncommercial sharealike 4 0 {l}", "cc by nc sa 4 0 {l}"],
+    "CC-BY-NC-SA-4.0": ["creative commons attribution noncommercial sharealike 4 0 {l}", "creative commons attribution noncommercial sharealike 4 0 international {l}", "cc by nc sa 4 0 {l}"],
     "CC-BY-NC-ND-4.0": ["creative commons attribution noncommercial noderivatives 4 0 {l}", "cc by nc nd 4 0 {l}"],
 }
 #: Named without the word license after "under".
 BARE = ["Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL", "LGPL", "AGPL", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "CC0-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC-BY-SA", "CC-BY-NC-4.0", "CC-BY-NC", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"]
 BARE_VERSIONED = {"CC-BY-NC": "3 0", "CC-BY-SA": "2 0", "CC-BY": "2 0"}
-#: Sentences of license texts: what stands before the anchor, the anchor, what follows.
+#: Sentences of license texts, as words: what stands before the anchor, the anchor, what follows.
 SENTENCES = [
     ("MIT", "", "permission", "is hereby granted free of charge to any person obtaining a copy"),
-    ("ISC", "", "permission", "to use copy modify and or distribute this software for any purpose"),
-    ("BSD-3-Clause", "", "redistribution", "and use in source and binary forms with or without modification"),
+    ("MIT", "the above copyright notice and this", "permission", "notice shall be included in all copies or substantial portions of the software"),
+    ("MIT", "to deal in the software without", "restriction", "including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("MIT", "shall the authors or", "copyright", "holders be liable for any claim damages or other liability"),
+    ("X11", "except as contained in this notice the name of the x consortium shall not be used in", "advertising", "or otherwise to promote the sale"),
+    ("ISC", "", "permission", "to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "provided that the above copyright notice and this", "permission", "notice appear in all copies"),
+    ("BSD-3-Clause", "", "redistribution", "and use in source and binary forms with or without modification are permitted"),
+    ("BSD-2-Clause", "", "redistributions", "of source code must retain the above copyright notice this list of conditions"),
+    ("BSD-2-Clause", "", "redistributions", "in binary form must reproduce the above copyright notice this list of conditions"),
+    ("BSD-3-Clause", "neither the name of (?:[a-z0-9]+ ){1,6}nor the names of its", "contributors", "may be used to endorse or promote products"),
+    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written", "permission", ""),
+    ("BSD-4-Clause", "all", "advertising", "materials mentioning features or use of this software must display the following acknowledg[e]?ment"),
+    ("Apache-2.0", "", "under", "the apache license version 2 0 the license you may not use this file except in compliance"),
+    ("Apache-2.0", "you may obtain a copy of the", "license", "at (?:https? )?(?:www )?apache org licenses license 2 0"),
+    ("Apache-2.0", "software distributed", "under", "the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("Apache-2.0", "see the", "license", "for the specific language governing permissions and limitations"),
+    ("Apache-2.0", "licensed to the apache software foundation asf", "under", "one or more contributor license agreements"),
+    ("Apache-1.1", "this product includes software developed by the apache software foundation", "acknowledgment", ""),
+    ("GPL", "this program is", "free", "software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("GPL", "this file is", "free", "software you can redistribute it and or modify"),
     ("GPL", "this program is", "free", "software you can redistribute it and or modify"),
+    ("GPL-2.0", "", "under", "the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("GPL-3.0", "", "under", "the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("GPL-2.0", "", "under", "the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("GPL", "you should have received a copy of the gnu general public", "license", "along with this program"),
     ("LGPL", "this library is", "free", "software you can redistribute it and or modify"),
-    ("Unlicense", "this is", "free", "and unencumbered software released into the public domain"),
+    ("LGPL-2.1", "", "under", "the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("LGPL-3.0", "", "under", "the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("LGPL", "you should have received a copy of the gnu lesser general public", "license", "along with this library"),
+    ("AGPL-3.0", "", "under", "the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("GFDL", "", "permission", "is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public", "license", "v 2 0"),
+    ("MPL-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "https", "mozilla org mpl 2 0"),
+    ("MPL-1.1", "the contents of this file are subject to the mozilla public", "license", "version 1 1"),
+    ("EPL-1.0", "this program and the accompanying materials are made available", "under", "the terms of the eclipse public license v1 0"),
+    ("EPL-2.0", "this program and the accompanying materials are made available", "under", "the terms of the eclipse public license (?:v )?2 0"),
+    ("CDDL-1.0", "the contents of this file are subject to the terms of the common development and distribution", "license", ""),
+    ("BSL-1.0", "distributed", "under", "the boost software license version 1 0"),
+    ("BSL-1.0", "", "permission", "is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("Zlib", "", "permission", "is granted to anyone to use this software for any purpose including commercial applications"),
+    ("Zlib", "altered source versions must be plainly marked as such and must not be", "misrepresented", "as being the original software"),
+    ("Zlib", "the origin of this software must not be", "misrepresented", "you must not claim that you wrote the original software"),
+    ("PSF-2.0", "psf hereby grants", "licensee", "a nonexclusive royalty free world wide license"),
+    ("Artistic-2.0", "the intent is that the", "copyright", "holder maintains some artistic control over the development"),
+    ("PHP-3.01", "this source file is subject to version 3 01 of the php", "license", ""),
+    ("OFL-1.1", "this font software is", "licensed", "under the sil open font license version 1 1"),
+    ("OFL-1.1", "reserved font name", "means", "a name reserved"),
+    ("MS-PL", "this license governs use of the accompanying software if you use the software you accept this", "license", ""),
+    ("WTFPL", "everyone is", "permitted", "to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("Unlicense", "this is free and", "unencumbered", "software released into the public domain"),
+    ("Unlicense", "anyone is free to copy modify publish use compile sell or distribute this", "software", "either in source code form"),
+    ("CC0-1.0", "to the extent possible", "under", "law (?:[a-z0-9]+ ){1,8}has waived all copyright and related or neighboring rights"),
+    ("CC0-1.0", "the person who associated a work with this deed has", "dedicated", "the work to the public domain"),
+    ("CC-BY", "you are free to share copy and redistribute the material in any medium or", "format", ""),
+    ("CC-BY-SA", "if you remix transform or build upon the material you must distribute your contributions", "under", "the same license as the original"),
+    ("CC-BY-NC", "you may not use the material for", "commercial", "purposes"),
+    ("CC-BY-ND", "if you remix transform or build upon the material you may not", "distribute", "the modified material"),
+    ("public-domain", "", "dedicated", "to the public domain"),
+    ("public-domain", "this work is in the public", "domain", ""),
+    ("public-domain", "placed in(?:to)? the public", "domain", ""),
+    ("proprietary", "", "unauthorized", "copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "proprietary and", "confidential", ""),
     ("proprietary", "", "all", "rights reserved"),
+    ("proprietary", "no part of this (?:publication|work|document|book) may be", "reproduced", ""),
+    ("proprietary", "for internal use", "only", "do not distribute"),
+    ("warranty-disclaimer", "without even the implied", "warranty", "of merchantability or fitness for a particular purpose"),
+    ("warranty-disclaimer", "the software is provided as is without", "warranty", "of any kind"),
+    ("warranty-disclaimer", "any express or implied", "warranties", "including but not limited to the implied warranties of merchantability"),
     ("copyright", "", "copyright", "c (?:19|20)[0-9][0-9]"),
     ("copyright", "", "copyright", "(?:19|20)[0-9][0-9]"),
+    ("copyright", "", "copyright", "© (?:19|20)[0-9][0-9]"),
+    ("copyright", "", "copyrighted", "by"),
 ]
+#: Labels that tell of rights in general rather than of a license.
+NOTICES = ("proprietary", "copyright", "warranty-disclaimer", "public-domain")
+#: Named after "license", as in "License: MIT", or by their short names in an expression.
+SHORT = {
+    "Apache-2.0": "apache 2(?: 0)?", "MIT": "mit", "ISC": "isc", "BSD-2-Clause": "bsd 2 clause", "BSD-3-Clause": "bsd 3 clause", "GPL-2.0": "gpl(?: v2|v2| 2(?: 0)?)", "GPL-3.0": "gpl(?: v3|v3| 3(?: 0)?)", "LGPL-2.1": "lgpl(?: v| )?2 1", "LGPL-3.0": "lgpl(?: v| )?3(?: 0)?",
+    "AGPL-3.0": "agpl(?: v| )?3(?: 0)?", "MPL-2.0": "mpl(?: v| )?2 0", "EPL-2.0": "epl(?: v| )?2 0", "BSL-1.0": "bsl 1 0", "Zlib": "zlib", "WTFPL": "wtfpl", "Unlicense": "unlicense", "0BSD": "0bsd", "CC0-1.0": "cc0(?: 1 0)?", "CC-BY-SA-4.0": "cc by sa 4 0", "CC-BY-NC-4.0": "cc by nc 4 0", "CC-BY-4.0": "cc by 4 0", "OFL-1.1": "ofl 1 1", "Artistic-2.0": "artistic 2 0",
+    "GPL": "gpl", "LGPL": "lgpl", "AGPL": "agpl",
+}
 
-TAG, SENTENCE, GRANT, URL, NAME, NOTICE = 1.0, 0.95, 0.9, 0.85, 0.7, 0.4
+TAG, SENTENCE, GRANT, URL, NAMED, NAME, NOTICE = 1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.4
 
 
 @dataclass(frozen=True)
 class Rule:
-    """before + anchor + after, words joined by one space; the list's order is the priority."""
+    """before + anchor + after, words joined by one space; the list's order is the priority.
+
+    What stands before may be a mere condition, outside of the detection.
+    """
 
     label: str
     anchor: str
     before: str
     after: str
     confidence: float
+    condition: bool = False
+
+
+#: Between the names of a tag's expression: "Apache-2.0 OR MIT". Looked at only after such a tag's beginning.
+JOINTS = ("or", "and")
 
 
 def _alias(phrase: str) -> tuple[str, str]:
@@ -127,8 +205,10 @@ def rules() -> list[Rule]:
     for label in NAMES:
         words = " ".join(w for w in label.lower().replace(".", " ").replace("-", " ").split())
         out.append(Rule(label, "identifier", "spdx license", words + "(?: or later| only)?", TAG))
+        for joint in JOINTS:
+            out.append(Rule(label, joint, "spdx license identifier(?: [a-z0-9]+){1,12}", words + "(?: or later| only)?", TAG, condition=True))
     for label, before, anchor, after in SENTENCES:
-        out.append(Rule(label, anchor, before, after, NOTICE if label in ("proprietary", "copyright") else SENTENCE))
+        out.append(Rule(label, anchor, before, after, NOTICE if label in NOTICES else SENTENCE))
     phrases = sorted(((p, label) for label, ps in NAMES.items() for p in ps), key=lambda x: -len(x[0]))
     grants, names = [], []
     for phrase, label in phrases:
@@ -145,17 +225,24 @@ def rules() -> list[Rule]:
         if label.startswith("CC-"):
             kind = label.lower().replace("cc-", "", 1).replace(".", " ").replace("-", " ")
             urls.append(Rule(label, "licenses", "creativecommons org", kind, URL))
-    return out + grants + sorted(urls, key=lambda r: -len(r.after)) + names
+    named = [Rule(label, "license", "", f"(?:is |type |name |the )?{short}", NAMED) for label, short in SHORT.items()]
+    return out + grants + named + sorted(urls, key=lambda r: -len(r.after)) + names
 
 
 RULES = rules()
+#: Words that a rule may look at on one side of its anchor, at most: no rule is cut. A gap of n words counts n times.
+WINDOW = max(len(p.replace("{1,12}", " " * 11).replace("{1,8}", " " * 7).replace("{1,6}", " " * 5).split(" ")) for r in RULES for p in (r.before, r.after))
 ANCHORS = sorted({r.anchor for r in RULES})
 #: The prefilter: no rule and no base phrase matches a text without one of these words.
 GATE = r"(?i)(?<![a-z0-9])(?:" + "|".join([*ANCHORS, "licence"]) + r")(?![a-z0-9])"
-#: The anchors "all", "free" and "under" are common words; they need one of these besides.
+#: Many anchors are common words; a text needs one of these besides.
 #: Words of a phrase may have anything between them that is no word: line breaks, several spaces, punctuation.
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-TOPIC = rf"(?i)licen[sc]e|copyright|spdx|rights{_GAP}reserved|redistribut|permission|unencumbered|under{_GAP}(?:the{_GAP})?(?:mit|isc|bsd|apache|a?l?gpl|mpl|epl|cc)"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_PHRASES = (
+    "rights reserved", "under (?:the )?(?:mit|isc|bsd|apache|a?l?gpl|mpl|epl|cc)", "public domain", "artistic control", "mozilla org", "not be used in advertising", "advertising materials", "must not be misrepresented", "not be misrepresented", "apache software foundation", "internal use only", "and confidential", "may be reproduced",
+    "unauthorized copying", "implied warrant", "without warranty", "medium or format", "you may not distribute", "for commercial purposes", "reserved font name", "endorse or promote", "without restriction", "modify publish use compile",
+)
+TOPIC = "(?i)licen[sc]e|copyright|spdx|redistribut|permission|unencumbered|" + "|".join(p.replace(" ", _GAP).replace(f"the{_GAP})?", f"the{_GAP})?") for p in _PHRASES)
 HIT = "struct<start:int,end:int,rule:int,label:string,confidence:double>"
 
 
@@ -166,7 +253,7 @@ def _detect(x: str = "x") -> str:
     for no, r in enumerate(RULES):
         before, after = f"(?:^| )({r.before})$", f"^({r.after})(?: |$)"
         fits = [f"{x}.left RLIKE '{before}'"] * bool(r.before) + [f"{x}.right RLIKE '{after}'"] * bool(r.after)
-        start = f"{x}.at - {words(f"regexp_extract({x}.left, '{before}', 1)")}" if r.before else f"{x}.at"
+        start = f"{x}.at - {words(f"regexp_extract({x}.left, '{before}', 1)")}" if r.before and not r.condition else f"{x}.at"
         end = f"{x}.at + 1 + {words(f"regexp_extract({x}.right, '{after}', 1)")}" if r.after else f"{x}.at + 1"
         by_anchor.setdefault(r.anchor, []).append(f"WHEN {' AND '.join(fits) or 'true'} THEN named_struct('start', {start}, 'end', {end}, 'rule', {no}, 'label', '{r.label}', 'confidence', {r.confidence}D)")
     return "CASE " + " ".join(f"WHEN {x}.anchor = '{name}' THEN CASE {' '.join(own)} END" for name, own in by_anchor.items()) + " END"
@@ -177,7 +264,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     One row for each row of docs, repeated ones too; only doc_id and text are
     read. A null text counts as empty: no words, no places, null first_word and
-    last_word, empty labels, score 0. ``detections`` has (start, end, label,
+    last_word, empty labels, score 0; an empty table gives none. ``detections`` has (start, end, label,
     confidence) in words, end exclusive; base phrases are never suppressed.
     score is the highest confidence found.
     """
@@ -186,7 +273,9 @@ def scan(docs: DataFrame) -> DataFrame:
     tokens = F.when(gated, F.regexp_extract_all(lower_ascii(F.col("_t")), F.lit(WORDS), F.lit(0)))
     df = df.select("doc_id", F.regexp_count("_t", F.lit(WORDS)).cast("long").alias("n_words"), tokens.alias("_w"))
     w = F.col("_w")
-    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin([*ANCHORS, "licence"]))
+    # A joint counts only where a tag began not long before.
+    tagged = lambda i: ~F.get(w, i).isin(*JOINTS) | F.array_contains(F.slice(w, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i, F.lit(WINDOW))), "spdx")
+    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin([*ANCHORS, "licence"]) & tagged(i))
     df = df.withColumn("_at", F.when(F.size(w) > 0, places))
     around = lambda i: F.struct(
         i.alias("at"),
