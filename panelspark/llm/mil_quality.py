@@ -42,16 +42,60 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8)] = True
 _POWERS = np.cumprod(np.full(4096, 1_099_511_628_211, dtype=np.uint64))
 N_FEATURES = N_CLASSES + 8 + HASHED
+#: Bytes that are encoded together, about.
+PIECE = 1 << 20
+
+
+@dataclass
+class Earlier:
+    """What a piece of a long text has to know of the whole: its words, and the hashes of those before the piece."""
+
+    n_words: int
+    seen: np.ndarray
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(features of all passages, the text each belongs to). A text without words has one passage of zeros."""
-    raws = [t.encode() for t in texts]
-    raw = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
+    return _encode([t.encode() for t in texts])
+
+
+def _word_starts(raw: bytes) -> np.ndarray:
+    space = _SPACE[np.frombuffer(raw, dtype=np.uint8)]
+    return np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)) == -1)
+
+
+def encode_long(text: str) -> np.ndarray:
+    """The features of one text's passages, the same as :func:`encode`'s, computed in pieces of whole passages."""
+    raw = text.encode()
+    cuts, at = [0], 0
+    earlier = Earlier(0, np.zeros(0, dtype=np.uint64))
+    while at + PIECE < len(raw):
+        # A piece grows until it holds whole passages, and the next one begins with a word.
+        size = PIECE
+        while True:
+            starts = _word_starts(raw[at : at + size])
+            whole = (len(starts) - 1) // PASSAGE * PASSAGE if len(starts) else 0
+            if whole > 0 or at + size >= len(raw):
+                break
+            size *= 2
+        if whole <= 0:
+            break
+        earlier.n_words += whole
+        at += int(starts[whole])
+        cuts.append(at)
+    earlier.n_words += len(_word_starts(raw[at:]))
+    parts = [_encode([raw[a:b]], earlier, last=b == len(raw))[0] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+    return np.concatenate(parts)
+
+
+def _encode(raws: list[bytes], earlier: Earlier | None = None, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The features of texts; or of one piece of a text, which ``earlier`` tells of and is told of."""
+    texts = raws
+    raw = np.frombuffer(b"\n".join(raws) + b"\n" * last, dtype=np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raws])
     space = _SPACE[raw]
     flips = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
-    first, last = flips[0::2], flips[1::2]  # a text never ends inside a word, as a line feed follows
+    first, after = flips[0::2], flips[1::2]  # a text never ends inside a word, as a line feed follows, and nor does a piece
     n_words = len(first)
     doc = np.searchsorted(ends, first, side="right")
     per_doc = np.bincount(doc, minlength=len(texts))
@@ -70,7 +114,7 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     of_byte = np.repeat(passage, span)
     classes = np.bincount(of_byte * N_CLASSES + _CLASS[raw[first[0] :]], minlength=len(out) * N_CLASSES).reshape(-1, N_CLASSES)
     out[:, :N_CLASSES] = classes / np.maximum(classes.sum(axis=1, keepdims=True), 1)
-    length = last - first
+    length = after - first
     at = np.arange(len(raw) - first[0]) - np.repeat(first - first[0], span)
     inside = at < np.repeat(length, span)
     terms = np.where(inside, (raw[first[0] :] | 0x20).astype(np.uint64) * _POWERS[at % len(_POWERS)], np.uint64(0))
@@ -88,10 +132,14 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     same_doc[a] = (doc[a] == doc[b]) & (hashed[a] == hashed[b])
     same_passage = np.zeros(n_words, dtype=bool)
     same_passage[a] = same_doc[a] & (passage[a] == passage[b])
+    if earlier is not None:
+        near = np.minimum(np.searchsorted(earlier.seen, hashed), max(0, len(earlier.seen) - 1))
+        same_doc |= earlier.seen[near] == hashed if len(earlier.seen) else False
+        earlier.seen = np.union1d(earlier.seen, hashed)
     out[:, k + 3] = np.bincount(passage, same_passage, len(out)) / full
     out[:, k + 4] = np.bincount(passage, same_doc, len(out)) / full
     out[:, k + 5] = np.bincount(passage, length > 14, len(out)) / full
-    out[:, k + 6] = np.log1p(per_doc)[owner] / 8
+    out[:, k + 6] = (np.log1p(per_doc)[owner] if earlier is None else np.log1p(earlier.n_words)) / 8
     out[:, k + 7] = words / PASSAGE
     slot = (hashed >> np.uint64(40)) % np.uint64(HASHED)
     sign = np.where((hashed >> np.uint64(39)) & np.uint64(1), 1.0, -1.0)
@@ -99,7 +147,7 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
-def slices(texts: list[str], chars: int = 1 << 20) -> list[list[str]]:
+def slices(texts: list[str], chars: int = PIECE) -> list[list[str]]:
     """The texts in order, in groups of about so many characters; a longer text is a group of its own."""
     out: list[list[str]] = []
     room = 0
@@ -112,6 +160,14 @@ def slices(texts: list[str], chars: int = 1 << 20) -> list[list[str]]:
     return out
 
 
+def encoded(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`encode` of a group of :func:`slices`, in bounded memory where it is one long text."""
+    if len(group) > 1 or len(group[0]) <= PIECE:
+        return encode(group)
+    x = encode_long(group[0])
+    return x, np.zeros(len(x), dtype=np.int64)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -139,7 +195,7 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
-        parts = [self.forward(self.standard(x), owner, owner[-1] + 1)["score"] for x, owner in map(encode, slices(texts))]
+        parts = [self.forward(self.standard(x), owner, owner[-1] + 1)["score"] for x, owner in map(encoded, slices(texts))]
         return np.concatenate(parts).astype(float) if parts else np.zeros(0)
 
     def standard(self, x: np.ndarray) -> np.ndarray:
@@ -187,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, passages
     def bags(texts: pd.Series) -> pd.Series:
         own = []
         for group in slices(list(texts)):
-            x, owner = encode(group)
+            x, owner = encoded(group)
             own += np.split(x, np.searchsorted(owner, np.arange(1, len(group))))
         return pd.Series([b[np.unique(np.linspace(0, len(b) - 1, min(len(b), passages)).astype(int))].ravel() for b in own])
 

@@ -60,6 +60,26 @@ def test_unequal_chances_favour_longer_texts(spark):
     assert share(90) > share(10) > 0
 
 
+def test_inclusion_probabilities_expect_the_rest(spark):
+    table = [(i, words(i, 3 + i % 97), "a") for i in range(900)] + [(5000, words(1, 4000), "a")] + [(6000 + i, words(i, 20), "b") for i in range(100)]
+    df = docs(spark, table)
+    sizes = df.selectExpr("source", "cast(size(split(text, ' ')) as bigint) as size")
+    plan = mixing.source_plan(sizes, (1, 1), 0.9).cache()
+    factors = {r["source"]: r["factor"] for r in mixing.inclusion_factors(sizes, plan).collect()}
+    for r in plan.filter("part > 0").collect():
+        expected = sum(x["size"] * min(1.0, factors[r["source"]] * x["size"] ** 0.5) for x in sizes.filter(f"source = '{r['source']}'").collect())
+        assert r["rest"] > 0 and expected == pytest.approx(r["rest"], rel=1e-9)
+
+
+def test_many_like_rows_are_counted_not_sorted(spark):
+    table = [(None, words(1, 40), "a")] * 3000 + [(i, words(i, 40), "a") for i in range(50)] + [(10_000 + i, words(i, 30), "b") for i in range(200)]
+    got = mixing.mix(docs(spark, table), weights=(1, 3), share=0.7).collect()
+    assert len(got) == len(table)
+    taken = sum(r["taken"] for r in got if r["source"] == "a")
+    target = next(r["target"] for r in got if r["source"] == "a")
+    assert abs(taken - target) <= 20 and len({r["copies"] for r in got if r["doc_id"] is None}) == 2
+
+
 def test_edges(spark):
     assert mixing.mix(docs(spark, [])).collect() == []
     got = mixing.mix(docs(spark, EDGES)).collect()

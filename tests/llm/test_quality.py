@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from panelspark.llm import mil_quality, quality_rules
+from panelspark.llm.labels import labelled_sample
 from tests.llm.helpers import EDGES, docs, words
 
 LABELS = "doc_id long, quality int, toxic int, text string, y int"
@@ -128,3 +129,19 @@ def test_passages_cover_whole_texts():
     assert np.bincount(owner).tolist() == [1, 1, 2, 16]
     one = mil_quality.encode([words(2, 65)])[0]
     assert np.allclose(one, x[owner == 2], atol=1e-6)
+
+
+def test_long_texts_encode_in_pieces_like_whole_ones(monkeypatch):
+    rng = random.Random(1)
+    texts = ["  lead " + "".join(rng.choice(["alpha", "Beta9", "é世", "x" * 40]) + rng.choice([" ", "\n", "  \t"]) for _ in range(n)) + end for n, end in ((9000, " end"), (640, ""), (64, ""))]
+    texts += ["", " ", "word " * 63, "w" * 20_000 + " b", "w "  * 6000]
+    whole = [mil_quality.encode([t])[0] for t in texts]
+    monkeypatch.setattr(mil_quality, "PIECE", 3000)
+    assert all(np.array_equal(a, mil_quality.encode_long(t)) for a, t in zip(whole, texts, strict=True))
+
+
+def test_one_row_of_a_labelled_id_is_learned_from(spark):
+    df = docs(spark, [(1, f"text {i}") for i in range(50)] + [(2, None), (2, None), (3, "c")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (4, 1)], "doc_id long, quality int")
+    got = labelled_sample(df, labels, "quality", 10).collect()
+    assert sorted((r["doc_id"], r["y"]) for r in got) == [(1, 1), (2, 0)]
