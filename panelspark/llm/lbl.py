@@ -26,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -104,15 +105,46 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return map_texts(texts, count, "h long, cls int, n long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("n"))
 
 
-def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct words, the code of every word, words of each text)."""
-    codes: dict[bytes, int] = {}
-    sizes, parts = [], [np.zeros(0, dtype=np.int64)]
-    for t in texts:
-        own = [np.fromiter([codes.setdefault(w, len(codes)) for w in words], np.int64, len(words)) for words in tokens(t)]
-        sizes.append(sum(map(len, own)))
-        parts += own
-    return list(codes), np.concatenate(parts), np.array(sizes, dtype=np.int64)
+class Coder:
+    """Codes of the words that a task has met, and what the lexicon has of each, kept from one batch to the next; at most about ``HELD`` words."""
+
+    def __init__(self, words: Lexicon) -> None:
+        self.words = words
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes: dict[bytes, int] = {}
+        self.known = tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the code of every word, words of each text). Codes are places in hash, count, kind and cls."""
+        if len(self.codes) > HELD:
+            self._forget()
+        codes, sizes, parts = self.codes, [], [np.zeros(0, dtype=np.int64)]
+        for t in texts:
+            own = [np.fromiter([codes.setdefault(w, len(codes)) for w in words], np.int64, len(words)) for words in tokens(t)]
+            sizes.append(sum(map(len, own)))
+            parts += own
+        fresh = list(islice(codes, len(self.known[0]), None))
+        self.known = tuple(np.concatenate(x) for x in zip(self.known, self.words.look_up(fresh), strict=True))
+        return np.concatenate(parts), np.array(sizes, dtype=np.int64)
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self.known[0]
+
+    @property
+    def count(self) -> np.ndarray:
+        """How often a word occurs in training, or -1 where it isn't common."""
+        return self.known[1]
+
+    @property
+    def kind(self) -> np.ndarray:
+        return self.known[2]
+
+    @property
+    def cls(self) -> np.ndarray:
+        return self.known[3]
 
 
 def type_sequence(kinds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,9 +258,6 @@ class Model:
     def copy(self) -> Model:
         return replace(self, **{k: getattr(self, k).copy() for k in ("r", "q", "c", "b", "r_seen", "q_seen", "c_seen")}, met=np.zeros(len(self.b)))
 
-    def contexts(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return self.r.take(last, axis=0) * self.c[0] + self.r.take(before, axis=0) * self.c[1]
-
     def step(self, seq: np.ndarray, words: Lexicon, cdf: np.ndarray, rng: np.random.Generator, rate: float, n_noise: int = NOISE) -> None:
         """One step of noise-contrastive estimation on the targets seq[2:]; one set of noise types, drawn from the unigram, for all."""
         target = seq[2:]
@@ -309,53 +338,54 @@ class Normaliser:
     """log10 P(type | two types before), summing to one over the types after every context."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.members = model, groups(model.q)
-        self.group = np.zeros(len(model.b), dtype=np.int32)
-        bias = (model.b + model.log_unigram).astype(np.float32)
-        self.weights, self.biases, first, second, mass = [], [], [], [], []
+        self.members = groups(model.q)
+        self.last, self.before = model.r * model.c[0], model.r * model.c[1]
+        self.group, self.place = np.zeros(len(model.b), dtype=np.int32), np.zeros(len(model.b), dtype=np.int32)
+        bias = model.b + model.log_unigram
+        self.weights, first, second, mass = [], [], [], []
         for no, own in enumerate(self.members):
-            self.group[own] = no
+            self.group[own], self.place[own] = no, np.arange(len(own))
             q, b = model.q[own], bias[own].astype(np.float64)
             part = np.exp(b - b.max())
             mass.append(math.log(part.sum()) + b.max())
             part /= part.sum()
             first.append(part @ q)
             second.append(part @ (q - first[-1]) ** 2)
-            self.weights.append(np.ascontiguousarray(q.T))
-            self.biases.append(bias[own])
-        self.place = np.zeros(len(model.b), dtype=np.int32)
-        for own in self.members:
-            self.place[own] = np.arange(len(own))
-        self.over = np.ascontiguousarray(np.concatenate([np.array(first), np.array(second) / 2], axis=1).T.astype(np.float32))
-        self.over_bias = np.array(mass, dtype=np.float32)
+            # The bias goes with a context entry that is always one.
+            self.weights.append(np.ascontiguousarray(np.concatenate([q.T, bias[own][None, :]])))
+        self.over = np.concatenate([np.array(first).T, np.array(mass)[None, :], np.array(second).T / 2]).astype(np.float32)
 
     @staticmethod
-    def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _log_softmax_at(h: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+        scores = h @ weights
         own = scores[np.arange(len(at)), at]
         with np.errstate(over="ignore"):
-            sums = np.exp(scores).sum(axis=1)
-        if not (np.isfinite(sums).all() and sums.all()):
-            # Out of the range of single precision: the largest score goes first.
-            top = scores.max(axis=1)
-            return own - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
-        return own - np.log(sums)
+            sums = np.exp(scores, out=scores) @ np.ones(scores.shape[1], dtype=np.float32)
+        if np.isfinite(sums).all() and sums.all():
+            return own - np.log(sums)
+        # Out of the range of single precision: the largest score goes first.
+        scores = h @ weights
+        top = scores.max(axis=1)
+        return own - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
 
     def log10(self, before: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
         for a in range(0, len(target), AT_ONCE):
             t = target[a : a + AT_ONCE]
-            h = self.model.contexts(before[a : a + AT_ONCE], last[a : a + AT_ONCE])
-            g = self.group[t]
-            order = np.argsort(g, kind="stable")
-            h, t, g = h[order], t[order], g[order]
+            order = np.argsort(self.group.take(t).astype(np.uint16), kind="stable")
+            t = t.take(order)
+            g = self.group.take(t)
+            h = np.ones((len(t), WIDTH + 1), dtype=np.float32)
+            h[:, :WIDTH] = self.last.take(last[a : a + AT_ONCE].take(order), axis=0)
+            h[:, :WIDTH] += self.before.take(before[a : a + AT_ONCE].take(order), axis=0)
             cuts = np.searchsorted(g, np.arange(len(self.members) + 1))
-            log = np.empty(len(t))
+            log = np.empty(len(t), dtype=np.float64)
             for z in range(0, len(t), 2_048):
                 x = h[z : z + 2_048]
-                log[z : z + 2_048] = self._log_softmax_at(np.concatenate([x, x * x], axis=1) @ self.over + self.over_bias, g[z : z + 2_048])
+                log[z : z + 2_048] = self._log_softmax_at(np.concatenate([x, np.square(x[:, :WIDTH])], axis=1), self.over, g[z : z + 2_048])
             for no in np.flatnonzero(cuts[1:] > cuts[:-1]):
                 own = slice(cuts[no], cuts[no + 1])
-                log[own] += self._log_softmax_at(h[own] @ self.weights[no] + self.biases[no], self.place[t[own]])
+                log[own] += self._log_softmax_at(h[own], self.weights[no], self.place.take(t[own]))
             out[a + order] = log / math.log(10)
         return out
 
@@ -364,9 +394,10 @@ def sequences(texts: DataFrame, sent) -> DataFrame:
     """(types): the type sequence of each batch of texts, as little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code = Coder(sent.value)
         for pdf in batches:
-            distinct, codes, sizes = coded(list(pdf["text"]))
-            yield pd.DataFrame({"types": [type_sequence(sent.value.look_up(distinct)[2][codes], sizes)[0].tobytes()]})
+            codes, sizes = code(list(pdf["text"]))
+            yield pd.DataFrame({"types": [type_sequence(code.kind[codes], sizes)[0].tobytes()]})
 
     return map_texts(texts, run, "types binary")
 
@@ -384,10 +415,10 @@ def tasks_vectors(texts: DataFrame, sent, start) -> DataFrame:
         words, model = sent.value, start.value.copy()
         rng = np.random.default_rng([SEED, TaskContext.get().partitionId()])
         cdf = np.cumsum(words.mass / words.mass.sum())
-        trained = 0
+        trained, code = 0, Coder(words)
         for pdf in batches:
-            distinct, codes, sizes = coded(list(pdf["text"]))
-            seq = type_sequence(words.look_up(distinct)[2][codes], sizes)[0]
+            codes, sizes = code(list(pdf["text"]))
+            seq = type_sequence(code.kind[codes], sizes)[0]
             for a in range(0, len(seq) - 2, BATCH):
                 model.step(seq[a : a + BATCH + 2], words, cdf, rng, LATER * RATE, FEW_NOISE)
             trained += len(seq)
@@ -441,9 +472,10 @@ def score(docs: DataFrame, common: int = COMMON, sample: int = SAMPLE) -> DataFr
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, normal, at = sent.value, Normaliser(final.value), TaskContext.get().partitionId() << 40
+        code = Coder(own)
         for pdf in batches:
-            distinct, codes, sizes = coded(list(pdf["text"]))
-            h, c, kinds, cls = own.look_up(distinct)
+            codes, sizes = code(list(pdf["text"]))
+            h, c, kinds, cls = code.hash, code.count, code.kind, code.cls
             seq, owner = type_sequence(kinds[codes], sizes)
             place = np.flatnonzero(seq != PAD)
             log = normal.log10(seq[place - 2], seq[place - 1], seq[place])
@@ -458,9 +490,9 @@ def score(docs: DataFrame, common: int = COMMON, sample: int = SAMPLE) -> DataFr
             out["base_score"] = np.bincount(of, base[codes], n) + own.base_log(np.array([own.ends]))[0]
             out["score"] = np.bincount(owner[place], log, n) + np.bincount(of, extra[codes], n)
             rare = np.flatnonzero(c[codes] < 0)
-            pairs, times = np.unique(of[rare] * len(distinct) + codes[rare], return_counts=True) if len(rare) else (np.zeros(0, dtype=np.int64),) * 2
-            cuts = np.searchsorted(pairs // max(1, len(distinct)), np.arange(1, n))
-            word = pairs % max(1, len(distinct))
+            pairs, times = np.unique(of[rare] * len(h) + codes[rare], return_counts=True) if len(rare) else (np.zeros(0, dtype=np.int64),) * 2
+            cuts = np.searchsorted(pairs // max(1, len(h)), np.arange(1, n))
+            word = pairs % max(1, len(h))
             for name, values in (("rest", h[word]), ("times", times.astype(np.int32)), ("cls", cls[word].astype(np.int32))):
                 out[name] = np.split(values, cuts)
             yield pd.DataFrame({k: list(x) if k in ("rest", "times", "cls") else x for k, x in out.items()})
