@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,25 +13,24 @@ from pyspark.sql import types as T
 
 def ewm(x: np.ndarray, alpha: float, least: int) -> np.ndarray:
     """Recursive exponential mean that starts at the first number; nulls before ``least`` numbers."""
-    out = np.full(len(x), np.nan)
-    state, seen = np.nan, 0
-    for i, v in enumerate(x.tolist()):
-        if v == v:
-            state = v if seen == 0 else (1 - alpha) * state + alpha * v
-            seen += 1
-        if seen >= least:
-            out[i] = state
-    return out
+    return pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False, ignore_na=True, min_periods=least).mean().to_numpy()
 
 
-def expanding_percentile(x: np.ndarray, least: int) -> np.ndarray:
-    """(numbers so far that are at most the current one - 1) / (numbers so far - 1)."""
-    out, held = np.full(len(x), np.nan), []
-    for i, v in enumerate(x.tolist()):
-        if v == v:
-            insort(held, v)
-            if len(held) >= max(2, least):
-                out[i] = (bisect_right(held, v) - 1) / (len(held) - 1)
+def expanding_percentile(x: np.ndarray, least: int, block: int = 512) -> np.ndarray:
+    """(numbers so far that are at most the current one - 1) / (numbers so far - 1).
+
+    A block at a time: against the sorted numbers before it, and within itself.
+    """
+    out = np.full(len(x), np.nan)
+    at = np.flatnonzero(~np.isnan(x))
+    held = np.zeros(0)
+    for a in range(0, len(at), block):
+        v = x[at[a : a + block]]
+        among = np.tril(v[None, :] <= v[:, None]).sum(axis=1)
+        seen = a + 1 + np.arange(len(v))
+        below = np.searchsorted(held, v, side="right") + among
+        out[at[a : a + block]] = np.where(seen >= max(2, least), (below - 1) / np.maximum(seen - 1, 1), np.nan)
+        held = np.sort(np.concatenate([held, v]), kind="stable")
     return out
 
 

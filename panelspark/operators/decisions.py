@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.ordered import by_or_all
+
 # Costs in basis points a side, thresholds, risk buckets, and the factor of an edge.
 COSTS_BPS = {"commission": 3.0, "spread": 5.0, "slippage": 5.0}
 PER_SIDE = sum(COSTS_BPS.values()) / 1e4
@@ -97,14 +99,21 @@ def score_thresholds(signals: DataFrame, grid: DataFrame, cost: float = ROUND_TR
     """(by, buy, n_trades, trade_rate, gross, net, net_total, hit_rate): one pass over signals for the whole grid.
 
     signals has calibrated, realised and expected_return. The grid is a few
-    dozen rows; each task sums for every threshold before anything is shuffled.
+    dozen thresholds; a row counts once, at the highest one that it reaches,
+    and sums from the highest down give those of each threshold.
     """
-    rows = signals.filter("calibrated is not null and realised is not null")
-    traded = (F.col("calibrated") >= F.col("buy")) & (F.col("expected_return") >= floor)
-    r = F.when(traded, F.col("realised"))
-    both = rows.crossJoin(F.broadcast(grid))
-    out = both.groupBy(*by, "buy").agg(F.count(r).alias("n_trades"), (F.count(r) / F.count(F.lit(1))).alias("trade_rate"), F.avg(r).alias("gross"), (F.avg(r) - cost).alias("net"), F.coalesce(F.sum(r - cost), F.lit(0.0)).alias("net_total"), F.avg((r > cost).cast("double")).alias("hit_rate"))
-    return out
+    at = sorted(r["buy"] for r in grid.select("buy").distinct().collect())  # a few dozen
+    rows, keys = by_or_all(signals.filter("calibrated is not null and realised is not null"), list(by))
+    step = F.size(F.filter(F.array(*[F.lit(float(x)) for x in at]), lambda x: x <= F.col("calibrated")))
+    r = F.when(F.col("expected_return") >= floor, F.col("realised"))
+    per = rows.groupBy(*keys, step.alias("_step")).agg(F.count(F.lit(1)).alias("_rows"), F.count(r).alias("_n"), F.sum(r).alias("_r"), F.sum((r > cost).cast("long")).alias("_hits"))
+    steps = per.select(*keys).distinct().select(*keys, F.posexplode(F.array(F.lit(None).cast("double"), *[F.lit(float(x)) for x in at])).alias("_step", "buy"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.coalesce("_rows", F.lit(0))).over(Window.partitionBy(*keys))
+    sums = {c: F.coalesce(F.sum(c).over(down), F.lit(0)) for c in ("_n", "_r", "_hits")}
+    all_ = steps.join(per, [*keys, "_step"], "left").withColumns(sums | {"_rows": total}).filter("buy is not null")
+    n, gross = F.col("_n"), F.try_divide("_r", "_n")
+    return all_.select(*by, "buy", n.alias("n_trades"), (n / F.col("_rows")).alias("trade_rate"), gross.alias("gross"), (gross - cost).alias("net"), (F.col("_r") - cost * n).cast("double").alias("net_total"), F.try_divide("_hits", "_n").alias("hit_rate"))
 
 
 def best_threshold(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -121,11 +130,11 @@ def out_of_block_thresholds(signals: DataFrame, grid: DataFrame, blocks: DataFra
     Scores of blocks add up, so choosing on all blocks before is a running sum
     over (threshold, block), not a scan for each block.
     """
-    rows = signals.join(F.broadcast(blocks), "date")
+    rows = signals.join(blocks, "date")
     per = score_thresholds(rows, grid, cost, floor, ("block",))
     sizes = rows.filter("calibrated is not null and realised is not null").groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
     w = Window.partitionBy("buy").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.join(F.broadcast(sizes), "block").withColumns({"_net": F.sum("net_total").over(w), "_n": F.sum("n_trades").over(w), "_rows": F.sum("rows").over(w)})
+    per = per.join(sizes, "block").withColumns({"_net": F.sum("net_total").over(w), "_n": F.sum("n_trades").over(w), "_rows": F.sum("rows").over(w)})
     prior = per.filter(F.col("_rows") >= min_rows).select("block", "buy", F.col("_net").alias("net_total"), F.col("_n").alias("n_trades"))
     chosen = best_threshold(prior, ("block",)).select("block", "buy")
     return chosen.join(per.select("block", "buy", "n_trades", "net_total"), ["block", "buy"])

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.ordered import by_or_all, quantiles, running_before
 from panelspark.functions.windows import average_rank
 
 CLIP = 1e-7
 
 
-def _by(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
-    return (df, by) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
-
-
 def _drop(df: DataFrame) -> DataFrame:
     return df.drop("_all")
 
@@ -23,23 +20,22 @@ def _mean(cond: Column) -> Column:
 
 
 def auc_table(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
-    """(by, auc, pr_auc): from one row for each group and distinct score, so ties cost nothing and no row is sorted."""
-    df, by = _by(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()), by)
+    """(by, auc, pr_auc): from one row for each group and distinct score, so ties cost nothing; scores are summed by ranges."""
+    df, by = by_or_all(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()), by)
     one = df.groupBy(*by, F.col(p).alias("_p")).agg(F.sum((F.col(y) > 0.5).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    up = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
     neg = F.col("_n") - F.col("_pos")
-    one = one.withColumn("_below", F.coalesce(F.sum(neg).over(up), F.lit(0))).withColumn("_tp", F.sum("_pos").over(down)).withColumn("_all_n", F.sum("_n").over(down))
+    one = running_before(one, by, "_p", {"_below": neg, "_pos_below": F.col("_pos")})
+    tp, every = F.col("_pos_below_total") - F.col("_pos_below"), F.col("_pos_below_total") + F.col("_below_total") - F.col("_pos_below") - F.col("_below")
     pos, negs = F.sum("_pos"), F.sum(neg)
     both = (pos > 0) & (negs > 0)
     auc = F.sum(F.col("_pos") * (F.col("_below") + neg / 2)) / (pos * negs)
-    pr = F.sum(F.col("_pos") * F.col("_tp") / F.col("_all_n")) / pos
+    pr = F.sum(F.col("_pos") * tp / every) / pos
     return one.groupBy(*by).agg(F.when(both, auc).alias("auc"), F.when(both, pr).alias("pr_auc"), pos.alias("_pos"), negs.alias("_neg"))
 
 
 def classification_metrics(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    rows, keys = _by(rows, by)
+    rows, keys = by_or_all(rows, by)
     t, s = F.col(y) > 0.5, F.col(p)
     hit = s >= 0.5
     q = F.least(F.greatest(s, F.lit(CLIP)), F.lit(1 - CLIP))
@@ -66,7 +62,7 @@ def _corr(a: Column, b: Column) -> Column:
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: list[str]) -> DataFrame:
     rows = df.filter(F.col(y).isNotNull() & F.col(yhat).isNotNull())
-    rows, keys = _by(rows, by)
+    rows, keys = by_or_all(rows, by)
     a, b = F.col(y).cast("double"), F.col(yhat).cast("double")
     w = Window.partitionBy(*keys)
     rows = rows.withColumn("_mean", F.avg(a).over(w)).withColumn("_ra", average_rank(a, keys)).withColumn("_rb", average_rank(b, keys))
@@ -90,7 +86,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: list[str]) -> DataF
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    rows, keys = _by(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), by)
+    rows, keys = by_or_all(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), by)
     rows = rows.withColumn("_ra", average_rank(F.col(a), keys)).withColumn("_rb", average_rank(F.col(b), keys))
     return _drop(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _corr(F.col("_ra"), F.col("_rb")).alias("spearman")))
 
@@ -115,15 +111,15 @@ def compare_models(oof: DataFrame, by: str = "model") -> DataFrame:
 
 def reliability_table(df: DataFrame, y: str, p: str, n_bins: int = 10, strategy: str = "quantile", by: list[str] | None = None) -> DataFrame:
     """(by, bin, count, mean_predicted, observed_frequency, gap). Quantile edges are the distinct linear percentiles."""
-    rows, keys = _by(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()), by or [])
+    rows, keys = by_or_all(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()), by or [])
     s = F.col(p)
     if strategy == "uniform":
         binned = rows.withColumn("bin", F.least(F.floor(s * n_bins), F.lit(n_bins - 1)).cast("int"))
     else:
         cuts = [i / n_bins for i in range(1, n_bins)]
-        edges = rows.groupBy(*keys).agg(F.array_distinct(F.expr(f"percentile({p}, array({', '.join(map(str, cuts))}))")).alias("_edges"), F.min(p).alias("_lo"), F.max(p).alias("_hi"))
-        edges = edges.withColumn("_edges", F.filter("_edges", lambda e: (e > F.col("_lo")) & (e < F.col("_hi"))))
-        binned = rows.join(F.broadcast(edges), keys).withColumn("bin", F.size(F.filter("_edges", lambda e: e <= s)))
+        edges = quantiles(rows, keys, p, [0.0, *cuts, 1.0], "_q")
+        edges = edges.select(*keys, F.filter(F.array_distinct("_q"), lambda e: (e > F.col("_q")[0]) & (e < F.element_at("_q", -1))).alias("_edges"))
+        binned = rows.join(F.broadcast(edges) if keys == ["_all"] else edges, keys).withColumn("bin", F.size(F.filter("_edges", lambda e: e <= s)))
     out = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"), F.avg(s).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("observed_frequency"))
     return _drop(out.withColumn("gap", F.col("observed_frequency") - F.col("mean_predicted")))
 
@@ -131,7 +127,7 @@ def reliability_table(df: DataFrame, y: str, p: str, n_bins: int = 10, strategy:
 def calibration_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None, n_bins: int = 10) -> DataFrame:
     """ECE (two binnings), MCE (bins of 20 or more), sharpness and Brier figures."""
     by = by or []
-    rows, keys = _by(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()), by)
+    rows, keys = by_or_all(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()), by)
 
     def errors(strategy: str, name: str) -> DataFrame:
         t = reliability_table(rows, y, p, n_bins, strategy, keys)
@@ -146,7 +142,7 @@ def calibration_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = No
 
 def decompose_brier(df: DataFrame, y: str, p: str, n_bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """(by, reliability, resolution, uncertainty, reconstructed) over quantile bins."""
-    t, keys = _by(reliability_table(df, y, p, n_bins, "quantile", by or []), by or [])
+    t, keys = by_or_all(reliability_table(df, y, p, n_bins, "quantile", by or []), by or [])
     w = Window.partitionBy(*keys)
     t = t.withColumn("_n", F.sum("count").over(w)).withColumn("_base", F.sum(F.col("count") * F.col("observed_frequency")).over(w) / F.col("_n"))
     share = F.col("count") / F.col("_n")

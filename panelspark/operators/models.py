@@ -19,17 +19,22 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.ordered import quantiles
+
 Fit = Callable[[DataFrame, list[str], str], PipelineModel]
 
 
 def _scaled(train: DataFrame, columns: list[str], label: str) -> tuple[list, int, float]:
     """Stages that impute and scale, the number of rows, the label's sample deviation."""
-    medians = train.agg(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(c) for c in columns], F.count(F.lit(1)).alias("_n"), F.stddev_samp(label).alias("_sd")).first()
+    size = train.agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(label).alias("_sd")).first()
+    long = train.selectExpr(f"stack({len(columns)}, {', '.join(f"'{c}', cast({c} as double)" for c in columns)}) as (feature, value)")
+    found = {r["feature"]: r["q"][0] for r in quantiles(long, ["feature"], "value", [0.5], "q").collect()}  # one row a feature
+    medians = {c: found.get(c, 0.0) for c in columns}
     filled = [F.coalesce(F.col(c), F.lit(medians[c])) for c in columns]
     row = train.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)], *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)]).first()
     parts = [f"(coalesce({c}, {float(medians[c])!r}D) - {float(row[f'm{i}'])!r}D) / {float(row[f's{i}'] or 1.0) or 1.0!r}D AS _x{i}" for i, c in enumerate(columns)]
     scale = SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
-    return [scale, VectorAssembler(inputCols=[f"_x{i}" for i in range(len(columns))], outputCol="_features")], medians["_n"], medians["_sd"] or 1.0
+    return [scale, VectorAssembler(inputCols=[f"_x{i}" for i in range(len(columns))], outputCol="_features")], size["_n"], size["_sd"] or 1.0
 
 
 def fit_logistic(c: float = 1.0) -> Fit:
@@ -120,7 +125,7 @@ def fit_calibrator(scores: DataFrame, p: str = "y_pred", y: str = "y_true", meth
 
 def calibrate_out_of_fold(oof: DataFrame, blocks: DataFrame, min_rows: int = 500) -> DataFrame:
     """oof plus calibrated, each date block by a calibrator fitted on the blocks before; the first block is dropped."""
-    rows = oof.join(F.broadcast(blocks), "date")
+    rows = oof.join(blocks, "date")
     sizes = {r["block"]: r["count"] for r in rows.groupBy("block").count().collect()}  # a handful
     out = None
     for b in sorted(sizes)[1:]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.ordered import quantiles, running_before
 from panelspark.operators.metrics import calibration_metrics, classification_metrics
 
 WINDOWS = (7, 30, 60, 90)
@@ -28,11 +29,10 @@ def split_reference_current(panel: DataFrame, training_end=None, q: float = 0.75
 def psi(long: DataFrame, n_bins: int = 10) -> DataFrame:
     """(feature, psi) of (feature, part, value) with quantile edges of the reference and one added to each count."""
     rows = long.filter("value is not null")
-    cuts = ", ".join(str(i / n_bins) for i in range(n_bins + 1))
-    edges = rows.filter("part = 'reference'").groupBy("feature").agg(F.array_distinct(F.expr(f"percentile(value, array({cuts}))")).alias("_e"))
+    edges = quantiles(rows.filter("part = 'reference'"), ["feature"], "value", [i / n_bins for i in range(n_bins + 1)], "_e").withColumn("_e", F.array_distinct("_e"))
     inner = F.slice(F.col("_e"), 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     edges = edges.select("feature", F.when(F.size("_e") >= 3, inner).otherwise(F.array().cast("array<double>")).alias("_e"))
-    binned = rows.join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col("value")))).withColumn("_k", F.size("_e") + 1)
+    binned = rows.join(edges, "feature").withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col("value")))).withColumn("_k", F.size("_e") + 1)
     n = lambda p: F.sum((F.col("part") == p).cast("long"))
     counts = binned.groupBy("feature", "_k", "bin").agg(n("reference").alias("r"), n("current").alias("c"))
     full = edges.select("feature", (F.size("_e") + 1).alias("_k"), F.explode(F.sequence(F.lit(0), F.size("_e"))).alias("bin")).join(counts.drop("_k"), ["feature", "bin"], "left").na.fill(0, ["r", "c"])
@@ -47,8 +47,8 @@ def ks(long: DataFrame) -> DataFrame:
     rows = long.filter("value is not null")
     n = lambda p: F.sum((F.col("part") == p).cast("long"))
     one = rows.groupBy("feature", "value").agg(n("reference").alias("r"), n("current").alias("c"))
-    run, all_ = Window.partitionBy("feature").orderBy("value"), Window.partitionBy("feature")
-    gap = F.abs(F.sum("r").over(run) / F.sum("r").over(all_) - F.sum("c").over(run) / F.sum("c").over(all_))
+    one = running_before(one, ["feature"], "value", {"_r": F.col("r"), "_c": F.col("c")})
+    gap = F.abs((F.col("_r") + F.col("r")) / F.col("_r_total") - (F.col("_c") + F.col("c")) / F.col("_c_total"))
     out = one.withColumn("_g", gap).groupBy("feature").agg(F.max("_g").alias("ks"), F.sum("r").alias("_n"), F.sum("c").alias("_m"))
     x = F.col("ks") * F.sqrt(F.col("_n") * F.col("_m") / (F.col("_n") + F.col("_m")))
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x))

@@ -66,10 +66,10 @@ def snapshots(ledger: DataFrame, closes: DataFrame, initial: float) -> DataFrame
     held = closes.join(after, ["symbol", "date"], "left").withColumns({"shares": carry("shares"), "cost_basis": carry("cost_basis")}).filter("shares is not null")
     index = session_index(closes)
     every = Window.partitionBy("symbol").orderBy("session_idx")
-    held = held.join(F.broadcast(index), "date").crossJoin(F.broadcast(index.agg(F.max("session_idx").alias("_end"))))
+    held = held.join(index, "date").crossJoin(F.broadcast(index.agg(F.max("session_idx").alias("_end"))))
     until = F.coalesce(F.lead("session_idx").over(every) - 1, F.col("_end"))
     held = held.withColumn("_until", until)
-    held = held.withColumn("session_idx", F.explode(F.sequence("session_idx", "_until"))).drop("date", "_end", "_until").join(F.broadcast(index), "session_idx")
+    held = held.withColumn("session_idx", F.explode(F.sequence("session_idx", "_until"))).drop("date", "_end", "_until").join(index, "session_idx")
     values = held.groupBy("date").agg(F.sum(F.col("shares") * F.col("close")).alias("holdings"), F.sum(F.col("shares") * (F.col("close") - F.col("cost_basis"))).alias("unrealised"), F.sum((F.abs("shares") > 1e-9).cast("int")).alias("n_positions"))
     flow = F.when(F.col("side") == "BUY", -F.col("shares_filled") * F.col("price")).otherwise(F.col("shares_filled") * F.col("price"))
     cash = ledger.groupBy("date").agg(F.sum(flow - F.col("total_cost")).alias("_f"), F.sum(F.coalesce("realised", F.lit(0.0))).alias("_r"), F.sum("total_cost").alias("_c"))
@@ -98,7 +98,7 @@ def same_session_executions(fills: DataFrame) -> DataFrame:
 def equal_weight_fills(bars: DataFrame, capital: float) -> DataFrame:
     """Buys of each symbol at its open of the second session, with whole shares of 0.999 of an equal part."""
     second = session_index(bars).filter("session_idx = 1").select("date")
-    day = bars.join(F.broadcast(second), "date")
+    day = bars.join(second, "date")
     n = F.count(F.lit(1)).over(Window.partitionBy("date"))
     shares = F.floor(0.999 * capital / n / F.col("open")).cast("double")
     fills = day.select("symbol", "date", F.lit(1).alias("seq"), F.lit("BUY").alias("side"), shares.alias("shares_filled"), F.col("open").alias("price"), F.lit(1.0).alias("split_ratio"))
@@ -108,7 +108,7 @@ def equal_weight_fills(bars: DataFrame, capital: float) -> DataFrame:
 def equal_weight_rebalanced(bars: DataFrame, every: int = 21, ret: str = "ret") -> DataFrame:
     """strategy_returns of equal weights, reset every so many sessions and drifting with returns in between."""
     idx = session_index(bars)
-    df = bars.join(F.broadcast(idx), "date").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date")))
+    df = bars.join(idx, "date").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date")))
     df = df.withColumn("_period", F.floor((F.col("session_idx") - 1) / every)).filter("session_idx >= 1")
     w = Window.partitionBy("symbol", "_period").orderBy("date")
     grown = F.coalesce(F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))

@@ -137,7 +137,7 @@ def dirty_bars(spark, d):
 
 @register("c_validate_bars", sql.query(f"SELECT severity, code, symbol, issue_date, CAST(n AS BIGINT) AS n FROM ({_ISSUES})", "wild", dirty=_DIRTY, moves=_MOVES))
 def c_validate(spark, d):
-    return quality.validate_bars(dirty_bars(spark, d))
+    return quality.validate_bars(tables.settled(dirty_bars(spark, d)))
 
 
 #: Bars of a provider with days repeated, arrivals out of order and a symbol without any.
@@ -561,8 +561,13 @@ _KS = "SELECT feature, max(abs(a - b)) AS ks FROM (SELECT feature, sum(r) OVER (
 DRIFTING = ["return_1d", "return_5d", "volatility_20"]
 
 
+def drift_of(scored):
+    return monitoring.compute_drift(monitoring.split_reference_current(scored), DRIFTING)
+
+
 def drift(spark, d):
-    return monitoring.compute_drift(monitoring.split_reference_current(scores(spark, d)), DRIFTING)
+    """All features against the reference part; the scores are settled, as every statistic reads them."""
+    return drift_of(tables.settled(scores(spark, d)))
 
 
 _DRIFT_BASE = "SELECT feature, count(value) FILTER (part = 'reference') AS n_reference, count(value) FILTER (part = 'current') AS n_current, avg(value) FILTER (part = 'reference') AS reference_mean, avg(value) FILTER (part = 'current') AS current_mean, avg(CAST(value IS NULL AS DOUBLE)) FILTER (part = 'reference') AS reference_missing, avg(CAST(value IS NULL AS DOUBLE)) FILTER (part = 'current') AS current_missing FROM long GROUP BY feature"
@@ -577,7 +582,11 @@ def m4(spark, d):
 
 
 def resolved(spark, d):
-    return scores(spark, d).select(F.col("date").alias("prediction_date"), "symbol", F.col("p").alias("calibrated_probability"), F.col("y").alias("actual_direction"))
+    return as_resolved(scores(spark, d))
+
+
+def as_resolved(scored):
+    return scored.select(F.col("date").alias("prediction_date"), "symbol", F.col("p").alias("calibrated_probability"), F.col("y").alias("actual_direction"))
 
 
 AS_OF = date(2001, 6, 30)
@@ -590,8 +599,9 @@ def m7(spark, d):
 
 @register("m13_health_row")
 def m13(spark, d):
-    r = resolved(spark, d)
-    return monitoring.health_row(drift(spark, d), monitoring.rolling_performance(r, AS_OF), monitoring.monitor_calibration(r, AS_OF, 0.03), 0.55, 0.03)
+    s = tables.settled(scores(spark, d))
+    r = as_resolved(s)
+    return monitoring.health_row(drift_of(s), monitoring.rolling_performance(r, AS_OF), monitoring.monitor_calibration(r, AS_OF, 0.03), 0.55, 0.03)
 
 
 @register("m12_alert_cooldown")

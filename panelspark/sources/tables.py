@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BARS_RAW = "date date, symbol string, open_split double, high_split double, low_split double, close_split double, volume bigint, dividend double, split_ratio double"
 FORECASTS = "index string, symbol string, direction string, expected_return double, probability_up double, forecast_session date, as_of date, created_at timestamp"
 EQUITY = "date date, equity double, cash double"
+BAR_COLUMNS = [f.split()[0] for f in BARS_RAW.split(", ")]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
