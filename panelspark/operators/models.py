@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.ordered import quantiles
+from panelspark.operators.calendar import session_index
+from panelspark.operators.folds import assign_folds, fold_bounds
+from panelspark.sources.tables import settled
 
 Fit = Callable[[DataFrame, list[str], str], PipelineModel]
 
@@ -100,10 +103,35 @@ def walk_forward(assigned: DataFrame, fit: Fit, columns: list[str], label: str,
     return score(generate_oof(assigned, fit, columns, label))
 
 
-def nested_selection(assigned: DataFrame, grid: dict[str, Fit], columns: list[str], label: str, metric: Callable[[DataFrame], float]) -> str:
-    """The name in grid with the best metric over the folds given; the first of equals."""
-    scores = {name: metric(generate_oof(assigned, fit, columns, label)) for name, fit in grid.items()}
-    return max(scores, key=lambda k: scores[k])
+def nested_walk_forward(df: DataFrame, grid: dict[str, Fit], columns: list[str], label: str, score: Callable[[DataFrame], DataFrame], n_folds: int = 5, test: int = 126, min_train: int = 252, inner_folds: int = 3, maximise: bool = True) -> DataFrame:
+    """(date, symbol, fold, y_true, y_pred, selected): out of fold, with the fit of grid that was best within the fold's training rows.
+
+    score gives (fold, value) of out-of-fold rows. Within an outer fold, every
+    fit is scored on purged inner folds of its training rows, half as long as
+    the outer ones, by the mean over them; the first of equals is taken. Outer
+    and inner folds are a handful, and so is the grid; rows are settled once
+    for each fold.
+    """
+    if not grid:
+        raise ValueError("the grid is empty")
+    spark = df.sparkSession
+
+    def assigned(rows: DataFrame, n: int, size: int, least: int) -> DataFrame:
+        index = session_index(rows)
+        return settled(assign_folds(rows, fold_bounds(spark, index.count(), n_folds=n, test=size, min_train=least), index))
+
+    outer = assigned(df.select("date", "symbol", *columns, label).filter(F.col(label).isNotNull()), n_folds, test, min_train)
+    out = None
+    for fold in [r["fold"] for r in outer.select("fold").distinct().orderBy("fold").collect()]:
+        own = outer.filter(F.col("fold") == fold)
+        train = own.filter("role = 'train'").select("date", "symbol", *columns, label)
+        inner = assigned(train, inner_folds, max(21, test // 2), max(126, min_train // 2))
+        means = {name: score(generate_oof(inner, fit, columns, label)).agg(F.avg("value")).first()[0] for name, fit in grid.items()}
+        best = (max if maximise else min)(means, key=lambda k: means[k])
+        part = predict(grid[best](train, columns, label), own.filter("role = 'val'"))
+        part = part.select("date", "symbol", "fold", F.col(label).alias("y_true"), "y_pred", F.lit(best).alias("selected"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def fit_calibrator(scores: DataFrame, p: str = "y_pred", y: str = "y_true", method: str = "auto") -> Callable[[DataFrame, str], DataFrame]:

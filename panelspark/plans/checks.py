@@ -244,18 +244,18 @@ def n10(spark, d):
 # --- models ---------------------------------------------------------------------------------------------------------
 
 
-def model_panel(spark, d, n_folds: int = 3):
+def model_panel(spark, d):
     """Rows with their folds and roles, as the model queries of the panel take them."""
     df = panel.simple_panel(spark, d).select("symbol", "date", *panel.MODEL_FEATURES, "tradeable_direction_1d", "tradeable_return_1d")
-    return tables.settled(assign(tables.settled(df), n_folds))
+    return tables.settled(assign(tables.settled(df)))
 
 
-def assign(df, n_folds: int = 3, test: int = 63, least: int = 126):
+def assign(df):
     index = calendar.session_index(df)
-    return folds.assign_folds(df, folds.fold_bounds(df.sparkSession, index.count(), n_folds=n_folds, test=test, min_train=least), index)
+    return folds.assign_folds(df, folds.fold_bounds(df.sparkSession, index.count()), index)
 
 
-_MODEL_ROLES = "SELECT t.*, fold, CASE WHEN i < start - 2 THEN 'train' WHEN i >= start AND i < start + 63 THEN 'val' END AS role FROM trimmed t JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM trimmed)) x USING (date), (SELECT unnest(range(3)) AS fold) f, LATERAL (SELECT n - (3 - fold) * 63 AS start) s"
+_MODEL_ROLES = "SELECT t.*, fold, CASE WHEN i < start - 2 THEN 'train' WHEN i >= start AND i < start + 126 THEN 'val' END AS role FROM trimmed t JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM trimmed)) x USING (date), (SELECT unnest(range(5)) AS fold) f, LATERAL (SELECT n - (5 - fold) * 126 AS start) s"
 
 
 @register("j5_baselines", sql.query("SELECT symbol, date, CAST(fold AS INTEGER) AS fold, round((SELECT avg(tradeable_direction_1d) FROM roles r WHERE r.role = 'train' AND r.fold = roles.fold), 6) AS mean_pred, CASE WHEN coalesce(return_1d, 0) > 0 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS momentum_pred FROM roles WHERE role = 'val'", "trimmed", roles=_MODEL_ROLES))
@@ -269,9 +269,17 @@ def j3(spark, d):
     return models.generate_oof(model_panel(spark, d), fit, panel.MODEL_FEATURES, "tradeable_direction_1d")
 
 
+@register("j7_nested_selection")
+def j7(spark, d):
+    """Ridge strengths chosen within each fold by the error on inner folds."""
+    df = tables.settled(panel.simple_panel(spark, d).select("symbol", "date", *panel.MODEL_FEATURES, "tradeable_return_1d"))
+    error = lambda o: metrics.regression_metrics(o, "y_true", "y_pred", ["fold"]).select("fold", F.col("mae").alias("value"))
+    return models.nested_walk_forward(df, {"10": models.fit_ridge(10.0), "1000": models.fit_ridge(1000.0)}, panel.MODEL_FEATURES, "tradeable_return_1d", error, maximise=False)
+
+
 def bases(spark, d):
     """Two base models' out-of-fold scores, settled: every fit above them reads them again."""
-    rows = model_panel(spark, d, 2)
+    rows = model_panel(spark, d)
     direction = models.generate_oof(rows, models.fit_logistic(), panel.MODEL_FEATURES, "tradeable_direction_1d")
     ridge = models.generate_oof(rows, models.fit_ridge(), panel.MODEL_FEATURES, "tradeable_return_1d")
     up = ridge.withColumn("y_true", (F.col("y_true") > 0).cast("double")).withColumn("y_pred", 1 / (1 + F.exp(-100 * F.col("y_pred"))))
@@ -279,7 +287,7 @@ def bases(spark, d):
 
 
 def meta_folds(meta):
-    return tables.settled(assign(meta, 2, 21, 42))
+    return tables.settled(assign(meta))
 
 
 @register("j8_stack_coefficients")
@@ -290,7 +298,7 @@ def j8(spark, d):
 
 @register("j12_ensemble_comparison")
 def j12(spark, d):
-    return ensemble.build_ensemble(bases(spark, d), meta_folds, blocks=2, min_rows=50).comparison
+    return ensemble.build_ensemble(bases(spark, d), meta_folds).comparison
 
 
 @register("j13_production_scores")

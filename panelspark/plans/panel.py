@@ -523,8 +523,8 @@ MODEL_FEATURES = ["return_1d", "return_5d", "volatility_20"]
 def out_of_fold(spark, d, fit, label):
     df = simple_panel(spark, d).select("symbol", "date", *MODEL_FEATURES, F.col(label).alias("label"))
     index = calendar.session_index(df)
-    bounds = folds.fold_bounds(spark, index.count(), n_folds=3, test=63, min_train=126)
-    return models.generate_oof(folds.assign_folds(df, bounds, index).cache(), fit, MODEL_FEATURES, "label")
+    bounds = folds.fold_bounds(spark, index.count())
+    return models.generate_oof(tables.settled(folds.assign_folds(df, bounds, index)), fit, MODEL_FEATURES, "label")
 
 
 @register("j6_logistic_out_of_fold")
@@ -539,8 +539,8 @@ def j2(spark, d):
 
 @register("j11_calibrated_out_of_fold")
 def j11(spark, d):
-    oof = out_of_fold(spark, d, models.fit_logistic(), "tradeable_direction_1d").cache()
-    return models.calibrate_out_of_fold(oof, folds.date_blocks(oof, 4), min_rows=100)
+    oof = tables.settled(out_of_fold(spark, d, models.fit_logistic(), "tradeable_direction_1d"))
+    return models.calibrate_out_of_fold(oof, folds.date_blocks(oof, 4))
 
 
 @register("j17_next_session_forecasts")

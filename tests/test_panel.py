@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.functions import ordered
 from panelspark.functions.kernels import ewm, expanding_percentile, inverse_normal
 from panelspark.operators import actions, calendar, decisions, features, folds, labels, metrics, models, monitoring, portfolio, quality, records
+from panelspark.plans import checks
+from panelspark.plans import panel as panel_plans
 from panelspark.sources import tables
 from panelspark.streaming import candles
 
@@ -150,6 +153,36 @@ def test_decisions_equal_a_sequential_pass(spark):
     assert [r[0] for r in kept] == [None]
 
 
+def test_sums_and_quantiles_of_groups_by_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, n, top in (("a", 3000, 400), ("b", 7, 3), ("c", 1, 1)) for v in rng.integers(0, top, n)] + [("a", 0.5), ("n", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.1, 0.37, 0.5, 0.9, 1.0]
+    for keys in (["g"], []):
+        got = {tuple(r[k] for k in keys): r["q"] for r in ordered.quantiles(df, keys, "v", probs, "q").collect()}
+        held = {}
+        for g, v in rows:
+            if v is not None:
+                held.setdefault((g,) if keys else (), []).append(v)
+        assert got.keys() == held.keys() and all(np.allclose(got[k], np.quantile(held[k], probs), atol=1e-12) for k in held)
+    one = df.filter("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    for r in ordered.running_before(one, ["g"], "v", {"s": F.col("n")}).collect():
+        own = [v for g, v in rows if g == r["g"] and v is not None]
+        assert r["s"] == sum(v < r["v"] for v in own) and r["s_total"] == len(own)
+
+
+def test_thresholds_count_each_row_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(p), float(r), float(e)) for p, r, e in zip(rng.random(400).round(2), rng.normal(0, 0.01, 400), rng.normal(0.004, 0.003, 400), strict=True)] + [(None, 0.1, 0.1), (0.7, None, 0.1)]
+    got = {round(r["buy"], 2): r for r in decisions.score_thresholds(spark.createDataFrame(rows, "calibrated double, realised double, expected_return double"), decisions.threshold_grid(spark)).collect()}
+    assert len(got) == 36
+    full = [x for x in rows if x[0] is not None and x[1] is not None]
+    for b, r in got.items():
+        own = [x[1] for x in full if x[0] >= b and x[2] >= decisions.ROUND_TRIP * decisions.FLOOR_MARGIN]
+        assert r["n_trades"] == len(own) and r["trade_rate"] == pytest.approx(len(own) / 400)
+        assert r["net_total"] == pytest.approx(sum(own) - decisions.ROUND_TRIP * len(own)) and (not own or r["gross"] == pytest.approx(np.mean(own)) and r["hit_rate"] == pytest.approx(np.mean([x > decisions.ROUND_TRIP for x in own])))
+
+
 def test_auc_counts_ties_half(spark):
     df = spark.createDataFrame([(1.0, 0.8), (0.0, 0.8), (1.0, 0.9), (0.0, 0.1)], "y double, p double")
     m = metrics.classification_metrics(df, "y", "p", []).first()
@@ -343,8 +376,9 @@ def test_models_out_of_fold(spark):
     assert all(r["auc"] > 0.85 for r in m)
     ridge = models.walk_forward(assigned, models.fit_ridge(), ["f1", "f2", "f3"], "r", lambda o: metrics.regression_metrics(o, "y_true", "y_pred", []))
     assert ridge.first()["information_coefficient"] > 0.7
-    best = models.nested_selection(assigned, {"noise": models.fit_logistic(1e-6), "good": models.fit_logistic()}, ["f1"], "y", lambda o: -metrics.classification_metrics(o, "y_true", "y_pred", []).first()["log_loss"])
-    assert best == "good"
+    loss = lambda o: metrics.classification_metrics(o, "y_true", "y_pred", ["fold"]).select("fold", F.col("log_loss").alias("value"))
+    nested = models.nested_walk_forward(df, {"noise": models.fit_logistic(1e-6), "good": models.fit_logistic(), "same": models.fit_logistic()}, ["f1"], "y", loss, 1, 60, 300, 2, maximise=False)
+    assert {r["selected"] for r in nested.select("selected").distinct().collect()} == {"good"} and nested.count() == 120
     cal = models.calibrate_out_of_fold(oof, folds.date_blocks(oof, 4), min_rows=50)
     assert cal.filter("calibrated < 0 or calibrated > 1").count() == 0 and cal.count() == 180
     model = models.fit_logistic()(df, ["f1", "f2", "f3"], "y")
@@ -354,6 +388,37 @@ def test_models_out_of_fold(spark):
     assert drop["f1"] > 0.2 > abs(drop["f2"])
 
 
+def closed_ridge(x, y, alpha):
+    m = y.mean()
+    w = np.linalg.solve(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ (y - m))
+    return lambda z: z @ w + m
+
+
+def closed_logistic(x, y, c):
+    w = models._solve_logistic(x, y, c)
+    return lambda z: 1 / (1 + np.exp(-(z @ w[:-1] + w[-1])))
+
+
+def test_linear_models_match_closed_forms_on_given_rows(spark):
+    """Out-of-fold scores of the given tables against numpy: medians and scales of the training rows, then normal equations or Newton steps."""
+    columns, d = ["return_1d", "return_5d", "volatility_20"], "/root/testdata/sf0.001"
+    df = panel_plans.simple_panel(spark, d).select("symbol", "date", *columns, "tradeable_return_1d", "tradeable_direction_1d")
+    assigned = checks.assign(tables.settled(df.withColumn("return_5d", F.when(F.dayofmonth("date") != 7, F.col("return_5d")))))
+    pdf = assigned.toPandas()
+    for fit, label, solve in ((models.fit_ridge(), "tradeable_return_1d", lambda x, y: closed_ridge(x, y, 10.0)), (models.fit_logistic(), "tradeable_direction_1d", lambda x, y: closed_logistic(x, y, 1.0))):
+        rows = pdf[pdf[label].notna()]
+        got = {(r["date"], r["symbol"], r["fold"]): r["y_pred"] for r in models.generate_oof(assigned, fit, columns, label).collect()}
+        assert len(got) == (rows["role"] == "val").sum() > 0
+        for fold, own in rows.groupby("fold"):
+            train, val = own[own["role"] == "train"], own[own["role"] == "val"]
+            middle = train[columns].median()
+            filled = train[columns].fillna(middle)
+            x, z = (filled - filled.mean()) / filled.std(ddof=0), (val[columns].fillna(middle) - filled.mean()) / filled.std(ddof=0)
+            want = solve(x.to_numpy(), train[label].to_numpy())(z.to_numpy())
+            have = np.array([got[k] for k in zip(val["date"], val["symbol"], val["fold"], strict=True)])
+            assert np.abs(have - want).max() < 1e-5 * max(1e-3, np.abs(want).max()) + 1e-7, (label, fold)
+
+
 def records_unique(df):
     return folds.repeated_keys(df).count() == 0
 
