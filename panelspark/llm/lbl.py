@@ -16,8 +16,9 @@ probabilities are normalised by batched matrix products on two levels: groups
 of types with alike target vectors, then the types of the group. A group's mass
 is the second-order expansion of the sum over its types.
 
-Counts of common words travel with the scoring tasks; the rest of a document's
-words meet their counts in a join, so any vocabulary will do.
+Counts of common words travel with the tasks; the rest of a document's words
+meet their counts in a join, so any vocabulary will do. Texts are read twice:
+for the counts, and to be written as types, which training and scoring read.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from panelspark.llm.common import map_texts, remainder, saved, text_of
 FOLDS = 5
 PAD, END = 0, 1
 #: Words with vectors of their own, at most; how often such a word occurs, at least; classes of all others.
-FREQUENT, LEAST, CLASSES = 16_384, 3, 1_024
+FREQUENT, LEAST, CLASSES = 14_336, 3, 1_024
 #: Words whose counts travel with the scoring tasks, at most.
 COMMON = 1 << 18
 #: Distinct words that a counting task holds before it passes its sums on.
@@ -49,7 +50,7 @@ HELD = 400_000
 SAMPLE = 2_000_000
 WIDTH, BATCH, RATE, SEED = 24, 2_048, 0.1, 3
 #: Noise types in a step of the driver and of a task.
-NOISE, FEW_NOISE = 128, 24
+NOISE, FEW_NOISE = 128, 20
 #: The driver goes over a sample of n tokens about sqrt(PASSES / n) times.
 PASSES = 12_000_000
 #: The rate of the tasks, as a part of the driver's.
@@ -390,19 +391,51 @@ class Normaliser:
         return out
 
 
-def sequences(texts: DataFrame, sent) -> DataFrame:
-    """(types): the type sequence of each batch of texts, as little-endian 32-bit numbers."""
+#: Types as they are written, two bytes each.
+CODE = "<u2"
+CODED = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, in_class double, types binary, rest array<long>, times array<int>, cls array<int>"
+
+
+def coded(rows: DataFrame, sent) -> DataFrame:
+    """Each row of (doc_id, held_out, text) with its types and what common words tell of it.
+
+    base_score and in_class, the sum of log10 P(word | class), lack the words of
+    ``rest``: hashes of those that aren't common, with times and class of each.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = Coder(sent.value)
+        own, at = sent.value, TaskContext.get().partitionId() << 40
+        code = Coder(own)
         for pdf in batches:
             codes, sizes = code(list(pdf["text"]))
-            yield pd.DataFrame({"types": [type_sequence(code.kind[codes], sizes)[0].tobytes()]})
+            h, c, kinds, cls = code.hash, code.count, code.kind, code.cls
+            base = np.where(c >= 0, own.base_log(np.maximum(c, 0)), 0.0)
+            extra = np.where((c >= 0) & (kinds >= own.first_class), np.log10(np.maximum(c - own.discount, 0.01)) - own.class_log10[cls], 0.0)
+            n = len(pdf)
+            of = np.repeat(np.arange(n), sizes)
+            seq = type_sequence(kinds[codes], sizes)[0].astype(CODE)
+            out = {"doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "row": at + np.arange(n), "n_tokens": sizes + 1}
+            at += n
+            out["n_known"] = np.bincount(of, c[codes] >= 0, n).astype(np.int64) + (own.ends > 0)
+            out["base_score"] = np.bincount(of, base[codes], n) + own.base_log(np.array([own.ends]))[0]
+            out["in_class"] = np.bincount(of, extra[codes], n)
+            out["types"] = [x.tobytes() for x in np.split(seq, np.cumsum(sizes + 3)[:-1])]
+            rare = np.flatnonzero(c[codes] < 0)
+            pairs, times = np.unique(of[rare] * len(h) + codes[rare], return_counts=True) if len(rare) else (np.zeros(0, dtype=np.int64),) * 2
+            cuts = np.searchsorted(pairs // max(1, len(h)), np.arange(1, n))
+            word = pairs % max(1, len(h))
+            for name, values in (("rest", h[word]), ("times", times.astype(np.int32)), ("cls", cls[word].astype(np.int32))):
+                out[name] = np.split(values, cuts)
+            yield pd.DataFrame({k: list(x) if k in ("rest", "times", "cls") else x for k, x in out.items()})
+
+    return map_texts(rows, run, CODED)
 
-    return map_texts(texts, run, "types binary")
 
+def _types(raws) -> np.ndarray:
+    return np.frombuffer(b"".join(raws), dtype=CODE).astype(np.int32)
 
-def tasks_vectors(texts: DataFrame, sent, start) -> DataFrame:
+
+def tasks_vectors(types: DataFrame, sent, start) -> DataFrame:
     """(block, sums): what training from ``start`` in every task gives, summed by how often the task met a type.
 
     A row of a block, for ``ROW`` types, has the times met, then that many
@@ -415,10 +448,9 @@ def tasks_vectors(texts: DataFrame, sent, start) -> DataFrame:
         words, model = sent.value, start.value.copy()
         rng = np.random.default_rng([SEED, TaskContext.get().partitionId()])
         cdf = np.cumsum(words.mass / words.mass.sum())
-        trained, code = 0, Coder(words)
+        trained = 0
         for pdf in batches:
-            codes, sizes = code(list(pdf["text"]))
-            seq = type_sequence(code.kind[codes], sizes)[0]
+            seq = _types(pdf["types"])
             for a in range(0, len(seq) - 2, BATCH):
                 model.step(seq[a : a + BATCH + 2], words, cdf, rng, LATER * RATE, FEW_NOISE)
             trained += len(seq)
@@ -437,13 +469,10 @@ def tasks_vectors(texts: DataFrame, sent, start) -> DataFrame:
                 held[block] = held[block] + x if block in held else x.astype(np.float64)
         yield pd.DataFrame({"block": list(held), "sums": [x.tobytes() for x in held.values()]})
 
-    parts = map_texts(texts, train, schema)
+    parts = map_texts(types, train, schema)
     return parts.repartition("block").mapInPandas(add, schema)
 
 
-PARTIAL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<int>, cls array<int>"
-
-
 def score(docs: DataFrame, common: int = COMMON, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs, repeated ones too.
 
@@ -456,48 +485,32 @@ def score(docs: DataFrame, common: int = COMMON, sample: int = SAMPLE) -> DataFr
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", FOLDS) == 1).alias("held_out"), text_of().alias("text"))
-    train = rows.filter("not held_out").select("doc_id", "text")
-    counts = saved(word_counts(train.select("text")), "lm-words")
-    words = lexicon(counts, train.count(), common)
+    counts = saved(word_counts(rows.filter("not held_out").select("text")), "lm-words")
+    words = lexicon(counts, rows.filter("not held_out").count(), common)
     sent = spark.sparkContext.broadcast(words)
+    part = saved(coded(rows, sent), "lm-types")
     model = Model.new(words.mass)
     if words.total:
+        train = part.filter("not held_out").select("doc_id", "types")
         share = min(1_000_000, math.ceil(1_000_000 * sample / words.total))
-        some = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share).select("text")
-        seq = np.concatenate([np.frombuffer(r["types"], dtype=np.int32) for r in sequences(some, sent).toLocalIterator()] or [np.zeros(0, np.int32)])
+        some = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share)
+        seq = _types([bytes(r["types"]) for r in some.select("types").toLocalIterator()])
         model = fit(seq, words, model, max(1.0, math.sqrt(PASSES / max(1, len(seq)))))
         start = spark.sparkContext.broadcast(model)
-        model = model.average(saved(tasks_vectors(train.select("text"), sent, start), "lm-vectors").toPandas())
+        model = model.average(saved(tasks_vectors(train.select("types"), sent, start), "lm-vectors").toPandas())
     final = spark.sparkContext.broadcast(model)
+    kept = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score"]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, normal, at = sent.value, Normaliser(final.value), TaskContext.get().partitionId() << 40
-        code = Coder(own)
+    def add_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        normal = Normaliser(final.value)
         for pdf in batches:
-            codes, sizes = code(list(pdf["text"]))
-            h, c, kinds, cls = code.hash, code.count, code.kind, code.cls
-            seq, owner = type_sequence(kinds[codes], sizes)
+            seq = _types(pdf["types"])
             place = np.flatnonzero(seq != PAD)
+            owner = np.repeat(np.arange(len(pdf)), pdf["types"].str.len() // np.dtype(CODE).itemsize)
             log = normal.log10(seq[place - 2], seq[place - 1], seq[place])
-            base = np.where(c >= 0, own.base_log(np.maximum(c, 0)), 0.0)
-            in_class = (c >= 0) & (kinds >= own.first_class)
-            extra = np.where(in_class, np.log10(np.maximum(c - own.discount, 0.01)) - own.class_log10[cls], 0.0)
-            n = len(pdf)
-            of = np.repeat(np.arange(n), sizes)
-            out = {"doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "row": at + np.arange(n), "n_tokens": sizes + 1}
-            at += n
-            out["n_known"] = np.bincount(of, c[codes] >= 0, n).astype(np.int64) + (own.ends > 0)
-            out["base_score"] = np.bincount(of, base[codes], n) + own.base_log(np.array([own.ends]))[0]
-            out["score"] = np.bincount(owner[place], log, n) + np.bincount(of, extra[codes], n)
-            rare = np.flatnonzero(c[codes] < 0)
-            pairs, times = np.unique(of[rare] * len(h) + codes[rare], return_counts=True) if len(rare) else (np.zeros(0, dtype=np.int64),) * 2
-            cuts = np.searchsorted(pairs // max(1, len(h)), np.arange(1, n))
-            word = pairs % max(1, len(h))
-            for name, values in (("rest", h[word]), ("times", times.astype(np.int32)), ("cls", cls[word].astype(np.int32))):
-                out[name] = np.split(values, cuts)
-            yield pd.DataFrame({k: list(x) if k in ("rest", "times", "cls") else x for k, x in out.items()})
+            yield pdf[kept].assign(score=pdf["in_class"].to_numpy() + np.bincount(owner[place], log, len(pdf)))
 
-    part = saved(map_texts(rows, partial, PARTIAL), "lm-partial")
+    scored = map_texts(part.select(*kept, "in_class", "types"), add_scores, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double")
     one = part.select("row", F.explode(F.arrays_zip("rest", "times", "cls")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"), F.col("x.cls").alias("cls"))
     by_class = spark.createDataFrame(pd.DataFrame({"cls": np.arange(CLASSES, dtype=np.int32), "mass": words.class_log10, "unknown": words.unknown_log10}))
     rare = one.join(counts.select("h", "n"), "h", "left").withColumn("n", F.coalesce("n", F.lit(0))).join(F.broadcast(by_class), "cls")
@@ -507,6 +520,6 @@ def score(docs: DataFrame, common: int = COMMON, sample: int = SAMPLE) -> DataFr
         F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / (words.total + 0.5 * (words.distinct + 1)))).alias("b"),
         F.sum(F.col("times") * in_class).alias("s"),
     )
-    both = part.drop("rest", "times", "cls").join(added, F.col("row") == F.col("_row"), "left")
+    both = scored.join(added, F.col("row") == F.col("_row"), "left")
     more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return both.select("doc_id", "held_out", "n_tokens", more("n_known", "k").alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), more("base_score", "b").alias("base_score"), more("score", "s").alias("score"))
