@@ -11,6 +11,7 @@ as wide as the widest rule, so neighbours in the row settle every containment: n
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,14 +236,25 @@ WINDOW = max(len(p.replace("{1,12}", " " * 11).replace("{1,8}", " " * 7).replace
 ANCHORS = sorted({r.anchor for r in RULES})
 #: The prefilter: no rule and no base phrase matches a text without one of these words.
 GATE = r"(?i)(?<![a-z0-9])(?:" + "|".join([*ANCHORS, "licence"]) + r")(?![a-z0-9])"
-#: Many anchors are common words; a text needs one of these besides.
+#: Many anchors are common words; a text needs one of these besides: a word's beginning, or a phrase.
+TOPICS = ("licens", "licenc", "copyright", "spdx", "redistribut", "permission", "unencumbered")
+#: Looked for only in texts that hold the word named first.
 #: Words of a phrase may have anything between them that is no word: line breaks, several spaces, punctuation.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_PHRASES = (
-    "rights reserved", "under (?:the )?(?:mit|isc|bsd|apache|a?l?gpl|mpl|epl|cc)", "public domain", "artistic control", "mozilla org", "not be used in advertising", "advertising materials", "must not be misrepresented", "not be misrepresented", "apache software foundation", "internal use only", "and confidential", "may be reproduced",
-    "unauthorized copying", "implied warrant", "without warranty", "medium or format", "you may not distribute", "for commercial purposes", "reserved font name", "endorse or promote", "without restriction", "modify publish use compile",
-)
-TOPIC = "(?i)licen[sc]e|copyright|spdx|redistribut|permission|unencumbered|" + "|".join(p.replace(" ", _GAP).replace(f"the{_GAP})?", f"the{_GAP})?") for p in _PHRASES)
+PHRASES = [
+    ("reserved", "rights reserved"), ("reserved", "reserved font name"), ("under", "under (?:the )?(?:mit|isc|bsd|apache|a?l?gpl|mpl|epl|cc)"), ("domain", "public domain"), ("artistic", "artistic control"), ("mozilla", "mozilla org"), ("advertising", "advertising (?:materials|or otherwise)"),
+    ("misrepresented", "be misrepresented"), ("foundation", "apache software foundation"), ("internal", "internal use only"), ("confidential", "and confidential"), ("reproduced", "may be reproduced"), ("unauthorized", "unauthorized copying"), ("warrant", "implied warrant"), ("warrant", "without warranty"),
+    ("format", "medium or format"), ("distribute", "not distribute"), ("commercial", "for commercial purposes"), ("endorse", "endorse or promote"), ("restriction", "without restriction"), ("compile", "use compile"),
+]
+
+
+def topical(low: Column) -> Column:
+    """Whether a lower-case text may be about rights at all; never stricter than the rules. Most texts end here."""
+    tests = [low.contains(t) for t in TOPICS]
+    tests += [low.contains(word) & low.rlike(phrase.replace(" ", _GAP)) for word, phrase in PHRASES]
+    return reduce(lambda a, b: a | b, tests)
+
+
 HIT = "struct<start:int,end:int,rule:int,label:string,confidence:double>"
 
 
@@ -268,8 +280,8 @@ def scan(docs: DataFrame) -> DataFrame:
     confidence) in words, end exclusive; base phrases are never suppressed.
     score is the highest confidence found.
     """
-    df = docs.select("doc_id", text_of().alias("_t"))
-    gated = F.col("_t").rlike(TOPIC) & F.col("_t").rlike(GATE)
+    df = docs.select("doc_id", text_of().alias("_t")).withColumn("_low", F.lower("_t"))
+    gated = topical(F.col("_low")) & F.col("_t").rlike(GATE)
     tokens = F.when(gated, F.regexp_extract_all(lower_ascii(F.col("_t")), F.lit(WORDS), F.lit(0)))
     df = df.select("doc_id", F.regexp_count("_t", F.lit(WORDS)).cast("long").alias("n_words"), tokens.alias("_w"))
     w = F.col("_w")

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from panelspark.llm import license_scan
 from tests.llm.helpers import EDGES, docs, rows
 
@@ -15,7 +17,7 @@ def test_gated_and_ungated_scans_agree(spark, monkeypatch):
     texts += [(3000 + i, "\n".join(f"{r.before} {r.anchor} {r.after}".split())) for i, r in enumerate(license_scan.RULES) if not re.search(r"[(\[]", r.before + r.after)]
     texts += [(6000 + i, f"under\n{b.replace('-', '\n').lower()}") for i, b in enumerate(license_scan.BARE)]
     gated = rows(license_scan.scan(docs(spark, texts)))
-    monkeypatch.setattr(license_scan, "TOPIC", "")
+    monkeypatch.setattr(license_scan, "topical", lambda text: F.lit(True))
     monkeypatch.setattr(license_scan, "GATE", "")
     assert gated == rows(license_scan.scan(docs(spark, texts)))
     labels = {r[0]: r[6] for r in gated}
