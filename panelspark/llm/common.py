@@ -48,16 +48,42 @@ def shared_folder(spark: SparkSession) -> str:
     return told
 
 
+#: Folders that :func:`saved` has written and nothing has removed yet.
+_WRITTEN: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back.
 
     Cuts the lineage, so that later jobs neither repeat the work nor lose it
-    with an executor.
+    with an executor. Results that are lazy may need it until they are written;
+    then :func:`clear` removes it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.remove(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the folders of tables of :func:`saved` that nothing lazy reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.saved_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes every intermediate table of this driver. Results of the operators must have been written before."""
+    for path in list(_WRITTEN):
+        _remove(spark, path)
 
 
 def broadcast_if(small: DataFrame, rows: int, most: int) -> DataFrame:
