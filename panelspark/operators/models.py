@@ -8,6 +8,8 @@ losses, not a mean.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,8 @@ from panelspark.operators.folds import assign_folds, fold_bounds
 from panelspark.sources.tables import settled
 
 Fit = Callable[[DataFrame, list[str], str], PipelineModel]
+#: Folds that are fitted at a time.
+AT_ONCE = 4
 
 
 def _scaled(train: DataFrame, columns: list[str], label: str) -> tuple[list, int, float]:
@@ -89,13 +93,17 @@ def baselines(assigned: DataFrame, label: str) -> DataFrame:
 def generate_oof(assigned: DataFrame, fit: Fit, columns: list[str], label: str) -> DataFrame:
     """(date, symbol, fold, y_true, y_pred) of every fold's validation rows, each by a model fitted on its training rows."""
     rows = assigned.filter(F.col(label).isNotNull())
-    out = None
-    for fold in [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]:  # a handful
+
+    def one(fold: int) -> DataFrame:
         own = rows.filter(F.col("fold") == fold)
         model = fit(own.filter("role = 'train'"), columns, label)
-        part = predict(model, own.filter("role = 'val'")).select("date", "symbol", "fold", F.col(label).alias("y_true"), "y_pred")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return predict(model, own.filter("role = 'val'")).select("date", "symbol", "fold", F.col(label).alias("y_true"), "y_pred")
+
+    found = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # a handful
+    # Folds are independent jobs, a few of them at a time.
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        parts = list(pool.map(one, found))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def walk_forward(assigned: DataFrame, fit: Fit, columns: list[str], label: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:

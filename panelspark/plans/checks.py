@@ -265,8 +265,7 @@ def j5(spark, d):
 
 @register("j3_boosted_out_of_fold")
 def j3(spark, d):
-    fit = models.fit_boosted_direction(trees=10, least=50)
-    return models.generate_oof(model_panel(spark, d), fit, panel.MODEL_FEATURES, "tradeable_direction_1d")
+    return models.generate_oof(model_panel(spark, d), models.fit_boosted_direction(), panel.MODEL_FEATURES, "tradeable_direction_1d")
 
 
 @register("j7_nested_selection")
