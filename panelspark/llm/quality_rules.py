@@ -237,5 +237,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_TRAINING) -> DataFrame:
-    """The rows of docs that are kept, with the same columns."""
+    """The rows of docs that are kept, with the same columns; repeated rows fare alike.
+
+    A null text counts as empty and fails; a null doc_id is judged by its text.
+    An empty table gives an empty one.
+    """
     return _judged(docs, train(docs, labels, most), threshold).filter("_kept").select(*docs.columns)

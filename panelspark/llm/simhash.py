@@ -98,7 +98,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs, with the same columns, with one row of each component: that of the smallest doc_id.
 
     Null ids come last; among rows of one id, that of the smallest text hash
-    stays, and of identical rows one.
+    stays, and of identical rows one. A null text counts as empty; an empty
+    table gives an empty one.
     """
     fps, nodes = classes(docs, radius)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("best")
