@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again before the next."""
+"""A corpus pipeline of five stages, each written as Parquet and read again before the next.
+
+Every stage takes null ids, texts and sources, repeated rows and tables without
+rows, as its operator says; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
