@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import ann, bpe, html_extract, lbl, license_scan, mil_quality, mixing, quality_rules, secret_scan, simhash
+from panelspark.llm import align, ann, bpe, html_extract, lbl, license_scan, mil_quality, mixing, packing, quality_rules, secret_scan, simhash, whitening
 from panelspark.llm.common import read
 
 
@@ -53,5 +53,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_quality_classifier, op3_license_scans, op4_lm_scoring, op5_simhash_near_dedup, op6_mixing_sources, op7_secret_scans, op8_byte_bpe, op9_quality_rules, op10_html_extraction)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_quality_classifier, op3_license_scans, op4_lm_scoring, op5_simhash_near_dedup, op6_mixing_sources, op7_secret_scans, op8_byte_bpe, op9_quality_rules, op10_html_extraction, op11_token_alignment, op12_packing, op13_whitening)}
 ORACLE_SQL = {"op6_mixing_sources": mixing.ORACLE.format(docs="documents")}
