@@ -108,7 +108,7 @@ def _clear(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 def vectors_of(diagonal: np.ndarray, beside: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Unit eigenvectors of the given falling eigenvalues, as columns."""
-    scale = max(np.abs(values).max(), np.abs(diagonal).max(), np.abs(beside).max(initial=0)) or 1.0
+    scale = max(np.abs(values).max(), np.abs(diagonal).max(), np.abs(beside).max(initial=0), EPS)
     rng, found, cluster = np.random.default_rng(0), [], []
     for j, value in enumerate(values):
         if j and values[j - 1] - value > CLUSTER * scale:
@@ -125,13 +125,14 @@ def vectors_of(diagonal: np.ndarray, beside: np.ndarray, values: np.ndarray) ->
 
 def principal(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest eigenvalues of a symmetric matrix, falling, and unit eigenvectors as columns."""
-    diagonal, beside, reflections = tridiagonal(matrix)
+    size = np.abs(matrix).max() or 1.0
+    diagonal, beside, reflections = tridiagonal(matrix / size)
     values = leading_values(diagonal, beside, k)
     vectors = vectors_of(diagonal, beside, values)
     for i in range(len(reflections) - 1, -1, -1):
         v = reflections[i]
         vectors[i + 1 :] -= 2 * np.outer(v, v @ vectors[i + 1 :])
-    return values, vectors
+    return values * size, vectors
 
 
 def points(embeddings: DataFrame) -> DataFrame:
