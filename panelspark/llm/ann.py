@@ -10,10 +10,13 @@ that a closer vector would have shown up before with probability ``sure``.
 The projected points are dealt out by a kd-tree whose planes are fitted on a
 bounded sample; every vector is indexed. A query searches in rounds: its own
 cell, then the few nearest ones, then all others that the test does not rule
-out; each round starts from the k-th distance found so far. A round ships
-queries to the cells that they visit and a cell's points once for each
-``QUERIES`` visits of it. Cells that outgrow their share are split by a hash of
-the key, so that a task holds a bounded block of points and of queries.
+out; each round starts from the k-th distance found so far. Cells are small,
+and ``SHARD`` neighbouring ones, a subtree, make a shard: a round ships a query
+once to each shard with a cell that it visits, and there the points of all
+these cells are taken in projected order together. A shard's points are
+shipped once for each ``QUERIES`` visits of it. Shards that outgrow their share
+are split by a hash of the key, so that a task holds a bounded block of points
+and of queries.
 
 Equal vectors are one point, with the smallest of their ids: more of them than
 a result has places can never be in one.
@@ -34,15 +37,15 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import broadcast_if, saved
 
-PROJECTED = 24
+PROJECTED = 48
 SURE = 0.9
 #: Points that the trees' planes are fitted on, at most; those for each cell, at least; points in a cell, about.
-MAX_SAMPLE, SAMPLED, CELL = 131_072, 16, 4_096
-#: Queries that visit a cell in one task, about; cells in the second round.
-QUERIES, NEAR = 4_096, 4
+MAX_SAMPLE, SAMPLED, CELL = 131_072, 16, 128
+#: Cells of a shard; queries that visit a shard in one task, about; cells in the second round.
+SHARD, QUERIES, NEAR = 32, 4_096, 8
 #: Queries searched as one block; projected neighbours up to which each step verifies.
-BLOCK, STEPS = 128, (32, 256, 2_048)
-MAX_BROADCAST_CELLS = 20_000
+BLOCK, STEPS = 128, (8, 16, 32, 64, 128, 256, 512, 1_024, 2_048)
+MAX_BROADCAST_SHARDS = 20_000
 SEED = 23
 
 
@@ -135,15 +138,15 @@ class Points:
     p: np.ndarray
     first: np.ndarray
 
-    def search(self, q: np.ndarray, q_norms: np.ndarray, qp: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(query, point, score) of the k best points verified for each query, and how many were verified.
+    def search(self, q: np.ndarray, q_norms: np.ndarray, qp: np.ndarray, bound: np.ndarray, visited: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query, point, score) of the k best points verified for each query, of those visited, and how many were verified.
 
         Projected neighbours are verified in order, a step of them at a time for
         the whole block of queries, until the next one fails the test.
         """
         gap = np.maximum((qp**2).sum(axis=1)[:, None] + (self.p**2).sum(axis=1) - 2 * qp @ self.p.T, 0)
         square = bound + 1e-9
-        qi, pi = np.nonzero(gap <= limit * square[:, None])
+        qi, pi = np.nonzero(visited & (gap <= limit * square[:, None]))
         order = np.lexsort((gap[qi, pi], qi))
         qi, pi = qi[order], pi[order]
         near, rank = gap[qi, pi], _ranks(qi)
@@ -218,7 +221,8 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 5, vector: str = "embedd
     is null, empty, zero, or holds null or non-finite numbers. Vectors of
     different lengths have no cosine; those of each length search one another.
     Ids that are repeated with one vector count once. Fewer candidates than k
-    give fewer rows, an empty table none. ``told`` gets the counts "points",
+    give fewer rows, an empty table none. Each length of vectors has a tree of
+    its own in the driver, so lengths should be few. ``told`` gets the counts "points",
     "queries" and "verified" (pairs whose true distance was computed).
     """
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -239,7 +243,8 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 5, vector: str = "embedd
 
     some = reps.filter(F.crc32("key") % 1_000_000 < share).mapInPandas(project, "d int, p array<double>").toPandas()
     trees = {d: build(np.array(some["p"][some["d"] == d].tolist(), dtype=float).reshape(-1, m), n, cell) for d, n in lengths.items()}
-    first_cell = dict(zip(trees, np.cumsum([0, *(2**t.depth for t in trees.values())]).tolist(), strict=False))
+    # A shard has cells of one length only.
+    first_cell = dict(zip(trees, np.cumsum([0, *(-(-(2**t.depth) // SHARD) * SHARD for t in trees.values())]).tolist(), strict=False))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -248,37 +253,42 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 5, vector: str = "embedd
                 yield own.assign(p=[x.tobytes() for x in p], cell=first_cell[d] + trees[d].cell(p))
 
     placed = saved(reps.mapInPandas(place, "key binary, v binary, ids array<long>, asked boolean, p binary, cell long"), "ann-cells")
-    # A cell that the bounded sample left too large is dealt out by a hash; its visitors visit all parts.
-    parts = saved(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * cell)).cast("int").alias("parts")), "ann-parts")
-    n_cells = parts.count()
-    few = lambda df: broadcast_if(df, n_cells, MAX_BROADCAST_CELLS)
-    points = placed.join(few(parts), "cell").withColumn("part", (F.crc32("key") % F.col("parts")).cast("int")).drop("parts")
+    # A shard that the bounded sample left too large is dealt out by a hash; its visitors visit all parts.
+    shard_of = lambda c: F.floor(c / SHARD)
+    parts = saved(placed.groupBy(shard_of(F.col("cell")).alias("shard")).agg(F.ceil(F.count(F.lit(1)) / (2 * cell * SHARD)).cast("int").alias("parts")), "ann-parts")
+    n_shards = parts.count()
+    few = lambda df: broadcast_if(df, n_shards, MAX_BROADCAST_SHARDS)
+    points = placed.withColumn("shard", shard_of(F.col("cell"))).join(few(parts), "shard").withColumn("part", (F.crc32("key") % F.col("parts")).cast("int")).drop("parts")
     verified = spark.sparkContext.accumulator(0)
 
     def search(queries: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, hits = [], []
-        if len(queries) and len(pdf):
-            held = Points(*_scaled(pdf["v"]), _matrix(pdf["p"], m), np.array([i[0] for i in pdf["ids"]], dtype=np.int64))
-            ids = list(pdf["ids"])
-            for at in range(0, len(queries), BLOCK):
-                part = queries.iloc[at : at + BLOCK]
-                qi, pi, s, seen = held.search(*_scaled(part["v"]), _matrix(part["p"], m), part["bound"].to_numpy(dtype=float), keep, limit)
-                verified.add(seen)
-                own: dict[int, list] = {}
-                for a, b, c in zip(qi.tolist(), pi.tolist(), s.tolist(), strict=True):
-                    own.setdefault(a, []).extend({"vec_id": int(i), "score": c} for i in ids[b])
-                keys += [part["key"].iloc[a] for a in own]
-                hits += own.values()
-        return _frame({"key": keys, "hits": hits})
+        if not len(queries) or not len(pdf):
+            return _frame({"key": [], "hits": []})
+        held = Points(*_scaled(pdf["v"]), _matrix(pdf["p"], m), np.array([i[0] for i in pdf["ids"]], dtype=np.int64))
+        (v, norms), p, bound = _scaled(queries["v"]), _matrix(queries["p"], m), queries["bound"].to_numpy(dtype=float)
+        cells, of = np.unique(pdf["cell"].to_numpy(), return_inverse=True)
+        own_q, own_p, own_s = [], [], []
+        for at in range(0, len(queries), BLOCK):
+            q = slice(at, at + BLOCK)
+            visited = np.array([np.isin(cells, c) for c in queries["cells"].iloc[q]])
+            qi, pi, s, seen = held.search(v[q], norms[q], p[q], bound[q], visited[:, of], keep, limit)
+            verified.add(seen)
+            own_q, own_p, own_s = own_q + (qi + at).tolist(), own_p + pi.tolist(), own_s + s.tolist()
+        hits: dict[int, list] = {}
+        ids = list(pdf["ids"])
+        for a, b, c in zip(own_q, own_p, own_s, strict=True):
+            hits.setdefault(a, []).extend({"vec_id": int(i), "score": c} for i in ids[b])
+        return _frame({"key": [queries["key"].iloc[a] for a in hits], "hits": hits.values()})
 
     def visit(queries: DataFrame, name: str) -> DataFrame:
-        """(key, hits) of the queries (key, v, p, bound, cells) in their cells, a row for each cell with any."""
-        go = queries.withColumn("cell", F.explode("cells")).drop("cells")
-        load = saved(go.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks")), f"ann-{name}-load")
-        go = go.join(few(load), "cell").join(few(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        """(key, hits) of the queries (key, v, p, bound, cells) in their cells, a row for each part of a shard with any."""
+        go = queries.withColumn("shard", F.explode(F.array_distinct(F.transform("cells", shard_of))))
+        go = go.withColumn("cells", F.filter("cells", lambda c: shard_of(c) == F.col("shard")))
+        load = saved(go.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks")), f"ann-{name}-load")
+        go = go.join(few(load), "shard").join(few(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         go = go.withColumn("chunk", (F.crc32("key") % F.col("chunks")).cast("int")).drop("parts", "chunks")
-        target = points.drop("key", "asked").join(few(load), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-        by, n = ["cell", "part", "chunk"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+        target = points.drop("key", "asked").join(few(load), "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        by, n = ["shard", "part", "chunk"], int(spark.conf.get("spark.sql.shuffle.partitions"))
         return go.repartition(n, *by).groupBy(*by).cogroup(target.repartition(n, *by).groupBy(*by)).applyInPandas(search, f"key binary, {HITS}")
 
     def after(queries: DataFrame, found: DataFrame, name: str) -> DataFrame:
