@@ -17,7 +17,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -92,7 +93,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """
     nodes, pieces = [Node("#root", -1)], []
     stack = [0]  # open blocks
-    opened: Counter[str] = Counter()
+    #: Depths of the open elements of each tag, so that the nearest one is found without walking the stack.
+    opened: defaultdict[str, list[int]] = defaultdict(list)
     in_link = 0
     #: Open inline elements by name, each with its depth, the block there and whether it is a node.
     inline: dict[str, list[tuple[int, int, bool]]] = {}
@@ -108,10 +110,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if in_link:
                     nodes[top].links += count
 
+    def nearest(tags: Iterable[str]) -> int:
+        """The depth of the innermost open element of these tags; 0 without any."""
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
+
     def pop_to(depth: int) -> None:
         nonlocal in_link
         if len(stack) > depth:
-            opened.subtract(nodes[i].tag for i in stack[depth:])
+            for i in stack[depth:]:
+                opened[nodes[i].tag].pop()
             ends = any(not nodes[i].inline for i in stack[depth:])
             del stack[depth:]
             if ends:
@@ -144,7 +151,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 pieces.append((stack[-1], None))
                 continue
             if opened[name]:
-                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == name))
+                pop_to(opened[name][-1])
             continue
         if not start:
             if m.group().startswith("<![CDATA["):
@@ -160,8 +167,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             inline.setdefault(name, []).append((len(stack), stack[-1], is_node))
             if is_node:
                 nodes.append(Node(name, stack[-1], cues, hidden, inline=True))
+                opened[name].append(len(stack))
                 stack.append(len(nodes) - 1)
-                opened[name] += 1
             continue
         if name in VOID:
             if name == "br":
@@ -172,19 +179,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if name == "body" and opened["body"]:
             continue
         if name in ENDS_P and opened["p"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == "p":
-                    pop_to(k)
-                    break
-                if nodes[stack[k]].tag in ("td", "th", "button", "table"):
-                    break
-        elif name in CLOSES and any(opened[t] for t in CLOSES[name]):
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in SCOPES[name]:
-                    break
-                if nodes[stack[k]].tag in CLOSES[name]:
-                    pop_to(k)
-                    break
+            if nearest(("p",)) > nearest(("td", "th", "button", "table")):
+                pop_to(nearest(("p",)))
+        elif name in CLOSES and nearest(CLOSES[name]) > nearest(SCOPES[name]):
+            pop_to(nearest(CLOSES[name]))
         if name in ("body", "main", "article", "nav", "div", "header", "footer") and nodes[stack[-1]].tag == "head":
             pop_to(len(stack) - 1)
         cues, hidden = _attributes(name, m.group(3))
@@ -197,8 +195,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             at = close.end() if close else n
             continue
         if not (m.group().endswith("/>") and name in RAW):
+            opened[name].append(len(stack))
             stack.append(me)
-            opened[name] += 1
             in_link = 0
     return nodes, pieces
 

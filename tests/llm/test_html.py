@@ -67,6 +67,6 @@ def test_broken_markup_is_read_in_linear_time():
     assert "kept" in h.extract("<article><h1>A title here</h1><p title=it's>All of this is kept in the text.</p><p>And it's \"this\" kept too.</p></article>", m)
     assert "kept" in h.extract('<article><h1>A title here</h1><p title="open>One more line, lost or not.</p><p>Much of this is kept here.</p></article>', m)
     began = time.time()
-    for page in ("<div>" * 50_000, "<li>" * 50_000, "</p>" * 50_000, "<p " * 50_000, "<ul><li>" * 20_000 + "x" + "</ul>" * 20_000, '<a href="' * 2_000):
+    for page in ("<div>" * 50_000, "<li>" * 50_000, "</p>" * 50_000, "<p " * 50_000, "<ul><li>" * 20_000 + "x" + "</ul>" * 20_000, '<a href="' * 2_000, "<p><button>" + "<div>" * 50_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000):
         h.extract(page, m)
     assert time.time() - began < 60
