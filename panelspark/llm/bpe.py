@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import map_texts, text_of
+from panelspark.llm.common import map_texts, saved, text_of
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -118,14 +118,16 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [encode_chunk(t, n, last, path, pattern, chunk, overlap) for t, n, last in zip(pdf["part"], pdf["no"], pdf["no"] + 1 == pdf["parts"], strict=True)]
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(found, columns=["cuts", "ids", "n_head"])], axis=1)
+            yield pd.concat([pdf[["key", "no"]].reset_index(drop=True), pd.DataFrame(found, columns=["cuts", "ids", "n_head"])], axis=1)
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no")
         ids = stitch(pdf[["cuts", "ids", "n_head"]].to_dict("records"))
-        if ids is None:
-            ids = _raw(_encoding(path, pattern).encode_ordinary("".join(t[:chunk] for t in pdf["part"])))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n_tokens": len(ids) // 4, "ids": [ids]})
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "ids": [ids]})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "ids": [_raw(_encoding(path, pattern).encode_ordinary(t)) for t in pdf["text"]]})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -143,8 +145,11 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
     fields = "key string, no int, parts int, part string"
     # Dealt out by chunk, not by document, so that a long document is encoded by many tasks.
-    chunks = map_texts(map_texts(texts, cut, fields).repartition("key", "no"), chunked, f"{fields}, cuts array<long>, ids array<binary>, n_head int")
-    many = chunks.groupBy("key").applyInPandas(joined, "key string, n_tokens long, ids binary")
+    chunks = map_texts(map_texts(texts, cut, fields).repartition("key", "no"), chunked, "key string, no int, cuts array<long>, ids array<binary>, n_head int")
+    # Texts stay out of the groups; only those that couldn't be stitched are looked up again.
+    stitched = saved(chunks.groupBy("key").applyInPandas(joined, "key string, ids binary"), "bpe-stitched")
+    again = map_texts(texts.join(stitched.filter("ids is null").select("key"), "key"), whole, "key string, ids binary")
+    many = stitched.filter("ids is not null").unionByName(again).select("key", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
     return few.unionByName(keyed.select("doc_id", "key").join(many, "key").drop("key"))
 
 

@@ -61,6 +61,14 @@ def test_a_very_long_text_takes_time_in_proportion(spark):
     assert bytes(r["ids"])[: len(head) - 400] == head[:-400]
 
 
+def test_texts_without_a_common_boundary_are_encoded_whole(spark):
+    """One word longer than any overlap can't be stitched; a third of the rows hold it, under one id."""
+    word = "y" * 3000
+    table = [(7, word)] * 20 + [(i, f"{word} {i} and more words " * 3) for i in range(5)] + [(100 + i, "short") for i in range(30)]
+    got = bpe.encode(docs(spark, table), *V, 1000, 100).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in got) == Counter((i, len(plain(t)) // 4, plain(t)) for i, t in table)
+
+
 def test_bad_sizes():
     with pytest.raises(ValueError):
         bpe.encode(None, *V, 10, 8)
