@@ -16,16 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import remainder, short_batches, text_of
+from panelspark.llm.common import WORD, remainder, saved, short_batches, text_of
 from panelspark.llm.labels import labelled_sample
 
 PASSAGE = 64
-#: Labelled documents to learn from, and passages of each of them, at most.
+#: Labelled documents to learn from, and passages of all of them, at most: beyond that, whole documents are left out.
 MAX_TRAINING = 8_000
-MAX_PASSAGES = 48
+MAX_PASSAGES = 1_000_000
 HASHED = 24
 HIDDEN, GATE = 16, 8
 EPOCHS, RATE, DECAY, SEED = 160, 0.02, 1e-4, 5
@@ -233,10 +233,10 @@ def fit(x: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, passages: int = MAX_PASSAGES, target: str = "quality") -> Model:
-    """A model from at most ``most`` labelled documents that are not held out.
+    """A model from at most ``most`` labelled documents that are not held out, with all their passages.
 
-    Of a training document with more than ``passages`` passages, so many spread
-    evenly over it are used; scoring reads every passage.
+    Where those are more than ``passages``, documents are left out as a whole,
+    the longest ones first.
     """
 
     @F.pandas_udf("array<float>")
@@ -245,10 +245,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, passages
         for group in slices(list(texts)):
             x, owner = encoded(group)
             own += np.split(x, np.searchsorted(owner, np.arange(1, len(group))))
-        return pd.Series([b[np.unique(np.linspace(0, len(b) - 1, min(len(b), passages)).astype(int))].ravel() for b in own])
+        return pd.Series([b.ravel() for b in own])
 
     short_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, target, most, where=remainder("doc_id", FOLDS) != 1).select(bags(text_of()).alias("x"), "y").toPandas()
+    some = saved(labelled_sample(docs, labels, target, most, where=remainder("doc_id", FOLDS) != 1), "mil-sample")
+    # Not more rows than ``most``, so one task can order them.
+    size = F.ceil(F.greatest(F.regexp_count(text_of(), F.lit(WORD)), F.lit(1)) / PASSAGE)
+    fitting = F.sum(size).over(Window.orderBy(size, "doc_id")) <= passages
+    kept = some.select("doc_id", fitting.alias("_fits")).filter("_fits").select("doc_id")
+    rows = some.join(F.broadcast(kept), "doc_id").select(bags(text_of()).alias("x"), "y").toPandas()
     own = [np.asarray(b, dtype=np.float32).reshape(-1, N_FEATURES) for b in rows["x"]]
     x = np.concatenate(own) if own else np.zeros((0, N_FEATURES), dtype=np.float32)
     return fit(x, np.repeat(np.arange(len(own)), [len(b) for b in own]), rows["y"].to_numpy(dtype=np.float32))
@@ -260,7 +265,8 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Da
     docs has doc_id and text, labels doc_id and quality; other columns are
     ignored, and nothing but the text enters a score. A null text counts as
     empty, and an empty one is scored like any other. A null doc_id counts as
-    the empty text in the remainder, so it is not held out. An empty table
+    the empty text in the remainder, so it is not held out. A very long text is
+    encoded in pieces of whole passages. An empty table
     gives an empty result; without labels of both kinds all scores are their
     mean, or 0.5.
     """

@@ -146,3 +146,29 @@ def test_one_row_of_a_labelled_id_is_learned_from(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (4, 1)], "doc_id long, quality int")
     got = labelled_sample(df, labels, "quality", 10).collect()
     assert sorted((r["doc_id"], r["y"]) for r in got) == [(1, 1), (2, 0)]
+
+
+def test_the_one_passage_that_bears_the_label_is_learned_from_in_texts_of_10_000(spark):
+    """Bad documents differ from good ones in one passage; the two long texts hold theirs where no even spread of 48 would look."""
+    plain = lambda seed, n: " ".join(words(seed, 64) for _ in range(n)) if n < 50 else " ".join([words(seed, 6400)] * (n // 100))
+    bad = " ".join(["####"] * 64)
+    table, marks, i = [], [], 0
+    for seed in range(120):
+        i += 1
+        n = 4 + seed % 9
+        own = [words(seed * 20 + k, 64) for k in range(n)]
+        if seed % 2:
+            own[seed % n] = bad
+        table.append((i, " ".join(own)))
+        marks.append((i, 1 - seed % 2))
+    long = plain(9, 5_000)
+    table += [(1001, f"{long} {bad} {long}"), (1002, f"{long} {long}")]
+    marks += [(1001, 0), (1002, 1)]
+    own = mil_quality.encode_long(table[-2][1])
+    assert 10_000 <= len(own) <= 10_010
+    model = mil_quality.train(docs(spark, table), labels(spark, marks))
+    low, high = model.score([table[-2][1], table[-1][1]])
+    assert low < high
+    # A bound on passages leaves out whole documents, the longest first.
+    few = mil_quality.train(docs(spark, table), labels(spark, marks), passages=2_000)
+    assert few.score([table[0][1]])[0] > 0.5 > few.score([table[1][1]])[0]
