@@ -435,6 +435,17 @@ def _types(raws) -> np.ndarray:
     return np.frombuffer(b"".join(raws), dtype=CODE).astype(np.int32)
 
 
+def _first(rows: Iterator, most: int) -> np.ndarray:
+    """The types of rows up to the one with which they are ``most`` or more, of which the last are left out."""
+    held, n = [], 0
+    for r in rows:
+        held.append(bytes(r["types"])[: (most - n) * np.dtype(CODE).itemsize])
+        n += len(held[-1]) // np.dtype(CODE).itemsize
+        if n >= most:
+            break
+    return _types(held)
+
+
 def tasks_vectors(types: DataFrame, sent, start) -> DataFrame:
     """(block, sums): what training from ``start`` in every task gives, summed by how often the task met a type.
 
@@ -491,10 +502,10 @@ def score(docs: DataFrame, common: int = COMMON, sample: int = SAMPLE) -> DataFr
     part = saved(coded(rows, sent), "lm-types")
     model = Model.new(words.mass)
     if words.total:
-        train = part.filter("not held_out").select("doc_id", "types")
+        train = part.filter("not held_out").select("row", "types")
         share = min(1_000_000, math.ceil(1_000_000 * sample / words.total))
-        some = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share)
-        seq = _types([bytes(r["types"]) for r in some.select("types").toLocalIterator()])
+        some = train.filter(F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(1_000_000)) < share)
+        seq = _first(some.select("types").toLocalIterator(), 2 * sample)
         model = fit(seq, words, model, max(1.0, math.sqrt(PASSES / max(1, len(seq)))))
         start = spark.sparkContext.broadcast(model)
         model = model.average(saved(tasks_vectors(train.select("types"), sent, start), "lm-vectors").toPandas())

@@ -140,3 +140,9 @@ def test_no_documents_and_no_training_documents(spark):
     only = [i for i in range(200) if not in_training(i)][:3]
     got = lbl.score(docs(spark, [(i, "a b") for i in only])).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(3, 0, 0, 0.0)] * 3
+
+
+def test_the_first_sample_is_bounded_whatever_the_ids():
+    rows = iter([{"types": np.arange(50, dtype=lbl.CODE).tobytes()}] * 100)
+    assert len(lbl._first(rows, 120)) == 120 and len(list(rows)) == 97
+    assert len(lbl._first(iter([]), 10)) == 0
