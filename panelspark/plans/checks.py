@@ -105,27 +105,6 @@ def h26(spark, d):
     return rounded(portfolio.cost_totals(portfolio.strategy_returns(panel.weights(spark, d))), ["total"], ("component",))
 
 
-_EW = {
-    "sessions": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM scores)",
-    "grown": "SELECT symbol, date, return_1d AS r, coalesce(product(1 + coalesce(return_1d, 0)) OVER (PARTITION BY symbol, floor((i - 1) / 21) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS g FROM scores JOIN sessions USING (date) WHERE i >= 1",
-    "weights": "SELECT symbol, date, r, g / sum(g) OVER (PARTITION BY date) AS w FROM grown",
-    "daily": panel._DAILY,
-    "curve": panel._CURVE,
-}
-
-
-@register("l8_rebalanced_curve", sql.query("SELECT date, round(gross, 6) + 0.0 AS gross, round(turnover, 6) + 0.0 AS turnover, round(net, 6) + 0.0 AS net, round(equity, 6) AS equity FROM curve", "scores", **_EW))
-def l8(spark, d):
-    held = portfolio.equal_weight_rebalanced(panel.scores(spark, d).withColumn("ret", F.col("return_1d")))
-    return rounded(held, ["gross", "turnover", "net", "equity"], ("date",))
-
-
-@register("l7_buy_and_hold_fills", sql.query("SELECT symbol, date, floor(0.999::DOUBLE * 1e6 / count(*) OVER () / open_split) AS shares FROM bars WHERE date = (SELECT min(date) FROM bars WHERE date > (SELECT min(date) FROM bars))", "bars"))
-def l7(spark, d):
-    bars = tables.bars_calm(spark, d).select("symbol", "date", F.col("open_split").alias("open"))
-    return portfolio.equal_weight_fills(bars, 1e6).select("symbol", "date", F.col("shares_filled").alias("shares"))
-
-
 # --- monitoring -----------------------------------------------------------------------------------------------------
 
 AS_OF = date(1998, 6, 30)

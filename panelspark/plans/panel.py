@@ -460,61 +460,6 @@ def l9(spark, d):
     return rounded(portfolio.drawdowns(curve(spark, d)), ["max_drawdown"], ("name", "longest_underwater"))
 
 
-@register("l11_performance", sql.query("SELECT count(*) AS sessions, round(avg(x) / stddev_samp(x) * sqrt(252), 5) AS sharpe, round(avg(x) / (stddev_samp(x) FILTER (x < 0)) * sqrt(252), 5) AS sortino, round(stddev_samp(x) * sqrt(252), 5) AS volatility, round(avg(exposure), 5) AS exposure, round(sum(turnover), 5) AS turnover, round(sum(turnover) * 0.0013::DOUBLE, 5) AS total_costs, round(arg_max(equity, date) / arg_min(equity, date) - 1, 5) + 0.0 AS total_return, round(pow(arg_max(equity, date) / arg_min(equity, date), 252.0::DOUBLE / count(x)) - 1, 5) + 0.0 AS cagr, round(avg(CAST(x > 0 AS DOUBLE)), 5) AS win_rate, round(sqrt(252.0::DOUBLE / count(x)), 5) AS sharpe_stderr FROM (SELECT *, equity / lag(equity) OVER (ORDER BY date) - 1 AS x FROM curve)", "scores", weights=_WEIGHTS, daily=_DAILY, curve=_CURVE))
-def l11(spark, d):
-    return rounded(portfolio.performance_metrics(curve(spark, d)), ["sharpe", "sortino", "volatility", "exposure", "turnover", "total_costs", "total_return", "cagr", "win_rate", "sharpe_stderr"], ("sessions",), 5)
-
-
-@register("l8_equal_weight")
-def l8(spark, d):
-    return portfolio.performance_metrics(portfolio.equal_weight_rebalanced(scores(spark, d).withColumn("ret", F.col("return_1d"))).withColumn("name", F.lit("equal weight")))
-
-
-def held_fills(spark, d):
-    """A buy every 40th bar of a symbol and a full sale 20 bars later."""
-    b = tables.bars_calm(spark, d).withColumn("no", F.row_number().over(by_symbol()) - 1)
-    f = b.filter(F.col("no") % 20 == 0).withColumn("side", F.when(F.col("no") % 40 == 0, "BUY").otherwise("SELL"))
-    f = f.select("symbol", "date", F.col("no").alias("seq"), "side", F.lit(100.0).alias("shares_filled"), F.col("open_split").alias("price"), F.lit(1.0).alias("split_ratio"))
-    return f.withColumn("total_cost", F.col("price") * 100 * decisions.PER_SIDE)
-
-
-@register("l3_ledger", sql.query("SELECT symbol, date, side, CASE side WHEN 'BUY' THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS shares, round(CASE side WHEN 'SELL' THEN 100 * (price - before) END, 4) AS realised FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY date) AS before FROM (SELECT symbol, date, open_split AS price, CASE WHEN no % 40 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS no FROM bars) WHERE no % 20 = 0))", "bars"))
-def l3(spark, d):
-    led = portfolio.position_ledger(held_fills(spark, d))
-    return rounded(led, ["shares", "realised"], ("symbol", "date", "side"), 4)
-
-
-_NUMBERED = "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS no FROM bars"
-_FLOWS = "SELECT date, sum(CASE WHEN no % 40 = 0 THEN -100 * open_split WHEN no % 20 = 0 THEN 100 * open_split ELSE 0 END - CASE WHEN no % 20 = 0 THEN 100 * open_split * 0.0013::DOUBLE ELSE 0 END) AS f, sum(CASE WHEN no % 20 = 0 THEN 100 * open_split * 0.0013::DOUBLE ELSE 0 END) AS k, sum(CASE WHEN no % 40 = 20 THEN 100 * (open_split - bought) ELSE 0 END) AS r FROM (SELECT *, lag(open_split, 20) OVER (PARTITION BY symbol ORDER BY date) AS bought FROM numbered) GROUP BY date"
-#: A symbol is held from its bar 40 k to the one before 40 k + 20, at the open of the first; its last close counts on days without a bar.
-_HELD = "SELECT d.date, n.symbol, n.close_split AS c, CASE WHEN n.no % 40 < 20 THEN first_open END AS basis FROM (SELECT DISTINCT date FROM bars) d ASOF JOIN (SELECT *, arg_min(open_split, no) OVER (PARTITION BY symbol, no // 20) AS first_open FROM numbered WHERE symbol = '{}') n ON d.date >= n.date"
-_VALUES = "SELECT date, sum(CASE WHEN basis IS NULL THEN 0 ELSE 100 * c END) AS holdings, sum(CASE WHEN basis IS NULL THEN 0 ELSE 100 * (c - basis) END) AS unrealised, count(basis) AS n_positions FROM held GROUP BY date"
-_SNAPSHOT = "SELECT f.date, 1e6 + sum(f) OVER (ORDER BY f.date) AS cash, sum(k) OVER (ORDER BY f.date) AS costs, sum(r) OVER (ORDER BY f.date) AS realised, holdings, unrealised, n_positions FROM flows f JOIN held_values v ON v.date = f.date"
-_SNAPSHOTS = {"numbered": _NUMBERED, "flows": _FLOWS, "held": " UNION ALL ".join(_HELD.format(x) for x in ("AF", "NF", "NO", "RF", "AO", "RO")), "held_values": _VALUES, "snapshot": _SNAPSHOT}
-
-
-def snapshots(spark, d):
-    closes = tables.bars_calm(spark, d).select("symbol", "date", F.col("close_split").alias("close"))
-    return portfolio.snapshots(portfolio.position_ledger(held_fills(spark, d)), closes, 1e6)
-
-
-@register("l5_reconciliation", sql.query("SELECT date, round(cash + holdings, 2) AS equity, round(1e6 + realised + unrealised - costs, 2) AS from_profits, abs(cash + holdings - (1e6 + realised + unrealised - costs)) <= 0.01 AS agrees FROM snapshot", "bars", **_SNAPSHOTS))
-def l5(spark, d):
-    both = portfolio.equity_both_ways(snapshots(spark, d), 1e6).withColumn("agrees", F.abs("difference") <= 0.01)
-    return rounded(both, ["equity", "from_profits"], ("date", "agrees"), 2)
-
-
-@register("l4_snapshots", sql.query("SELECT date, round(cash, 2) AS cash, round(costs, 2) AS costs, round(holdings, 2) AS holdings, round(cash + holdings, 2) AS equity, round(realised, 2) + 0.0 AS realised, round(unrealised, 2) + 0.0 AS unrealised, n_positions FROM snapshot", "bars", **_SNAPSHOTS))
-def l4(spark, d):
-    return rounded(snapshots(spark, d), ["cash", "costs", "holdings", "equity", "realised", "unrealised"], ("date", "n_positions"), 2)
-
-
-@register("l12_strategy_and_benchmark")
-def l12(spark, d):
-    bench = portfolio.equal_weight_rebalanced(scores(spark, d).withColumn("ret", F.col("return_1d"))).withColumn("name", F.lit("equal weight"))
-    return portfolio.performance_metrics(curve(spark, d).unionByName(bench))
-
-
 # --- models ---------------------------------------------------------------------------------------------------------
 
 MODEL_FEATURES = ["return_1d", "return_5d", "volatility_20"]
