@@ -50,5 +50,5 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], na
     place = [p * (F.col("_below_total") - 1) for p in probs]
     holds = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_n")), F.col("_v")))
     ends = [x for i, k in enumerate(place) for x in (holds(F.floor(k)).alias(f"_lo{i}"), holds(F.ceil(k)).alias(f"_hi{i}"), F.max(k - F.floor(k)).alias(f"_f{i}"))]
-    mixed = F.array(*[F.when(F.col(f"_f{i}") == 0, F.col(f"_lo{i}")).otherwise((1 - F.col(f"_f{i}")) * F.col(f"_lo{i}") + F.col(f"_f{i}") * F.col(f"_hi{i}")) for i in range(len(probs))])
+    mixed = F.array(*[F.when(F.col(f"_f{i}") == 0, F.col(f"_lo{i}")).otherwise(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))) for i in range(len(probs))])
     return one.groupBy(*by).agg(*ends).select(*keys, mixed.alias(name))

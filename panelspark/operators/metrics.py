@@ -110,18 +110,24 @@ def compare_models(oof: DataFrame, by: str = "model") -> DataFrame:
 
 
 def reliability_table(df: DataFrame, y: str, p: str, n_bins: int = 10, strategy: str = "quantile", by: list[str] | None = None) -> DataFrame:
-    """(by, bin, count, mean_predicted, observed_frequency, gap). Quantile edges are the distinct linear percentiles."""
+    """(by, bin, lower, upper, count, mean_predicted, observed_frequency, gap), gap as predicted less observed.
+
+    Quantile edges are the distinct linear percentiles; where all scores are
+    one, a billionth on both sides of it.
+    """
     rows, keys = by_or_all(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()), by or [])
     s = F.col(p)
     if strategy == "uniform":
         binned = rows.withColumn("bin", F.least(F.floor(s * n_bins), F.lit(n_bins - 1)).cast("int"))
+        binned = binned.withColumns({"lower": F.col("bin") / n_bins, "upper": (F.col("bin") + 1) / n_bins})
     else:
-        cuts = [i / n_bins for i in range(1, n_bins)]
-        edges = quantiles(rows, keys, p, [0.0, *cuts, 1.0], "_q")
-        edges = edges.select(*keys, F.filter(F.array_distinct("_q"), lambda e: (e > F.col("_q")[0]) & (e < F.element_at("_q", -1))).alias("_edges"))
-        binned = rows.join(F.broadcast(edges) if keys == ["_all"] else edges, keys).withColumn("bin", F.size(F.filter("_edges", lambda e: e <= s)))
-    out = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"), F.avg(s).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("observed_frequency"))
-    return _drop(out.withColumn("gap", F.col("observed_frequency") - F.col("mean_predicted")))
+        edges = quantiles(rows, keys, p, [i / n_bins for i in range(n_bins + 1)], "_q").withColumn("_q", F.array_distinct("_q"))
+        edges = edges.select(*keys, F.when(F.size("_q") > 1, F.col("_q")).otherwise(F.array(F.col("_q")[0] - 1e-9, F.col("_q")[0] + 1e-9)).alias("_q"))
+        inner = F.slice("_q", F.lit(2), F.size("_q") - 2)
+        binned = rows.join(F.broadcast(edges) if keys == ["_all"] else edges, keys).withColumn("bin", F.size(F.filter(inner, lambda e: e <= s)))
+        binned = binned.withColumns({"lower": F.get("_q", F.col("bin")), "upper": F.get("_q", F.col("bin") + 1)})
+    out = binned.groupBy(*keys, "bin", "lower", "upper").agg(F.count(F.lit(1)).alias("count"), F.avg(s).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("observed_frequency"))
+    return _drop(out.withColumn("gap", F.col("mean_predicted") - F.col("observed_frequency")))
 
 
 def calibration_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None, n_bins: int = 10) -> DataFrame:

@@ -14,14 +14,15 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.ordered import quantiles
+from panelspark.operators import boosting
 from panelspark.operators.calendar import session_index
 from panelspark.operators.folds import assign_folds, fold_bounds
 from panelspark.sources.tables import settled
@@ -60,21 +61,13 @@ def fit_ridge(alpha: float = 10.0) -> Fit:
     return fit
 
 
-def _boosted(model) -> Fit:
-    def fit(train: DataFrame, columns: list[str], label: str) -> PipelineModel:
-        filled = [f"_f{i}" for i in range(len(columns))]
-        stages = [Imputer(inputCols=columns, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_features"), model.copy({model.labelCol: label})]
-        return Pipeline(stages=stages).fit(train)
-
-    return fit
-
-
-def fit_boosted_direction(trees: int = 200, depth: int = 3, rate: float = 0.03, least: int = 200) -> Fit:
-    return _boosted(GBTClassifier(featuresCol="_features", maxDepth=depth, maxIter=trees, stepSize=rate, minInstancesPerNode=least, seed=7))
+def fit_boosted_direction(trees: int = 200, depth: int = 3, rate: float = 0.03, least: int = 200, l2: float = 1.0, leaves: int = 15) -> Fit:
+    """Boosted trees for the chance that the label is 1; see :mod:`panelspark.operators.boosting`."""
+    return lambda train, columns, label: boosting.fit(train, columns, label, boosting.Settings(trees, depth, leaves, rate, least, l2, True))
 
 
-def fit_boosted_return(trees: int = 200, depth: int = 3, rate: float = 0.03, least: int = 200) -> Fit:
-    return _boosted(GBTRegressor(featuresCol="_features", maxDepth=depth, maxIter=trees, stepSize=rate, minInstancesPerNode=least, seed=7))
+def fit_boosted_return(trees: int = 200, depth: int = 3, rate: float = 0.03, least: int = 200, l2: float = 1.0, leaves: int = 15) -> Fit:
+    return lambda train, columns, label: boosting.fit(train, columns, label, boosting.Settings(trees, depth, leaves, rate, least, l2, False))
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "y_pred") -> DataFrame:
@@ -200,7 +193,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[st
     return out
 
 
-FORECAST = "symbol string, as_of date, rows long, accuracy double, majority double, mae double, mae_baseline double, probability_up double, expected_return double, direction string"
+FORECAST = "symbol string, as_of date, rows long, validation_sessions long, accuracy double, majority double, auc double, mae double, mae_baseline double, probability_up double, expected_return double, direction string, refused string"
 
 
 def _solve_logistic(x: np.ndarray, y: np.ndarray, c: float) -> np.ndarray:
@@ -216,15 +209,31 @@ def _solve_logistic(x: np.ndarray, y: np.ndarray, c: float) -> np.ndarray:
     return w
 
 
+def _auc(y: np.ndarray, p: np.ndarray) -> float | None:
+    """ROC-AUC with ties counted half; None where one class is missing."""
+    ranks, pos = pd.Series(p).rank().to_numpy(), int(y.sum())
+    neg = len(y) - pos
+    return float((ranks[y].sum() - pos * (pos + 1) / 2) / (pos * neg)) if pos and neg else None
+
+
 def forecast_symbols(features: DataFrame, columns: list[str], least: int = 500, folds: int = 5, size: int = 60, gap: int = 1, c: float = 0.1, alpha: float = 100.0) -> DataFrame:
-    """One forecast for each symbol's latest row, with its accuracy over the last folds against training-only baselines."""
+    """One row for each symbol: a forecast from its newest row, with its accuracy over the last folds against training-only baselines.
+
+    ``refused`` says why a symbol has none: too few complete rows, a newest row
+    that lacks a feature (an older one is no substitute), or a fold that trains
+    on one direction only. auc is null where the folds saw one direction.
+    """
+    names = [k.split()[0] for k in FORECAST.split(", ")]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        known = pdf.dropna(subset=[*columns, "target"])
-        last = pdf.dropna(subset=columns).tail(1)
-        if len(known) < least or not len(last):
-            return pd.DataFrame({k.split()[0]: pd.Series([], dtype=object) for k in FORECAST.split(", ")})
+        known, last = pdf.dropna(subset=[*columns, "target"]), pdf.tail(1)
+        told = dict.fromkeys(names) | {"symbol": last["symbol"].iloc[0], "as_of": last["date"].iloc[0], "rows": len(known)}
+        refuse = lambda why: pd.DataFrame([told | {"refused": why}]).astype(object)
+        if len(known) < least:
+            return refuse("TOO_FEW_ROWS")
+        if last[columns].isna().any(axis=None):
+            return refuse("INCOMPLETE_LATEST_ROW")
         x, r = known[columns].to_numpy(dtype=float), known["target"].to_numpy(dtype=float)
         y = (r > 0).astype(float)
 
@@ -236,16 +245,21 @@ def forecast_symbols(features: DataFrame, columns: list[str], least: int = 500,
             v = np.linalg.solve(a.T @ a + alpha * np.eye(a.shape[1]), a.T @ (rt - rt.mean()))
             return 1 / (1 + np.exp(-(b @ w[:-1] + w[-1]))), b @ v + rt.mean()
 
-        hits, major, err, base = [], [], [], []
+        seen, chances, major, err, base = [], [], [], [], []
         for k in range(folds):
             end = len(known) - (folds - 1 - k) * size
             cut, start = end - size - gap, end - size
+            if cut < 1 or not 0 < y[:cut].sum() < cut:
+                return refuse("ONE_DIRECTION_IN_A_FOLD")
             p, e = both(x[:cut], x[start:end], y[:cut], r[:cut])
-            hits += list((p >= 0.5) == (y[start:end] > 0))
+            seen += list(y[start:end] > 0)
+            chances += list(p)
             major += list((y[:cut].mean() >= 0.5) == (y[start:end] > 0))
             err += list(np.abs(e - r[start:end]))
             base += list(np.abs(r[:cut].mean() - r[start:end]))
         p, e = both(x, last[columns].to_numpy(dtype=float), y, r)
-        return pd.DataFrame({"symbol": [last["symbol"].iloc[0]], "as_of": [last["date"].iloc[0]], "rows": [len(known)], "accuracy": [np.mean(hits)], "majority": [np.mean(major)], "mae": [np.mean(err)], "mae_baseline": [np.mean(base)], "probability_up": [p[0]], "expected_return": [e[0]], "direction": ["UP" if p[0] >= 0.5 else "DOWN"]})
+        actual, chances = np.array(seen), np.array(chances)
+        told |= {"validation_sessions": len(actual), "accuracy": float(np.mean((chances >= 0.5) == actual)), "majority": float(np.mean(major)), "auc": _auc(actual, chances), "mae": float(np.mean(err)), "mae_baseline": float(np.mean(base)), "probability_up": float(p[0]), "expected_return": float(e[0]), "direction": "UP" if p[0] >= 0.5 else "DOWN"}
+        return pd.DataFrame([told]).astype(object)
 
     return features.select("symbol", "date", *columns, "target").groupBy("symbol").applyInPandas(one, FORECAST)

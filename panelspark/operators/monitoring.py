@@ -65,8 +65,9 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str], alpha: float = 0.05
 
 
 def compute_drift(panel: DataFrame, columns: list[str], n_bins: int = 10) -> DataFrame:
-    """One row for each feature of a panel with ``part``; largest psi first. All features are one job."""
+    """One row for each feature of a panel with ``part``; largest psi first. All features are one job. What isn't finite is missing."""
     long = panel.selectExpr("part", f"stack({len(columns)}, {', '.join(f"'{c}', cast({c} as double)" for c in columns)}) as (feature, value)")
+    long = long.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value")))
     of = lambda p, f: f(F.when(F.col("part") == p, F.col("value")))
     rate = lambda p: F.avg(F.when(F.col("part") == p, F.col("value").isNull().cast("double")))
     base = long.groupBy("feature").agg(of("reference", F.count).alias("n_reference"), of("current", F.count).alias("n_current"), of("reference", F.avg).alias("reference_mean"), of("current", F.avg).alias("current_mean"), rate("reference").alias("reference_missing"), rate("current").alias("current_missing"))
@@ -87,8 +88,20 @@ def drift_persistence(history: DataFrame, checks: int = 3) -> DataFrame:
 
 
 def summarise_drift(drift: DataFrame) -> DataFrame:
-    n = lambda c: F.sum(c.cast("long"))
-    return drift.agg(F.count(F.lit(1)).alias("n_features"), n(F.col("severity") == "SIGNIFICANT").alias("n_significant"), n(F.col("severity") == "MODERATE").alias("n_moderate"), n(F.col("insufficient")).alias("n_insufficient"), F.max("psi").alias("max_psi"), F.avg("psi").alias("mean_psi"), n(F.coalesce(F.col("ks_p") < 0.05, F.lit(False))).alias("naive_alarms"), n(F.col("discovered")).alias("fdr_alarms"), F.max("current_missing").alias("max_missing"))
+    """One row of counts over the features with enough rows to be measured, and how many there are of all."""
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+    own = ~F.col("insufficient")
+    return drift.agg(
+        F.count(F.lit(1)).alias("n_features"),
+        n(own).alias("n_measurable"),
+        n(own & (F.col("severity") == "SIGNIFICANT")).alias("n_significant"),
+        n(own & (F.col("severity") == "MODERATE")).alias("n_moderate"),
+        F.max(F.when(own, F.col("psi"))).alias("max_psi"),
+        F.avg(F.when(own, F.col("psi"))).alias("mean_psi"),
+        n(own & (F.col("ks_p") < 0.05)).alias("n_ks_naive"),
+        n(own & F.col("discovered")).alias("n_ks_fdr"),
+        F.max(F.when(own, F.col("current_missing"))).alias("max_missing_rate"),
+    )
 
 
 def trailing_windows(resolved: DataFrame, as_of, windows=WINDOWS, p: str = "calibrated_probability", y: str = "actual_direction", day: str = "prediction_date") -> DataFrame:
@@ -98,9 +111,11 @@ def trailing_windows(resolved: DataFrame, as_of, windows=WINDOWS, p: str = "cali
 
 
 def rolling_performance(resolved: DataFrame, as_of, windows=WINDOWS) -> DataFrame:
-    """Classification metrics by window with the smallest AUC change that so many rows can show."""
+    """Classification metrics by window with the smallest AUC change that so many rows can show; a window without rows has n = 0."""
     m = classification_metrics(trailing_windows(resolved, as_of, windows), "actual_direction", "calibrated_probability", ["days"])
-    return m.withColumn("mde", 2 * F.sqrt(4 / F.col("n"))).withColumn("reportable", F.col("n") >= MIN_PERFORMANCE)
+    every = resolved.sparkSession.createDataFrame([(d,) for d in windows], "days int")
+    m = every.join(m, "days", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return m.withColumn("mde", F.when(F.col("n") > 0, 2 * F.sqrt(4 / F.col("n"))).otherwise(float("inf"))).withColumn("reportable", F.col("n") >= MIN_PERFORMANCE)
 
 
 def degradation(performance: DataFrame, baseline_auc: float, above_mde: bool = True) -> DataFrame:
@@ -163,10 +178,20 @@ def emitted_alerts(alerts: DataFrame, days: int = 3) -> DataFrame:
     return folded.select("code", F.explode("k").alias("day"))
 
 
-def health_row(drift: DataFrame, performance: DataFrame, calibration: DataFrame, baseline_auc: float, baseline_ece: float, dq_errors: int = 0) -> DataFrame:
-    """All signals of a run in one row, with the verdict."""
-    d = summarise_drift(drift).select(F.col("n_significant").alias("drifted_features"), "n_features", "max_psi", "fdr_alarms")
+def drift_checks(drift: DataFrame, checked_at: Column) -> DataFrame:
+    """(feature, checked_at, breached) of one check, for a history of them."""
+    return drift.filter("not insufficient").select("feature", checked_at.alias("checked_at"), (F.col("severity") == "SIGNIFICANT").alias("breached"))
+
+
+def health_row(drift: DataFrame, persistence: DataFrame, performance: DataFrame, calibration: DataFrame, resolved: DataFrame, baseline_auc: float, baseline_ece: float, dq_errors: int = 0) -> DataFrame:
+    """All signals of a run in one row, with the verdict.
+
+    A feature drifts where ``persistence``, of :func:`drift_persistence`, says
+    that it has for several checks; one breach is no signal.
+    """
+    d = summarise_drift(drift).select("n_features", "max_psi", "n_ks_fdr")
+    f = persistence.agg(F.count(F.when(F.col("persistent"), 1)).alias("drifted_features"))
     p = degradation(performance, baseline_auc).select("degraded", F.col("drop").alias("auc_drop"))
     c = calibration_verdict(calibration, baseline_ece).select(F.col("drifted").alias("calibration_drift"))
-    n = performance.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_resolved"))
-    return retraining_verdict(d.crossJoin(p).crossJoin(c).crossJoin(n).withColumn("dq_errors", F.lit(dq_errors)))
+    n = resolved.agg(F.count(F.lit(1)).alias("n_resolved"))
+    return retraining_verdict(d.crossJoin(f).crossJoin(p).crossJoin(c).crossJoin(n).withColumn("dq_errors", F.lit(dq_errors)))

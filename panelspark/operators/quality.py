@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.windows import by_symbol
@@ -101,11 +101,12 @@ def quarantine(bars: DataFrame, issues: DataFrame) -> DataFrame:
     return bars.join(issues.filter("severity = 'ERROR'").select("symbol").distinct(), "symbol", "left_anti")
 
 
-def persistable(issues: DataFrame) -> DataFrame:
-    return issues.filter("severity <> 'INFO'")
+def persistable(issues: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """Warnings and errors with created_at, the time they are stored at: now, unless told."""
+    return issues.filter("severity <> 'INFO'").withColumn("created_at", F.current_timestamp() if created_at is None else created_at.cast("timestamp"))
 
 
 def open_counts(issues: DataFrame, since=None) -> DataFrame:
-    """(severity, n), of issues dated from ``since`` on."""
-    df = issues if since is None else issues.filter(F.col("issue_date") >= F.lit(since))
+    """(severity, n) of stored issues, of those stored from ``since`` on. Whether an issue is of a date doesn't matter: many have none."""
+    df = issues if since is None else issues.filter(F.col("created_at") >= F.lit(since))
     return df.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.kernels import inverse_normal
@@ -117,6 +117,39 @@ def score_forecasts(forecasts: DataFrame, bars: DataFrame) -> DataFrame:
     return df.withColumn("result", result).withColumn("error", F.col("actual_return") - F.col("expected_return")).drop("_n", "_o", "_c")
 
 
+#: What a forecast is known by once it is resolved.
+FORECAST = ("symbol", "forecast_session", "as_of", "created_at", "direction", "probability_up", "expected_return")
+
+
+def forecast_digest(forecasts: DataFrame) -> Column:
+    """SHA-256 of all that a forecast says, nulls told from empty ones."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in FORECAST if c in forecasts.columns]), {"ignoreNullFields": "false"}), 256)
+
+
+def forecast_outcomes(forecasts: DataFrame, bars: DataFrame) -> DataFrame:
+    """(symbol, forecast_session, actual_open, actual_close, digest) of eligible forecasts whose session has its one bar, to be stored."""
+    one = bars.groupBy("symbol", F.col("date").alias("forecast_session")).agg(F.count(F.lit(1)).alias("_n"), F.first("open").alias("actual_open"), F.first("close").alias("actual_close")).filter("_n = 1").drop("_n")
+    own = eligible(forecasts).filter("eligible").withColumn("digest", forecast_digest(forecasts))
+    return own.join(one, ["symbol", "forecast_session"]).select("symbol", "forecast_session", "actual_open", "actual_close", "digest")
+
+
+def forecast_history(forecasts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """forecasts plus what became of them, newest session first; percentages are of 100.
+
+    outcomes are stored ones of :func:`forecast_outcomes`. A forecast that says
+    something else than when its outcome was stored stops the job.
+    """
+    df = eligible(forecasts).withColumn("_digest", forecast_digest(forecasts)).join(outcomes, ["symbol", "forecast_session"], "left")
+    known = F.col("eligible") & F.col("digest").isNotNull()
+    same = F.when(~known | (F.col("digest") == F.col("_digest")), True).otherwise(F.raise_error(F.concat(F.lit("a stored forecast changed after resolution: "), F.col("symbol"))).cast("boolean"))
+    actual = F.when(known, F.try_divide("actual_close", "actual_open") - 1)
+    direction = F.when(actual > 0, "UP").when(actual < 0, "DOWN").when(actual == 0, "FLAT")
+    result = F.when(~F.col("eligible"), "INELIGIBLE").when(direction.isNull(), "PENDING").when(direction == "FLAT", "FLAT").when(direction == F.col("direction"), "CORRECT").otherwise("WRONG")
+    shown = {"result": result, "actual_direction": direction, "actual_return_pct": 100 * actual, "error_pp": 100 * (actual - F.col("expected_return")), "probability_up_pct": 100 * F.col("probability_up"), "predicted_return_pct": 100 * F.col("expected_return")}
+    shown |= {c: F.when(known, F.col(c)) for c in ("actual_open", "actual_close")}
+    return df.filter(F.coalesce(same, F.lit(True))).withColumns(shown).drop("_digest", "digest").orderBy(F.desc("forecast_session"), "symbol")
+
+
 def forecast_accuracy(history: DataFrame) -> DataFrame:
     n = lambda r: F.sum((F.col("result") == r).cast("long"))
     return history.agg(*[n(r).alias(f"n_{r.lower()}") for r in ("CORRECT", "WRONG", "FLAT", "PENDING", "INELIGIBLE")], F.try_divide(n("CORRECT").cast("double"), n("CORRECT") + n("WRONG")).alias("accuracy"))
@@ -210,9 +243,9 @@ def meta_features(frames: dict[str, DataFrame], context: DataFrame | None = None
     """
     out = None
     for name, df in frames.items():
-        once = lambda c, name=name: F.when(F.col("_n") == 1, F.col(c)).otherwise(F.raise_error(F.lit(f"{name} has a date and symbol twice")))
+        once = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit(f"{name} has a date and symbol twice")).cast("boolean"))
         own = df.groupBy("date", "symbol").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("y_true", "y_pred") if c in df.columns])
-        own = own.select("date", "symbol", *(["y_true"] if out is None else []), once("y_pred").alias(name))
+        own = own.filter(once).select("date", "symbol", *(["y_true"] if out is None else []), F.col("y_pred").alias(name))
         out = own if out is None else out.join(own, ["date", "symbol"])
     return out if context is None else out.join(context, ["date", "symbol"], "left")
 

@@ -157,9 +157,12 @@ def m12(spark, d):
     return panel.m12(spark, d)
 
 
-@register("m6_drift_summary", sql.query("SELECT count(*) AS n_features, count(*) FILTER (psi >= 0.25) AS n_significant, count(*) FILTER (psi >= 0.1 AND psi < 0.25) AS n_moderate, round(max(psi), 6) AS max_psi FROM psi", "scores", long=panel._PART, edge=panel._PSI_EDGE, bins=panel._PSI_BIN, every_bin=panel._PSI_ALL, psi=panel._PSI))
+_SUMMARISED = f"SELECT count(*) AS n_features, count(*) FILTER (n_reference >= 100 AND n_current >= 100) AS n_measurable, count(*) FILTER (psi >= 0.25) AS n_significant, count(*) FILTER (psi >= 0.1 AND psi < 0.25) AS n_moderate, count(*) FILTER (ks_p < 0.05) AS n_ks_naive, count(*) FILTER (discovered) AS n_ks_fdr, {sql.rounded(['max_psi', 'mean_psi', 'max_missing_rate'])} FROM (SELECT *, max(psi) OVER () AS max_psi, avg(psi) OVER () AS mean_psi, max(current_missing) OVER () AS max_missing_rate FROM drifted) GROUP BY max_psi, mean_psi, max_missing_rate"
+
+
+@register("m6_drift_summary", sql.query(_SUMMARISED, "scores", **panel._DRIFT))
 def m6(spark, d):
-    return rounded(monitoring.summarise_drift(panel.drift(spark, d)), ["max_psi"], ("n_features", "n_significant", "n_moderate"))
+    return rounded(monitoring.summarise_drift(panel.drift(spark, d)), ["max_psi", "mean_psi", "max_missing_rate"], ("n_features", "n_measurable", "n_significant", "n_moderate", "n_ks_naive", "n_ks_fdr"))
 
 
 # --- records --------------------------------------------------------------------------------------------------------
@@ -247,6 +250,24 @@ def j3(spark, d):
     return models.generate_oof(model_panel(spark, d), models.fit_boosted_direction(), panel.MODEL_FEATURES, "tradeable_direction_1d")
 
 
+@register("j4_boosted_return_out_of_fold")
+def j4(spark, d):
+    return models.generate_oof(model_panel(spark, d), models.fit_boosted_return(), panel.MODEL_FEATURES, "tradeable_return_1d")
+
+
+@register("j16_permutation_importance")
+def j16(spark, d):
+    """How much AUC the last fold's validation rows lose when a feature's values change places."""
+    rows = model_panel(spark, d).filter("tradeable_direction_1d is not null")
+    last = rows.agg(F.max("fold")).first()[0]
+    own = rows.filter(F.col("fold") == last)
+    model = models.fit_boosted_direction()(own.filter("role = 'train'"), panel.MODEL_FEATURES, "tradeable_direction_1d")
+    auc = lambda df: metrics.classification_metrics(df, "tradeable_direction_1d", "y_pred", []).first()["auc"]
+    val = tables.settled(own.filter("role = 'val'").select("symbol", "date", *panel.MODEL_FEATURES, "tradeable_direction_1d"))
+    drops = models.permutation_importance(model, val, panel.MODEL_FEATURES, auc)
+    return spark.createDataFrame(sorted(drops.items()), "feature string, importance double")
+
+
 @register("j7_nested_selection")
 def j7(spark, d):
     """Ridge strengths chosen within each fold by the error on inner folds."""

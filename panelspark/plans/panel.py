@@ -166,9 +166,10 @@ def c16(spark, d):
     return quality.severity_rollup(quality.validate_bars(dirty_bars(spark, d)))
 
 
-@register("c19_open_issue_counts", sql.query("SELECT severity, count(*) AS n FROM issues WHERE issue_date >= DATE '2000-01-01' AND severity <> 'INFO' GROUP BY severity", "wild", dirty=_DIRTY, moves=_MOVES, issues=_ISSUES))
+@register("c19_open_issue_counts", sql.query("SELECT severity, count(*) AS n FROM issues WHERE symbol < 'NA' AND severity <> 'INFO' GROUP BY severity", "wild", dirty=_DIRTY, moves=_MOVES, issues=_ISSUES))
 def c19(spark, d):
-    return quality.open_counts(quality.persistable(quality.validate_bars(dirty_bars(spark, d))), date(2000, 1, 1))
+    stored = quality.persistable(quality.validate_bars(dirty_bars(spark, d)), F.when(F.col("symbol") < "NA", F.lit(date(2000, 6, 1))).otherwise(F.lit(date(1999, 6, 1))))
+    return quality.open_counts(stored, date(2000, 1, 1))
 
 
 @register("c17_quarantine", sql.query("SELECT symbol, count(*) AS n FROM bars WHERE symbol NOT IN (SELECT symbol FROM bars GROUP BY symbol HAVING max(close_split / open_split) > 1.0398) GROUP BY symbol", "bars"))
@@ -324,13 +325,13 @@ def h5(spark, d):
     return rounded(metrics.regression_metrics(scores(spark, d), "realised", "e", ["symbol"]), REGRESSION, ("symbol", "n"))
 
 
-_EDGES = "SELECT symbol, quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edge FROM scores GROUP BY symbol"
-_BINS = "SELECT s.symbol, len(list_filter(edge, lambda x: x <= p)) AS bin, count(*) AS n, avg(p) AS mean_predicted, avg(y) AS observed_frequency FROM scores s JOIN edges USING (symbol) GROUP BY ALL"
+_EDGES = "SELECT symbol, list_sort(list_distinct(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edge FROM scores GROUP BY symbol"
+_BINS = "SELECT s.symbol, len(list_filter(edge[2:-2], lambda x: x <= p)) AS bin, any_value(edge) AS edge, count(*) AS n, avg(p) AS mean_predicted, avg(y) AS observed_frequency FROM scores s JOIN edges USING (symbol) GROUP BY ALL"
 
 
-@register("h10_reliability", sql.query("SELECT symbol, CAST(bin AS INTEGER) AS bin, n AS count, round(mean_predicted, 6) AS mean_predicted, round(observed_frequency, 6) AS observed_frequency, round(observed_frequency - mean_predicted, 6) + 0.0 AS gap FROM bins", "scores", edges=_EDGES, bins=_BINS))
+@register("h10_reliability", sql.query("SELECT symbol, CAST(bin AS INTEGER) AS bin, n AS count, round(mean_predicted, 6) AS mean_predicted, round(observed_frequency, 6) AS observed_frequency, round(mean_predicted - observed_frequency, 6) + 0.0 AS gap, round(edge[bin + 1], 6) + 0.0 AS lower, round(edge[bin + 2], 6) + 0.0 AS upper FROM bins", "scores", edges=_EDGES, bins=_BINS))
 def h10(spark, d):
-    return rounded(metrics.reliability_table(scores(spark, d), "y", "p", by=["symbol"]), ["mean_predicted", "observed_frequency", "gap"], ("symbol", "bin", "count"))
+    return rounded(metrics.reliability_table(scores(spark, d), "y", "p", by=["symbol"]), ["mean_predicted", "observed_frequency", "gap", "lower", "upper"], ("symbol", "bin", "count"))
 
 
 @register("h14_calibration", sql.query("SELECT symbol, CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(observed_frequency - mean_predicted)) / sum(n), 6) AS ece, round(max(abs(observed_frequency - mean_predicted)) FILTER (n >= 20), 6) AS mce, round((SELECT stddev_pop(p) FROM scores s WHERE s.symbol = b.symbol), 6) AS sharpness FROM bins b GROUP BY symbol", "scores", edges=_EDGES, bins=_BINS))
@@ -365,10 +366,10 @@ def decision_inputs(spark, d):
     return s.select("symbol", F.col("date").alias("decision_date"), F.when(day != 11, F.col("p")).alias("calibrated_probability"), F.when(day != 12, F.col("e") * 20).alias("expected_return"), F.col("volatility_20").alias("volatility"), F.when((day + F.ascii("symbol")) % 3 == 0, 10.0).otherwise(0.0).alias("shares"), F.when(day == 21, 5).otherwise(1).alias("data_age_sessions"), (day != 22).alias("features_complete"))
 
 
-_GATE = "SELECT *, shares > 0 AS held, CASE WHEN age > 3 THEN 'STALE_DATA' WHEN NOT complete THEN 'INCOMPLETE_FEATURES' END AS g FROM inputs"
+_GATE = "SELECT *, shares > 0 AS held, CASE WHEN age > 3 THEN 'STALE_DATA' WHEN NOT complete THEN 'MISSING_FEATURES' END AS g FROM inputs"
 _WANT = "SELECT *, g IS NULL AND coalesce(p >= 0.55 AND e >= 0.0039, false) AS wants, g IS NULL AND coalesce(p < 0.45, false) AND held AS leaves FROM gates"
 _OPEN = "SELECT *, at_open + least(q, greatest(2 - at_open, 0)) - s AS open_before FROM (SELECT *, sum(CAST(held AS INT)) OVER (PARTITION BY decision_date) AS at_open, coalesce(sum(CAST(wants AND NOT held AS INT)) OVER w, 0) AS q, coalesce(sum(CAST(leaves AS INT)) OVER w, 0) AS s FROM want WINDOW w AS (PARTITION BY decision_date ORDER BY p DESC NULLS LAST, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
-_REASON = "SELECT *, coalesce(g, CASE WHEN NOT held AND open_before >= 2 THEN 'POSITION_LIMIT' WHEN p IS NULL THEN 'MISSING_PROBABILITY' WHEN p >= 0.55 AND e IS NULL THEN 'MISSING_EXPECTED_RETURN' WHEN p >= 0.55 AND e < 0.0039 THEN 'BELOW_COST_FLOOR' END) AS reject_reason FROM opened"
+_REASON = "SELECT *, coalesce(g, CASE WHEN NOT held AND open_before >= 2 THEN 'POSITION_LIMIT' WHEN p IS NULL THEN 'MISSING_PROBABILITY' WHEN p >= 0.55 AND e IS NULL THEN 'MISSING_PROBABILITY' WHEN p >= 0.55 AND e < 0.0039 THEN 'BELOW_COST_FLOOR' END) AS reject_reason FROM opened"
 _DECIDED = "SELECT *, CASE WHEN reject_reason IS NOT NULL THEN 'HOLD' WHEN p >= 0.55 THEN 'BUY' WHEN p < 0.45 THEN 'SELL' ELSE 'HOLD' END AS signal, CASE WHEN v < 0.2 THEN 'LOW' WHEN v < 0.35 THEN 'MEDIUM' WHEN v < 0.6 THEN 'HIGH' ELSE 'EXTREME' END AS risk_bucket FROM reasons"
 _DECIDE = {"inputs": _INPUTS, "gates": _GATE, "want": _WANT, "opened": _OPEN, "reasons": _REASON, "decided": _DECIDED}
 
@@ -390,11 +391,16 @@ def k8c(spark, d):
     return rounded(sized.filter("signal = 'BUY'"), ["target_weight"], ("symbol", "decision_date"))
 
 
-@register("h17_decision_evaluation", sql.query("SELECT count(*) AS n_decisions, count(*) FILTER (signal = 'BUY') AS n_buy, count(*) FILTER (signal = 'SELL') AS n_sell, count(*) FILTER (reject_reason IS NOT NULL) AS n_rejected, round(avg(realised) FILTER (signal = 'BUY'), 6) AS gross_per_trade, round(avg(CAST(realised > 0.0026 AS INT)) FILTER (signal = 'BUY'), 6) AS hit_rate FROM decided JOIN scores s ON s.symbol = decided.symbol AND s.date = decided.decision_date", "scores", **_DECIDE))
+_EVALUATED = """SELECT count(*) AS n_decisions, count(*) FILTER (signal = 'BUY') AS n_buys, count(*) FILTER (signal = 'SELL') AS n_sells, count(*) FILTER (signal = 'HOLD') AS n_holds, count(*) FILTER (reject_reason IS NOT NULL) AS n_rejected,
+  coalesce(avg(realised) FILTER (signal = 'BUY'), 0) AS gross, coalesce(avg(CAST(realised > 0 AS INT)) FILTER (signal = 'BUY'), 0) AS hit_rate, stddev_samp(realised - 0.0026::DOUBLE) FILTER (signal = 'BUY') AS sd FROM decided JOIN scores s ON s.symbol = decided.symbol AND s.date = decided.decision_date"""
+
+
+@register("h17_decision_evaluation", sql.query("SELECT n_decisions, n_buys, n_sells, n_holds, n_rejected, round(gross, 6) + 0.0 AS gross_return_per_trade, round(CASE WHEN n_buys > 0 THEN gross - 0.0026 ELSE 0 END, 6) + 0.0 AS net_return_per_trade, round(CASE WHEN n_buys > 0 THEN (gross - 0.0026) * n_buys ELSE 0 END, 6) + 0.0 AS total_net_return, round(hit_rate, 6) AS hit_rate, round(CASE WHEN n_buys > 1 THEN (gross - 0.0026) / sd * sqrt(252) END, 6) AS net_sharpe_per_trade, CASE WHEN gross > 0 THEN round(0.0026 / gross, 6) ELSE 'Infinity'::DOUBLE END AS cost_drag_ratio, round(n_buys / n_decisions, 6) AS buy_rate, round(n_rejected / n_decisions, 6) AS rejection_rate FROM evaluated", "scores", **_DECIDE, evaluated=_EVALUATED))
 def h17(spark, d):
     out = scores(spark, d).select("symbol", "date", F.col("realised").alias("outcome"))
     m = decisions.evaluate_decisions(decisions.decide(decision_inputs(spark, d), cap=2), out)
-    return rounded(m, ["gross_per_trade", "hit_rate"], ("n_decisions", "n_buy", "n_sell", "n_rejected"))
+    rates = ["gross_return_per_trade", "net_return_per_trade", "total_net_return", "hit_rate", "net_sharpe_per_trade", "buy_rate", "rejection_rate"]
+    return rounded(m, rates, ("n_decisions", "n_buys", "n_sells", "n_holds", "n_rejected", F.when(F.col("gross_return_per_trade") > 0, F.round("cost_drag_ratio", 6)).otherwise(F.col("cost_drag_ratio")).alias("cost_drag_ratio")))
 
 
 @register("h22_signal_counts", sql.query("SELECT CASE WHEN reject_reason IS NOT NULL THEN 'REJECTED' ELSE signal END AS signal, count(*) AS n FROM decided GROUP BY ALL", "scores", **_DECIDE))
@@ -410,22 +416,32 @@ def threshold_signals(spark, d):
     return scores(spark, d).select("symbol", "date", F.col("p").alias("calibrated"), "realised", (F.col("e") * 20).alias("expected_return"))
 
 
-@register("k10_threshold_scores", sql.query("SELECT round(buy, 2) AS buy, count(r) AS n_trades, round(avg(r), 6) AS gross, round(coalesce(sum(r - 0.0026::DOUBLE), 0), 6) + 0.0 AS net_total, round(avg(CAST(r > 0.0026 AS INT)), 6) AS hit_rate FROM grid GROUP BY ALL", "scores", signals=_SIGNALS, grid=_GRID))
+_THRESHOLDS = "SELECT round(buy, 2) AS buy, count(*) AS n_rows, count(r) AS n_trades, coalesce(avg(r), 0) AS gross, coalesce(avg(r) - 0.0026::DOUBLE, 0) AS net, coalesce(sum(r - 0.0026::DOUBLE), 0) / count(*) AS net_total, coalesce(avg(CAST(r > 0 AS INT)), 0) AS hit_rate FROM grid GROUP BY ALL"
+
+
+@register("k10_threshold_scores", sql.query(f"SELECT buy, n_trades, {sql.rounded(['gross', 'net', 'hit_rate'])}, round(net_total, 9) + 0.0 AS net_total, round(n_trades / n_rows, 6) AS trade_rate FROM thresholds", "scores", signals=_SIGNALS, grid=_GRID, thresholds=_THRESHOLDS))
 def k10(spark, d):
     out = decisions.score_thresholds(threshold_signals(spark, d), decisions.threshold_grid(spark))
-    return rounded(out.withColumn("buy", F.round("buy", 2)), ["gross", "net_total", "hit_rate"], ("buy", "n_trades"))
+    return rounded(out, ["gross", "net", "hit_rate", "trade_rate"], (F.round("buy", 2).alias("buy"), "n_trades", (F.round("net_total", 9) + 0.0).alias("net_total")))
 
 
-@register("k11_best_threshold", sql.query("SELECT CASE WHEN n > 0 THEN buy ELSE 0.45 END AS buy, round(net, 6) + 0.0 AS net_total FROM (SELECT round(buy, 2) AS buy, count(r) AS n, coalesce(sum(r - 0.0026::DOUBLE), 0) AS net FROM grid GROUP BY ALL ORDER BY net DESC, buy LIMIT 1)", "scores", signals=_SIGNALS, grid=_GRID))
+@register("k11_best_threshold", sql.query("SELECT CASE WHEN n_trades > 0 THEN buy ELSE 0.45 END AS buy, round(net_total, 9) + 0.0 AS net_total FROM (SELECT * FROM thresholds ORDER BY net_total DESC, buy LIMIT 1)", "scores", signals=_SIGNALS, grid=_GRID, thresholds=_THRESHOLDS))
 def k11(spark, d):
     best = decisions.best_threshold(decisions.score_thresholds(threshold_signals(spark, d), decisions.threshold_grid(spark)))
-    return rounded(best.withColumn("buy", F.round("buy", 2)), ["net_total"], ("buy",))
+    return best.select(F.round("buy", 2).alias("buy"), (F.round("net_total", 9) + 0.0).alias("net_total"))
 
 
-@register("k12_block_thresholds")
+#: Blocks of sessions as near to equal as can be, the first ones longer.
+_BLOCKS = "SELECT date, CAST(CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END AS INT) AS block FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () // 4 AS q, count(*) OVER () % 4 AS r FROM (SELECT DISTINCT date FROM signals))"
+_PER_BLOCK = "SELECT block, round(buy, 2) AS buy, count(*) AS n_rows, count(r) AS n_trades, coalesce(sum(r - 0.0026::DOUBLE), 0) AS net FROM grid JOIN blocks USING (date) GROUP BY ALL"
+_CHOSEN = "SELECT block, CASE WHEN arg_max(n, row(net, -buy)) > 0 THEN arg_max(buy, row(net, -buy)) ELSE min(buy) END AS buy FROM (SELECT b.block, p.buy, sum(p.net) / sum(p.n_rows) AS net, sum(p.n_trades) AS n, sum(p.n_rows) AS n_rows FROM (SELECT DISTINCT block FROM per_block) b JOIN per_block p ON p.block < b.block GROUP BY ALL) WHERE n_rows >= 500 GROUP BY block"
+
+
+@register("k12_block_thresholds", sql.query("SELECT p.block, p.buy, n_trades, round(net / n_rows, 9) + 0.0 AS net_total FROM chosen JOIN per_block p USING (block, buy)", "scores", signals=_SIGNALS, grid=_GRID, blocks=_BLOCKS, per_block=_PER_BLOCK, chosen=_CHOSEN))
 def k12(spark, d):
     s = threshold_signals(spark, d)
-    return decisions.out_of_block_thresholds(s, decisions.threshold_grid(spark), folds.date_blocks(s, 4))
+    out = decisions.out_of_block_thresholds(s, decisions.threshold_grid(spark), folds.date_blocks(s, 4))
+    return out.select("block", F.round("buy", 2).alias("buy"), "n_trades", (F.round("net_total", 9) + 0.0).alias("net_total"))
 
 
 @register("k2_cost_feasibility", sql.query("SELECT symbol, round(s, 6) AS sigma, round(0.0026::DOUBLE / (s * 1.755), 6) AS breakeven_ic, s * 1.755 * 0.03 > 0.0026 AS feasible FROM (SELECT symbol, stddev_samp(return_1d) AS s FROM scores GROUP BY symbol)", "scores"))
@@ -537,16 +553,27 @@ def as_resolved(scored):
 AS_OF = date(2001, 6, 30)
 
 
-@register("m7_rolling_performance", sql.query("SELECT CAST(days AS INTEGER) AS days, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier, round(2 * sqrt(4.0 / count(*)), 6) AS mde, count(*) >= 100 AS reportable FROM scores, (SELECT unnest([7, 30, 60, 90]) AS days) WHERE date <= DATE '2001-06-30' AND date > DATE '2001-06-30' - CAST(days AS INTEGER) GROUP BY days", "scores"))
+@register("m7_rolling_performance", sql.query("SELECT CAST(days AS INTEGER) AS days, count(y) AS n, round(avg((p - y) * (p - y)), 6) AS brier, CASE WHEN count(y) > 0 THEN round(2 * sqrt(4.0 / count(y)), 6) ELSE 'Infinity'::DOUBLE END AS mde, count(y) >= 100 AS reportable FROM (SELECT unnest([0, 7, 30, 60, 90]) AS days) LEFT JOIN scores ON date <= DATE '2001-06-30' AND date > DATE '2001-06-30' - CAST(days AS INTEGER) GROUP BY days", "scores"))
 def m7(spark, d):
-    return rounded(monitoring.rolling_performance(resolved(spark, d), AS_OF), ["brier", "mde"], ("days", "n", "reportable"))
+    out = monitoring.rolling_performance(resolved(spark, d), AS_OF, (0, *monitoring.WINDOWS))
+    return rounded(out, ["brier"], ("days", "n", "reportable", F.when(F.col("n") > 0, F.round("mde", 6)).otherwise(F.col("mde")).alias("mde")))
+
+
+def drift_history(s):
+    """Three checks of drift, each over the sessions up to a later day."""
+    ends = [date(1999, 1, 1), date(2000, 1, 1), date(2001, 1, 1)]
+    out = None
+    for end in ends:
+        one = monitoring.drift_checks(drift_of(s.filter(F.col("date") < F.lit(end))), F.lit(end))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("m13_health_row")
 def m13(spark, d):
     s = tables.settled(scores(spark, d))
     r = as_resolved(s)
-    return monitoring.health_row(drift_of(s), monitoring.rolling_performance(r, AS_OF), monitoring.monitor_calibration(r, AS_OF, 0.03), 0.55, 0.03)
+    return monitoring.health_row(drift_of(s), monitoring.drift_persistence(drift_history(s)), monitoring.rolling_performance(r, AS_OF), monitoring.monitor_calibration(r, AS_OF, 0.03), r, 0.55, 0.03)
 
 
 @register("m12_alert_cooldown")
@@ -598,11 +625,15 @@ _FORECAST = f"SELECT symbol, date, {sql.lead('date')} AS forecast_session, CASE
 _RESULT = "SELECT f.*, CASE WHEN direction = 'NONE' THEN 'INELIGIBLE' WHEN b.close_split IS NULL THEN 'PENDING' WHEN b.close_split = b.open_split THEN 'FLAT' WHEN (b.close_split > b.open_split) = (direction = 'UP') THEN 'CORRECT' ELSE 'WRONG' END AS result FROM forecasts f LEFT JOIN bars b ON b.symbol = f.symbol AND b.date = f.forecast_session WHERE f.forecast_session IS NOT NULL"
 
 
+def forecasts_of(p, *more):
+    f = p.select("symbol", F.col("date").alias("as_of"), F.lead("date").over(by_symbol()).alias("forecast_session"), F.when(F.col("return_5d") > 0, "UP").when(F.dayofmonth("date") == 3, "NONE").otherwise("DOWN").alias("direction"), (F.col("return_5d") / 10).alias("expected_return"), F.col("date").cast("timestamp").alias("created_at"), *more)
+    return f.filter("forecast_session is not null")
+
+
 def scored_forecasts(spark, d):
-    p = simple_panel(spark, d)
-    f = p.select("symbol", F.col("date").alias("as_of"), F.lead("date").over(by_symbol()).alias("forecast_session"), F.when(F.col("return_5d") > 0, "UP").when(F.dayofmonth("date") == 3, "NONE").otherwise("DOWN").alias("direction"), (F.col("return_5d") / 10).alias("expected_return"), F.col("date").cast("timestamp").alias("created_at"))
+    f = forecasts_of(simple_panel(spark, d))
     bars = tables.bars_calm(spark, d).select("symbol", "date", F.col("open_split").alias("open"), F.col("close_split").alias("close"))
-    return records.score_forecasts(f.filter("forecast_session is not null"), bars)
+    return records.score_forecasts(f, bars)
 
 
 @register("n6_forecast_results", sql.query("SELECT symbol, forecast_session, direction, result FROM results", "trimmed", forecasts=_FORECAST, results=_RESULT))
@@ -610,6 +641,18 @@ def n6(spark, d):
     return scored_forecasts(spark, d).select("symbol", "forecast_session", "direction", "result")
 
 
+_PERCENT = "SELECT symbol, forecast_session, result, CASE WHEN open_split IS NULL OR result = 'INELIGIBLE' THEN NULL ELSE CASE WHEN close_split > open_split THEN 'UP' WHEN close_split < open_split THEN 'DOWN' ELSE 'FLAT' END END AS actual_direction, round(CASE WHEN result <> 'INELIGIBLE' THEN 100 * (close_split / open_split - 1) END, 6) + 0.0 AS actual_return_pct, round(CASE WHEN result <> 'INELIGIBLE' THEN 100 * (close_split / open_split - 1 - r5 / 10) END, 6) + 0.0 AS error_pp, round(10 * r5, 6) + 0.0 AS predicted_return_pct, round(100 / (1 + exp(-20 * r5)), 6) AS probability_up_pct, round(CASE WHEN result <> 'INELIGIBLE' THEN open_split END, 6) AS actual_open, round(CASE WHEN result <> 'INELIGIBLE' THEN close_split END, 6) AS actual_close FROM results JOIN (SELECT symbol, date, return_5d AS r5 FROM trimmed) USING (symbol, date)"
+
+
+@register("n7_forecast_history", sql.query(_PERCENT, "trimmed", forecasts=_FORECAST, results=_RESULT.replace("SELECT f.*,", "SELECT f.*, b.open_split, b.close_split,")))
+def n7(spark, d):
+    f = simple_panel(spark, d).withColumn("probability_up", 1 / (1 + F.exp(-20 * F.col("return_5d"))))
+    f = forecasts_of(f, "probability_up")
+    bars = tables.bars_calm(spark, d).select("symbol", "date", F.col("open_split").alias("open"), F.col("close_split").alias("close"))
+    history = records.forecast_history(f, tables.settled(records.forecast_outcomes(f, bars)))
+    return rounded(history, ["actual_return_pct", "error_pp", "predicted_return_pct", "probability_up_pct", "actual_open", "actual_close"], ("symbol", "forecast_session", "result", "actual_direction"))
+
+
 @register("h23_forecast_accuracy", sql.query("SELECT " + ", ".join(f"count(*) FILTER (result = '{r}') AS n_{r.lower()}" for r in ("CORRECT", "WRONG", "FLAT", "PENDING", "INELIGIBLE")) + ", round(count(*) FILTER (result = 'CORRECT') / count(*) FILTER (result IN ('CORRECT', 'WRONG')), 6) AS accuracy FROM results", "trimmed", forecasts=_FORECAST, results=_RESULT))
 def h23(spark, d):
     return rounded(records.forecast_accuracy(scored_forecasts(spark, d)), ["accuracy"], tuple(f"n_{r}" for r in ("correct", "wrong", "flat", "pending", "ineligible")))

