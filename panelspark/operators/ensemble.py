@@ -7,7 +7,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators import metrics, models, records
@@ -81,6 +81,71 @@ def fit_production(meta: DataFrame, oof: DataFrame, columns: list[str], c: float
     return Production(model, calibrate, model_version(name, {"c": c, "columns": columns}, end))
 
 
+@dataclass
+class ProductionEnsemble:
+    """All that scores a panel without labels: base models of all development rows, stack, calibrator and return model."""
+
+    version: str
+    columns: list[str]
+    context: list[str]
+    direction: dict[str, object]
+    stack: PipelineModel
+    calibrator: models.Calibrator
+    returns: object
+
+    def score(self, panel: DataFrame) -> DataFrame:
+        """(date, symbol, a column for each base, raw, calibrated, expected_return, model_version) of every row of panel.
+
+        panel has the keys, the features and the context columns; labels are
+        not needed. A missing column is refused before anything runs.
+        """
+        if lacking := [c for c in dict.fromkeys((*KEYS, *self.columns, *self.context)) if c not in panel.columns]:
+            raise ValueError(f"the panel lacks {', '.join(lacking)}")
+        df = panel.select(*dict.fromkeys((*KEYS, *self.columns, *self.context)))
+        for name, model in self.direction.items():
+            df = models.predict(model, df, name)
+        df = models.predict(self.returns, df, "expected_return")
+        df = self.calibrator(models.predict(self.stack, df, "raw"), "calibrated")
+        return df.select(*KEYS, *self.direction, "raw", "calibrated", "expected_return", F.lit(self.version).alias("model_version"))
+
+    def save(self, path: str, spark: SparkSession) -> str:
+        """Writes the bundle to a folder of its version under path and gives that folder. The manifest comes last: without it nothing is loaded."""
+        at = f"{path}/{self.version}"
+        parts = {f"direction-{i}": m for i, m in enumerate(self.direction.values())} | {"stack": self.stack, "returns": self.returns} | ({"calibrator": self.calibrator.model} if self.calibrator.model else {})
+        told = {"version": self.version, "columns": self.columns, "context": self.context, "direction": list(self.direction), "p": self.calibrator.p, "kinds": {k: models.save_model(m, f"{at}/{k}", spark) for k, m in parts.items()}}
+        spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/manifest")
+        return at
+
+    @staticmethod
+    def load(at: str, spark: SparkSession) -> ProductionEnsemble:
+        """The bundle of a folder that :meth:`save` gave; a folder without a manifest is an error."""
+        told = json.loads(spark.read.text(f"{at}/manifest", wholetext=True).first()[0])
+        part = lambda k: models.load_model(told["kinds"][k], f"{at}/{k}", spark)
+        calibrator = models.Calibrator(told["p"], part("calibrator") if "calibrator" in told["kinds"] else None)
+        return ProductionEnsemble(told["version"], told["columns"], told["context"], {n: part(f"direction-{i}") for i, n in enumerate(told["direction"])}, part("stack"), calibrator, part("returns"))
+
+
+def fit_production_ensemble(assigned: DataFrame, assign, fits: dict[str, models.Fit], return_fit: models.Fit, columns: list[str], label: str, target: str, context: tuple[str, ...] = (), c: float = 1.0, name: str = "ensemble") -> ProductionEnsemble:
+    """From development rows with folds to a bundle.
+
+    The stack learns from out-of-fold base scores and the calibrator from
+    out-of-fold scores of the stack (assign gives the joined rows folds); base
+    and return models are then fitted again on every labelled row, once each.
+    """
+    rows = settled(assigned.filter(F.col(label).isNotNull()))
+    extra = rows.select(*KEYS, *context).dropDuplicates(KEYS) if context else None
+    meta = settled(records.meta_features({n: models.generate_oof(rows, fit, columns, label) for n, fit in fits.items()}, extra))
+    own = meta_columns(meta)
+    oof, _ = fit_stack(assign(meta), own, c)
+    labelled = meta.withColumn("_y", (F.col("y_true") > 0.5).cast("double"))
+    stack = models.fit_logistic(c)(labelled, own, "_y")
+    calibrator = models.fit_calibrator(settled(oof.select(F.col("y_pred").alias("raw"), (F.col("y_true") > 0.5).cast("double").alias("y_true"))), p="raw")
+    every = settled(rows.select(*KEYS, *dict.fromkeys((*columns, label, target))).dropDuplicates(KEYS))
+    end = every.agg(F.max("date")).first()[0]
+    version = model_version(name, {"bases": list(fits), "columns": columns, "context": list(context), "c": c}, end)
+    return ProductionEnsemble(version, list(columns), list(context), {n: fit(every, columns, label) for n, fit in fits.items()}, stack, calibrator, return_fit(every.filter(F.col(target).isNotNull()), columns, target))
+
+
 @dataclass
 class Ensemble:
     meta: DataFrame

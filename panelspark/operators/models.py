@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.ordered import quantiles
@@ -135,21 +136,40 @@ def nested_walk_forward(df: DataFrame, grid: dict[str, Fit], columns: list[str],
     return out
 
 
-def fit_calibrator(scores: DataFrame, p: str = "y_pred", y: str = "y_true", method: str = "auto") -> Callable[[DataFrame, str], DataFrame]:
-    """A function (df, name) that adds calibrated scores: isotonic from 1000 rows on, else a sigmoid; as they are with one class."""
+@dataclass
+class Calibrator:
+    """Adds calibrated scores within [0, 1]; without a model, the scores as they are."""
+
+    p: str
+    model: PipelineModel | None
+
+    def __call__(self, df: DataFrame, name: str = "calibrated") -> DataFrame:
+        out = df.withColumn(name, F.col(self.p)) if self.model is None else predict(self.model, df, name)
+        return out.withColumn(name, F.least(F.greatest(F.col(name), F.lit(0.0)), F.lit(1.0)))
+
+
+def fit_calibrator(scores: DataFrame, p: str = "y_pred", y: str = "y_true", method: str = "auto") -> Calibrator:
+    """Isotonic from 1000 rows on, else a sigmoid; scores as they are with one class."""
     row = scores.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("m")).first()
     if not row["n"] or row["m"] in (0.0, 1.0):
-        return lambda df, name="calibrated": df.withColumn(name, F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)))
+        return Calibrator(p, None)
     kind = ("isotonic" if row["n"] >= 1000 else "sigmoid") if method == "auto" else method
     stages = [VectorAssembler(inputCols=[p], outputCol="_p")]
     stages.append(IsotonicRegression(featuresCol="_p", labelCol=y) if kind == "isotonic" else LogisticRegression(featuresCol="_p", labelCol=y, regParam=1 / row["n"], standardization=False))
-    model = Pipeline(stages=stages).fit(scores)
+    return Calibrator(p, Pipeline(stages=stages).fit(scores))
+
+
+def save_model(model, path: str, spark: SparkSession) -> str:
+    """Writes a fitted model and gives its kind, which :func:`load_model` needs."""
+    if isinstance(model, boosting.Boosted):
+        model.save(path, spark)
+        return "boosted"
+    model.write().overwrite().save(path)
+    return "pipeline"
 
-    def apply(df: DataFrame, name: str = "calibrated") -> DataFrame:
-        out = predict(model, df, name)
-        return out.withColumn(name, F.least(F.greatest(F.col(name), F.lit(0.0)), F.lit(1.0)))
 
-    return apply
+def load_model(kind: str, path: str, spark: SparkSession):
+    return boosting.Boosted.load(path, spark) if kind == "boosted" else PipelineModel.load(path)
 
 
 def calibrate_out_of_fold(oof: DataFrame, blocks: DataFrame, min_rows: int = 500) -> DataFrame:

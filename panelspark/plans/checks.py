@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -307,3 +309,15 @@ def j13(spark, d):
     columns = ensemble.meta_columns(meta)
     oof, _ = ensemble.fit_stack(meta_folds(meta), columns)
     return ensemble.fit_production(meta, oof, columns).score(tables.latest(meta, ["symbol"], [F.desc("date")]))
+
+
+@register("j13_fresh_panel_scores")
+def j13_fresh(spark, d):
+    """Rows that have no label yet, scored by a bundle that was written under its version and loaded again."""
+    df = panel.simple_panel(spark, d).select("symbol", "date", *panel.MODEL_FEATURES, "tradeable_direction_1d", "tradeable_return_1d")
+    df = tables.settled(df)
+    fits = {"boosted": models.fit_boosted_direction(), "logistic": models.fit_logistic()}
+    known = df.filter("tradeable_direction_1d is not null")
+    bundle = ensemble.fit_production_ensemble(assign(known), meta_folds, fits, models.fit_ridge(), panel.MODEL_FEATURES, "tradeable_direction_1d", "tradeable_return_1d", ("volatility_20",))
+    at = bundle.save(f"{tables.work_folder(spark)}/bundles-{uuid.uuid4().hex}", spark)
+    return ensemble.ProductionEnsemble.load(at, spark).score(df.filter("tradeable_direction_1d is null").drop("tradeable_direction_1d", "tradeable_return_1d"))

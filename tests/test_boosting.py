@@ -107,3 +107,39 @@ def test_edges(spark):
     same = boosting.fit(spark.createDataFrame([(None, 1.0)] * 10, "a double, y double"), ["a"], "y", Settings(3, least=1))
     assert shape(same) == [] and same.scores(np.array([[1.0]]))[0] > 0.99
     assert boosting.encode(np.array([[np.nan], [1.0], [2.0], [3.0]]), [[1.0, 2.0]]).ravel().tolist() == [MISSING, 0, 1, 2]
+
+
+def test_a_saved_bundle_scores_a_panel_without_labels(spark, tmp_path):
+    from datetime import date, timedelta
+
+    from panelspark.operators import ensemble, models
+    from panelspark.plans import checks
+
+    rng = np.random.default_rng(8)
+    data = [(date(2019, 1, 1) + timedelta(days=i), s, *(x := rng.normal(size=2)).tolist(), float(i % 7), float(x[0] + 0.5 * rng.normal() > 0), float(0.01 * x[0])) for i in range(500) for s in "AB"]
+    df = spark.createDataFrame(data, "date date, symbol string, f1 double, f2 double, day double, y double, r double")
+    def assign(rows):
+        from panelspark.operators import calendar, folds
+
+        index = calendar.session_index(rows)
+        return folds.assign_folds(rows, folds.fold_bounds(spark, index.count(), 3, 60, min_train=60), index)
+
+    fits = {"boosted": models.fit_boosted_direction(10, rate=0.3, least=20), "logistic": models.fit_logistic()}
+    bundle = ensemble.fit_production_ensemble(assign(df), assign, fits, models.fit_ridge(), ["f1", "f2"], "y", "r", ("day",))
+    at = bundle.save(str(tmp_path), spark)
+    assert at.endswith(bundle.version) and "2020-05-14" in bundle.version
+    fresh = df.limit(50).drop("y", "r")
+    rows_of = lambda b: sorted(tuple(r) for r in b.score(fresh).collect())
+    first = rows_of(bundle)
+    assert first == rows_of(ensemble.ProductionEnsemble.load(at, spark)) and len(first) == 50
+    got = bundle.score(fresh)
+    assert got.columns == ["date", "symbol", "boosted", "logistic", "raw", "calibrated", "expected_return", "model_version"]
+    # The expected return is that of the ridge of all rows, the raw score that of the stack over base scores and context.
+    up = {(r["date"], r["symbol"]): r["f1"] for r in fresh.collect()}
+    both = [(up[r["date"], r["symbol"]], r["expected_return"], r["raw"]) for r in got.collect()]
+    assert np.corrcoef([b[0] for b in both], [b[1] for b in both])[0, 1] > 0.99 and np.corrcoef([b[0] for b in both], [b[2] for b in both])[0, 1] > 0.8
+    with pytest.raises(ValueError, match="day"):
+        bundle.score(fresh.drop("day"))
+    with pytest.raises(Exception):
+        ensemble.ProductionEnsemble.load(f"{tmp_path}/none", spark)
+    assert checks.QUERIES["j13_fresh_panel_scores"]
