@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.arrays import captured, with_running
 from panelspark.llm.common import lower_ascii, text_of
 
 # Words and the base phrases with their labels.
@@ -168,8 +169,8 @@ SENTENCES = [
 NOTICES = ("proprietary", "copyright", "warranty-disclaimer", "public-domain")
 #: Named after "license", as in "License: MIT", or by their short names in an expression.
 SHORT = {
-    "Apache-2.0": "apache 2(?: 0)?", "MIT": "mit", "ISC": "isc", "BSD-2-Clause": "bsd 2 clause", "BSD-3-Clause": "bsd 3 clause", "GPL-2.0": "gpl(?: v2|v2| 2(?: 0)?)", "GPL-3.0": "gpl(?: v3|v3| 3(?: 0)?)", "LGPL-2.1": "lgpl(?: v| )?2 1", "LGPL-3.0": "lgpl(?: v| )?3(?: 0)?",
-    "AGPL-3.0": "agpl(?: v| )?3(?: 0)?", "MPL-2.0": "mpl(?: v| )?2 0", "EPL-2.0": "epl(?: v| )?2 0", "BSL-1.0": "bsl 1 0", "Zlib": "zlib", "WTFPL": "wtfpl", "Unlicense": "unlicense", "0BSD": "0bsd", "CC0-1.0": "cc0(?: 1 0)?", "CC-BY-SA-4.0": "cc by sa 4 0", "CC-BY-NC-4.0": "cc by nc 4 0", "CC-BY-4.0": "cc by 4 0", "OFL-1.1": "ofl 1 1", "Artistic-2.0": "artistic 2 0",
+    "Apache-2.0": "apache 2(?: 0)?", "MIT": "mit", "ISC": "isc", "BSD-2-Clause": "bsd 2 clause", "BSD-3-Clause": "bsd 3 clause", "GPL-2.0": "gpl(?: v2|v2| 2(?: 0)?)", "GPL-3.0": "gpl(?: v3|v3| 3(?: 0)?)", "LGPL-2.1": "lgpl(?: v|v| )?2 1", "LGPL-3.0": "lgpl(?: v|v| )?3(?: 0)?",
+    "AGPL-3.0": "agpl(?: v|v| )?3(?: 0)?", "MPL-2.0": "mpl(?: v|v| )?2 0", "EPL-2.0": "epl(?: v|v| )?2 0", "BSL-1.0": "bsl 1 0", "Zlib": "zlib", "WTFPL": "wtfpl", "Unlicense": "unlicense", "0BSD": "0bsd", "CC0-1.0": "cc0(?: 1 0)?", "CC-BY-SA-4.0": "cc by sa 4 0", "CC-BY-NC-4.0": "cc by nc 4 0", "CC-BY-4.0": "cc by 4 0", "OFL-1.1": "ofl 1 1", "Artistic-2.0": "artistic 2 0",
     "GPL": "gpl", "LGPL": "lgpl", "AGPL": "agpl",
 }
 
@@ -180,7 +181,7 @@ TAG, SENTENCE, GRANT, URL, NAMED, NAME, NOTICE = 1.0, 0.95, 0.9, 0.85, 0.8, 0.7,
 class Rule:
     """before + anchor + after, words joined by one space; the list's order is the priority.
 
-    What stands before may be a mere condition, outside of the detection.
+    A rule in a tag holds only at a joint of a tag's expression; see :data:`JOINTS`.
     """
 
     label: str
@@ -188,11 +189,13 @@ class Rule:
     before: str
     after: str
     confidence: float
-    condition: bool = False
+    in_tag: bool = False
 
 
-#: Between the names of a tag's expression: "Apache-2.0 OR MIT". Looked at only after such a tag's beginning.
-JOINTS = ("or", "and")
+#: Between the names of a tag's expression: "Apache-2.0 OR MIT". An expression has any number of names, of so many words each:
+#: a joint belongs to it if the tag or the joint before it, which belongs to it, is not further away.
+JOINTS, OPERAND = ("or", "and"), 12
+TAG_WORDS = ("spdx", "license", "identifier")
 
 
 def _alias(phrase: str) -> tuple[str, str]:
@@ -203,11 +206,11 @@ def _alias(phrase: str) -> tuple[str, str]:
 def rules() -> list[Rule]:
     """All rules, in order: identifiers, sentences, grants, links, then names; the longer name first."""
     out: list[Rule] = []
-    for label in NAMES:
+    for label in sorted(NAMES, key=lambda n: -len(n)):  # so that MIT-0 isn't taken for MIT
         words = " ".join(w for w in label.lower().replace(".", " ").replace("-", " ").split())
         out.append(Rule(label, "identifier", "spdx license", words + "(?: or later| only)?", TAG))
         for joint in JOINTS:
-            out.append(Rule(label, joint, "spdx license identifier(?: [a-z0-9]+){1,12}", words + "(?: or later| only)?", TAG, condition=True))
+            out.append(Rule(label, joint, "", words + "(?: or later| only)?", TAG, in_tag=True))
     for label, before, anchor, after in SENTENCES:
         out.append(Rule(label, anchor, before, after, NOTICE if label in NOTICES else SENTENCE))
     phrases = sorted(((p, label) for label, ps in NAMES.items() for p in ps), key=lambda x: -len(x[0]))
@@ -227,12 +230,15 @@ def rules() -> list[Rule]:
             kind = label.lower().replace("cc-", "", 1).replace(".", " ").replace("-", " ")
             urls.append(Rule(label, "licenses", "creativecommons org", kind, URL))
     named = [Rule(label, "license", "", f"(?:is |type |name |the )?{short}", NAMED) for label, short in SHORT.items()]
+    plain = SHORT | {"BSD": "bsd"}
+    grants += [Rule(label, "under", "", f"(?:the terms of )?(?:the |a |an )?{short}", GRANT) for label, short in plain.items()]
+    named += [Rule(label, "licensed", short, "", NAMED) for label, short in plain.items()]
     return out + grants + named + sorted(urls, key=lambda r: -len(r.after)) + names
 
 
 RULES = rules()
 #: Words that a rule may look at on one side of its anchor, at most: no rule is cut. A gap of n words counts n times.
-WINDOW = max(len(p.replace("{1,12}", " " * 11).replace("{1,8}", " " * 7).replace("{1,6}", " " * 5).split(" ")) for r in RULES for p in (r.before, r.after))
+WINDOW = max(len(p.replace("{1,8}", " " * 7).replace("{1,6}", " " * 5).split(" ")) for r in RULES for p in (r.before, r.after))
 ANCHORS = sorted({r.anchor for r in RULES})
 #: The prefilter: no rule and no base phrase matches a text without one of these words.
 GATE = r"(?i)(?<![a-z0-9])(?:" + "|".join([*ANCHORS, "licence"]) + r")(?![a-z0-9])"
@@ -242,7 +248,7 @@ TOPICS = ("licens", "licenc", "copyright", "spdx", "redistribut", "permission",
 #: Words of a phrase may have anything between them that is no word: line breaks, several spaces, punctuation.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = [
-    ("reserved", "rights reserved"), ("reserved", "reserved font name"), ("under", "under (?:the )?(?:mit|isc|bsd|apache|a?l?gpl|mpl|epl|cc)"), ("domain", "public domain"), ("artistic", "artistic control"), ("mozilla", "mozilla org"), ("advertising", "advertising (?:materials|or otherwise)"),
+    ("reserved", "rights reserved"), ("reserved", "reserved font name"), ("under", "under (?:the terms of )?(?:the |an? )?(?:mit|isc|0?bsd|bsl|apache|a?l?gpl|mpl|epl|cc|zlib|wtfpl|unlicense|ofl|artistic)"), ("domain", "public domain"), ("artistic", "artistic control"), ("mozilla", "mozilla org"), ("advertising", "advertising (?:materials|or otherwise)"),
     ("misrepresented", "be misrepresented"), ("foundation", "apache software foundation"), ("internal", "internal use only"), ("confidential", "and confidential"), ("reproduced", "may be reproduced"), ("unauthorized", "unauthorized copying"), ("warrant", "implied warrant"), ("warrant", "without warranty"),
     ("format", "medium or format"), ("distribute", "not distribute"), ("commercial", "for commercial purposes"), ("endorse", "endorse or promote"), ("restriction", "without restriction"), ("compile", "use compile"),
 ]
@@ -265,12 +271,30 @@ def _detect(x: str = "x") -> str:
     for no, r in enumerate(RULES):
         before, after = f"(?:^| )({r.before})$", f"^({r.after})(?: |$)"
         fits = [f"{x}.left RLIKE '{before}'"] * bool(r.before) + [f"{x}.right RLIKE '{after}'"] * bool(r.after)
-        start = f"{x}.at - {words(f"regexp_extract({x}.left, '{before}', 1)")}" if r.before and not r.condition else f"{x}.at"
+        start = f"{x}.at - {words(f"regexp_extract({x}.left, '{before}', 1)")}" if r.before else f"{x}.at"
         end = f"{x}.at + 1 + {words(f"regexp_extract({x}.right, '{after}', 1)")}" if r.after else f"{x}.at + 1"
         by_anchor.setdefault(r.anchor, []).append(f"WHEN {' AND '.join(fits) or 'true'} THEN named_struct('start', {start}, 'end', {end}, 'rule', {no}, 'label', '{r.label}', 'confidence', {r.confidence}D)")
     return "CASE " + " ".join(f"WHEN {x}.anchor = '{name}' THEN CASE {' '.join(own)} END" for name, own in by_anchor.items()) + " END"
 
 
+def _with_joints(df: DataFrame) -> DataFrame:
+    """df, which has the words ``_w``, plus ``_joints``: places of the joints that belong to a tag's expression; null without a tag.
+
+    Tags and joints in order: a tag sets an odd mark, a joint too far from what
+    stands before it an even one, other joints none. The last mark up to a
+    joint says whether it belongs to a tag: a running maximum.
+    """
+    w = F.col("_w")
+    is_tag = lambda i: (F.get(w, i) == TAG_WORDS[2]) & (F.get(w, i - 1) == TAG_WORDS[1]) & (F.get(w, i - 2) == TAG_WORDS[0])
+    spots = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(*JOINTS) | is_tag(i))
+    df = df.withColumn("_spots", F.when(F.array_contains(w, TAG_WORDS[0]), captured(w, spots)))
+    spots = F.col("_spots")
+    mark = lambda i, k: F.when(F.get(w, i) == TAG_WORDS[2], 2 * k + 1).when(i - F.get(spots, k - 1) <= OPERAND + 1, 0).otherwise(2 * k).cast("long")
+    df = with_running(df.withColumn("_marks", captured(spots, F.transform(spots, mark))), {"_marks": "_before"}, F.greatest)
+    belongs = F.filter(F.arrays_zip("_spots", "_marks", "_before"), lambda x: F.get(w, x["_spots"]).isin(*JOINTS) & (F.greatest(x["_marks"], x["_before"]) % 2 == 1))
+    return df.withColumn("_joints", F.transform(belongs, lambda x: x["_spots"])).drop("_spots", "_marks", "_before")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections).
 
@@ -285,9 +309,9 @@ def scan(docs: DataFrame) -> DataFrame:
     tokens = F.when(gated, F.regexp_extract_all(lower_ascii(F.col("_t")), F.lit(WORDS), F.lit(0)))
     df = df.select("doc_id", F.regexp_count("_t", F.lit(WORDS)).cast("long").alias("n_words"), tokens.alias("_w"))
     w = F.col("_w")
-    # A joint counts only where a tag began not long before.
-    tagged = lambda i: ~F.get(w, i).isin(*JOINTS) | F.array_contains(F.slice(w, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i, F.lit(WINDOW))), "spdx")
-    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin([*ANCHORS, "licence"]) & tagged(i))
+    df = _with_joints(df)
+    others = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin([*(a for a in ANCHORS if a not in JOINTS), "licence"]))
+    places = F.array_sort(F.concat(others, F.coalesce("_joints", F.array().cast("array<int>"))))
     df = df.withColumn("_at", F.when(F.size(w) > 0, places))
     around = lambda i: F.struct(
         i.alias("at"),
@@ -296,7 +320,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_join(F.slice(w, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i, F.lit(WINDOW))), " ").alias("left"),
         F.array_join(F.slice(w, i + 2, WINDOW), " ").alias("right"),
     )
-    df = df.withColumn("_near", F.transform("_at", around)).drop("_w", "_at")
+    df = df.withColumn("_near", F.transform("_at", around)).drop("_w", "_at", "_joints")
     is_base = lambda x: (x["word"] == "license") & x["left"].rlike(r"(?:^| )(?:mit|apache|general public)$")
 
     def base_place(x: Column) -> Column:

@@ -27,16 +27,20 @@ def test_gated_and_ungated_scans_agree(spark, monkeypatch):
 def plain_scan(text):
     """(start, end, label) of the detections that stay, every rule tried at every place on the whole text."""
     words = re.findall(license_scan.WORDS, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    found = []
+    found, in_tag, last = [], False, -99
     for i, w in enumerate(words):
+        if tuple(words[max(0, i - 2) : i + 1]) == license_scan.TAG_WORDS:
+            in_tag, last = True, i
+        if w in license_scan.JOINTS:
+            in_tag, last = in_tag and i - last <= 13, i
         left, right = " ".join(words[:i]), " ".join(words[i + 1 :])
         for no, r in enumerate(license_scan.RULES):
-            if r.anchor != ("license" if w == "licence" else w):
+            if r.anchor != ("license" if w == "licence" else w) or r.in_tag and not in_tag:
                 continue
             before = re.search(f"(?:^| )({r.before})$", left) if r.before else True
             after = re.match(f"({r.after})(?: |$)", right) if r.after else True
             if before and after:
-                found.append((i - (len(before[1].split()) if r.before and not r.condition else 0), i + 1 + (len(after[1].split()) if r.after else 0), no, r.label))
+                found.append((i - (len(before[1].split()) if r.before else 0), i + 1 + (len(after[1].split()) if r.after else 0), no, r.label))
                 break
     inside = lambda x, y: y[0] <= x[0] and y[1] >= x[1]
     return sorted((x[0], x[1], x[3]) for x in found if not any(inside(x, y) and (y[2] < x[2] or (y[2] == x[2] and y[1] - y[0] > x[1] - x[0])) for y in found))
@@ -70,3 +74,18 @@ WHOLE = {
 def test_known_texts(spark):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs(spark, list(enumerate(WHOLE)))).collect()}
     assert got == dict(enumerate(WHOLE.values()))
+
+
+def test_an_expression_of_40_names_is_read_whole_and_prose_after_it_is_not(spark):
+    names = [n for n in license_scan.NAMES][:40]
+    expression = f"SPDX-License-Identifier: {' OR '.join(names)}"
+    far = " ".join(f"word{i}" for i in range(13))
+    texts = [(1, expression), (2, f"// SPDX-License-Identifier: MIT OR {' OR '.join(['foo'] * 60)} OR Apache-2.0"), (3, f"SPDX-License-Identifier: MIT\n{far} or Apache-2.0 and so on"), (4, "salt or Apache-2.0"), (5, f"SPDX-License-Identifier: MIT OR ISC\n{far} and GPL-2.0\nSPDX-License-Identifier: BSD-2-Clause AND Zlib")]
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in license_scan.scan(docs(spark, texts)).collect()}
+    assert got[1] >= set(names) and got[2] == {"MIT", "Apache-2.0"} and got[3] == {"MIT"} and got[4] == set() and got[5] == {"MIT", "ISC", "BSD-2-Clause", "Zlib"}
+
+
+def test_short_names_after_under_and_before_licensed(spark):
+    texts = {1: ("Released under the GPLv3", "GPL-3.0"), 2: ("available under BSD", "BSD"), 3: ("This software is BSD licensed", "BSD"), 4: ("under the WTFPL", "WTFPL"), 5: ("distributed under the zlib", "Zlib"), 6: ("It is MIT-licensed.", "MIT"), 7: ("under the bridge", ""), 8: ("under the terms of the AGPLv3", "AGPL-3.0")}
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs(spark, [(i, t) for i, (t, _) in texts.items()])).collect()}
+    assert got == {i: want for i, (_, want) in texts.items()}
