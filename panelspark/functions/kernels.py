@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,16 +58,3 @@ def with_momentum(df: DataFrame) -> DataFrame:
     out = df.groupBy("symbol").applyInPandas(momentum_kernel, T.StructType(fields))
     nulled = [F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in fields]
     return out.select(*nulled)
-
-
-def inverse_normal(p):
-    """Column of the standard normal quantile, null outside (0, 1)."""
-    from statistics import NormalDist
-
-    @F.pandas_udf("double")
-    def inv(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        law = NormalDist()
-        for s in batches:
-            yield s.map(lambda x: law.inv_cdf(x) if 0 < x < 1 else None)
-
-    return inv(p)

@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.sources.tables import settled
+
 RANGES = 64
+ONE_SORT = 1 << 17
 
 
 def by_or_all(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
@@ -23,8 +26,17 @@ def by_or_all(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
 def running_before(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
     """df plus, for each name, the sum over the group's rows of smaller ``order``, and name_total, the group's sum.
 
-    df has one row for each group and value of ``order``, without nulls.
+    df has one row for each group and value of ``order``, without nulls. It is
+    settled, as it is read several times; up to ``ONE_SORT`` rows plain windows
+    give the same sums.
     """
+    df = settled(df)
+    if df.count() <= ONE_SORT:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*keys)
+        df = df.withColumns({f"_value_{k}": v for k, v in sums.items()})
+        df = df.withColumns({k: F.coalesce(F.sum(f"_value_{k}").over(before), F.lit(0)) for k in sums} | {f"{k}_total": F.sum(f"_value_{k}").over(whole) for k in sums})
+        return df.drop(*[f"_value_{k}" for k in sums])
     at = ", ".join(str(i / RANGES) for i in range(1, RANGES))
     cuts = df.groupBy(*keys).agg(F.expr(f"percentile_approx({order}, array({at}), 1000)").alias("_cuts"))
     # One row for each group; that of a constant key is surely small.

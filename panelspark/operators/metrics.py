@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.ordered import by_or_all, quantiles, running_before
-from panelspark.functions.windows import average_rank
+from panelspark.sources.tables import settled
 
 CLIP = 1e-7
 
@@ -60,12 +60,23 @@ def _corr(a: Column, b: Column) -> Column:
     return F.when(ok, F.corr(a, b)).otherwise(0.0)
 
 
+def with_average_rank(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """rows plus the rank of value from 1 within the keys, ties averaged; value has no nulls. Ranks are counted by ranges, so no task sorts a group."""
+    one = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    one = running_before(one, keys, "_v", {"_before": F.col("_k")})
+    one = one.select(*keys, F.col("_v").alias(value), (F.col("_before") + (F.col("_k") + 1) / 2).alias(name))
+    return rows.join(one, [*keys, value])
+
+
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: list[str]) -> DataFrame:
+    """Errors and correlations by group, of the rows that have both; groups of one row have none."""
     rows = df.filter(F.col(y).isNotNull() & F.col(yhat).isNotNull())
     rows, keys = by_or_all(rows, by)
-    a, b = F.col(y).cast("double"), F.col(yhat).cast("double")
-    w = Window.partitionBy(*keys)
-    rows = rows.withColumn("_mean", F.avg(a).over(w)).withColumn("_ra", average_rank(a, keys)).withColumn("_rb", average_rank(b, keys))
+    rows = settled(rows.select(*keys, F.col(y).cast("double").alias("_a"), F.col(yhat).cast("double").alias("_b")))
+    means = rows.groupBy(*keys).agg(F.avg("_a").alias("_mean"))
+    rows = rows.join(F.broadcast(means) if keys == ["_all"] else means, keys)
+    rows = with_average_rank(with_average_rank(rows, keys, "_a", "_ra"), keys, "_b", "_rb")
+    a, b = F.col("_a"), F.col("_b")
     sse, sst = F.sum((a - b) ** 2), F.sum((a - F.col("_mean")) ** 2)
     moved = a != 0
     return _drop(
@@ -87,7 +98,8 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: list[str]) -> DataF
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     rows, keys = by_or_all(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), by)
-    rows = rows.withColumn("_ra", average_rank(F.col(a), keys)).withColumn("_rb", average_rank(F.col(b), keys))
+    rows = settled(rows.select(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")))
+    rows = with_average_rank(with_average_rank(rows, keys, "_a", "_ra"), keys, "_b", "_rb")
     return _drop(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _corr(F.col("_ra"), F.col("_rb")).alias("spearman")))
 
 

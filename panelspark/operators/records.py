@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.kernels import inverse_normal
+from panelspark.functions import normal
 
 NATURAL_KEY = ["symbol", "prediction_date", "model_version", "feature_version", "decision_version", "threshold_version"]
 SIGNALS = ("BUY", "SELL", "HOLD")
@@ -180,7 +180,8 @@ def leaderboard(runs: DataFrame, stderr: float = STDERR) -> DataFrame:
     """
     w = Window.partitionBy("task")
     df = runs.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("best", F.max("primary_value").over(w))
-    df = df.withColumn("inflation", F.when(F.col("n") > 1, stderr * inverse_normal(1 - 1 / (F.col("n") + 1))).otherwise(0.0))
+    df = df.withColumn("_p", 1 - 1 / (F.col("n") + 1))
+    df = df.withColumn("inflation", F.when(F.col("n") > 1, stderr * normal.quantile("_p")).otherwise(0.0)).drop("_p")
     df = df.withColumns({"rank": F.rank().over(w.orderBy(F.desc("primary_value"))), "selection_adjusted": F.col("primary_value") - F.col("inflation"), "distinguishable": F.col("best") - F.col("primary_value") > 2 * stderr * 2**0.5})
     return df.withColumn("n_prior", F.row_number().over(w.orderBy("created_at", "experiment_id")) - 1)
 

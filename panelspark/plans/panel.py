@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions import kernels
+from panelspark.functions import kernels, normal
 from panelspark.functions.windows import by_symbol
 from panelspark.operators import actions, calendar, decisions, features, folds, labels, metrics, models, monitoring, portfolio, quality, records
 from panelspark.plans import sql
@@ -669,12 +669,16 @@ def runs(spark, d):
     return o.groupBy("o_custkey").agg(F.round(F.avg("o_totalprice") / 1e6, 6).alias("primary_value"), F.min("o_orderdate").alias("created_at")).select(F.col("o_custkey").alias("experiment_id"), (F.col("o_custkey") % 7).alias("task"), "primary_value", "created_at")
 
 
-@register("n9_leaderboard")
+_RUNS = "SELECT o_custkey AS experiment_id, o_custkey % 7 AS task, round(avg(o_totalprice) / 1e6, 6) AS primary_value, min(o_orderdate) AS created_at FROM orders GROUP BY o_custkey"
+_RANKED = f"SELECT *, count(*) OVER t AS n, max(primary_value) OVER t AS best, rank() OVER (PARTITION BY task ORDER BY primary_value DESC) AS rank, row_number() OVER (PARTITION BY task ORDER BY created_at, experiment_id) - 1 AS n_prior FROM ({_RUNS}) WINDOW t AS (PARTITION BY task)"
+
+
+@register("n9_leaderboard", f"SELECT experiment_id, task, n, CAST(rank AS BIGINT) AS rank, CAST(n_prior AS BIGINT) AS n_prior, round(inflation, 9) + 0.0 AS inflation, round(primary_value - inflation, 9) + 0.0 AS selection_adjusted, best - primary_value > 2 * {records.STDERR}::DOUBLE * sqrt(2::DOUBLE) AS distinguishable FROM (SELECT *, CASE WHEN n > 1 THEN {records.STDERR}::DOUBLE * z ELSE 0 END AS inflation FROM (SELECT *, {normal.quantile_sql('p')} AS z FROM (SELECT *, 1 - 1 / (n + 1)::DOUBLE AS p FROM ({_RANKED}))))")
 def n9(spark, d):
-    return records.leaderboard(runs(spark, d))
+    out = records.leaderboard(runs(spark, d))
+    return rounded(out, ["inflation", "selection_adjusted"], ("experiment_id", "task", "n", F.col("rank").cast("long").alias("rank"), F.col("n_prior").cast("long").alias("n_prior"), "distinguishable"), 9)
 
 
-_RUNS = "SELECT o_custkey AS experiment_id, o_custkey % 7 AS task, round(avg(o_totalprice) / 1e6, 6) AS primary_value FROM orders GROUP BY o_custkey"
 
 
 @register("n9_task_summary", f"SELECT task, count(*) AS n, round(max(primary_value), 5) AS best, round(min(primary_value), 5) AS worst, round(stddev_samp(primary_value), 5) AS sd FROM ({_RUNS}) GROUP BY task")

@@ -200,3 +200,32 @@ def test_history_refuses_a_changed_forecast(spark):
     changed = f.withColumn("direction", F.when(F.col("forecast_session") == DAY[2], "UP").otherwise(F.col("direction")))
     with pytest.raises(Exception, match="changed after resolution"):
         records.forecast_history(changed, stored).select("symbol").collect()
+
+
+def test_normal_quantiles_to_the_last_digits(spark):
+    from statistics import NormalDist
+
+    from panelspark.functions import normal
+
+    p = [1e-300, 1e-20, 1e-7, 0.001, 0.02425, 0.075, 0.3, 0.5, 0.7, 0.925, 0.999, 1 - 1e-12]
+    df = spark.createDataFrame([(x,) for x in [*p, 0.0, 1.0, -0.1, None]], "p double")
+    got = {r["p"]: r["z"] for r in df.select("p", normal.quantile("p").alias("z")).collect()}
+    assert all(got[x] == pytest.approx(NormalDist().inv_cdf(x), rel=1e-13, abs=1e-15) for x in p) and [got[x] for x in (0.0, 1.0, -0.1, None)] == [None] * 4
+
+
+@pytest.mark.parametrize("one_sort", [0, 1 << 17])
+def test_ranks_by_ranges_average_ties(spark, monkeypatch, one_sort):
+    import numpy as np
+
+    from panelspark.functions import ordered
+
+    monkeypatch.setattr(ordered, "ONE_SORT", one_sort)
+
+    rng = np.random.default_rng(1)
+    data = [(g, float(a), float(a + b)) for g in "xy" for a, b in zip(rng.integers(0, 50, 700), rng.integers(0, 40, 700), strict=True)] + [("x", None, 1.0)]
+    df = spark.createDataFrame(data, "g string, a double, b double")
+    for by in (["g"], []):
+        for r in metrics.spearman(df, "a", "b", by).collect():
+            own = np.array([(a, b) for g, a, b in data if a is not None and (not by or g == r["g"])])
+            ranks = [(c[None, :] < c[:, None]).sum(axis=1) + ((c[None, :] == c[:, None]).sum(axis=1) + 1) / 2 for c in own.T]
+            assert r["spearman"] == pytest.approx(np.corrcoef(*ranks)[0, 1]) and r["n"] == len(own)

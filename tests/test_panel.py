@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import ordered
-from panelspark.functions.kernels import ewm, expanding_percentile, inverse_normal
+from panelspark.functions import normal
+from panelspark.functions.kernels import ewm, expanding_percentile
 from panelspark.operators import actions, calendar, decisions, features, folds, labels, metrics, models, monitoring, portfolio, quality, records
 from panelspark.plans import checks
 from panelspark.plans import panel as panel_plans
@@ -153,7 +154,9 @@ def test_decisions_equal_a_sequential_pass(spark):
     assert [r[0] for r in kept] == [None]
 
 
-def test_sums_and_quantiles_of_groups_by_ranges(spark):
+@pytest.mark.parametrize("one_sort", [0, ordered.ONE_SORT])
+def test_sums_and_quantiles_of_groups_by_ranges(spark, monkeypatch, one_sort):
+    monkeypatch.setattr(ordered, "ONE_SORT", one_sort)
     rng = np.random.default_rng(3)
     rows = [(g, float(v)) for g, n, top in (("a", 3000, 400), ("b", 7, 3), ("c", 1, 1)) for v in rng.integers(0, top, n)] + [("a", 0.5), ("n", None)]
     df = spark.createDataFrame(rows, "g string, v double")
@@ -303,7 +306,7 @@ def test_records(spark):
     lock = records.fingerprint(t, ["x"]).withColumn("locked_at", F.lit(5))
     later = t.withColumn("ingested_at", F.lit(1)).unionByName(t.limit(2).withColumn("ingested_at", F.lit(9)))
     assert records.verify_lock(later, lock, ["x"]).first()["intact"]
-    q = spark.createDataFrame([(0.975,), (0.5,), (1.0,)], "p double").select(inverse_normal(F.col("p")).alias("z")).collect()
+    q = spark.createDataFrame([(0.975,), (0.5,), (1.0,)], "p double").select(normal.quantile("p").alias("z")).collect()
     assert round(q[0]["z"], 4) == 1.96 and q[1]["z"] == 0 and q[2]["z"] is None
 
 
