@@ -1,14 +1,16 @@
-"""Queries over portfolios with fills, splits and dividends; their SQL passes over the fills one by one."""
+"""Queries over portfolios with fills, splits and dividends, whose SQL passes over the fills one by one; and over ticks by blocks."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelspark.functions import blocks
 from panelspark.functions.windows import by_symbol
 from panelspark.operators import portfolio
 from panelspark.operators.decisions import PER_SIDE
 from panelspark.plans import panel, sql
 from panelspark.plans.panel import register, rounded
+from panelspark.sources import tables
 
 CAPITAL = 1e6
 #: What a symbol trades at every 20th of its bars, in shares of its first day: two buys, a part sold, a buy, all sold, nothing.
@@ -108,6 +110,23 @@ def l11_weighted(spark, d):
     return rounded(out, ["sharpe", "sortino", "annual_volatility", "mean_exposure", "turnover", "total_costs", "total_return", "cagr", "win_rate", "sharpe_stderr"], ("n_sessions",), 5)
 
 
+# --- ticks ----------------------------------------------------------------------------------------------------------
+
+_EWM = "SELECT event_type, event_id, round(CASE WHEN count(value) OVER w >= 26 THEN list_reduce(list(value) OVER w, lambda a, b: a + 0.1::DOUBLE * (b - a)) END, 9) + 0.0 AS ewm FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 600 PRECEDING AND CURRENT ROW)"
+
+
+@register("q1_tick_exponential_mean", _EWM)
+def q1(spark, d):
+    ticks = tables.read_table(spark, d, "events").select("event_type", "event_id", "value")
+    return rounded(blocks.exponential_mean(ticks, ["event_type"], "event_id", "value", 0.1, 26), ["ewm"], ("event_type", "event_id"), 9)
+
+
+@register("q2_tick_percentile_so_far", "SELECT a.event_type, a.event_id, round(CASE WHEN count(*) >= 252 THEN (count(*) FILTER (b.value <= a.value) - 1) / (count(*) - 1) END, 9) + 0.0 AS percentile FROM events a JOIN events b ON b.event_type = a.event_type AND b.event_id <= a.event_id GROUP BY a.event_type, a.event_id")
+def q2(spark, d):
+    ticks = tables.read_table(spark, d, "events").select("event_type", "event_id", "value")
+    return rounded(blocks.percentile_so_far(ticks, ["event_type"], "event_id", "value"), ["percentile"], ("event_type", "event_id"), 9)
+
+
 # --- equal weights --------------------------------------------------------------------------------------------------
 
 EVERY = 21

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-
 from datetime import date
 
 from pyspark.sql import functions as F
