@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import bpe, mixing, quality_rules, secret_scan, simhash
-from panelspark.llm.common import read, saved
+from panelspark.llm.common import clear, read, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,3 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = STAGES[-1][1](spark, docs, sf_dir)
     out = bpe.decode(encoded, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Writes run()'s rows to path as Parquet and then removes every intermediate table from the shared folder."""
+    run(spark, sf_dir).write.parquet(path)
+    clear(spark)

@@ -238,10 +238,7 @@ def assign(df):
     return folds.assign_folds(df, folds.fold_bounds(df.sparkSession, index.count()), index)
 
 
-_MODEL_ROLES = "SELECT t.*, fold, CASE WHEN i < start - 2 THEN 'train' WHEN i >= start AND i < start + 126 THEN 'val' END AS role FROM trimmed t JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM trimmed)) x USING (date), (SELECT unnest(range(5)) AS fold) f, LATERAL (SELECT n - (5 - fold) * 126 AS start) s"
-
-
-@register("j5_baselines", sql.query("SELECT symbol, date, CAST(fold AS INTEGER) AS fold, round((SELECT avg(tradeable_direction_1d) FROM roles r WHERE r.role = 'train' AND r.fold = roles.fold), 6) AS mean_pred, CASE WHEN coalesce(return_1d, 0) > 0 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS momentum_pred FROM roles WHERE role = 'val'", "trimmed", roles=_MODEL_ROLES))
+@register("j5_baselines", sql.query("SELECT symbol, date, CAST(fold AS INTEGER) AS fold, round((SELECT avg(tradeable_direction_1d) FROM roles r WHERE r.role = 'train' AND r.fold = roles.fold), 6) AS mean_pred, CASE WHEN coalesce(return_1d, 0) > 0 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS momentum_pred FROM roles WHERE role = 'val'", "trimmed", roles=panel.MODEL_ROLES))
 def j5(spark, d):
     return rounded(models.baselines(model_panel(spark, d), "tradeable_direction_1d"), ["mean_pred", "momentum_pred"], ("symbol", "date", "fold"))
 

@@ -493,9 +493,40 @@ def j6(spark, d):
     return out_of_fold(spark, d, models.fit_logistic(), "tradeable_direction_1d")
 
 
-@register("j2_ridge_out_of_fold_metrics")
+MODEL_ROLES = "SELECT t.*, fold, CASE WHEN i < start - 2 THEN 'train' WHEN i >= start AND i < start + 126 THEN 'val' END AS role FROM trimmed t JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM trimmed)) x USING (date), (SELECT unnest(range(5)) AS fold) f, LATERAL (SELECT n - (5 - fold) * 126 AS start) s"
+
+
+def _ridge(alpha: float, label: str) -> dict[str, str]:
+    """Medians, means and deviations of a fold's training rows, normal equations of three features solved by determinants, and the scores of validation rows."""
+    z, pairs = ("z1", "z2", "z3"), [(i, j) for i in range(3) for j in range(i, 3)]
+    cell = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+
+    def determinant(column: int | None) -> str:
+        at = lambda i, j: f"r{i}" if j == column else cell(i, j)
+        return f"({at(0, 0)} * ({at(1, 1)} * {at(2, 2)} - {at(1, 2)} * {at(2, 1)}) - {at(0, 1)} * ({at(1, 0)} * {at(2, 2)} - {at(1, 2)} * {at(2, 0)}) + {at(0, 2)} * ({at(1, 0)} * {at(2, 1)} - {at(1, 1)} * {at(2, 0)}))"
+
+    each = lambda f: ", ".join(f(i, c) for i, c in enumerate(MODEL_FEATURES))
+    return {
+        "roles": MODEL_ROLES,
+        "known": f"SELECT *, {label} AS y FROM roles WHERE {label} IS NOT NULL AND role IN ('train', 'val')",
+        "middles": f"SELECT fold, {each(lambda i, c: f'median({c}) AS m{i}')} FROM known WHERE role = 'train' GROUP BY fold",
+        "filled": f"SELECT k.fold, role, y, {each(lambda i, c: f'coalesce({c}, m{i}) AS f{i}')} FROM known k JOIN middles USING (fold)",
+        "scales": f"SELECT fold, avg(y) AS mean_y, {each(lambda i, c: f'avg(f{i}) AS a{i}, stddev_pop(f{i}) AS d{i}')} FROM filled WHERE role = 'train' GROUP BY fold",
+        "scaled": f"SELECT fold, role, y, mean_y, {each(lambda i, c: f'(f{i} - a{i}) / d{i} AS {z[i]}')} FROM filled JOIN scales USING (fold)",
+        "sums": f"SELECT fold, {', '.join(f'sum({z[i]} * {z[j]}) + {alpha if i == j else 0.0}::DOUBLE AS s{i}{j}' for i, j in pairs)}, {each(lambda i, c: f'sum({z[i]} * (y - mean_y)) AS r{i}')} FROM scaled WHERE role = 'train' GROUP BY fold",
+        "weights": f"SELECT fold, {each(lambda i, c: f'{determinant(i)} / {determinant(None)} AS w{i}')} FROM sums",
+        "oof": f"SELECT fold, y AS realised, mean_y + {' + '.join(f'w{i} * {z[i]}' for i in range(3))} AS e FROM scaled JOIN weights USING (fold) WHERE role = 'val'",
+        "x": f"SELECT *, avg(realised) OVER (PARTITION BY fold) AS mu, {_rk('realised').replace('symbol', 'fold')} AS ra, {_rk('e').replace('symbol', 'fold')} AS rb FROM oof",
+    }
+
+
+_ERRORS, _FITS = ["mae", "rmse", "r2", "mae_baseline", "directional_accuracy", "up_rate"], ["pearson_ic", "information_coefficient"]
+
+
+@register("j2_ridge_out_of_fold_metrics", sql.query(f"SELECT CAST(fold AS INTEGER) AS fold, n, {sql.rounded(_ERRORS)}, {sql.rounded(_FITS, 4)} FROM (SELECT fold, count(*) AS n, avg(abs(realised - e)) AS mae, sqrt(avg((realised - e) ** 2)) AS rmse, 1 - sum((realised - e) ** 2) / sum((realised - mu) ** 2) AS r2, avg(abs(realised - mu)) AS mae_baseline, corr(realised, e) AS pearson_ic, corr(ra, rb) AS information_coefficient, avg(CAST(sign(realised) = sign(e) AS INT)) FILTER (realised <> 0) AS directional_accuracy, avg(CAST(realised > 0 AS INT)) AS up_rate FROM x GROUP BY fold)", "trimmed", **_ridge(10.0, "tradeable_return_1d")))
 def j2(spark, d):
-    return metrics.regression_metrics(out_of_fold(spark, d, models.fit_ridge(), "tradeable_return_1d"), "y_true", "y_pred", ["fold"])
+    m = metrics.regression_metrics(out_of_fold(spark, d, models.fit_ridge(), "tradeable_return_1d"), "y_true", "y_pred", ["fold"])
+    return rounded(m, _ERRORS, ("fold", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in _FITS]))
 
 
 @register("j11_calibrated_out_of_fold")
@@ -576,7 +607,7 @@ def m13(spark, d):
     return monitoring.health_row(drift_of(s), monitoring.drift_persistence(drift_history(s)), monitoring.rolling_performance(r, AS_OF), monitoring.monitor_calibration(r, AS_OF, 0.03), r, 0.55, 0.03)
 
 
-@register("m12_alert_cooldown")
+@register("m12_alert_cooldown", "WITH RECURSIVE a AS (SELECT DISTINCT event_type AS code, CAST(ts AS DATE) AS day FROM events WHERE value > 30), e AS (SELECT code, min(day) AS day FROM a GROUP BY code UNION ALL SELECT e.code, min(a.day) FROM e JOIN a ON a.code = e.code AND a.day >= e.day + 3 GROUP BY e.code) SELECT code, day FROM e")
 def m12(spark, d):
     a = tables.read_table(spark, d, "events").filter("value > 30").select(F.col("event_type").alias("code"), F.to_date("ts").alias("day"))
     return monitoring.emitted_alerts(a)
