@@ -775,7 +775,25 @@ def p3(spark, d):
     ticks = stream.select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
     own = f"{tables.work_folder(spark)}/candles-{uuid.uuid4().hex}"
     streaming.keep_upserting(streaming.candles(ticks, "1h", "1 day"), f"{own}/table", f"{own}/checkpoint").awaitTermination()
-    return streaming.read_upserted(spark, f"{own}/table").select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "symbol", "interval", "open", "high", "low", "close", "volume")
+    return _upserted(spark, f"{own}/table")
+
+
+def _upserted(spark, table):
+    return streaming.read_upserted(spark, table).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "symbol", "interval", "open", "high", "low", "close", "volume")
+
+
+@register("p3_compacted_candles", sql.query("SELECT timestamp, symbol, '1h' AS interval, open, high, low, close, volume FROM candles", "candles"))
+def p3_compacted(spark, d):
+    """Batches of candles, each as of a later tick, merged into snapshots of days as they come, then read back."""
+    ticks = tables.ticks(spark, d)
+    table = f"{tables.work_folder(spark)}/candles-{uuid.uuid4().hex}"
+    for number, (part, of) in enumerate(((0, 2), (1, 2))):
+        # The second batch has all ticks: its candles replace those that half of the ticks gave.
+        own = ticks if number else ticks.filter(F.col("event_id") % of == part)
+        batch = streaming.candles(own, "1h").withColumn("fetched_at", F.lit(f"2024-06-0{number + 1}").cast("timestamp")).withColumn("day", F.to_date("timestamp"))
+        batch.write.mode("overwrite").partitionBy("day").parquet(f"{table}/query=q/batch={number}")
+        streaming.compact(spark, table)
+    return _upserted(spark, table)
 
 
 @register("b7_completed_candles", sql.query("SELECT timestamp, symbol, close, volume FROM candles WHERE least(open, high, low, close) > 0 AND isodow(timestamp) < 6 AND hour(timestamp) BETWEEN 10 AND 15 AND timestamp < TIMESTAMP '2024-01-20 00:00:00'", "candles"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +60,86 @@ def keep_upserting(stream: DataFrame, path: str, checkpoint: str, mode: str = "u
 
 
 def read_upserted(spark: SparkSession, path: str, days: Column | None = None) -> DataFrame:
-    """Candles at path, the newest fetch of each; ``days`` is a condition on the column day, which prunes folders."""
-    rows = spark.read.parquet(path)
-    rows = rows if days is None else rows.filter(days)
-    return latest(rows, ["symbol", "interval", "timestamp"], [F.desc("fetched_at"), F.desc("batch"), F.desc("query")]).drop("query", "batch", "day")
+    """Candles at path, the newest fetch of each; ``days`` is a condition on the column day, which prunes folders.
+
+    After :func:`compact` this reads the newest snapshot and the batches that
+    came later, as they were when the reader began.
+    """
+    told = _manifest(spark, path)
+    parts = [_snapshot(spark, path, told, list(told["days"]))] if told["days"] else []
+    parts += [_batches(spark, path, fresh)] if (fresh := _fresh(spark, path, told)) else []
+    if not parts:
+        return _newest(spark.read.parquet(path)).drop("query", "batch", "day")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _newest(rows if days is None else rows.filter(days)).drop("query", "batch", "day")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return latest(rows, ["symbol", "interval", "timestamp"], [F.desc("fetched_at"), F.desc("batch"), F.desc("query")])
+
+
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, in order."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    """The newest manifest: its version, the folder of each day, and the last batch of each query that the snapshot holds."""
+    found = _glob(spark, f"{path}/_snapshots/manifest-*.json")
+    return json.loads(spark.read.text(found[-1], wholetext=True).first()[0]) if found else {"version": 0, "days": {}, "up_to": {}}
+
+
+def _fresh(spark: SparkSession, path: str, told: dict) -> list[str]:
+    """Folders of whole batches (they end with a success file) that the snapshot doesn't hold."""
+    done = [p.rsplit("/", 1)[0] for p in _glob(spark, f"{path}/query=*/batch=*/_SUCCESS")]
+    place = lambda p: (p.split("query=")[1].split("/")[0], int(p.rsplit("batch=", 1)[1]))
+    return [p for p in done if (q := place(p))[1] > told["up_to"].get(q[0], -1)]
+
+
+def _batches(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(*folders)
+
+
+def _snapshot(spark: SparkSession, path: str, told: dict, days: list[str]) -> DataFrame:
+    data = f"{path}/_snapshots/data"
+    return spark.read.option("basePath", data).parquet(*[f"{data}/version={told['days'][d]}/day={d}" for d in days]).drop("version")
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Merges batches that came since the last snapshot into it, and gives the snapshot's version.
+
+    Only days that these batches touch are read and written again; the folders
+    of other days stay as they are. The manifest is put in place last, in one
+    step: before that readers see the snapshot before and all batches, so a
+    run that is broken off loses nothing and may be repeated. One run at a time.
+    """
+    told = _manifest(spark, path)
+    fresh = _fresh(spark, path, told)
+    if not fresh:
+        return told["version"]
+    touched = sorted({p.rsplit("day=", 1)[1] for f in fresh for p in _glob(spark, f"{f}/day=*")})
+    rows = _batches(spark, path, fresh)
+    known = [d for d in touched if d in told["days"]]
+    rows = rows.unionByName(_snapshot(spark, path, told, known)) if known else rows
+    version = told["version"] + 1
+    _newest(rows).write.mode("overwrite").partitionBy("day").parquet(f"{path}/_snapshots/data/version={version}")
+    up_to = dict(told["up_to"])
+    for f in fresh:
+        query, batch = f.split("query=")[1].split("/")[0], int(f.rsplit("batch=", 1)[1])
+        up_to[query] = max(batch, up_to.get(query, -1))
+    _put(spark, f"{path}/_snapshots/manifest-{version:09d}.json", json.dumps({"version": version, "days": told["days"] | dict.fromkeys(touched, version), "up_to": up_to}))
+    return version
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A file that is there whole or not at all; one that is there already is an error."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    final, draft = path_of(path), path_of(f"{path}.draft")
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        raise RuntimeError(f"{path} is there already: another run has compacted")
