@@ -23,8 +23,8 @@ def traded_bars(spark, d):
     return portfolio.with_split_product(panel.enriched(spark, d)).select("symbol", "date", F.col("open_raw").alias("open"), F.col("close_raw").alias("close"), "dividend", "split_ratio", "split_product")
 
 
-def scheduled_fills(spark, d):
-    b = traded_bars(spark, d).withColumn("no", F.row_number().over(by_symbol()) - 1).filter("no % 20 = 0")
+def scheduled_fills(bars):
+    b = bars.withColumn("no", F.row_number().over(by_symbol()) - 1).filter("no % 20 = 0")
     units = F.get(F.array(*[F.lit(x) for x in SCHEDULE]), (F.col("no") / 20 % len(SCHEDULE)).cast("int"))
     f = b.withColumn("_u", units).filter("_u <> 0").withColumn("shares_filled", F.abs("_u") * F.col("split_product"))
     f = f.select("symbol", "date", F.col("no").alias("seq"), F.when(F.col("_u") > 0, "BUY").otherwise("SELL").alias("side"), "shares_filled", F.col("open").alias("price"), F.col("split_product").alias("split_ratio"))
@@ -54,12 +54,14 @@ _BOOK = {"traded": _TRADED, "scheduled": _SCHEDULED, "pass": _PASS, "flows": _FL
 
 
 def scheduled_book(spark, d):
-    return portfolio.book(scheduled_fills(spark, d), traded_bars(spark, d), CAPITAL)
+    """Ledger and days; the bars are settled, as both read them several times."""
+    bars = tables.settled(traded_bars(spark, d))
+    return portfolio.book(scheduled_fills(bars), bars, CAPITAL)
 
 
 @register("l3_ledger", recursive_query("SELECT symbol, date, CASE WHEN u > 0 THEN 'BUY' ELSE 'SELL' END AS side, round(held * k, 6) + 0.0 AS shares, round(CASE WHEN held > 0 THEN paid / held / k ELSE 0 END, 6) + 0.0 AS cost_basis, round(CASE WHEN u < 0 THEN realised END, 6) + 0.0 AS realised FROM pass", "enriched", traded=_TRADED, scheduled=_SCHEDULED, **{"pass": _PASS}))
 def l3(spark, d):
-    return rounded(portfolio.position_ledger(scheduled_fills(spark, d)), ["shares", "cost_basis", "realised"], ("symbol", "date", "side"))
+    return rounded(portfolio.position_ledger(scheduled_fills(traded_bars(spark, d))), ["shares", "cost_basis", "realised"], ("symbol", "date", "side"))
 
 
 _MONEY = ["cash", "total_costs", "holdings", "equity", "realised", "unrealised", "dividends"]
@@ -133,7 +135,7 @@ EVERY = 21
 
 
 def equal_weight(spark, d, every: int | None):
-    bars = traded_bars(spark, d)
+    bars = tables.settled(traded_bars(spark, d))
     return portfolio.book(portfolio.equal_weight_fills(bars, CAPITAL, every), bars, CAPITAL)
 
 
