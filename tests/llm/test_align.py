@@ -2,12 +2,13 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from panelspark.llm import align
+from panelspark.llm import align, units
 from tests.llm.helpers import EDGES, docs, words
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -82,10 +83,10 @@ def test_equals_brute_force(spark):
 def test_blocks_and_stretches_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(align, "BLOCK_DOCS", 7)
     monkeypatch.setattr(align, "LOT", 5)
-    monkeypatch.setattr("panelspark.llm.units.SPAN", 50)
+    monkeypatch.setattr(align, "spans", lambda t: units.spans(t, 50))
     table = [r for r in TABLE if len(r[1] or "") < 10_000]
     # In one process, so that what is patched holds: blocks as a task makes them.
-    tool, vector, frames, own = align.Aligner(*PATHS), __import__("numpy").zeros(60_000, dtype="int64"), [], None
+    tool, vector, frames, own = align.Aligner(*PATHS), np.zeros(60_000, dtype=np.int64), [], None
     for i, t in table:
         own = own or align._Block(tool.n_b, tool.same)
         own.add(str(i), t or "", tool.document(t or ""), vector)
@@ -110,7 +111,7 @@ def test_stretches_align_as_the_whole(monkeypatch):
     tool = align.Aligner(*PATHS)
     text = "  ".join([words(1, 300), "x\n\ny é", words(2, 300)])
     whole = tool.document(text)
-    monkeypatch.setattr(align, "spans", lambda t: __import__("panelspark.llm.units", fromlist=["spans"]).spans(t, 64))
+    monkeypatch.setattr(align, "spans", lambda t: units.spans(t, 64))
     cut = tool.document(text)
     assert whole[:5] == cut[:5] and whole[5].tolist() == cut[5].tolist() and whole[6].tolist() == cut[6].tolist()
 
