@@ -695,9 +695,17 @@ def h24(spark, d):
 
 
 def runs(spark, d):
-    """One run for each customer: a task by nation, the value a mean order."""
+    """One run for each customer: a task by nation, the value a mean order.
+
+    Prices are added one by one in the order of their keys: a mean of doubles
+    that ends on half a unit rounds by the order in which it was summed, and
+    partial sums would make that the order of partitions.
+    """
     o = tables.read_table(spark, d, "orders")
-    return o.groupBy("o_custkey").agg(F.round(F.avg("o_totalprice") / 1e6, 6).alias("primary_value"), F.min("o_orderdate").alias("created_at")).select(F.col("o_custkey").alias("experiment_id"), (F.col("o_custkey") % 7).alias("task"), "primary_value", "created_at")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_totalprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    o = o.select("o_custkey", "o_orderdate", F.count(F.lit(1)).over(w).alias("_no"), F.sum("o_totalprice").over(w).alias("_sum"), F.count("o_totalprice").over(w).alias("_n"))
+    mean = F.try_divide(F.max_by("_sum", "_no"), F.max("_n"))
+    return o.groupBy("o_custkey").agg(F.round(mean / 1e6, 6).alias("primary_value"), F.min("o_orderdate").alias("created_at")).select(F.col("o_custkey").alias("experiment_id"), (F.col("o_custkey") % 7).alias("task"), "primary_value", "created_at")
 
 
 _RUNS = "SELECT o_custkey AS experiment_id, o_custkey % 7 AS task, round(avg(o_totalprice) / 1e6, 6) AS primary_value, min(o_orderdate) AS created_at FROM orders GROUP BY o_custkey"
