@@ -57,3 +57,7 @@ def test_runs_count_missing_prices_as_the_sql_does(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(at)
     got = {r["experiment_id"]: r["primary_value"] for r in panel.runs(spark, str(tmp_path)).collect()}
     assert got == {5: 3.0, 6: None, None: 1.5}
+
+
+def test_leaderboard_follows_the_keys_not_the_partitions(spark, places):
+    same_as_sql(spark, places, "n9_leaderboard")
