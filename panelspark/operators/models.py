@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.ordered import quantiles
+from panelspark.functions.ordered import ONE_SORT, quantiles
 from panelspark.operators import boosting
 from panelspark.operators.calendar import session_index
 from panelspark.operators.folds import assign_folds, fold_bounds
@@ -33,12 +33,22 @@ Fit = Callable[[DataFrame, list[str], str], PipelineModel]
 AT_ONCE = 4
 
 
+def _medians_by(train: DataFrame, keys: list[str], columns: list[str], sizes: dict) -> dict:
+    """Exact medians of each of a handful of groups, 0 where a column has no value; in groups of up to ``ONE_SORT`` rows one aggregation holds them."""
+    x = {f"q{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
+    if max(sizes.values(), default=0) <= ONE_SORT:
+        rows = train.groupBy(*keys).agg(*[F.median(v).alias(q) for q, v in x.items()]).collect()
+    else:
+        long = train.select(*keys, F.explode(F.array(*[F.struct(F.lit(q).alias("feature"), v.alias("value")) for q, v in x.items()])).alias("_f")).select(*keys, "_f.*")
+        rows = quantiles(long, [*keys, "feature"], "value", [0.5], "q").groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == q, F.col("q")[0])).alias(q) for q in x]).collect()
+    found = {(r[keys[0]] if keys else None): r for r in rows}
+    return {g: {c: 0.0 if g not in found or found[g][f"q{i}"] is None else found[g][f"q{i}"] for i, c in enumerate(columns)} for g in sizes}
+
+
 def _scaled(train: DataFrame, columns: list[str], label: str) -> tuple[list, int, float]:
-    """Stages that impute and scale, the number of rows, the label's sample deviation."""
-    size = train.agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(label).alias("_sd")).first()
-    long = train.selectExpr(f"stack({len(columns)}, {', '.join(f"'{c}', cast({c} as double)" for c in columns)}) as (feature, value)")
-    found = {r["feature"]: r["q"][0] for r in quantiles(long, ["feature"], "value", [0.5], "q").collect()}  # one row a feature
-    medians = {c: found.get(c, 0.0) for c in columns}
+    """Stages that impute and scale, the number of rows, the label's population deviation."""
+    size = train.agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop(label).alias("_sd")).first()
+    medians = _medians_by(train, [], columns, {None: size["_n"]})[None]
     filled = [F.coalesce(F.col(c), F.lit(medians[c])) for c in columns]
     row = train.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)], *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)]).first()
     parts = [f"(coalesce({c}, {float(medians[c])!r}D) - {float(row[f'm{i}'])!r}D) / {float(row[f's{i}'] or 1.0) or 1.0!r}D AS _x{i}" for i, c in enumerate(columns)]
@@ -54,12 +64,45 @@ def fit_logistic(c: float = 1.0) -> Fit:
     return fit
 
 
-def fit_ridge(alpha: float = 10.0) -> Fit:
-    def fit(train: DataFrame, columns: list[str], label: str) -> PipelineModel:
+@dataclass(frozen=True)
+class Ridge:
+    """Ridge by normal equations: one pass over the rows, where a descent takes one for each step."""
+
+    alpha: float = 10.0
+
+    def __call__(self, train: DataFrame, columns: list[str], label: str) -> PipelineModel:
         stages, n, sd = _scaled(train, columns, label)
-        return Pipeline(stages=[*stages, LinearRegression(featuresCol="_features", labelCol=label, solver="l-bfgs", regParam=alpha * sd / n, standardization=False, maxIter=200, tol=1e-8)]).fit(train)
+        return Pipeline(stages=[*stages, LinearRegression(featuresCol="_features", labelCol=label, solver="normal", regParam=self.alpha * sd / n, standardization=False)]).fit(train)
+
+    def out_of_fold(self, rows: DataFrame, columns: list[str], label: str) -> DataFrame:
+        """:func:`generate_oof` of labelled rows, the same sums for all folds in one job; one row a fold reaches the driver."""
+        train, k = rows.filter("role = 'train'"), len(columns)
+        sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.when(F.col("role") == "train", 1)).alias("n")).collect()}
+        if bare := sorted(f for f, n in sizes.items() if not n):
+            raise ValueError(f"no training rows in folds {bare}")
+        kind = rows.schema["fold"].dataType.simpleString()
+        table = lambda told, names: F.broadcast(rows.sparkSession.createDataFrame([(f, *map(float, v)) for f, v in told.items()], ", ".join([f"fold {kind}", *[f"{c} double" for c in names]])))
+        middle = table({f: m.values() for f, m in _medians_by(train, ["fold"], columns, sizes).items()}, [f"_q{i}" for i in range(k)])
+        filled = [F.coalesce(F.col(c).cast("double"), F.col(f"_q{i}")) for i, c in enumerate(columns)]
+        train = train.join(middle, "fold").select("fold", F.col(label).cast("double").alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(filled)])
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = [F.avg("_y").alias("_y"), *[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(k)], *[F.covar_pop(f"_x{i}", f"_x{j}").alias(f"_c{i}_{j}") for i, j in pairs], *[F.covar_pop(f"_x{i}", "_y").alias(f"_d{i}") for i in range(k)]]
+        weights = {}
+        for r in train.groupBy("fold").agg(*sums).collect():
+            n, cov = sizes[r["fold"]], np.zeros((k, k))
+            for i, j in pairs:
+                cov[i, j] = cov[j, i] = r[f"_c{i}_{j}"]
+            s = np.sqrt(np.maximum(np.diag(cov), 0.0))
+            s[s == 0] = 1.0
+            w = np.linalg.lstsq(n * cov / np.outer(s, s) + self.alpha * np.eye(k), n * np.array([r[f"_d{i}"] for i in range(k)]) / s, rcond=None)[0] / s
+            weights[r["fold"]] = (r["_y"], *w, *[r[f"_m{i}"] for i in range(k)])
+        model = table(weights, ["_b", *[f"_w{i}" for i in range(k)], *[f"_m{i}" for i in range(k)]])
+        score = reduce(lambda a, b: a + b, [F.col(f"_w{i}") * (x - F.col(f"_m{i}")) for i, x in enumerate(filled)], F.col("_b"))
+        return rows.filter("role = 'val'").join(middle, "fold").join(model, "fold").select("date", "symbol", "fold", F.col(label).alias("y_true"), score.alias("y_pred"))
 
-    return fit
+
+def fit_ridge(alpha: float = 10.0) -> Fit:
+    return Ridge(alpha)
 
 
 def fit_boosted_direction(trees: int = 200, depth: int = 3, rate: float = 0.03, least: int = 200, l2: float = 1.0, leaves: int = 15) -> Fit:
@@ -87,6 +130,8 @@ def baselines(assigned: DataFrame, label: str) -> DataFrame:
 def generate_oof(assigned: DataFrame, fit: Fit, columns: list[str], label: str) -> DataFrame:
     """(date, symbol, fold, y_true, y_pred) of every fold's validation rows, each by a model fitted on its training rows."""
     rows = assigned.filter(F.col(label).isNotNull())
+    if isinstance(fit, Ridge):
+        return fit.out_of_fold(rows, columns, label)
 
     def one(fold: int) -> DataFrame:
         own = rows.filter(F.col("fold") == fold)
@@ -111,8 +156,9 @@ def nested_walk_forward(df: DataFrame, grid: dict[str, Fit], columns: list[str],
     score gives (fold, value) of out-of-fold rows. Within an outer fold, every
     fit is scored on purged inner folds of its training rows, half as long as
     the outer ones, by the mean over them; the first of equals is taken. Outer
-    and inner folds are a handful, and so is the grid; rows are settled once
-    for each fold.
+    and inner folds are a handful, and so is the grid. The inner folds of all
+    outer ones are settled together, numbered fold * inner_folds + inner fold,
+    and a fit of the grid is scored on all of them in one job.
     """
     if not grid:
         raise ValueError("the grid is empty")
@@ -120,20 +166,25 @@ def nested_walk_forward(df: DataFrame, grid: dict[str, Fit], columns: list[str],
 
     def assigned(rows: DataFrame, n: int, size: int, least: int) -> DataFrame:
         index = session_index(rows)
-        return settled(assign_folds(rows, fold_bounds(spark, index.count(), n_folds=n, test=size, min_train=least), index))
-
-    outer = assigned(df.select("date", "symbol", *columns, label).filter(F.col(label).isNotNull()), n_folds, test, min_train)
-    out = None
-    for fold in [r["fold"] for r in outer.select("fold").distinct().orderBy("fold").collect()]:
-        own = outer.filter(F.col("fold") == fold)
-        train = own.filter("role = 'train'").select("date", "symbol", *columns, label)
-        inner = assigned(train, inner_folds, max(21, test // 2), max(126, min_train // 2))
-        means = {name: score(generate_oof(inner, fit, columns, label)).agg(F.avg("value")).first()[0] for name, fit in grid.items()}
-        best = (max if maximise else min)(means, key=lambda k: means[k])
-        part = predict(grid[best](train, columns, label), own.filter("role = 'val'"))
-        part = part.select("date", "symbol", "fold", F.col(label).alias("y_true"), "y_pred", F.lit(best).alias("selected"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return assign_folds(rows, fold_bounds(spark, index.count(), n_folds=n, test=size, min_train=least), index)
+
+    outer = settled(assigned(df.select("date", "symbol", *columns, label).filter(F.col(label).isNotNull()), n_folds, test, min_train))
+    found = [r["fold"] for r in outer.select("fold").distinct().orderBy("fold").collect()]  # a handful
+    inner = []
+    for k in found:
+        train = outer.filter((F.col("fold") == k) & (F.col("role") == "train")).select("date", "symbol", *columns, label)
+        own = assigned(train, inner_folds, max(21, test // 2), max(126, min_train // 2))
+        inner.append(own.withColumn("fold", F.col("fold") + F.lit(k * inner_folds)))
+    inner = settled(reduce(DataFrame.unionByName, inner))
+    # One row a fit and outer fold.
+    per = {name: score(generate_oof(inner, fit, columns, label)).groupBy(F.floor(F.col("fold") / inner_folds).alias("k")).agg(F.avg("value").alias("m")).collect() for name, fit in grid.items()}
+    means = {name: {r["k"]: r["m"] for r in rows} for name, rows in per.items()}
+    best = {k: (max if maximise else min)(grid, key=lambda name: means[name][k]) for k in found}
+    parts = []
+    for name in dict.fromkeys(best.values()):
+        own = outer.filter(F.col("fold").isin([k for k in found if best[k] == name]))
+        parts.append(generate_oof(own, grid[name], columns, label).withColumn("selected", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass

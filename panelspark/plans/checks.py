@@ -270,7 +270,7 @@ def j16(spark, d):
 def j7(spark, d):
     """Ridge strengths chosen within each fold by the error on inner folds."""
     df = tables.settled(panel.simple_panel(spark, d).select("symbol", "date", *panel.MODEL_FEATURES, "tradeable_return_1d"))
-    error = lambda o: metrics.regression_metrics(o, "y_true", "y_pred", ["fold"]).select("fold", F.col("mae").alias("value"))
+    error = lambda o: metrics.absolute_error(o, "y_true", "y_pred", ["fold"]).select("fold", F.col("mae").alias("value"))
     return models.nested_walk_forward(df, {"10": models.fit_ridge(10.0), "1000": models.fit_ridge(1000.0)}, panel.MODEL_FEATURES, "tradeable_return_1d", error, maximise=False)
 
 
