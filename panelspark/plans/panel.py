@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import kernels, normal
@@ -30,6 +30,15 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
+def rounded_double(x: Column, digits: int = 6) -> Column:
+    """A double rounded as the SQL does: x * 10**digits, a double again, to the next whole number, halves away from zero.
+
+    F.round goes by the digits that a double shows: 0.0643815 * 1e6 is less than 64381.5, yet it gives 0.064382.
+    """
+    unit = 10.0**digits
+    return F.when(F.abs(x * unit) < float("inf"), F.round(x * unit) / unit).otherwise(x)
+
+
 def rounded(df: DataFrame, columns, keep=("symbol", "date"), digits: int = 6) -> DataFrame:
     return df.select(*keep, *[(F.round(c, digits) + 0.0).alias(c) for c in columns])
 
@@ -705,7 +714,7 @@ def runs(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_totalprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     o = o.select("o_custkey", "o_orderdate", F.count(F.lit(1)).over(w).alias("_no"), F.sum("o_totalprice").over(w).alias("_sum"), F.count("o_totalprice").over(w).alias("_n"))
     mean = F.try_divide(F.max_by("_sum", "_no"), F.max("_n"))
-    return o.groupBy("o_custkey").agg(F.round(mean / 1e6, 6).alias("primary_value"), F.min("o_orderdate").alias("created_at")).select(F.col("o_custkey").alias("experiment_id"), (F.col("o_custkey") % 7).alias("task"), "primary_value", "created_at")
+    return o.groupBy("o_custkey").agg(rounded_double(mean / 1e6).alias("primary_value"), F.min("o_orderdate").alias("created_at")).select(F.col("o_custkey").alias("experiment_id"), (F.col("o_custkey") % 7).alias("task"), "primary_value", "created_at")
 
 
 _RUNS = "SELECT o_custkey AS experiment_id, o_custkey % 7 AS task, round(avg(o_totalprice) / 1e6, 6) AS primary_value, min(o_orderdate) AS created_at FROM orders GROUP BY o_custkey"

@@ -61,3 +61,23 @@ def test_runs_count_missing_prices_as_the_sql_does(spark, tmp_path):
 
 def test_leaderboard_follows_the_keys_not_the_partitions(spark, places):
     same_as_sql(spark, places, "n9_leaderboard")
+
+
+#: Means that end on half a unit; divided by 1e6 and multiplied by it again, they are less.
+SIDES = {1: [64381.5], 2: [122742.28, 469588.46, 180710.76], 3: [3993.5], 4: [-64381.5]}
+
+
+@pytest.mark.parametrize("query", ["n9_leaderboard", "n10_distinguishable_runs", "n9_task_summary", "i10_latest_runs"])
+def test_runs_round_as_the_sql_does(spark, tmp_path, query):
+    """A run and its neighbours by a unit are of one task, so ranks show which way it went."""
+    rows = [(100 * k + i, k, x, datetime(1995, 1, 1 + i)) for k, xs in SIDES.items() for i, x in enumerate(xs)]
+    rows += [(100 * k + 70 * j, k + 7 * j, float(int(sum(xs) / len(xs)) + j - 1), datetime(1996, 1, j)) for k, xs in SIDES.items() for j in (1, 2)]
+    at = f"{tmp_path}/orders.parquet"
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(at)
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{at}/*.parquet')")
+    df = e.queries()[query](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({e.oracle_sql()[query]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert len(want) == (4 if query == "n9_task_summary" else 12)
