@@ -40,7 +40,8 @@ def rounded_double(x: Column, digits: int = 6) -> Column:
 
 
 def rounded(df: DataFrame, columns, keep=("symbol", "date"), digits: int = 6) -> DataFrame:
-    return df.select(*keep, *[(F.round(c, digits) + 0.0).alias(c) for c in columns])
+    kind = dict(df.dtypes)
+    return df.select(*keep, *[((rounded_double(F.col(c), digits) if kind[c] == "double" else F.round(c, digits)) + 0.0).alias(c) for c in columns])
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:

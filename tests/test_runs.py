@@ -81,3 +81,14 @@ def test_runs_round_as_the_sql_does(spark, tmp_path, query):
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({e.oracle_sql()[query]})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
     assert len(want) == (4 if query == "n9_task_summary" else 12)
+
+
+def test_rounding_follows_the_sql(spark, tmp_path):
+    values = [0.0643815, -0.0643815, 0.2577405, 0.0039935, 1.5e-6, 2.5e-6, 1e11 + 0.1, 1e303, 0.0, None, float("nan"), float("inf"), float("-inf")]
+    at = f"{tmp_path}/values.parquet"
+    df = spark.createDataFrame([(i, x, 10**16 + 1) for i, x in enumerate(values)], "i int, x double, n long").coalesce(1)
+    df.write.parquet(at)
+    got = panel.rounded(df, ["x", "n"], ("i",)).orderBy("i").collect()
+    want = duckdb.connect().execute(f"SELECT i, round(x, 6) + 0.0 FROM read_parquet('{at}/*.parquet') ORDER BY i").fetchall()
+    assert [repr((r["i"], r["x"])) for r in got] == [repr(w) for w in want]
+    assert {r["n"] for r in got} == {1e16}
